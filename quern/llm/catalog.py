@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from .best_fit_packing import op5_best_fit_packing
+from . import best_fit_packing, simhash_near_dedup
+
+MODULES = (best_fit_packing, simhash_near_dedup)
 
 
 def queries() -> dict:
-    return {"op5_best_fit_packing": op5_best_fit_packing}
+    return {name: f for m in MODULES for name, f in vars(m).items() if name.startswith("op") and name[2:3].isdigit()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {k: v for m in MODULES for k, v in getattr(m, "ORACLE_SQL", {}).items()}
