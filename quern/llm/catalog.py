@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import best_fit_packing, embedding_near_dedup, exact_top_k, simhash_near_dedup
+from . import best_fit_packing, embedding_near_dedup, exact_top_k, quality_classifier, simhash_near_dedup, toxicity
 
-MODULES = (best_fit_packing, embedding_near_dedup, exact_top_k, simhash_near_dedup)
+MODULES = (best_fit_packing, embedding_near_dedup, exact_top_k, quality_classifier, simhash_near_dedup, toxicity)
 
 
 def queries() -> dict:
