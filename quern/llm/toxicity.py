@@ -23,6 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -168,6 +169,36 @@ def evidence(k1: np.ndarray, n1: int, k0: np.ndarray, n0: int) -> np.ndarray:
     return 2 * (part(k1, n1, k1 / n1) + part(k0, n0, k0 / n0) - part(k1, n1, p) - part(k0, n0, p))
 
 
+def one_of_each(found: DataFrame) -> DataFrame:
+    """The sample without all but one of its toxic near copies, whose every word would look toxic: documents that
+    share one of four minima over hashed three-word runs are one group. The sample is bounded, so the driver groups."""
+
+    def minima(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for d in batches:
+            out = []
+            for doc_id, text in zip(d["doc_id"], d["text"]):
+                own = words_of((text or "").lower())
+                h = np.array([xxhash.xxh64_intdigest(" ".join(own[i : i + 3])) for i in range(max(1, len(own) - 2))], np.uint64)
+                out += [(doc_id, k, int((h * np.uint64(2 * k + 3) ^ h >> np.uint64(16 * k)).min() >> np.uint64(1))) for k in range(4)]
+            yield pd.DataFrame(out, columns=["doc_id", "k", "least"])
+
+    seen: dict[tuple[int, int], int] = {}
+    low: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        while low.setdefault(x, x) != x:
+            x = low[x]
+        return x
+
+    for doc_id, k, least in found.where("y = 1").mapInPandas(minima, "doc_id long, k int, least long").toPandas().sort_values(["doc_id", "k"]).itertuples(index=False):
+        a, b = root(int(doc_id)), root(seen.setdefault((k, least), int(doc_id)))
+        low[max(a, b)] = min(a, b)
+    gone = sorted(x for x in low if root(x) != x)
+    if not gone:
+        return found
+    return found.join(F.broadcast(found.sparkSession.createDataFrame([(x,) for x in gone], "doc_id long")), "doc_id", "left_anti")
+
+
 def learn_lexicon(found: DataFrame) -> dict[str, float]:
     """Words and beginnings that mark toxic documents, weighted by log odds, at most ENTRIES. Counts are
     gathered within each partition of the bounded sample first; only strong entries come to the driver."""
@@ -235,7 +266,7 @@ def fit(x: np.ndarray, y: np.ndarray) -> tuple[float, np.ndarray]:
 
 def learn(docs: DataFrame, labels: DataFrame, most: int = MOST) -> Grammar:
     found = sample(docs, labels, "toxic", most)
-    learned = learn_lexicon(found)
+    learned = learn_lexicon(one_of_each(found))
 
     def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         lexicon, machine = Lexicon(learned), Machine()
