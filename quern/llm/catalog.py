@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import best_fit_packing, embedding_near_dedup, exact_top_k, quality_classifier, simhash_near_dedup, toxicity
+from . import best_fit_packing, embedding_near_dedup, exact_top_k, lm_scoring, quality_classifier, simhash_near_dedup, toxicity
 
-MODULES = (best_fit_packing, embedding_near_dedup, exact_top_k, quality_classifier, simhash_near_dedup, toxicity)
+MODULES = (best_fit_packing, embedding_near_dedup, exact_top_k, lm_scoring, quality_classifier, simhash_near_dedup, toxicity)
 
 
 def queries() -> dict:

@@ -9,6 +9,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Whether the shuffle files of a statement go when it ends; nothing reads them after a cut.
+SHUFFLES_GO = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _made: list[tuple[SparkSession, str]] = []
 
 
@@ -36,7 +38,12 @@ def cut(df: DataFrame) -> DataFrame:
     driver's Python ends; one query may still read them until then."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/quern-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    was = spark.conf.get(SHUFFLES_GO, None)
+    spark.conf.set(SHUFFLES_GO, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.unset(SHUFFLES_GO) if was is None else spark.conf.set(SHUFFLES_GO, was)
     _made.append((spark, path))
     return spark.read.schema(df.schema).parquet(path)
 
