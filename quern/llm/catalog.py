@@ -2,9 +2,19 @@
 
 from __future__ import annotations
 
-from . import best_fit_packing, embedding_near_dedup, exact_top_k, lm_scoring, quality_classifier, simhash_near_dedup, toxicity
+from . import (
+    best_fit_packing,
+    embedding_near_dedup,
+    exact_top_k,
+    lm_scoring,
+    quality_classifier,
+    sentencepiece_codec,
+    simhash_near_dedup,
+    substring_dedup,
+    toxicity,
+)
 
-MODULES = (best_fit_packing, embedding_near_dedup, exact_top_k, lm_scoring, quality_classifier, simhash_near_dedup, toxicity)
+MODULES = (sentencepiece_codec, lm_scoring, exact_top_k, toxicity, best_fit_packing, simhash_near_dedup, substring_dedup, quality_classifier, embedding_near_dedup)
 
 
 def queries() -> dict:
