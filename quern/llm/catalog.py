@@ -6,6 +6,7 @@ from . import (
     best_fit_packing,
     embedding_near_dedup,
     exact_top_k,
+    line_dedup,
     lm_scoring,
     quality_classifier,
     sentencepiece_codec,
@@ -14,7 +15,7 @@ from . import (
     toxicity,
 )
 
-MODULES = (sentencepiece_codec, lm_scoring, exact_top_k, toxicity, best_fit_packing, simhash_near_dedup, substring_dedup, quality_classifier, embedding_near_dedup)
+MODULES = (sentencepiece_codec, lm_scoring, exact_top_k, toxicity, best_fit_packing, line_dedup, simhash_near_dedup, substring_dedup, quality_classifier, embedding_near_dedup)
 
 
 def queries() -> dict:
