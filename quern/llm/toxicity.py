@@ -214,7 +214,9 @@ def learn_lexicon(found: DataFrame) -> dict[str, float]:
                 seen[y].update(entries(words_of((text or "").lower())))
         own = list(seen[1])  # an entry in no toxic document of a partition still counts there as clean
         own += [e for e in seen[0] if e not in seen[1]]
-        yield pd.DataFrame({"entry": own, "k1": [seen[1][e] for e in own], "k0": [seen[0][e] for e in own]})
+        for at in range(0, len(own), 100_000):
+            part = own[at : at + 100_000]
+            yield pd.DataFrame({"entry": pd.Series(part, dtype=object), "k1": [seen[1][e] for e in part], "k0": [seen[0][e] for e in part]})
 
     counts = found.select("text", "y").mapInPandas(count, "entry string, k1 long, k0 long").groupBy("entry").agg(F.sum("k1").alias("k1"), F.sum("k0").alias("k0"))
     odds = F.log((F.col("k1") + 0.5) / (n1 - F.col("k1") + 0.5)) - F.log((F.col("k0") + 0.5) / (n0 - F.col("k0") + 0.5))
