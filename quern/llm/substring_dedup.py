@@ -23,7 +23,7 @@ from .common import cut, table
 SENTENCES, WORDS, LONG = 2, 24, 40
 
 #: A sentence of more words is cut behind words whose hash is a multiple of CUT, so that copies of a part are cut alike.
-MOST_WORDS, CUT = 40, 8
+MOST_WORDS, CUT = 12, 6
 
 _gaps = re.compile(r"(?<=[.!?])\s+|\s*\n\s*").finditer
 _words = re.compile(r"(\S+)(\s*)").finditer
