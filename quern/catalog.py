@@ -4,14 +4,19 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from quern.plans import app, text, vectors
+
+MODULES = (vectors, text, app)
+
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/embeddings.parquet").groupBy("label").count()
+    """Whitened search with a gap cutoff."""
+    return vectors.QUERIES["search_whitened_gap_a"](spark, sf_dir)
 
 
 def queries() -> dict:
-    return {}
+    return {name: q for m in MODULES for name, q in m.QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: q for m in MODULES for name, q in m.ORACLES.items()}

@@ -88,7 +88,7 @@ def block_from(text: Column, starts: list[str], ends: list[str] = (), least: int
     lines = normalize_lines(text)
 
     def first(t: Column, patterns, group: str) -> Column:
-        found = [F.nullif(F.regexp_extract(t, F.lit(group.format(p)), F.lit(1)), F.lit("")) for p in patterns]
+        found = [F.nullif(F.regexp_extract(t, group.format(p), 1), F.lit("")) for p in patterns]
         return F.coalesce(*found, F.lit(None).cast("string")) if found else F.lit(None).cast("string")
 
     own = first(lines, starts, "(?isU)^.*?((?:{}).*)$")
@@ -319,13 +319,13 @@ def normalize_legacy(text: Column | str) -> Column:
 def sections(text: Column | str) -> dict[str, Column]:
     """title, abstract, claims, description and ipc of a whole text: of each the first shortest match, else ""."""
     t = sub(filled(text), r"(?U)-\s*\d+\s*-", "")
-    take = lambda p, g: strip(F.regexp_extract(t, F.lit(p), F.lit(g)))
+    take = lambda p, g: strip(F.regexp_extract(t, p, g))
     return {
         "title": take(r"(?sU)발명의?\s*명칭\s*(.+?)(?:\n{2,}|\(57\)|요\s*약|【요약】)", 1),
         "abstract": take(r"(?sU)(요\s*약|【요약】)\s*(.+?)(?=청구범위|청구항|명\s*세\s*서|발명의?\s*설명)", 2),
         "claims": take(r"(?U)(청구범위|청구항\s*1)[\s\S]+?(?=발명의?\s*설명|기\s*술\s*분\s*야|배\s*경\s*기\s*술)", 0),
         "description": take(r"(?U)(기\s*술\s*분\s*야|배\s*경\s*기\s*술|발명의?\s*내용)[\s\S]+", 0),
-        "ipc": F.regexp_extract(t, F.lit(r"(?U)[A-H][0-9]{2}[A-Z]\s*\d+/\d+"), F.lit(0)),
+        "ipc": F.regexp_extract(t, r"(?U)[A-H][0-9]{2}[A-Z]\s*\d+/\d+", 0),
     }
 
 
@@ -333,11 +333,11 @@ def split_claims(text: Column | str) -> Column:
     """A map from each claim header to what follows it up to the next header; of equal headers the last one's."""
     t, header = filled(text), r"(?U)청구항\s*\d+"
     heads = F.regexp_extract_all(t, F.lit(f"({header})"), F.lit(1))
-    bodies = F.slice(F.split(t, header, -1), 2, F.greatest(F.size(heads), F.lit(1)))
-    pairs = F.arrays_zip(F.transform(heads, strip).alias("k"), F.transform(bodies, strip).alias("v"))
     n = F.size(heads)
-    last = F.filter(pairs, lambda p, i: ~F.exists(F.slice(heads, i + 2, n), lambda h: strip(h) == p["0"]))
-    return F.when(n > 0, F.map_from_arrays(F.transform(last, lambda p: p["0"]), F.transform(last, lambda p: p["1"])))
+    bodies = F.slice(F.split(t, header, -1), 2, F.greatest(n, F.lit(1)))
+    at = F.transform(heads, lambda h, i: F.struct(strip(h).alias("k"), strip(F.element_at(bodies, i + 1)).alias("v"), i.alias("i")))
+    last = F.filter(at, lambda p: ~F.exists(at, lambda q: (q["k"] == p["k"]) & (q["i"] > p["i"])))
+    return F.when(n > 0, F.map_from_arrays(F.transform(last, lambda p: p["k"]), F.transform(last, lambda p: p["v"])))
 
 
 def fallback_claims(text: Column | str) -> Column:
@@ -346,8 +346,8 @@ def fallback_claims(text: Column | str) -> Column:
     starts = [r"\b청\s*구\s*항\b", r"\b청구항\b", r"\bclaims\b", r"\bwhat\s+is\s+claimed\s+is\b"]
     ends = [r"\b발명의\s+상세한\s+설명\b", r"\b발명의\s+설명\b", r"\bdetailed\s+description\b", r"\bdescription\s+of\s+embodiments\b"]
     t = filled(text)
-    own = F.coalesce(*[F.nullif(F.regexp_extract(t, F.lit(f"(?isuU)^.*?({p}.*)$"), F.lit(1)), F.lit("")) for p in starts])
-    upto = F.coalesce(*[F.nullif(F.regexp_extract(own, F.lit(f"(?isuU)^(.+?){p}"), F.lit(1)), F.lit("")) for p in ends], own)
+    own = F.coalesce(*[F.nullif(F.regexp_extract(t, f"(?isuU)^.*?({p}.*)$", 1), F.lit("")) for p in starts])
+    upto = F.coalesce(*[F.nullif(F.regexp_extract(own, f"(?isuU)^(.+?){p}", 1), F.lit("")) for p in ends], own)
     return strip(F.coalesce(upto, F.lit("")))
 
 
@@ -374,7 +374,7 @@ def low_quality(text: Column | str, least: int = 300, share: float = 0.15) -> Co
 
 def json_object(text: Column | str) -> Column:
     """From the first { to the last }."""
-    return F.regexp_extract(_c(text), F.lit(r"(?s)\{.*\}"), F.lit(0))
+    return F.regexp_extract(_c(text), r"(?s)\{.*\}", 0)
 
 
 def snippet(text: Column | str, most: int = 600) -> Column:

@@ -84,7 +84,7 @@ def _whitened_sql(first: int, gap: float) -> str:
     return f"""
         WITH {_q}, {_c}, {_mean('m', 'c', 'label')},
         f AS (SELECT m.label, list_dot_product(q, {_added('mean')}) AS score FROM m, q ORDER BY score DESC, label LIMIT 1),
-        w AS (SELECT {_added('x')} AS qw FROM (SELECT {_minus('q', 'mean')} AS x FROM q, f JOIN m USING (label))),
+        w AS (SELECT {_added('dv')} AS qw FROM (SELECT {_minus('q', 'mean')} AS dv FROM q, f JOIN m USING (label))),
         x AS (SELECT doc_id, label, {_minus('vector', 'mean')} AS v FROM c JOIN m USING (label)),
         sc AS (SELECT doc_id, label, list_dot_product({_added('v')}, qw) AS score FROM x, w),
         r AS (SELECT *, row_number() OVER (ORDER BY score DESC, doc_id) AS rank, score - lead(score) OVER (ORDER BY score DESC, doc_id) AS gap FROM sc),

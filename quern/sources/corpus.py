@@ -137,8 +137,8 @@ def page_texts(pages: DataFrame, ocr, version: str = "ver2", once: bool = True,
     low = T.low_quality("text")
     nth = F.sum(low.cast("int")).over(Window.partitionBy("doc_id").orderBy("page"))
     turn = low & ((nth == 1) if once else F.lit(True))
-    read = pages.withColumn("text", F.when(turn, ocr(F.col("image"))).when(low & F.lit(not once), F.lit(None)).otherwise(F.col("text")))
-    own = read.where("text IS NOT NULL").withColumn("text", T.normalize("text", version)).where(F.length(F.trim("text")) >= least)
+    read = pages.withColumn("text", F.when(turn, ocr(F.col("image"))).otherwise(F.col("text")))
+    own = read.where("text <> ''").withColumn("text", T.normalize("text", version)).where(F.length(F.trim("text")) >= least)
     if tag:
         own = own.withColumn("text", F.concat(F.format_string(tag, F.col("page")), F.col("text")))
     pages_of = F.transform(F.array_sort(F.collect_list(F.struct("page", "text"))), lambda p: p["text"])
