@@ -231,26 +231,17 @@ def pack(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY
     starts = counts.withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0)))
     histogram = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}
     runs = plan(histogram, capacity)
-    schema = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long" + ", ids binary" * with_ids
-
-    def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        firsts = runs[:, 0] << 48 | runs[:, 1]  # a length's ranks stay below 2^48
-        for x in batches:
-            length, rank = x["length"].to_numpy(np.int64), x["rank"].to_numpy(np.int64)
-            run = runs[np.searchsorted(firsts, length << 48 | rank, "right") - 1]
-            nth = rank - run[:, 1]
-            x = x.drop(columns="rank")
-            x["length"] = length
-            x["sequence_id"] = run[:, 2] + nth // run[:, 3]
-            x["offset"] = run[:, 4] + nth % run[:, 3] * length
-            yield x[[c.split()[0] for c in schema.split(", ")]]
-
-    kept = ["doc_id", "piece", "start", "length", "ids_crc32", *["ids"] * with_ids]
-    return (
-        pieces.join(starts.drop("n"), ["length", "part"])
-        .select(*kept, (F.col("before") + F.col("nth")).alias("rank"))
-        .mapInPandas(place, schema)
-    )
+    firsts = runs[:, 0] << 48 | runs[:, 1]  # a length's ranks stay below 2^48
+
+    @F.pandas_udf("sequence_id long, offset long")
+    def place(length: pd.Series, rank: pd.Series) -> pd.DataFrame:
+        length, rank = length.to_numpy(np.int64), rank.to_numpy(np.int64)
+        run = runs[np.searchsorted(firsts, length << 48 | rank, "right") - 1]
+        nth = rank - run[:, 1]
+        return pd.DataFrame({"sequence_id": run[:, 2] + nth // run[:, 3], "offset": run[:, 4] + nth % run[:, 3] * length})
+
+    placed = pieces.join(starts.drop("n"), ["length", "part"]).withColumn("at", place("length", F.col("before") + F.col("nth")))
+    return placed.select("doc_id", "piece", "start", F.col("length").cast("long").alias("length"), "ids_crc32", "at.sequence_id", "at.offset", *["ids"] * with_ids)
 
 
 def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,7 +6,7 @@ import atexit
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Whether the shuffle files of a statement go when it ends; nothing reads them after a cut.
@@ -60,6 +60,15 @@ def _remove() -> None:
 atexit.register(_remove)
 
 
+def replaced(joined: DataFrame, docs: DataFrame, same: Column, text: Column) -> DataFrame:
+    """The columns of docs, with another text, and its length in n_chars if there, where not `same`. joined: docs with something that was looked
+    up; its columns may have any names."""
+    new = {"text": F.when(same, docs["text"]).otherwise(text)}
+    if "n_chars" in docs.columns:
+        new["n_chars"] = F.when(same, docs["n_chars"]).otherwise(F.length(text).cast(docs.schema["n_chars"].dataType))
+    return joined.select(*[new.get(c, docs[f"`{c}`"]).alias(c) for c in docs.columns])
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -77,11 +77,12 @@ def unpacked(kind: str, data: bytes) -> np.ndarray:
 
 
 def blocks(docs: DataFrame) -> tuple[DataFrame, int]:
-    """docs as (doc_id, text, role, block), and the number of blocks. role: 0 trains, 1 trains but is deleted when the weights
+    """docs as (doc_id, named, text, role, block), and the number of blocks. role: 0 trains, 1 trains but is deleted when the weights
     are learned, 2 is only scored. Deleted documents have blocks of their own."""
     fold = F.crc32(F.col("doc_id").cast("string").cast("binary")) % FOLDS
     role = F.when(fold.isNull() | (fold == HELD_OUT), 2).when(fold == DELETED, 1).otherwise(0)
-    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("role", role)
+    own = docs.select("doc_id", F.col("text").cast("string").alias("text")).withColumn("role", role).withColumn("named", F.col("doc_id").isNotNull())
+    own = own.withColumn("doc_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(0).cast("long")))  # pandas would make numbers with nulls floating
     size = own.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     most = max(1, -(-size // BLOCK_BYTES))
     few = max(1, -(-most // (FOLDS - 1)))
@@ -208,7 +209,7 @@ def score(docs: DataFrame) -> DataFrame:
 
     def rate(x: pd.DataFrame, a: pd.DataFrame) -> pd.DataFrame:
         if not len(x):
-            return pd.DataFrame(columns=["doc_id", "role", "n_tokens", "n_known", "base_score", "score"])
+            return pd.DataFrame(columns=["doc_id", "named", "role", "n_tokens", "n_known", "base_score", "score"])
         block = Block(x["text"])
         word, pair, context = lookup(block, a, "total")
         w = weights[bucket(context)]
@@ -216,15 +217,15 @@ def score(docs: DataFrame) -> DataFrame:
             p = w[:, 0] / (v + 1) + w[:, 1] * (word / max(n, 1)) + w[:, 2] * np.where(context > 0, pair / context, 0.0)
         add = lambda y: np.add.reduceat(y, block.starts)
         return pd.DataFrame({
-            "doc_id": x["doc_id"], "role": x["role"], "n_tokens": block.sizes, "n_known": add((word > 0).astype(np.int64)),
+            "doc_id": x["doc_id"], "named": x["named"], "role": x["role"], "n_tokens": block.sizes, "n_known": add((word > 0).astype(np.int64)),
             "base_score": add(np.log10((word + 0.5) / (n + 0.5 * (v + 1)))), "score": add(np.log10(p)),
         })
 
     rated = own.groupBy("block").cogroup(answers.where("block >= 0").groupBy("block")).applyInPandas(
-        rate, "doc_id long, role int, n_tokens long, n_known long, base_score double, score double"
+        rate, "doc_id long, named boolean, role int, n_tokens long, n_known long, base_score double, score double"
     )
-    held = (F.col("role") == 2) & F.col("doc_id").isNotNull()
-    return rated.select("doc_id", held.alias("held_out"), "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), "base_score", "score")
+    held = (F.col("role") == 2) & F.col("named")
+    return rated.select(F.when(F.col("named"), F.col("doc_id")).alias("doc_id"), held.alias("held_out"), "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), "base_score", "score")
 
 
 def op2_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:

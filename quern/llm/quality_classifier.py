@@ -164,15 +164,12 @@ def classify(docs: DataFrame, labels: DataFrame, most: int = MOST, threshold: fl
     """
     model = learn(docs, labels, most)
 
-    def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for d in batches:
-            x = np.array([features(t) for t in d["text"]], float).reshape(-1, len(FEATURES))
-            score = model.score(x)
-            yield pd.DataFrame({"doc_id": d["doc_id"], "held_out": d["held_out"], "score": score, "predicted": (score >= threshold).astype("int32")})
+    @F.pandas_udf("double")
+    def each(texts: pd.Series) -> pd.Series:
+        return pd.Series(model.score(np.array([features(t) for t in texts], float).reshape(-1, len(FEATURES))))
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out().alias("held_out"), F.col("text").cast("string").alias("text")).mapInPandas(
-        each, "doc_id long, held_out boolean, score double, predicted int"
-    )
+    rated = docs.select(F.col("doc_id").cast("long").alias("doc_id"), each(F.col("text").cast("string")).alias("score"))
+    return rated.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
 def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:

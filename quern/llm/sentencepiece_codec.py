@@ -173,22 +173,22 @@ def encode(docs: DataFrame, model: str | None = None) -> DataFrame:
     encoded each; very long texts as any other; other columns don't matter."""
     path = model or default_model()
 
-    def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for x in batches:
-            yield pd.DataFrame({"doc_id": x["doc_id"], "ids": [i.astype("i4") for i in codec(path).encode(x["text"].fillna("").tolist())]})
+    @F.pandas_udf("array<int>")
+    def each(texts: pd.Series) -> pd.Series:
+        return pd.Series([i.astype("i4") for i in codec(path).encode(texts.fillna("").tolist())])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInPandas(each, "doc_id long, ids array<int>")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), each(F.col("text").cast("string")).alias("ids"))
 
 
 def decode(encoded: DataFrame, model: str | None = None) -> DataFrame:
     """(doc_id, ids) as (doc_id, text); null ids give an empty text."""
     path = model or default_model()
 
-    def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for x in batches:
-            yield pd.DataFrame({"doc_id": x["doc_id"], "text": ["" if i is None else codec(path).decode(i) for i in x["ids"]]})
+    @F.pandas_udf("string")
+    def each(ids: pd.Series) -> pd.Series:
+        return pd.Series(["" if i is None else codec(path).decode(i) for i in ids], dtype=object)
 
-    return encoded.select("doc_id", "ids").mapInPandas(each, "doc_id long, text string")
+    return encoded.select("doc_id", each("ids").alias("text"))
 
 
 def encode_decode(docs: DataFrame, model: str | None = None) -> DataFrame:
@@ -196,20 +196,17 @@ def encode_decode(docs: DataFrame, model: str | None = None) -> DataFrame:
     text's UTF-8) and round_trip, whether the decoded text is the text (null: empty). Both ways in one pass, so that the ids needn't travel."""
     path = model or default_model()
 
-    def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        own = codec(path)
-        for x in batches:
-            out, texts = [], x["text"].fillna("").tolist()
-            for at in range(0, len(texts), 2000):
-                part = texts[at : at + 2000]
-                for text, ids in zip(part, own.encode(part)):
-                    back = own.decode_all(ids)
-                    out.append((len(ids), zlib.crc32(ids.tobytes()), zlib.crc32(back.encode("utf-8", "surrogatepass")), back == text))
-            yield pd.concat([x[["doc_id"]].reset_index(drop=True), pd.DataFrame(out, columns=["n_pieces", "ids_crc32", "decoded_crc32", "round_trip"])], axis=1)
-
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInPandas(
-        each, "doc_id long, n_pieces long, ids_crc32 long, decoded_crc32 long, round_trip boolean"
-    )
+    @F.pandas_udf("n_pieces long, ids_crc32 long, decoded_crc32 long, round_trip boolean")
+    def each(column: pd.Series) -> pd.DataFrame:
+        own, out, texts = codec(path), [], column.fillna("").tolist()
+        for at in range(0, len(texts), 2000):
+            part = texts[at : at + 2000]
+            for text, ids in zip(part, own.encode(part)):
+                back = own.decode_all(ids)
+                out.append((len(ids), zlib.crc32(ids.tobytes()), zlib.crc32(back.encode("utf-8", "surrogatepass")), back == text))
+        return pd.DataFrame(out, columns=["n_pieces", "ids_crc32", "decoded_crc32", "round_trip"])
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), each(F.col("text").cast("string")).alias("r")).select("doc_id", "r.*")
 
 
 def op1_sentencepiece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -48,12 +48,11 @@ def fingerprint(text: str | None, words: int = WORDS) -> int:
 def fingerprints(docs: DataFrame, words: int = WORDS) -> DataFrame:
     """(doc_id, fp) with the fingerprint as a signed long, one row for each row of docs."""
 
-    def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for x in batches:
-            fp = np.array([fingerprint(t, words) for t in x.iloc[:, 1]], np.uint64)
-            yield pd.DataFrame({"doc_id": x.iloc[:, 0], "fp": fp.view(np.int64)})
+    @F.pandas_udf("long")
+    def each(texts: pd.Series) -> pd.Series:
+        return pd.Series(np.array([fingerprint(t, words) for t in texts], np.uint64).view(np.int64))
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInPandas(each, "doc_id long, fp long")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), each(F.col("text").cast("string")).alias("fp"))
 
 
 def keys(fp: str = "fp") -> F.Column:
@@ -161,18 +160,19 @@ def near_duplicates(docs: DataFrame, words: int = WORDS) -> DataFrame:
     """One row for each row of docs (doc_id, text): doc_id, fp (signed long) and component_id, the
     smallest doc_id reachable over links of at most 4 differing bits.
 
-    Null, empty and blank texts have fingerprint 0, linked like any other. Equal fingerprints
+    Null, empty and blank texts have fingerprint 0, linked like any other. A row without a doc_id links nothing and
+    has the component of its fingerprint, null if that is of such rows alone. Equal fingerprints
     (a repeated row, copies) are one node, so a group of copies never meets in a task. Other
     columns don't matter. An empty table gives an empty result.
     """
     own = cut(fingerprints(docs, words))
-    reps = cut(own.groupBy("fp").agg(F.min("doc_id").alias("rep")))
+    reps = cut(own.where("doc_id IS NOT NULL").groupBy("fp").agg(F.min("doc_id").alias("rep")))
     joined = components(links(reps))
     known = cut(
         reps.join(joined, reps["rep"] == joined["node"], "left")
         .select("fp", F.coalesce("component", "rep").alias("component_id"))
     )
-    return own.join(known, "fp").select("doc_id", "fp", "component_id")
+    return own.join(known, "fp", "left").select("doc_id", "fp", "component_id")
 
 
 def dedup(docs: DataFrame, words: int = WORDS) -> DataFrame:

@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, table
+from .common import cut, replaced, table
 
 #: A run has this many sentences and words at least, or, whatever its sentences, so many words.
 SENTENCES, WORDS, LONG = 2, 24, 40
@@ -136,11 +136,8 @@ def dedup(docs: DataFrame) -> DataFrame:
         return pd.Series([t if f is None or t is None else without(t, list(zip(f, l))) for t, f, l in zip(texts, firsts, lasts)], dtype=object)
 
     joined = docs.join(covered, docs["doc_id"] == covered["_covered_id"], "left")
-    text = F.when(F.col("_covered").isNull(), docs["text"]).otherwise(rest(docs["text"], F.col("_covered.first"), F.col("_covered.last")))
-    out = joined.withColumn("text", text)
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("_covered").isNull(), docs["n_chars"]).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
-    return out.select(*docs.columns)
+    found = covered["_covered"]
+    return replaced(joined, docs, found.isNull(), rest(docs["text"], found["first"], found["last"]))
 
 
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
