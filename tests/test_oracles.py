@@ -25,7 +25,7 @@ def duck():
 
 def rows(df):
     def one(v):
-        if v is None or isinstance(v, float) and math.isnan(v):
+        if v is None or v is pd.NA or isinstance(v, float) and math.isnan(v):
             return "null"
         if isinstance(v, float):
             return f"{v + 0.0:.5f}"
