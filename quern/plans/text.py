@@ -201,6 +201,20 @@ def paged(spark, d):
     return C.page_texts(rows, text_hook()).select("doc_id", F.size(F.split("text", "\n\n")).alias("pages"))
 
 
+def ranked_records(spark, d):
+    from pyspark.sql import Window
+
+    return records(spark, d).where("domain = 'en'").orderBy(F.desc("doc_id")).limit(8).withColumn("rank", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(F.desc("doc_id"))))  # eight rows
+
+
+def shaped_examples(spark, d):
+    return C.examples(ranked_records(spark, d)).select("rank", md5(F.col("abstract")).alias("abstract"), md5(F.col("claims")).alias("claims"))
+
+
+def prior_art_text(spark, d):
+    return C.prior_art(ranked_records(spark, d)).select(md5(F.col("text")).alias("hash"))
+
+
 QUERIES, ORACLES = {}, {}
 for _name, (_rule, _cases) in WORKED.items():
     QUERIES[_name], ORACLES[_name] = worked(_rule, _cases)
@@ -239,5 +253,7 @@ ORACLES |= {
     "fewshot_prompt": "WITH t AS (SELECT lang, doc_id, n_chars / 1000 AS score, row_number() OVER (PARTITION BY lang ORDER BY n_chars DESC, doc_id) AS rank FROM documents) SELECT lang, string_agg(format('{}. {} {:.4f}', rank, doc_id, score), chr(10) ORDER BY rank) AS prompt FROM t WHERE rank <= 3 GROUP BY lang",
     "default_record": "SELECT * FROM (VALUES (0, 'Ai', 'a', 'c'), (1, 'Ai', 'input', 'input'), (2, 'Ai', 'input', 'input')) t(id, type, abstract, claims)",
     "section_record": "SELECT 1 AS id, '가' AS title, '나.' AS abstract, '청구항 1' || chr(10) || '다.' AS claims, '기술분야' || chr(10) || '라. 표 1 x' AS description, 1 AS n_tables, 1 AS n_claims",
+    "fewshot_examples": f"WITH {_records}, r AS (SELECT *, (row_number() OVER (ORDER BY doc_id DESC))::INTEGER AS rank FROM records WHERE domain = 'en') SELECT rank, md5(abstract) AS abstract, md5(claims) AS claims FROM r WHERE rank <= 3",
+    "prior_art_text": f"WITH {_records}, r AS (SELECT *, row_number() OVER (ORDER BY doc_id DESC) AS rank FROM records WHERE domain = 'en') SELECT md5(string_agg('<' || rank || '. ' || doc_id || '> ' || abstract || ' | ' || substr(claims, 1, 300) || '...', chr(10) ORDER BY rank)) AS hash FROM r WHERE rank <= 5",
     "page_text": "SELECT * FROM (VALUES (1, 3), (2, 1)) t(doc_id, pages)",
 }

@@ -370,7 +370,33 @@ def cosine_quantiles(spark, d):
     return r6(out.select("mean", "std", "min", "max", *[F.col("q")[i].alias(n) for i, n in enumerate(("q01", "q05", "q50", "q95", "q99"))]))
 
 
+def _cross(spark, d):
+    """One document of a field, the one of the smallest id, against all of another field."""
+    one = embeddings(spark, d).where("label = 0").orderBy("vec_id").limit(1).select(V.doubles("embedding").alias("q"))
+    own = embeddings(spark, d).where("label = 1").select(F.col("vec_id").alias("doc_id"), V.doubles("embedding").alias("v"))
+    return own.join(F.broadcast(one), F.lit(True)).select("doc_id", V.dot("v", "q").alias("score"))
+
+
+def cross_field_top(spark, d):
+    return r6(S.top_k(_cross(spark, d), 10))
+
+
+def cross_field_stats(spark, d):
+    x = _cross(spark, d)
+    return r6(x.agg(F.avg("score").alias("mean"), F.max("score").alias("max"), F.min("score").alias("min"), F.stddev_pop("score").alias("std"), F.count("*").alias("n")))
+
+
+def query_fusion(spark, d):
+    """The query's sections with its domain's weights, a third each where the domain has none."""
+    st = O.pair_stats(sections(spark, d).where("label <> 5"), "label", "vector", ["section"], "domain")
+    w = _weight_columns(O.dynamic_weights(st, ["label"]), ["label"])
+    own = aligned(spark, d).where("doc_id < 20").join(w, "label", "left")
+    v = V.weighted_sum([f"v_{s}" for s in SECTIONS], [F.coalesce(F.col(f"w_{s}"), F.lit(1 / 3)) for s in SECTIONS])
+    return r6(own.select("doc_id", v[0].alias("first"), v[19].alias("last")))
+
+
 QUERIES = {
+    "cross_field_top": cross_field_top, "cross_field_stats": cross_field_stats, "query_fusion": query_fusion,
     "search_whitened_gap_a": whitened(3, 0.05), "search_whitened_gap_b": whitened(2, 0.03), "search_domain_topk": domain_topk, "search_one_domain": one_domain,
     "fewshot_threshold": fewshots, "hit_report": hit_report, "detect_field_rank": fields, "detect_field_best": best_field,
     "field_mean_vector": field_means, "section_center": section_centers, "global_center": global_center, "l2_normalize": normalized, "cosine_variants": cosines,
@@ -385,7 +411,15 @@ QUERIES = {
 _tenth, _null = "list_transform(embedding::DOUBLE[], lambda x: x * 0.1)", "list_transform(embedding::DOUBLE[], lambda x: x * 0.0)"
 _pool = "chunk AS (SELECT vec_id // 4 AS doc_id, embedding::DOUBLE[] AS vector FROM embeddings)"
 _stats_cols = "mu_in mu_out sigma_in sigma_out"
+_cross_sql = "x AS (SELECT vec_id AS doc_id, list_dot_product(embedding::DOUBLE[], (SELECT embedding::DOUBLE[] FROM embeddings WHERE label = 0 ORDER BY vec_id LIMIT 1)) AS score FROM embeddings WHERE label = 1)"
+_five = _wide("domain").replace("FROM raw)", "FROM raw WHERE label <> 5)", 1)
 ORACLES = {
+    "cross_field_top": f"WITH {_cross_sql} SELECT doc_id, round(score, 6) AS score FROM x ORDER BY x.score DESC, doc_id LIMIT 10",
+    "cross_field_stats": f"WITH {_cross_sql} SELECT round(avg(score), 6) AS mean, round(max(score), 6) AS max, round(min(score), 6) AS min, round(stddev_pop(score), 6) AS std, count(*) AS n FROM x",
+    "query_fusion": f"""{_five}, every AS (SELECT section, doc_id, label, {_floor('v')} AS vector FROM raw WHERE doc_id < 20),
+        f AS (SELECT a.doc_id, list_transform(list_zip(a.vector, b.vector, c.vector), lambda z: coalesce(w_abstract, 1.0 / 3) * z[1] + coalesce(w_claims, 1.0 / 3) * z[2] + coalesce(w_description, 1.0 / 3) * z[3]) AS v
+        FROM every a JOIN every b ON a.doc_id = b.doc_id AND b.section = 'claims' JOIN every c ON a.doc_id = c.doc_id AND c.section = 'description' LEFT JOIN wide ON wide.label = a.label WHERE a.section = 'abstract')
+        SELECT doc_id, round(v[1], 6) AS "first", round(v[20], 6) AS "last" FROM f""",
     "search_whitened_gap_a": _whitened_sql(3, 0.05), "search_whitened_gap_b": _whitened_sql(2, 0.03),
     "search_domain_topk": f"WITH {_q}, {_c}, {_own_sql} SELECT doc_id, lang, n_chars, label, round(score, 6) AS score FROM own LEFT JOIN documents USING (doc_id)",
     "search_one_domain": f"WITH {_q}, {_c} SELECT doc_id, label, round(list_dot_product(vector, q), 6) AS score FROM c, q WHERE label = 3 ORDER BY list_dot_product(vector, q) DESC, doc_id LIMIT 10",

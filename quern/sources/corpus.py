@@ -171,6 +171,24 @@ def parsed_query(raw: F.Column, fallback: F.Column) -> F.Column:
     )
 
 
+def newest_file(spark: SparkSession, path: str, pattern: str = "*.json") -> DataFrame:
+    """(path) of the file that was changed last."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(path)
+    return files.agg(F.max_by("path", F.struct("modificationTime", "path")).alias("path"))
+
+
+def examples(hits: DataFrame, n: int = 3) -> DataFrame:
+    """The first n ranked hits as examples of an abstract and its claims, missing ones empty."""
+    return hits.where(F.col("rank") <= n).select("rank", T.filled("abstract").alias("abstract"), T.filled("claims").alias("claims"))
+
+
+def prior_art(hits: DataFrame, most: int = 5) -> DataFrame:
+    """The first few hits, each with a snippet of its claims, as one text; behind a limit, so few rows."""
+    line = F.concat(F.lit("<"), F.col("rank").cast("string"), F.lit(". "), F.col("doc_id").cast("string"), F.lit("> "), T.filled("abstract"), F.lit(" | "), T.snippet_always("claims", 300))
+    lines = F.transform(F.array_sort(F.collect_list(F.struct("rank", line.alias("line")))), lambda x: x["line"])
+    return hits.where(F.col("rank") <= most).agg(F.array_join(lines, "\n").alias("text"))
+
+
 def job_arguments(argv: list[str]) -> dict:
     """--text or --pdf (not both), --output and --num-fewshots of a job."""
     import argparse

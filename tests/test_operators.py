@@ -126,6 +126,15 @@ def test_sinks(spark, tmp_path):
     assert spark.read.json(f"{tmp_path}/json").count() == spark.read.parquet(f"{tmp_path}/calibration").count() == 1
 
 
+def test_newest_file(spark, tmp_path):
+    import os
+
+    for i, name in enumerate(["b.json", "a.json", "c.txt"]):
+        (tmp_path / name).write_text("{}")
+        os.utime(tmp_path / name, (1000 + 10 * i, 1000 + 10 * i))
+    assert C.newest_file(spark, str(tmp_path)).first()["path"].endswith("/a.json")
+
+
 def test_hooks_have_stubs(spark):
     df = spark.createDataFrame([("a",), ("",), (None,)], "x string")
     out = df.select(hooks.embedding_hook(dim=4)("x").alias("v"), hooks.text_hook(lambda xs: [f"<{x}>" for x in xs])("x").alias("t")).collect()
