@@ -223,7 +223,7 @@ for _name, _p in {"chunk_windows_a": (254, 256, 8, 1), "chunk_windows_b": (512,
 QUERIES |= {
     "text_basic": text_basic, "cleanup_artifacts": artifacts, "low_quality": quality, "remove_phrases": phrases, "section_unpivot": unpivoted, "mode_expand": expanded, "text_by_mode": mode_text,
     "text_min_length": long_text, "core_text": core, "snippet": snippets, "percent_clamp": percents, "code_format": codes, "json_extract": props, "html_escape": escaped, "answer_line_class": line_classes,
-    "prompt_parts": prompts, "fewshot_prompt": few_shot_prompt, "default_record": defaults, "section_record": sectioned, "page_text": paged,
+    "prompt_parts": prompts, "fewshot_prompt": few_shot_prompt, "default_record": defaults, "section_record": sectioned, "page_text": paged, "fewshot_examples": shaped_examples, "prior_art_text": prior_art_text,
 }
 _ascii = "NOT regexp_matches(text, '[^\\x00-\\x7F]')"
 _strip = lambda t: f"regexp_replace({t}, '^\\s+|\\s+$', '', 'g')"
