@@ -9,8 +9,8 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Whether the shuffle files of a statement go when it ends; nothing reads them after a cut.
-SHUFFLES_GO = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: While a cut is written: its shuffle files go when it ends, as nothing reads them afterwards; and Python gets whole texts in smaller batches.
+WHILE_CUTTING = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxRecordsPerBatch": "2000"}
 _made: list[tuple[SparkSession, str]] = []
 
 
@@ -38,12 +38,14 @@ def cut(df: DataFrame) -> DataFrame:
     driver's Python ends; one query may still read them until then."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/quern-{uuid.uuid4().hex}"
-    was = spark.conf.get(SHUFFLES_GO, None)
-    spark.conf.set(SHUFFLES_GO, "true")
+    was = {k: spark.conf.get(k, None) for k in WHILE_CUTTING}
+    for k, v in WHILE_CUTTING.items():
+        spark.conf.set(k, v)
     try:
         df.write.parquet(path)
     finally:
-        spark.conf.unset(SHUFFLES_GO) if was is None else spark.conf.set(SHUFFLES_GO, was)
+        for k, v in was.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
     _made.append((spark, path))
     return spark.read.schema(df.schema).parquet(path)
 

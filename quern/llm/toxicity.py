@@ -201,7 +201,7 @@ def one_of_each(found: DataFrame) -> DataFrame:
 
 def learn_lexicon(found: DataFrame) -> dict[str, float]:
     """Words and beginnings that mark toxic documents, weighted by log odds, at most ENTRIES. Counts are
-    gathered within each partition of the bounded sample first; only strong entries come to the driver."""
+    gathered within parts of the bounded sample first; only strong entries come to the driver."""
     sizes = {r["y"]: r["n"] for r in found.groupBy("y").agg(F.count("*").alias("n")).collect()}
     n1, n0 = sizes.get(1, 0), sizes.get(0, 0)
     if not n1 or not n0:
@@ -209,14 +209,20 @@ def learn_lexicon(found: DataFrame) -> dict[str, float]:
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         seen = (Counter(), Counter())
+
+        def out() -> Iterator[pd.DataFrame]:
+            own = [*seen[1], *(e for e in seen[0] if e not in seen[1])]
+            for at in range(0, len(own), 100_000):
+                part = own[at : at + 100_000]
+                yield pd.DataFrame({"entry": pd.Series(part, dtype=object), "k1": [seen[1][e] for e in part], "k0": [seen[0][e] for e in part]})
+
         for d in batches:
             for text, y in zip(d["text"], d["y"]):
                 seen[y].update(entries(words_of((text or "").lower())))
-        own = list(seen[1])  # an entry in no toxic document of a partition still counts there as clean
-        own += [e for e in seen[0] if e not in seen[1]]
-        for at in range(0, len(own), 100_000):
-            part = own[at : at + 100_000]
-            yield pd.DataFrame({"entry": pd.Series(part, dtype=object), "k1": [seen[1][e] for e in part], "k0": [seen[0][e] for e in part]})
+                if len(seen[0]) + len(seen[1]) > 200_000:  # counts of parts add up all the same
+                    yield from out()
+                    seen = (Counter(), Counter())
+        yield from out()
 
     counts = found.select("text", "y").mapInPandas(count, "entry string, k1 long, k0 long").groupBy("entry").agg(F.sum("k1").alias("k1"), F.sum("k0").alias("k0"))
     odds = F.log((F.col("k1") + 0.5) / (n1 - F.col("k1") + 0.5)) - F.log((F.col("k0") + 0.5) / (n0 - F.col("k0") + 0.5))
