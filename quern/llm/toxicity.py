@@ -239,7 +239,7 @@ def learn_lexicon(found: DataFrame) -> dict[str, float]:
         for n in BEGINNINGS:
             if len(own) > n or len(own) == n and not e.endswith("*"):
                 longest[own[:n] + "*"] = max(longest[own[:n] + "*"], k)
-    best = best[[longest[e] < 0.9 * k for e, k in zip(best["entry"], best["k1"])]]
+    best = best[np.array([longest[e] < 0.9 * k for e, k in zip(best["entry"], best["k1"])], bool)]
     best = best.sort_values(["odds", "entry"], ascending=[False, True]).head(ENTRIES)
     return {e: float(o) / 5 for e, o in zip(best["entry"], best["odds"])}
 

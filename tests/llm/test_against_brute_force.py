@@ -269,6 +269,12 @@ def test_toxicity_learns(spark):
     assert len(held) > 100 and np.mean([p == y for p, y in held]) > 0.98
 
 
+def test_toxicity_with_weak_evidence(spark):
+    d = spark.createDataFrame([(i, f"word{i % 4} other{i}") for i in range(40)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(24)], "doc_id long, toxic int")
+    assert toxicity.score(d, labels).count() == 40
+
+
 def test_toxic_clauses():
     lexicon, machine = toxicity.Lexicon({}), toxicity.Machine()
     kind = lambda t: [k for k, v in zip(toxicity.KINDS, toxicity.matches(t, lexicon, machine)) if v]
