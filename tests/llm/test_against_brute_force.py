@@ -167,6 +167,24 @@ def test_line_dedup(spark, monkeypatch, together):
     assert got == {i: "\n".join(x for k, x in enumerate(t.split("\n")) if (i, k) not in gone) for i, t in rows} and len(gone) > 50
 
 
+def test_line_dedup_in_any_order(spark):
+    a, b = "one two three four five six seven eight nine ten", "one two three four five six seven eight nine ten eleven"
+    r, c = random.Random(8), [f"v{i}" for i in range(14)]
+    rows = [(10, a), (5, f"own words\n{a}"), (7, b)]
+    for i in range(20, 140):
+        w = list(c)
+        w[r.randrange(14)] = f"w{r.randrange(9)}"
+        rows.append((i, f"line {i}\n" * r.randrange(3) + " ".join(w)))
+    rows += [(200, f"x\n\n{a} twelve"), (200, f"{b} twelve\ny")]  # one document in two rows
+    gone = jaccard_dropped(rows)
+    want = sorted((i, "\n".join(x for k, x in enumerate(t.split("\n")) if (i, k) not in gone)) for i, t in rows)
+    assert (5, 1) not in gone and (7, 0) in gone
+    for seed in range(2):
+        shuffled = rows[:3] + r.sample(rows[3:], len(rows) - 3) if seed == 0 else sorted(rows, reverse=True)
+        df = spark.createDataFrame(spark.sparkContext.parallelize(shuffled, 3), "doc_id long, text string")
+        assert sorted(tuple(x) for x in line_dedup.dedup(df).collect()) == want
+
+
 def test_substring_dedup(spark):
     r = random.Random(6)
     word = lambda: "".join(r.choice("abcdefgh") for _ in range(5))
