@@ -205,6 +205,20 @@ def test_substring_dedup(spark):
     assert got == {i: substring_dedup.without(t, [(a, b) for h, a, b in substring_dedup.runs(t) if first[h] != (i, a)]) for i, t in rows}
 
 
+def test_every_long_repeat_shares_a_run():
+    r = random.Random(7)
+    vocabulary = ["".join(r.choice("abcdefgh") for _ in range(5)) for _ in range(5000)]
+    some = lambda n: [r.choice(vocabulary) for _ in range(n)]
+    for trial in range(1500):
+        passage = some(51)
+        if trial % 3 == 2:  # sentences of any length
+            passage = [w + "." * (r.random() < 0.1) for w in passage]
+        gap = "\t" if trial % 3 == 1 else " "
+        one, two = (gap.join(some(r.randrange(60)) + passage + some(r.randrange(60))) for _ in range(2))
+        assert {h for h, _, _ in substring_dedup.runs(one)} & {h for h, _, _ in substring_dedup.runs(two)}, trial
+        assert max(len(one[a:b].split()) for a, b, _ in substring_dedup.sentences(one)) <= 12
+
+
 def test_runs_are_the_shortest():
     t = " ".join(f"{'w' * (i % 3 + 1)}{i} " * (i % 9 + 1) + "end." for i in range(40))
     own = [len(t[a:b].split()) for a, b, _ in substring_dedup.sentences(t)]
