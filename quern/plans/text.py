@@ -92,11 +92,11 @@ WORKED = {
 
 
 def text_basic(spark, d):
-    return documents(spark, d).where("text NOT RLIKE '[^\\\\x00-\\\\x7F]'").select("doc_id", md5(T.normalize_basic("text")).alias("hash"), F.length(T.normalize_basic("text")).alias("n"))
+    return documents(spark, d).select("doc_id", md5(T.normalize_basic("text")).alias("hash"), F.length(T.normalize_basic("text")).alias("n"))
 
 
 def artifacts(spark, d):
-    return documents(spark, d).where("text NOT RLIKE '[^\\\\x00-\\\\x7F]'").select("doc_id", md5(T.cleanup_artifacts("text", "claims")).alias("hash"))
+    return documents(spark, d).select("doc_id", md5(T.cleanup_artifacts("text", "claims")).alias("hash"))
 
 
 def quality(spark, d):
@@ -105,7 +105,7 @@ def quality(spark, d):
 
 def phrases(spark, d):
     t = T.squeeze(T.remove_phrases("text", ["of the", "the", "and", "in"]))
-    return documents(spark, d).where("text NOT RLIKE '[^\\\\x00-\\\\x7F]'").select("doc_id", md5(t).alias("hash"))
+    return documents(spark, d).select("doc_id", md5(t).alias("hash"))
 
 
 def unpivoted(spark, d):
@@ -113,8 +113,7 @@ def unpivoted(spark, d):
 
 
 def expanded(spark, d):
-    own = records(spark, d).where("abstract NOT RLIKE '[^\\\\x00-\\\\x7F]' AND claims NOT RLIKE '[^\\\\x00-\\\\x7F]' AND description NOT RLIKE '[^\\\\x00-\\\\x7F]'")
-    return C.by_mode(own, ("abstract", "claims")).select("section", "mode", "domain", "doc_id", md5(F.col("text")).alias("hash"))
+    return C.by_mode(records(spark, d)).select("section", "mode", "domain", "doc_id", md5(F.col("text")).alias("hash"))
 
 
 def mode_text(spark, d):
