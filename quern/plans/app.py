@@ -108,13 +108,13 @@ def last_duplicate(spark, d):
 
 
 def index_scan(spark, d):
-    index = t(spark, d, "documents").select(F.col("doc_id").alias("id"), F.concat(F.lit("f"), (F.col("doc_id") % 100).cast("string")).alias("filename"), F.col("doc_id").alias("load_seq"))
-    vectors = t(spark, d, "embeddings").where("vec_id < 100").select(F.concat(F.lit("f"), F.col("vec_id").cast("string")).alias("filename"), F.col("label").alias("vector"))
+    index = t(spark, d, "documents").select(F.col("doc_id").alias("id"), F.concat(F.lit("f"), F.col("doc_id").cast("string")).alias("filename"), F.col("doc_id").alias("load_seq"))
+    vectors = t(spark, d, "embeddings").select(F.concat(F.lit("f"), F.col("vec_id").cast("string")).alias("filename"), F.col("label").alias("vector"))
     return C.indexed_vectors(index, vectors).select("id", "filename", F.col("vector").alias("label"))
 
 
 def text_lookup(spark, d):
-    hits = t(spark, d, "embeddings").where("vec_id % 50 = 0").select(F.col("vec_id").alias("doc_id"))
+    hits = t(spark, d, "embeddings").select(F.col("vec_id").alias("doc_id"))
     return hits.join(t(spark, d, "labels"), "doc_id", "left").fillna(-1)
 
 
@@ -123,8 +123,9 @@ def shared_keys(spark, d):
 
 
 def stacked(spark, d):
-    packs = [t(spark, d, "documents").where(F.col("lang") == lang).select("doc_id", "lang") for lang in ("en", "fr")]
-    return C.union_packs(packs).groupBy("lang").agg(F.count("*").alias("n"))
+    own = t(spark, d, "documents").select("doc_id", "lang")
+    packs = [own.where(F.col("lang").eqNullSafe(r["lang"])) for r in own.select("lang").distinct().orderBy("lang").collect()]  # a few languages
+    return C.union_packs(packs or [own]).groupBy("lang").agg(F.count("*").alias("n"))
 
 
 def paths(spark, d):
@@ -145,7 +146,7 @@ def to_parse(spark, d):
 
 
 def missing(spark, d):
-    cache = t(spark, d, "documents").where("doc_id % 3 = 0").select(F.col("lang").alias("field"), "doc_id", F.element_at(F.array(*[F.lit(s) for s in C.SECTIONS]), ((F.col("doc_id") % 2) + 1).cast("int")).alias("section"))
+    cache = t(spark, d, "documents").select(F.col("lang").alias("field"), "doc_id", F.element_at(F.array(*[F.lit(s) for s in C.SECTIONS]), ((F.col("doc_id") % 2) + 1).cast("int")).alias("section"))
     return C.missing_sections(cache)
 
 

@@ -5,6 +5,7 @@ import re
 import unicodedata
 
 from quern.functions import text as T
+from quern.plans import app
 from quern.plans import text as text_plans
 
 
@@ -67,3 +68,18 @@ def test_text_rules_see_every_document_and_section(spark, tmp_path):
                 phrases = [p for level in levels for p in T.SECTION_PHRASES[section][level]]
                 want[section, mode, "fr", i] = md5(without(own, phrases) if levels else own)
     assert run("mode_expand") == want
+
+
+def test_lookups_see_every_row(spark, tmp_path):
+    d = str(tmp_path)
+    langs = ["en", "fr", "de", "es", "ko", None]
+    docs = [(i, "x", langs[i % 6]) for i in range(240)]
+    save(spark, d, "documents", docs, "doc_id long, text string, lang string")
+    save(spark, d, "embeddings", [(i, i % 7) for i in range(260)], "vec_id long, label int")
+    save(spark, d, "labels", [(i, 1, 0) for i in range(0, 300, 3)], "doc_id long, quality int, toxic int")
+    run = lambda name: {tuple(r) for r in app.QUERIES[name](spark, d).collect()}
+    assert run("index_scan") == {(i, f"f{i}", i % 7) for i in range(240)}
+    assert run("text_lookup") == {(i, 1, 0) if i % 3 == 0 else (i, -1, -1) for i in range(260)}
+    assert run("vertical_stack") == {(x, 40) for x in langs}
+    known = {r[1:] for r in run("missing_sections") if r[0]}
+    assert known == {(i, s) for i in range(240) if langs[i % 6] for s in ("abstract", "claims", "description") if s != ("abstract", "claims")[i % 2]}
