@@ -135,7 +135,7 @@ def paths(spark, d):
 
 def elements(spark, d):
     """Elements of two inventions that both have, and that only the first has."""
-    words = F.array_distinct(F.filter(F.split(F.substring("text", 1, 200), "[ \\n]+"), lambda w: w != ""))
+    words = F.array_distinct(F.filter(F.split("text", "[ \\n]+"), lambda w: w != ""))
     own = t(spark, d, "documents").select("doc_id", words.alias("w"))
     two = own.select((F.col("doc_id") - 1).alias("doc_id"), F.col("w").alias("v"))
     return own.join(two, "doc_id").select("doc_id", F.size(F.array_intersect("w", "v")).alias("both"), F.size(F.array_except("w", "v")).alias("only"))

@@ -83,3 +83,11 @@ def test_lookups_see_every_row(spark, tmp_path):
     assert run("vertical_stack") == {(x, 40) for x in langs}
     known = {r[1:] for r in run("missing_sections") if r[0]}
     assert known == {(i, s) for i in range(240) if langs[i % 6] for s in ("abstract", "claims", "description") if s != ("abstract", "claims")[i % 2]}
+
+
+def test_element_sets_of_whole_texts(spark, tmp_path):
+    texts = ["a b " * 100 + "shared own0 é", "c " * 300 + "shared\nb own1", "shared own2 " + "é " * 200 + "b"]
+    save(spark, tmp_path, "documents", list(enumerate(texts)), "doc_id long, text string")
+    w = [set(t.split()) for t in texts]
+    got = {r["doc_id"]: (r["both"], r["only"]) for r in app.QUERIES["element_sets"](spark, str(tmp_path)).collect()}
+    assert got == {i: (len(w[i] & w[i + 1]), len(w[i] - w[i + 1])) for i in range(2)}
