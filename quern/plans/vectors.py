@@ -387,10 +387,13 @@ def cross_field_stats(spark, d):
 
 
 def query_fusion(spark, d):
-    """The query's sections with its domain's weights, a third each where the domain has none."""
-    st = O.pair_stats(sections(spark, d).where("label <> 5"), "label", "vector", ["section"], "domain")
-    w = _weight_columns(O.dynamic_weights(st, ["label"]), ["label"])
-    own = aligned(spark, d).where("doc_id < 20").join(w, "label", "left")
+    """Every query's sections with its domain's weights, a third each where the domain has none."""
+    st = O.pair_stats(sections(spark, d), "label", "vector", ["section"], "domain")
+    return fused_queries(aligned(spark, d), _weight_columns(O.dynamic_weights(st, ["label"]), ["label"]))
+
+
+def fused_queries(queries, weights):
+    own = queries.join(weights, "label", "left")
     v = V.weighted_sum([f"v_{s}" for s in SECTIONS], [F.coalesce(F.col(f"w_{s}"), F.lit(1 / 3)) for s in SECTIONS])
     return r6(own.select("doc_id", v[0].alias("first"), v[19].alias("last")))
 

@@ -4,8 +4,10 @@ import hashlib
 import re
 import unicodedata
 
+import numpy as np
+
 from quern.functions import text as T
-from quern.plans import app
+from quern.plans import app, vectors
 from quern.plans import text as text_plans
 
 
@@ -91,3 +93,24 @@ def test_element_sets_of_whole_texts(spark, tmp_path):
     w = [set(t.split()) for t in texts]
     got = {r["doc_id"]: (r["both"], r["only"]) for r in app.QUERIES["element_sets"](spark, str(tmp_path)).collect()}
     assert got == {i: (len(w[i] & w[i + 1]), len(w[i] - w[i + 1])) for i in range(2)}
+
+
+def vectors_table(spark, folder, n=450):
+    x = np.random.default_rng(3).standard_normal((n, 64))
+    x[400:] += 1.5  # the last ids differ from the first 400
+    save(spark, folder, "embeddings", [(i, v.tolist(), i % 6) for i, v in enumerate(x)], "vec_id long, embedding array<float>, label int")
+    return x
+
+
+def test_query_fusion_takes_every_vector(spark, tmp_path):
+    x = vectors_table(spark, tmp_path)
+    got = vectors.QUERIES["query_fusion"](spark, str(tmp_path)).collect()
+    assert sorted(r["doc_id"] for r in got) == list(range(len(x)))
+    weights = spark.createDataFrame([(i, 1.0, 0.0, 0.0) for i in range(6) if i != 5], "label int, w_abstract double, w_claims double, w_description double")
+    fused = {r["doc_id"]: r["first"] for r in vectors.fused_queries(vectors.aligned(spark, str(tmp_path)), weights).collect()}
+    parts = []
+    for at in vectors.SECTIONS.values():
+        p = x[:, at - 1 : at - 1 + vectors.SECTION_DIM]
+        parts.append(p[:, 0] / np.linalg.norm(p, axis=1))
+    want = [sum(p[i] for p in parts) / 3 if i % 6 == 5 else parts[list(vectors.SECTIONS).index("abstract")][i] for i in range(len(x))]
+    assert np.allclose([fused[i] for i in range(len(x))], want, atol=1e-5)
