@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from quern.functions import vectors as V
 from quern.operators import search as S
 from quern.operators import vectors as O
+from quern.sources import corpus as C
 
 DIM, SECTION_DIM = 64, 20
 SECTIONS = {"abstract": 1, "claims": 21, "description": 41}
@@ -361,12 +362,15 @@ def alignment(spark, d):
 
 
 def cosine_quantiles(spark, d):
-    """The distribution of cosines over the pairs of at most 400 vectors, as many as the diagnostic looks at."""
-    own = embeddings(spark, d).orderBy("vec_id").limit(400).select("vec_id", V.l2_added("embedding", 1e-12).alias("v"))
+    """The distribution of cosines: mean and deviation over all pairs, from moments; quantiles and ends over the pairs of a sample of 400 vectors by
+    seeded hash, as many as the diagnostic draws."""
+    every = embeddings(spark, d).select("vec_id", V.l2_added("embedding", 1e-12).alias("v"))
+    stats = O.pair_stats(every.withColumn("all", F.lit(0)), "all", "v").select(F.col("mu_in").alias("mean"), F.col("sigma_in").alias("std"))
+    own = C.sampled(every, "vec_id", 400)
     a, b = own.alias("a"), own.alias("b")
     x = a.join(b, F.col("a.vec_id") < F.col("b.vec_id")).select(V.dot("a.v", "b.v").alias("x"))
     q = F.percentile("x", F.array(*[F.lit(p) for p in (0.01, 0.05, 0.5, 0.95, 0.99)]))
-    out = x.agg(F.avg("x").alias("mean"), F.stddev_pop("x").alias("std"), F.min("x").alias("min"), F.max("x").alias("max"), q.alias("q"))
+    out = stats.crossJoin(x.agg(F.min("x").alias("min"), F.max("x").alias("max"), q.alias("q")))
     return r6(out.select("mean", "std", "min", "max", *[F.col("q")[i].alias(n) for i, n in enumerate(("q01", "q05", "q50", "q95", "q99"))]))
 
 

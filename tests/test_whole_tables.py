@@ -114,3 +114,12 @@ def test_query_fusion_takes_every_vector(spark, tmp_path):
         parts.append(p[:, 0] / np.linalg.norm(p, axis=1))
     want = [sum(p[i] for p in parts) / 3 if i % 6 == 5 else parts[list(vectors.SECTIONS).index("abstract")][i] for i in range(len(x))]
     assert np.allclose([fused[i] for i in range(len(x))], want, atol=1e-5)
+
+
+def test_cosine_quantiles_see_every_vector(spark, tmp_path):
+    x = vectors_table(spark, tmp_path)
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    cos = (u @ u.T)[np.triu_indices(len(u), 1)]
+    got = vectors.QUERIES["cosine_quantiles"](spark, str(tmp_path)).first()
+    assert abs(got["mean"] - cos.mean()) < 1e-5 and abs(got["std"] - cos.std()) < 1e-5
+    assert all(abs((cos <= got[n]).mean() - p) < 0.02 for n, p in (("q01", 0.01), ("q05", 0.05), ("q50", 0.5), ("q95", 0.95), ("q99", 0.99)))
