@@ -10,7 +10,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: While a cut is written: its shuffle files go when it ends, as nothing reads them afterwards; and Python gets whole texts in smaller batches.
-WHILE_CUTTING = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxRecordsPerBatch": "2000"}
+WHILE_CUTTING = {
+    "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true",
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "2000", "spark.sql.execution.arrow.maxBytesPerBatch": str(16 << 20),
+}
 _made: list[tuple[SparkSession, str]] = []
 
 
@@ -62,13 +65,25 @@ def _remove() -> None:
 atexit.register(_remove)
 
 
-def replaced(joined: DataFrame, docs: DataFrame, same: Column, text: Column) -> DataFrame:
-    """The columns of docs, with another text, and its length in n_chars if there, where not `same`. joined: docs with something that was looked
-    up; its columns may have any names."""
-    new = {"text": F.when(same, docs["text"]).otherwise(text)}
+def apart(docs: DataFrame) -> DataFrame:
+    """(row, doc_id, nth, text) of all rows of docs: row has all its columns, whatever their names. Rows of one doc_id with different texts differ in nth:
+    0 where a doc_id has one text only, however often, else a hash of the text. (doc_id, nth) so stands for one text."""
+    own = docs.select(F.struct(*[docs[f"`{c}`"].alias(c) for c in docs.columns]).alias("row"), docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text"))
+    hashed = F.xxhash64("text")
+    texts = own.where("doc_id IS NOT NULL AND text IS NOT NULL").groupBy("doc_id").agg(F.min(hashed).alias("low"), F.max(hashed).alias("high"))
+    doubled = cut(texts.where("low <> high").select(F.col("doc_id").alias("doubled")))
+    if not doubled.head(1):
+        return own.select("row", "doc_id", F.lit(0).cast("long").alias("nth"), "text")
+    nth = F.when(F.col("doubled").isNotNull(), hashed).otherwise(F.lit(0).cast("long"))
+    return own.join(doubled, own["doc_id"] == doubled["doubled"], "left").select("row", "doc_id", nth.alias("nth"), "text")
+
+
+def replaced(joined: DataFrame, docs: DataFrame, changed: Column, text: Column) -> DataFrame:
+    """The columns of docs from the rows in joined, with another text, and its length in n_chars if there, where `changed`."""
+    new = {"text": F.when(changed, text).otherwise(F.col("row.text"))}
     if "n_chars" in docs.columns:
-        new["n_chars"] = F.when(same, docs["n_chars"]).otherwise(F.length(text).cast(docs.schema["n_chars"].dataType))
-    return joined.select(*[new.get(c, docs[f"`{c}`"]).alias(c) for c in docs.columns])
+        new["n_chars"] = F.when(changed, F.length(text).cast(docs.schema["n_chars"].dataType)).otherwise(F.col("row.n_chars"))
+    return joined.select(*[new.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns])
 
 
 def partitions(spark: SparkSession) -> int:

@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, replaced, table
+from .common import apart, cut, replaced, table
 
 #: A run has this many sentences and words at least, or, whatever its sentences, so many words.
 SENTENCES, WORDS, LONG = 2, 24, 40
@@ -96,27 +96,27 @@ def runs(text: str) -> list[tuple[int, int, int]]:
     return [(xxhash.xxh64_intdigest(hashes[8 * i : 8 * j]), i, j - 1) for i, j in sorted(found)]
 
 
-def spans(docs: DataFrame) -> DataFrame:
-    """(hash, doc_id, first, last) of all runs of docs (doc_id, text)."""
+def spans(texts: DataFrame) -> DataFrame:
+    """(hash, doc_id, nth, first, last) of all runs of texts (doc_id, nth, text)."""
 
     def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for x in batches:
-            out = [(h, d, i, j) for d, t in zip(x["doc_id"], x["text"]) if t for h, i, j in runs(t)]
+            out = [(h, d, k, i, j) for d, k, t in zip(x["doc_id"], x["nth"], x["text"]) if t for h, i, j in runs(t)]
             yield pd.DataFrame({
-                "hash": np.array([r[0] for r in out], np.uint64).view(np.int64),
-                "doc_id": np.array([r[1] for r in out], np.int64), "first": np.array([r[2] for r in out], np.int32), "last": np.array([r[3] for r in out], np.int32),
+                "hash": np.array([r[0] for r in out], np.uint64).view(np.int64), "doc_id": np.array([r[1] for r in out], np.int64), "nth": np.array([r[2] for r in out], np.int64),
+                "first": np.array([r[3] for r in out], np.int32), "last": np.array([r[4] for r in out], np.int32),
             })
 
-    whole = docs.where("doc_id IS NOT NULL AND text IS NOT NULL")
-    return whole.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInPandas(each, "hash long, doc_id long, first int, last int")
+    return texts.mapInPandas(each, "hash long, doc_id long, nth long, first int, last int")
 
 
-def repeated(docs: DataFrame) -> DataFrame:
-    """(doc_id, first, last): the runs whose text came before, in an earlier document (smaller doc_id) or earlier in their own."""
-    own = cut(spans(docs))
-    firsts = own.groupBy("hash").agg(F.min(F.struct("doc_id", "first")).alias("at"), F.max(F.struct("doc_id", "first")).alias("end"))
-    again = cut(firsts.where("at <> end").select("hash", F.col("at.doc_id").alias("doc0"), F.col("at.first").alias("first0")))
-    return own.join(again, "hash").where("doc_id <> doc0 OR first <> first0").select("doc_id", "first", "last")
+def repeated(texts: DataFrame) -> DataFrame:
+    """(doc_id, nth, first, last): the runs whose text came before, in an earlier text (smaller doc_id, then nth) or earlier in their own."""
+    own = cut(spans(texts))
+    at = F.struct("doc_id", "nth", "first")
+    firsts = own.groupBy("hash").agg(F.min(at).alias("at"), F.max(at).alias("end"))
+    again = cut(firsts.where("at <> end").select("hash", F.col("at.doc_id").alias("doc0"), F.col("at.nth").alias("nth0"), F.col("at.first").alias("first0")))
+    return own.join(again, "hash").where("doc_id <> doc0 OR nth <> nth0 OR first <> first0").select("doc_id", "nth", "first", "last")
 
 
 def without(text: str, covered: list[tuple[int, int]]) -> str:
@@ -135,25 +135,27 @@ def without(text: str, covered: list[tuple[int, int]]) -> str:
 
 
 def dedup(docs: DataFrame) -> DataFrame:
-    """docs with its columns, repeated passages gone from text; every row stays, with what is left of its text (perhaps
+    """docs with its columns, whatever their names, repeated passages gone from text; every row stays, with what is left of its text (perhaps
     none). n_chars, if there, is the new length.
 
-    Null and empty texts and rows without a doc_id stay as they are. Rows that repeat a doc_id are one document:
-    they are occurrences at the same place, and lose the same sentences. Very long texts are cut into sentences as
-    any other. An empty table stays empty.
+    Null and empty texts and rows without a doc_id stay as they are. Rows that repeat a doc_id and its text are one document:
+    they are occurrences at the same place, and lose the same sentences. Rows that repeat a doc_id with other texts are
+    documents of their own. Very long texts are cut into sentences as any other. An empty table stays empty.
     """
+    own = apart(docs)
     covered = cut(
-        repeated(docs).groupBy("doc_id").agg(F.collect_list(F.struct("first", "last")).alias("covered"))  # bounded by the document
-        .select(F.col("doc_id").alias("_covered_id"), F.col("covered").alias("_covered"))
+        repeated(own.where("doc_id IS NOT NULL AND text IS NOT NULL").select("doc_id", "nth", "text"))
+        .groupBy("doc_id", "nth").agg(F.collect_list(F.struct("first", "last")).alias("covered"))  # bounded by the document
+        .select(F.col("doc_id").alias("covered_id"), F.col("nth").alias("covered_nth"), "covered")
     )
 
     @F.pandas_udf("string")
     def rest(texts: pd.Series, firsts: pd.Series, lasts: pd.Series) -> pd.Series:
-        return pd.Series([t if f is None or t is None else without(t, list(zip(f, l))) for t, f, l in zip(texts, firsts, lasts)], dtype=object)
+        return pd.Series([None if f is None else without(t, list(zip(f, l))) for t, f, l in zip(texts, firsts, lasts)], dtype=object)
 
-    joined = docs.join(covered, docs["doc_id"] == covered["_covered_id"], "left")
-    found = covered["_covered"]
-    return replaced(joined, docs, found.isNull(), rest(docs["text"], found["first"], found["last"]))
+    changed = F.col("covered").isNotNull()
+    joined = own.join(covered, (F.col("doc_id") == F.col("covered_id")) & (F.col("nth") == F.col("covered_nth")), "left")
+    return replaced(joined, docs, changed, rest(F.when(changed, F.col("text")), F.col("covered.first"), F.col("covered.last")))
 
 
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

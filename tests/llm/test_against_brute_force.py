@@ -142,18 +142,28 @@ def test_pigeonring_finds_every_link(spark, monkeypatch, together):
     assert [found.get(i, i) for i in range(len(fps))] == low
 
 
-def jaccard_dropped(rows):
-    lines = sorted((i, k, frozenset(w)) for i, t in rows for k, w in enumerate(x.split() for x in t.encode().lower().split(b"\n")))
+def apart(rows):
+    """(doc_id, nth, text) of rows, as Spark hashes texts."""
+    several = {i for i in {i for i, _ in rows} if len({t for j, t in rows if j == i}) > 1}
+    return [(i, int(np.uint64(xxhash.xxh64_intdigest(t.encode(), 42)).view(np.int64)) if i in several else 0, t) for i, t in rows]
+
+
+def jaccard_kept(rows):
+    """The rows (doc_id, text) without the lines that match one before them."""
+    own = apart(rows)
+    lines = sorted({(i, h, k, frozenset(w)) for i, h, t in own for k, w in enumerate(x.split() for x in t.encode().lower().split(b"\n"))}, key=lambda x: x[:3])
     gone = set()
-    for at, (i, k, s) in enumerate(lines):
-        if s and any(q and 5 * len(q & s) >= 4 * len(q | s) for _, _, q in lines[:at]):
-            gone.add((i, k))
-    return gone
+    for at, (i, h, k, s) in enumerate(lines):
+        if s and any(q and 5 * len(q & s) >= 4 * len(q | s) for *_, q in lines[:at]):
+            gone.add((i, h, k))
+    return sorted((i, "\n".join(x for k, x in enumerate(t.split("\n")) if (i, h, k) not in gone)) for i, h, t in own), gone
 
 
-@pytest.mark.parametrize("together", [20_000, 64])
+@pytest.mark.parametrize("together", [20_000, 32])
 def test_line_dedup(spark, monkeypatch, together):
     monkeypatch.setattr(line_dedup, "TOGETHER", together)
+    monkeypatch.setattr(line_dedup, "CROWDED", line_dedup.CROWDED if together > 64 else 20)
+    monkeypatch.setattr(line_dedup, "MERGED", 2)
     r = random.Random(5)
     rows = [(i, t) for i, t in enumerate(texts(60))]
     base = ["one two three four five six seven eight nine ten eleven", "x y z", "The Red House near the old mill stream"]
@@ -162,9 +172,9 @@ def test_line_dedup(spark, monkeypatch, together):
         for _ in range(r.randrange(0, 3)):
             w[r.randrange(len(w))] = f"w{r.randrange(60)}"
         rows.append((1000 + i, " ".join(w) + f"\nown{i} line\n"))
-    gone = jaccard_dropped(rows)
-    got = {a["doc_id"]: a["text"] for a in line_dedup.dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    assert got == {i: "\n".join(x for k, x in enumerate(t.split("\n")) if (i, k) not in gone) for i, t in rows} and len(gone) > 50
+    want, gone = jaccard_kept(rows)
+    got = [tuple(a) for a in line_dedup.dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    assert sorted(got) == want and len(gone) > 50
 
 
 def test_line_dedup_in_any_order(spark):
@@ -175,16 +185,46 @@ def test_line_dedup_in_any_order(spark):
         w = list(c)
         w[r.randrange(14)] = f"w{r.randrange(9)}"
         rows.append((i, f"line {i}\n" * r.randrange(3) + " ".join(w)))
-    rows += [(200, f"x\n\n{a} twelve"), (200, f"{b} twelve\ny")]  # one document in two rows
-    gone = jaccard_dropped(rows)
-    want = sorted((i, "\n".join(x for k, x in enumerate(t.split("\n")) if (i, k) not in gone)) for i, t in rows)
-    assert (5, 1) not in gone and (7, 0) in gone
+    rows += [(200, f"x\n\n{a} twelve"), (200, f"{b} twelve\ny\nnever seen before line here"), (200, "x\ny\nz"), (200, "x\ny\nz")]  # three documents
+    want, gone = jaccard_kept(rows)
+    assert (5, 0, 1) not in gone and (7, 0, 0) in gone
     for seed in range(2):
         shuffled = rows[:3] + r.sample(rows[3:], len(rows) - 3) if seed == 0 else sorted(rows, reverse=True)
         df = spark.createDataFrame(spark.sparkContext.parallelize(shuffled, 3), "doc_id long, text string")
         assert sorted(tuple(x) for x in line_dedup.dedup(df).collect()) == want
 
 
+def test_line_tokens():
+    """Words, lines and hashes of pieces as plain Python has them, whatever the piece's size; hashes of places as Spark has them."""
+    import pyarrow as pa
+
+    odd = ["", "\n", "a", "\n\nA b\x0bB\n", "ünï ▁ \x00 😀 end\r\nof", " x " * 50, "", *texts(40), "tail\n"]
+    batch = pa.RecordBatch.from_pydict({"doc_id": np.arange(len(odd)), "nth": np.zeros(len(odd), np.int64), "text": odd})
+    for size in (1, 300, 1 << 20):
+        line_dedup.PIECE, was = size, line_dedup.PIECE
+        try:
+            found, at = [], {}
+            for p in line_dedup.pieces([batch.slice(0, 5), batch.slice(5)]):
+                begin, h = p.words()
+                lines = np.searchsorted(p.begin, begin, "right") - 1
+                for k in range(len(p.begin)):
+                    own = bytes(p.low[p.begin[k] : p.end[k]])
+                    assert len(own.split()) == (lines == k).sum() and (p.sigs()[k] != 0) == bool(own.split())
+                    found.append((int(p.doc[k]), int(p.line[k]), own))
+                    for w, x in zip(own.split(), h[lines == k].tolist()):
+                        assert at.setdefault(w, x) == x
+            assert len(set(at.values())) == len(at)
+            assert found == [(i, k, w) for i, t in enumerate(odd) for k, w in enumerate(t.encode().lower().split(b"\n"))]
+        finally:
+            line_dedup.PIECE = was
+
+
+def test_place_hashes(spark):
+    rows = [(i * 2**40 - 5, -i, i % 7) for i in range(50)]
+    want = [r[0] for r in spark.createDataFrame(rows, "a long, b long, c int").selectExpr("xxhash64(a, b, CAST(c AS LONG))").collect()]
+    assert line_dedup.hash_of(*(np.array(x) for x in zip(*rows))).view(np.int64).tolist() == want
+
+
 def test_substring_dedup(spark):
     r = random.Random(6)
     word = lambda: "".join(r.choice("abcdefgh") for _ in range(5))
@@ -192,6 +232,7 @@ def test_substring_dedup(spark):
     passage = " ".join(sentence(n) for n in (9, 14, 6, 12, 11))
     unbroken = " ".join(word() for _ in range(60))
     rows = [(i, f"{sentence(12)} {sentence(9)}\n{p}\n{sentence(8)}") for i, p in enumerate([passage, unbroken, passage, unbroken, passage.upper()])] + [(9, sentence(30) + " The. Of. A."), (10, "The. Of. A.")]
+    assert sorted(tuple(x) for x in substring_dedup.dedup(spark.createDataFrame([(7, passage), (7, "short. Of. A."), (8, f"{unbroken}\n{passage}")], "doc_id long, text string")).collect()) == [(7, passage), (7, "short. Of. A."), (8, f"{unbroken}\n")]
     got = {a["doc_id"]: a["text"] for a in substring_dedup.dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     own = {i: t.split("\n") for i, t in rows}
     assert got[0] == rows[0][1] and got[1] == rows[1][1] and got[9] == rows[5][1] and got[10] == rows[6][1]
