@@ -6,21 +6,23 @@ of the training documents is deleted from the counts, and its tokens are what th
 
 Documents are dealt into blocks of bounded size. A block sends its distinct n-grams once, as sorted 64-bit hashes with
 counts, to the parts of the hash range; a part sums what all blocks sent and answers each block with counts in the order
-asked, without the keys. So a frequent word costs one entry for each block, and no vocabulary is gathered in one place.
+asked, without the keys. So a frequent word costs one entry for each block, and no vocabulary is gathered in one place. A block
+sends a row only to parts that it has n-grams in, so there are never more rows than distinct n-grams of blocks.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-import xxhash
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import cut, table
+from .words import cut_up, words
 
 FOLDS, HELD_OUT, DELETED = 5, 1, 2
-BLOCK_BYTES = 32_000_000
+BLOCK_BYTES = 8_000_000  # of text; what a task holds at once is some forty times that at most
 END, START = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD1B54A32D192ED03)
 KINDS = 2  # unigrams and bigrams
 BUCKETS = 48
@@ -41,29 +43,28 @@ def mix(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 class Block:
     """The tokens of a block's documents in a row, and its distinct n-grams: keys[k] ascending, at[k] each token's place there."""
 
-    def __init__(self, texts):
-        code: dict[bytes, int] = {}
-        sizes, codes = [], []
-        for text in texts:
-            own = (text or "").encode("utf-8", "surrogatepass").lower().split()  # of bytes: A-Z, and ASCII white space
-            sizes.append(len(own) + 1)
-            codes.append(np.fromiter((code.setdefault(w, len(code)) for w in own), np.int32, len(own)))
-        hashes = np.array([xxhash.xxh64_intdigest(w, 42) for w in code] + [int(END)], np.uint64)
-        self.sizes = np.array(sizes, np.int64)
+    def __init__(self, texts: pa.ChunkedArray):
+        sizes, hashes = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
+        for chunk in texts.chunks:
+            for first, last, low, off in cut_up(chunk):
+                begin, h = words(low, off)
+                sizes.append(np.bincount(np.searchsorted(off, begin, "right") - 1, minlength=last - first) + 1)
+                hashes.append(h)
+        self.sizes = np.concatenate(sizes)
         self.starts = np.cumsum(self.sizes) - self.sizes
-        n = int(self.sizes.sum())
-        tokens = np.full(n, len(code), np.int32)
-        inside = np.ones(n, bool)
+        h = np.full(int(self.sizes.sum()), END)
+        inside = np.ones(len(h), bool)
         inside[self.starts + self.sizes - 1] = False
-        if codes:
-            tokens[inside] = np.concatenate(codes)
-        words, place = np.unique(hashes, return_inverse=True)
-        h = hashes[tokens]
-        before = np.empty(n, np.uint64)
+        h[inside] = np.concatenate(hashes)
+        del hashes
+        before = np.empty(len(h), np.uint64)
         before[1:] = h[:-1]
         before[self.starts] = START
-        pairs, pair_at = np.unique(mix(before, h), return_inverse=True)
-        self.keys, self.at = (words, pairs), (place[tokens], pair_at)
+        self.keys, self.at = [], []
+        for x in (h, mix(before, h)):
+            keys, at = np.unique(x, return_inverse=True)
+            self.keys.append(keys)
+            self.at.append(at.astype(np.int32))
 
 
 def packed(x: np.ndarray) -> tuple[str, bytes]:
@@ -76,38 +77,46 @@ def unpacked(kind: str, data: bytes) -> np.ndarray:
     return np.frombuffer(data, "<" + kind).astype(np.int64)
 
 
-def blocks(docs: DataFrame) -> tuple[DataFrame, int]:
-    """docs as (doc_id, named, text, role, block), and the number of blocks. role: 0 trains, 1 trains but is deleted when the weights
-    are learned, 2 is only scored. Deleted documents have blocks of their own."""
+def blocks(docs: DataFrame) -> tuple[DataFrame, int, int]:
+    """docs as (doc_id, held_out, text, role, block), the number of blocks, and the first one of deleted documents, which have blocks of their own. role: 0
+    trains, 1 trains but is deleted when the weights are learned, 2 is only scored."""
     fold = F.crc32(F.col("doc_id").cast("string").cast("binary")) % FOLDS
     role = F.when(fold.isNull() | (fold == HELD_OUT), 2).when(fold == DELETED, 1).otherwise(0)
-    own = docs.select("doc_id", F.col("text").cast("string").alias("text")).withColumn("role", role).withColumn("named", F.col("doc_id").isNotNull())
-    own = own.withColumn("doc_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(0).cast("long")))  # pandas would make numbers with nulls floating
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(fold == HELD_OUT, F.lit(False)).alias("held_out"), text.alias("text"), role.alias("role"))
     size = own.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     most = max(1, -(-size // BLOCK_BYTES))
     few = max(1, -(-most // (FOLDS - 1)))
-    deal = F.xxhash64("doc_id", F.length("text"))
+    deal = F.xxhash64("doc_id", "text")
     block = F.when(F.col("role") == 1, most + F.pmod(deal, F.lit(few))).otherwise(F.pmod(deal, F.lit(most)))
-    return own.withColumn("block", block.cast("int")), most + few
+    return own.withColumn("block", block.cast("int")), most + few, most
 
 
-def counted(own: DataFrame, n_blocks: int) -> DataFrame:
-    """What the corpus answers each block: rows (block, part, kind, total, kept, ...) with the counts of the block's n-grams in a part
-    of the hash range, in all training documents and in those not deleted; and rows of block -1 with each part's sums."""
-    bits = max(5, (4 * n_blocks - 1).bit_length())
+def asked(own: DataFrame, bits: int) -> DataFrame:
+    """(block, part, kind, deleted, keys, type, n): each block's distinct n-grams in each of 2^bits parts of the hash range, and their counts."""
     shift = np.uint64(64 - bits)
+    schema = pa.schema([("block", pa.int32()), ("part", pa.int32()), ("kind", pa.int32()), ("deleted", pa.bool_()), ("keys", pa.binary()), ("type", pa.string()), ("n", pa.binary())])
 
-    def ask(x: pd.DataFrame) -> pd.DataFrame:
+    def ask(x: pa.Table) -> pa.Table:
         block, out = Block(x["text"]), []
-        learn = np.repeat(x["role"].to_numpy() < 2, block.sizes)
+        role = x["role"].to_numpy()
+        learn = np.repeat(role < 2, block.sizes)
+        own, deleted = x["block"][0].as_py(), bool((role == 1).any())
         for kind, (keys, at) in enumerate(zip(block.keys, block.at)):
             n = np.bincount(at[learn], minlength=len(keys))
-            bounds = np.searchsorted(keys >> shift, np.arange((1 << bits) + 1, dtype=np.uint64))
-            for part in range(1 << bits):
-                a, b = bounds[part], bounds[part + 1]
-                if b > a:
-                    out.append((int(x["block"].iloc[0]), part, kind, bool((x["role"] == 1).any()), keys[a:b].astype("<u8").tobytes(), *packed(n[a:b])))
-        return pd.DataFrame(out, columns=["block", "part", "kind", "deleted", "keys", "type", "n"])
+            part = (keys >> shift).astype(np.int64) if bits else np.zeros(len(keys), np.int64)
+            heads = np.flatnonzero(np.diff(part, prepend=-1))
+            for a, b in zip(heads, np.append(heads[1:], len(keys))):
+                out.append((own, int(part[a]), kind, deleted, keys[a:b].astype("<u8").tobytes(), *packed(n[a:b])))
+        return pa.table([pa.array(c, t) for c, t in zip(zip(*out), schema.types)], schema=schema)
+
+    return own.groupBy("block").applyInArrow(ask, "block int, part int, kind int, deleted boolean, keys binary, type string, n binary")
+
+
+def counted(own: DataFrame, n_blocks: int) -> DataFrame:
+    """What the corpus answers each block: rows (block, part, kind, total, kept, ...) with the counts of the block's n-grams in a part
+    of the hash range, in all training documents and in those not deleted; and rows of block -1 with each part's sums. There are about as many
+    parts as blocks, so a part has no more keys than a block."""
 
     def answer(x: pd.DataFrame) -> pd.DataFrame:
         out = []
@@ -127,9 +136,8 @@ def counted(own: DataFrame, n_blocks: int) -> DataFrame:
         out.append((-1, part, kind, "u1", b"", "u1", b"", int(total.sum()), int((total > 0).sum()), int(kept.sum()), int((kept > 0).sum())))
         return pd.DataFrame(out, columns=["block", "part", "kind", "type", "total", "kept_type", "kept", "n", "v", "kept_n", "kept_v"])
 
-    asked = own.groupBy("block").applyInPandas(ask, "block int, part int, kind int, deleted boolean, keys binary, type string, n binary")
     schema = "block int, part int, kind int, type string, total binary, kept_type string, kept binary, n long, v long, kept_n long, kept_v long"
-    return cut(asked.groupBy("part", "kind").applyInPandas(answer, schema))
+    return cut(asked(own, max(3, (n_blocks - 1).bit_length())).groupBy("part", "kind").applyInPandas(answer, schema))
 
 
 def lookup(block: Block, answers: pd.DataFrame, which: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -151,23 +159,23 @@ def bucket(context: np.ndarray) -> np.ndarray:
     return np.minimum(np.frexp(context.astype(float))[1], BUCKETS - 1)
 
 
-def learn(own: DataFrame, answers: DataFrame, n: int, v: int) -> np.ndarray:
+def learn(own: DataFrame, answers: DataFrame, first: int, n: int, v: int) -> np.ndarray:
     """The weights (bucket, order: uniform, unigram, bigram). The deleted fold's tokens are counted by bucket and by the ratios of
     the estimates in cells, so a table of bounded size, on which the driver runs expectation-maximisation."""
 
-    def ratios(x: pd.DataFrame, a: pd.DataFrame) -> pd.DataFrame:
+    def ratios(x: pa.Table, a: pa.Table) -> pa.Table:
         block = Block(x["text"])
-        word, pair, context = lookup(block, a, "kept")
+        word, pair, context = lookup(block, a.to_pandas(), "kept")
         with np.errstate(divide="ignore", invalid="ignore"):
             one = np.where(word > 0, np.log(word / max(n, 1) * (v + 1)), -np.inf)
             two = np.where(pair > 0, np.log(pair / context * (v + 1)), -np.inf)
         cell = lambda r: np.where(np.isfinite(r), np.round(r / CELL), -(2**15)).astype(np.int64)
         key = (bucket(context).astype(np.int64) << 40) | (cell(one) + 2**16 << 20) | cell(two) + 2**16
         keys, count = np.unique(key, return_counts=True)
-        return pd.DataFrame({"b": keys >> 40, "one": (keys >> 20 & 0xFFFFF) - 2**16, "two": (keys & 0xFFFFF) - 2**16, "n": count})
+        return pa.table({"b": keys >> 40, "one": (keys >> 20 & 0xFFFFF) - 2**16, "two": (keys & 0xFFFFF) - 2**16, "n": count})
 
-    deleted = own.where("role = 1").groupBy("block").cogroup(answers.where("block >= 0").groupBy("block"))
-    cells = deleted.applyInPandas(lambda x, a: ratios(x, a) if len(x) else pd.DataFrame({"b": [], "one": [], "two": [], "n": []}).astype("int64"), "b long, one long, two long, n long")
+    deleted = own.where("role = 1").groupBy("block").cogroup(answers.where(F.col("block") >= first).groupBy("block"))
+    cells = deleted.applyInArrow(ratios, "b long, one long, two long, n long")
     cells = cells.groupBy("b", "one", "two").agg(F.sum("n").alias("n")).orderBy("b", "one", "two").toPandas()
     return expect(cells)
 
@@ -199,33 +207,28 @@ def score(docs: DataFrame) -> DataFrame:
     unigrams) and score (the interpolated model), both log10 probabilities of the whole text with its end.
 
     Null texts are empty: the end alone. Rows without a doc_id are scored, not learned from, and not called held out. Repeated
-    rows count and are scored each; other columns don't matter. An empty table gives an empty result.
+    rows count and are scored each; other columns don't matter. Very long texts are blocks of their own. An empty table gives an empty result.
     """
-    own, n_blocks = blocks(docs)
+    own, n_blocks, first = blocks(docs)
     answers = counted(own, n_blocks)
     sums = answers.where("block = -1 AND kind = 0").agg(*[F.coalesce(F.sum(c), F.lit(0)) for c in ("n", "v", "kept_n", "kept_v")]).first()
     n, v, kept_n, kept_v = map(int, sums)
-    weights = learn(own, answers, kept_n, kept_v)
+    weights = learn(own, answers, first, kept_n, kept_v)
 
-    def rate(x: pd.DataFrame, a: pd.DataFrame) -> pd.DataFrame:
-        if not len(x):
-            return pd.DataFrame(columns=["doc_id", "named", "role", "n_tokens", "n_known", "base_score", "score"])
+    def rate(x: pa.Table, a: pa.Table) -> pa.Table:
         block = Block(x["text"])
-        word, pair, context = lookup(block, a, "total")
+        word, pair, context = lookup(block, a.to_pandas(), "total")
         w = weights[bucket(context)]
         with np.errstate(divide="ignore", invalid="ignore"):
             p = w[:, 0] / (v + 1) + w[:, 1] * (word / max(n, 1)) + w[:, 2] * np.where(context > 0, pair / context, 0.0)
         add = lambda y: np.add.reduceat(y, block.starts)
-        return pd.DataFrame({
-            "doc_id": x["doc_id"], "named": x["named"], "role": x["role"], "n_tokens": block.sizes, "n_known": add((word > 0).astype(np.int64)),
-            "base_score": add(np.log10((word + 0.5) / (n + 0.5 * (v + 1)))), "score": add(np.log10(p)),
-        })
+        found = {"n_tokens": block.sizes, "n_known": add((word > 0).astype(np.int64)), "base_score": add(np.log10((word + 0.5) / (n + 0.5 * (v + 1)))), "score": add(np.log10(p))}
+        return pa.table({"doc_id": x["doc_id"], "held_out": x["held_out"], **found})
 
-    rated = own.groupBy("block").cogroup(answers.where("block >= 0").groupBy("block")).applyInPandas(
-        rate, "doc_id long, named boolean, role int, n_tokens long, n_known long, base_score double, score double"
+    rated = own.groupBy("block").cogroup(answers.where("block >= 0").groupBy("block")).applyInArrow(
+        rate, "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
     )
-    held = (F.col("role") == 2) & F.col("named")
-    return rated.select(F.when(F.col("named"), F.col("doc_id")).alias("doc_id"), held.alias("held_out"), "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), "base_score", "score")
+    return rated.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), "base_score", "score")
 
 
 def op2_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:

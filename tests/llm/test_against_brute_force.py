@@ -20,6 +20,7 @@ from quern.llm import (
     simhash_near_dedup,
     substring_dedup,
     toxicity,
+    words,
 )
 
 
@@ -77,19 +78,57 @@ def test_codec_takes_unigram_scores():
 
 
 def test_lm_scores(spark, docs, monkeypatch):
+    import pandas as pd
+
     monkeypatch.setattr(lm_scoring, "BLOCK_BYTES", 9000)
     got = {r["doc_id"]: r for r in lm_scoring.score(docs).collect()}
     tokens = {i: [*t.encode().lower().split(), None] for i, t in enumerate(texts())}
-    train = [i for i in tokens if zlib.crc32(str(i).encode()) % 5 != 1]
-    c = Counter(w for i in train for w in tokens[i])
+    fold = {i: zlib.crc32(str(i).encode()) % 5 for i in tokens}
+    train = [i for i in tokens if fold[i] != 1]
+
+    def counts(own):
+        one = Counter(w for i in own for w in tokens[i])
+        return one, Counter(p for i in own for p in zip(["start", *tokens[i]], tokens[i])), one[None]
+
+    c, c2, ends = counts(train)
     n, v = sum(c.values()), len(c)
+    # the weights: the deleted fold's tokens by the bucket of their context and the cells of both ratios
+    k, k2, k_ends = counts([i for i in train if fold[i] != 2])
+    k_n, k_v = sum(k.values()), len(k)
+    bucket = lambda x: min(int(x).bit_length(), lm_scoring.BUCKETS - 1)
+    cell = lambda x: round(math.log(x * (k_v + 1)) / lm_scoring.CELL) if x else -(2**15)
+    cells = Counter()
+    for i in (i for i in train if fold[i] == 2):
+        for u, w in zip(["start", *tokens[i]], tokens[i]):
+            context = k_ends if u == "start" else k[u]
+            cells[bucket(context), cell(k[w] / k_n), cell(k2[u, w] / context if context else 0)] += 1
+    weights = lm_scoring.expect(pd.DataFrame([(*x, m) for x, m in sorted(cells.items())], columns=["b", "one", "two", "n"]))
     for i, ws in tokens.items():
         assert got[i]["n_tokens"] == len(ws) and got[i]["n_known"] == sum(w in c for w in ws) and got[i]["train_tokens"] == n and got[i]["held_out"] == (i not in train)
         assert abs(got[i]["base_score"] - sum(math.log10((c[w] + 0.5) / (n + 0.5 * (v + 1))) for w in ws)) < 1e-9
+        score = 0
+        for u, w in zip(["start", *ws], ws):
+            context = ends if u == "start" else c[u]
+            a = weights[bucket(context)]
+            score += math.log10(a[0] / (v + 1) + a[1] * c[w] / n + (a[2] * c2[u, w] / context if context else 0))
+        assert abs(got[i]["score"] - score) < 1e-6
     held = [r for r in got.values() if r["held_out"]]
     assert sum(r["score"] for r in held) > sum(r["base_score"] for r in held)
 
 
+def test_lm_exchange_is_linear(spark, docs, monkeypatch):
+    """However small the blocks, they send no more rows than they have distinct n-grams, and each of these once."""
+    sent, keys = [], []
+    for size in (20_000, 2000, 200):
+        monkeypatch.setattr(lm_scoring, "BLOCK_BYTES", size)
+        own, n, _ = lm_scoring.blocks(docs)
+        rows = lm_scoring.asked(own, max(3, (n - 1).bit_length())).selectExpr("block", "kind", "length(keys) AS n").collect()
+        sent.append(len(rows))
+        keys.append(sum(r["n"] for r in rows) // 8)
+        assert sent[-1] <= keys[-1] and len({(r["block"], r["kind"]) for r in rows}) * 8 <= 2 * n * 8
+    assert keys[-1] <= sum(2 * len(t.split()) + 2 for t in texts())
+
+
 def test_top_k(spark, monkeypatch):
     monkeypatch.setattr(exact_top_k, "CANDIDATES", 300)
     r = np.random.default_rng(1)
@@ -201,10 +240,10 @@ def test_line_tokens():
     odd = ["", "\n", "a", "\n\nA b\x0bB\n", "ünï ▁ \x00 😀 end\r\nof", " x " * 50, "", *texts(40), "tail\n"]
     batch = pa.RecordBatch.from_pydict({"doc_id": np.arange(len(odd)), "nth": np.zeros(len(odd), np.int64), "text": odd})
     for size in (1, 300, 1 << 20):
-        line_dedup.PIECE, was = size, line_dedup.PIECE
+        words.PIECE, was = size, words.PIECE
         try:
             found, at = [], {}
-            for p in line_dedup.pieces([batch.slice(0, 5), batch.slice(5)]):
+            for p in words.pieces([batch.slice(0, 5), batch.slice(5)]):
                 begin, h = p.words()
                 lines = np.searchsorted(p.begin, begin, "right") - 1
                 for k in range(len(p.begin)):
@@ -216,13 +255,13 @@ def test_line_tokens():
             assert len(set(at.values())) == len(at)
             assert found == [(i, k, w) for i, t in enumerate(odd) for k, w in enumerate(t.encode().lower().split(b"\n"))]
         finally:
-            line_dedup.PIECE = was
+            words.PIECE = was
 
 
 def test_place_hashes(spark):
     rows = [(i * 2**40 - 5, -i, i % 7) for i in range(50)]
     want = [r[0] for r in spark.createDataFrame(rows, "a long, b long, c int").selectExpr("xxhash64(a, b, CAST(c AS LONG))").collect()]
-    assert line_dedup.hash_of(*(np.array(x) for x in zip(*rows))).view(np.int64).tolist() == want
+    assert words.hash_of(*(np.array(x) for x in zip(*rows))).view(np.int64).tolist() == want
 
 
 def test_substring_dedup(spark):
