@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import cut, table
-from .words import cut_up, words
+from .words import cut_up, planes, whole, words
 
 FOLDS, HELD_OUT, DELETED = 5, 1, 2
 BLOCK_BYTES = 8_000_000  # of text; what a task holds at once is some forty times that at most
@@ -107,7 +107,7 @@ def asked(own: DataFrame, bits: int) -> DataFrame:
             part = (keys >> shift).astype(np.int64) if bits else np.zeros(len(keys), np.int64)
             heads = np.flatnonzero(np.diff(part, prepend=-1))
             for a, b in zip(heads, np.append(heads[1:], len(keys))):
-                out.append((own, int(part[a]), kind, deleted, keys[a:b].astype("<u8").tobytes(), *packed(n[a:b])))
+                out.append((own, int(part[a]), kind, deleted, planes(keys[a:b].astype("<u8")), *packed(n[a:b])))
         return pa.table([pa.array(c, t) for c, t in zip(zip(*out), schema.types)], schema=schema)
 
     return own.groupBy("block").applyInArrow(ask, "block int, part int, kind int, deleted boolean, keys binary, type string, n binary")
@@ -121,7 +121,7 @@ def counted(own: DataFrame, n_blocks: int) -> DataFrame:
     def answer(x: pd.DataFrame) -> pd.DataFrame:
         out = []
         x = x.sort_values("block")
-        sent = [np.frombuffer(k, "<u8") for k in x["keys"]]
+        sent = [whole(k, "<u8") for k in x["keys"]]
         n = np.concatenate([unpacked(t, d) for t, d in zip(x["type"], x["n"])])
         deleted = np.repeat(x["deleted"].to_numpy(bool), [len(k) for k in sent])
         keys, at = np.unique(np.concatenate(sent), return_inverse=True)

@@ -9,6 +9,7 @@ import pyarrow as pa
 import xxhash
 
 PIECE = 1 << 20  # bytes of whole documents whose words are found at once
+STEP = 1 << 18  # and whose words are hashed at once
 
 U8 = np.uint64
 LOWER = np.arange(256, dtype=np.uint8)
@@ -84,8 +85,8 @@ def words(low: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     before[off[1:][off[1:] > 0] - 1] = True
     begin, end = np.flatnonzero(~space & after), np.flatnonzero(~space & before) + 1
     out, k = [np.zeros(0, U8)], 0
-    while k < len(begin):  # about PIECE bytes at once, so that a very long text takes no tables of its length
-        to = max(k + 1, int(np.searchsorted(end, begin[k] + 2 * PIECE, "right")))
+    while k < len(begin):  # a very long text takes no tables of its length
+        to = max(k + 1, int(np.searchsorted(end, begin[k] + STEP, "right")))
         a, b = begin[k:to] - begin[k], end[k:to] - begin[k]
         power, inverse = powers(int(b[-1]) + 1)
         sums = np.zeros(int(b[-1]) + 1, U8)
@@ -115,3 +116,13 @@ def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[Piece]:
         doc, nth = (batch.column(k).to_numpy() for k in (0, 1))
         for a, b, low, off in cut_up(batch.column(2)):
             yield Piece(low, off, doc[a:b], nth[a:b])
+
+
+def planes(x: np.ndarray) -> bytes:
+    """Numbers as all their first bytes, then all their second ones, and so on, which compress well."""
+    return x.view(np.uint8).reshape(-1, x.itemsize).T.tobytes()
+
+
+def whole(data: bytes, kind: str) -> np.ndarray:
+    size = np.dtype(kind).itemsize
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(size, -1).T).view(kind).ravel()
