@@ -1,19 +1,22 @@
-"""Exact top-k by inner product over M-trees.
+"""Exact top-k by inner product over an M-tree.
 
-The candidates are dealt into blocks of bounded size; a task builds a block's M-tree (pages of
-entries, each with its distance to the page's pivot, and for inner pages a covering radius) and
-searches it best first for a block of queries. For a query q and an entry with pivot p, radius r
-and parent pivot o, the Cauchy-Schwarz and triangle inequalities give
+The tree's upper level is spread over the cluster: up to PIVOTS candidates are pivots, each candidate goes to the pivot nearest to
+it, and a small table holds each pivot's covering radius. Below it a task builds an M-tree (pages of entries,
+each with its distance to the page's pivot, and for inner pages a covering radius) over a bounded block of a pivot's candidates. A
+query is first searched below its home, the pivot of the greatest product; its k-th score there is a floor, and it goes on to
+those other pivots only that can still reach it. For a query q and an entry with pivot p, radius r and parent pivot o, the
+Cauchy-Schwarz and triangle inequalities give
 
     q.x <= q.p + |q| r <= q.o + |q| (d(p, o) + r)      for every x below p,
 
-so the second bound, which needs no product with p, already drops most entries of a page that
-can't reach the k-th score. Integer products below 2^53 are exact in doubles.
+so the second bound, which needs no product with p, already drops most entries of a page that can't reach the k-th score. Integer
+products below 2^53 are exact in doubles.
 """
 
 from __future__ import annotations
 
 import heapq
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,6 +29,7 @@ from .common import cut, table
 K, SCALE, QUERY_EVERY = 20, 64, 20
 PAGE = 128
 CANDIDATES, QUERIES = 16_384, 8_192  # rows of a block
+PIVOTS, BELOW, DRAWN = 1024, 1024, 4  # pivots of the upper level at most, candidates below one that they are chosen for, rows drawn for each
 
 
 class Page:
@@ -61,15 +65,16 @@ def build(x: np.ndarray, rows: np.ndarray, pivot: np.ndarray, rng: np.random.Gen
     return Page(pivots, np.sqrt(((pivots - pivot) ** 2).sum(axis=1)), np.array(radii), below)
 
 
-def search(root: Page, pivot: np.ndarray, q: np.ndarray, ids: list[np.ndarray], own: int, k: int) -> list[tuple[int, int]]:
-    """The k best (score, id) below root, ties to the smaller id; ids: those of each row, ascending. own is left out."""
+def search(root: Page, pivot: np.ndarray, q: np.ndarray, ids: list[np.ndarray], own: int, k: int, floor: float = -np.inf, work: list | None = None) -> list[tuple[int, int]]:
+    """The k best (score, id) below root of those that reach floor, ties to the smaller id; ids: those of each row, ascending. own is left out.
+    work, if given, takes the number of products at its first place."""
     norm = float(np.sqrt(q @ q)) * (1 + 1e-9)
     best: list[tuple[float, int]] = []  # a heap of (score, -id)
     wait = [(-np.inf, 0, root, float(q @ pivot))]
     nth = 0
     while wait:
         bound, _, page, parent = heapq.heappop(wait)
-        least = best[0][0] if len(best) == k else -np.inf
+        least = max(floor, best[0][0]) if len(best) == k else floor
         if -bound < least:
             break
         reach = page.to_parent if page.radii is None else page.to_parent + page.radii
@@ -77,6 +82,8 @@ def search(root: Page, pivot: np.ndarray, q: np.ndarray, ids: list[np.ndarray],
         if not len(at):
             continue
         products = page.vectors[at] @ q
+        if work is not None:
+            work[0] += len(at)
         if page.radii is not None:
             bounds = products + norm * page.radii[at] + 1e-6
             for i in np.flatnonzero(bounds >= least):
@@ -110,30 +117,43 @@ def brute(x: np.ndarray, ids: list[np.ndarray], q: np.ndarray, own: int, k: int)
 
 
 def block(queries: pd.DataFrame, rows: pd.DataFrame, k: int) -> Iterator[tuple[int, int, int]]:
-    """(query_id, vec_id, score) of each query's k best in a block of rows of the same dimension."""
-    x = np.array(rows["v"].tolist(), float)
-    q = np.array(queries["v"].tolist(), float)
-    rows = rows.sort_values("vec_id", ignore_index=True)
-    x = np.array(rows["v"].tolist(), float)
-    alike, group = np.unique(x, axis=0, return_inverse=True)  # equal vectors are one entry
-    order = np.argsort(group.ravel(), kind="stable")
-    ids = [part[: k + 1].tolist() for part in np.split(rows["vec_id"].to_numpy()[order], np.cumsum(np.bincount(group.ravel()))[:-1])]
-    large = max(np.abs(alike).max(), np.abs(q).max()) ** 2 * x.shape[1] >= 2**52
-    pivot = alike.mean(axis=0)
-    root = None if large else build(alike, np.arange(len(alike)), pivot, np.random.default_rng(7))
-    for own, v in zip(queries["vec_id"], q):
-        found = brute(alike, ids, v, own, k) if large else search(root, pivot, v, ids, own, k)
+    """(query_id, vec_id, score) of each query's k best in a block of different rows of the same dimension, of those that reach its floor."""
+    q, x, ids = np.array(queries["v"].tolist(), float), np.array(rows["v"].tolist(), float), [np.asarray(i).tolist() for i in rows["ids"]]
+    pivot = x.mean(axis=0)
+    root = None if exceeds(max(np.abs(x).max(), np.abs(q).max()), x.shape[1]) else build(x, np.arange(len(x)), pivot, np.random.default_rng(7))
+    for own, v, floor in zip(queries["vec_id"].tolist(), q, queries["floor"].tolist()):
+        found = brute(x, ids, v, own, k) if root is None else search(root, pivot, v, ids, own, k, floor)
         yield from ((own, i, s) for s, i in found)
 
 
+def exceeds(most: float, dim: int) -> bool:
+    """Whether products may not be exact in doubles."""
+    return most * most * dim >= 2**52
+
+
+def chosen(rows: DataFrame) -> list[np.ndarray]:
+    """The pivots, a number that grows with the candidates up to PIVOTS: of DRAWN times as many candidates, drawn by hash, those farthest from the pivots
+    before them, so that few radii are large; none if products aren't exact in doubles or dimensions differ."""
+    n, most, low, high = rows.agg(F.count("*"), F.max(F.array_max(F.transform("v", F.abs))), F.min("dim"), F.max("dim")).first()
+    if not n or low != high or exceeds(most, high):
+        return []
+    number = min(PIVOTS, -(-n // BELOW))
+    x = np.array([r["v"] for r in rows.select("v").orderBy(F.xxhash64("v"), "v").limit(DRAWN * number).collect()], float)
+    out, away = [x[0]], ((x - x[0]) ** 2).sum(axis=1)
+    while len(out) < number and away.max() > 0:
+        out.append(x[away.argmax()])
+        away = np.minimum(away, ((x - out[-1]) ** 2).sum(axis=1))
+    return out
+
+
 def top_k(vectors: DataFrame, queries: DataFrame, k: int = K, scale: float = SCALE) -> DataFrame:
     """(query_id, rank, vec_id, score): each query's k best rows of vectors by the integer inner
     product of floor(scale * component), all if fewer, ties to the smaller vec_id. Both: (vec_id, embedding).
 
     Rows without a vec_id, null or empty vectors and those with a null or non-finite component take no part. A
     row that repeats vec_id and vector counts once. A query's own row, found by vec_id, is
-    left out. Vectors of other dimensions than the query's are no candidates. Equal vectors
-    are one entry of the tree with the k + 1 smallest ids of each block. Other columns don't matter.
+    left out. Vectors of other dimensions than the query's are no candidates. Equal vectors are one entry
+    with their k + 1 smallest ids, so any number of copies is one candidate. Tables may be empty: then the result is. Other columns don't matter.
     """
 
     def whole(df: DataFrame) -> DataFrame:
@@ -141,20 +161,93 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = K, scale: float = SCA
         v = F.transform("embedding", lambda x: F.floor(F.lit(float(scale)) * x.cast("double")).cast("double"))
         return df.where("vec_id IS NOT NULL").where(F.size("embedding") > 0).where(fine).select(F.col("vec_id").cast("long"), v.alias("v")).distinct()
 
-    rows, asked = cut(whole(vectors)), cut(whole(queries))
-    deal = lambda n: F.pmod(F.xxhash64("vec_id"), F.lit(n)).cast("int")
-    blocks, groups = max(1, -(-rows.count() // CANDIDATES)), max(1, -(-asked.count() // QUERIES))
-    every = lambda n: F.explode(F.array_repeat(F.lit(0), n)) if n == 1 else F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    left = asked.select("vec_id", "v", F.size("v").alias("dim"), deal(groups).alias("q"), every(blocks).alias("c"))
-    right = rows.select("vec_id", "v", F.size("v").alias("dim"), deal(blocks).alias("c"), every(groups).alias("q"))
+    nth = F.row_number().over(Window.partitionBy("v").orderBy("vec_id"))
+    entries = whole(vectors).withColumn("nth", nth).where(F.col("nth") <= k + 1).groupBy("v").agg(F.array_sort(F.collect_list("vec_id")).alias("ids"))
+    entries = cut(entries.withColumn("dim", F.size("v")))
+    pivots = chosen(entries)
+    rows, asked = cut(below(entries, pivots)), cut(whole(queries).withColumn("dim", F.size("v")))
+    sizes = {r["pivot"]: (r["n"], r["radius"]) for r in rows.groupBy("pivot").agg(F.count("*").alias("n"), F.max("away").alias("radius")).collect()}  # as many rows as pivots
+    if not sizes:
+        return asked.where("false").select(F.col("vec_id").alias("query_id"), F.lit(0).alias("rank"), "vec_id", F.lit(0).cast("long").alias("score"))
+    radii = np.array([sizes.get(p, (0, -np.inf))[1] for p in range(max(1, len(pivots)))])
+    first = cut(searched(home(asked, pivots, radii), rows, sizes, k))
+    floors = first.groupBy("query_id").agg(F.min("score").cast("double").alias("floor"), F.count("*").alias("found")).where(F.col("found") >= k).select("query_id", "floor")
+    known = asked.join(floors, asked["vec_id"] == floors["query_id"], "left").select("vec_id", "v", "dim", F.coalesce("floor", F.lit(float("-inf"))).alias("floor"))
+    near = first.union(searched(cut(onward(known, pivots, radii)), rows, sizes, k)) if len(pivots) > 1 else first
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+    return near.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+
+def below(entries: DataFrame, pivots: list[np.ndarray]) -> DataFrame:
+    """entries with the number of the pivot that is nearest and the distance to it."""
+    if not pivots:
+        return entries.select("v", "ids", "dim", F.lit(0).alias("pivot"), F.lit(float("inf")).alias("away"))
+    p = np.array(pivots)
+
+    def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            x = np.array(batch["v"].tolist(), float)
+            nearest = ((p * p).sum(axis=1)[None, :] - 2 * (x @ p.T)).argmin(axis=1)
+            yield batch.assign(pivot=nearest.astype(np.int32), away=np.sqrt(((x - p[nearest]) ** 2).sum(axis=1)))
+
+    return entries.select("v", "ids", "dim").mapInPandas(each, "v array<double>, ids array<long>, dim int, pivot int, away double")
+
+
+SENT = "vec_id long, v array<double>, dim int, floor double, pivot int"
+
+
+def home(asked: DataFrame, pivots: list[np.ndarray], radii: np.ndarray) -> DataFrame:
+    """The queries, each with the pivot of the greatest product that has candidates."""
+    if len(pivots) < 2:
+        return asked.select("vec_id", "v", "dim", F.lit(float("-inf")).alias("floor"), F.lit(0).alias("pivot"))
+    p, some = np.array(pivots), np.isfinite(radii)
+
+    def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            own = batch[batch["dim"] == p.shape[1]]
+            q = np.array(own["v"].tolist(), float).reshape(-1, p.shape[1])
+            best = np.where(some[None, :], q @ p.T, -np.inf).argmax(axis=1)
+            yield own.assign(floor=-np.inf, pivot=best.astype(np.int32))
+
+    return asked.mapInPandas(each, SENT)
+
+
+def onward(known: DataFrame, pivots: list[np.ndarray], radii: np.ndarray) -> DataFrame:
+    """The queries, once for each pivot but their home below which something may reach their floor."""
+    p, some = np.array(pivots), np.isfinite(radii)
+
+    def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            own = batch[batch["dim"] == p.shape[1]]
+            for at in range(0, len(own), 256):
+                part = own.iloc[at : at + 256]
+                q = np.array(part["v"].tolist(), float)
+                products = np.where(some[None, :], q @ p.T, -np.inf)
+                reach = products + np.sqrt((q * q).sum(axis=1))[:, None] * (1 + 1e-9) * np.where(some, radii, 0)[None, :] + 1e-6
+                may = some[None, :] & (reach >= part["floor"].to_numpy()[:, None])
+                may[np.arange(len(part)), products.argmax(axis=1)] = False
+                i, j = np.nonzero(may)
+                yield part.iloc[i].assign(pivot=j.astype(np.int32))
+
+    return known.mapInPandas(each, SENT)
+
+
+def searched(sent: DataFrame, rows: DataFrame, sizes: dict[int, tuple[int, float]], k: int) -> DataFrame:
+    """(query_id, vec_id, score) of the k best of each query below the pivot it is sent to. A pivot's candidates are dealt
+    into blocks of CANDIDATES, the queries sent to it into groups of QUERIES; each two of these meet in a task."""
+    asked = {r["pivot"]: r["n"] for r in sent.groupBy("pivot").agg(F.count("*").alias("n")).collect()}
+    number = lambda of, most: F.coalesce(F.create_map(*[F.lit(x) for p, n in of.items() for x in (p, max(1, math.ceil(n / most)))])[F.col("pivot")], F.lit(1))
+    blocks, groups = number({p: n for p, (n, _) in sizes.items()}, CANDIDATES), number(asked or {0: 1}, QUERIES)
+    every = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
+    left = sent.withColumns({"c": every(blocks), "q": F.pmod(F.xxhash64("vec_id"), groups).cast("int")})
+    right = rows.select("v", "ids", "dim", "pivot", F.pmod(F.xxhash64("v"), blocks).cast("int").alias("c"), every(groups).alias("q"))
 
     def find(queries: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
         found = block(queries, rows, k) if len(queries) and len(rows) else []
         return pd.DataFrame(found, columns=["query_id", "vec_id", "score"]).astype("int64")
 
-    near = left.groupBy("q", "c", "dim").cogroup(right.groupBy("q", "c", "dim")).applyInPandas(find, "query_id long, vec_id long, score long")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return near.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    by = ["pivot", "q", "c", "dim"]
+    return left.groupBy(*by).cogroup(right.groupBy(*by)).applyInPandas(find, "query_id long, vec_id long, score long")
 
 
 def op3_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
