@@ -30,8 +30,8 @@ from pyspark.sql import functions as F
 from .common import table
 from .labelled import held_out, sample
 
-#: Labelled documents learned from at most, and entries that the learned lexicon holds at most.
-MOST, ENTRIES = 20_000, 5_000
+#: Labelled documents learned from at most; entries that the learned lexicon holds at most, and that come to the driver to be chosen from.
+MOST, ENTRIES, TRIED = 20_000, 5_000, 20_000
 THRESHOLD = 0.3
 #: Word beginnings of these lengths are tried besides whole words; least evidence (log-likelihood ratio) and log odds of an entry.
 BEGINNINGS, EVIDENCE, ODDS = (4, 5, 6), 24.0, 2.5
@@ -200,7 +200,7 @@ def one_of_each(found: DataFrame) -> DataFrame:
 
 
 def learn_lexicon(found: DataFrame) -> dict[str, float]:
-    """Words and beginnings that mark toxic documents, weighted by log odds, at most ENTRIES. Counts are
+    """Words and beginnings that mark toxic documents, weighted by log odds, at most ENTRIES, from the TRIED that are in most toxic ones by their odds. Counts are
     gathered within parts of the bounded sample first; only strong entries come to the driver."""
     sizes = {r["y"]: r["n"] for r in found.groupBy("y").agg(F.count("*").alias("n")).collect()}
     n1, n0 = sizes.get(1, 0), sizes.get(0, 0)
@@ -227,7 +227,7 @@ def learn_lexicon(found: DataFrame) -> dict[str, float]:
     counts = found.select("text", "y").mapInPandas(count, "entry string, k1 long, k0 long").groupBy("entry").agg(F.sum("k1").alias("k1"), F.sum("k0").alias("k0"))
     odds = F.log((F.col("k1") + 0.5) / (n1 - F.col("k1") + 0.5)) - F.log((F.col("k0") + 0.5) / (n0 - F.col("k0") + 0.5))
     strong = counts.where("k1 >= 3").withColumn("odds", odds).where(F.col("odds") >= ODDS)
-    best = strong.orderBy(F.desc(F.col("k1") * F.col("odds")), "entry").limit(4 * ENTRIES).toPandas()
+    best = strong.orderBy(F.desc(F.col("k1") * F.col("odds")), "entry").limit(TRIED).toPandas()
     if not len(best):
         return {}
     best = best[evidence(best["k1"].to_numpy(float), n1, best["k0"].to_numpy(float), n0) >= EVIDENCE]
@@ -288,8 +288,8 @@ def learn(docs: DataFrame, labels: DataFrame, most: int = MOST) -> Grammar:
 def score(docs: DataFrame, labels: DataFrame, most: int = MOST, threshold: float = THRESHOLD) -> DataFrame:
     """One row for each row of docs (doc_id, text): doc_id, held_out, score (0 to 1, higher: more toxic) and predicted.
 
-    Only text is an input of a score. Null, empty and blank texts match nothing and get the lowest score. Repeated
-    rows are scored each; other columns don't matter. Without labels the seeds and prior weights decide.
+    Only text is an input of a score. Null, empty and blank texts match nothing and get the lowest score. Very long texts are scored
+    whole, clause by clause. Repeated rows are scored each; other columns don't matter. Without labels the seeds and prior weights decide. An empty table gives an empty result.
     """
     rated = rate(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), labels, most)
     return rated.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))

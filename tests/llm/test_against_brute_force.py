@@ -129,10 +129,15 @@ def test_lm_exchange_is_linear(spark, docs, monkeypatch):
     assert keys[-1] <= sum(2 * len(t.split()) + 2 for t in texts())
 
 
-def test_top_k(spark, monkeypatch):
-    monkeypatch.setattr(exact_top_k, "CANDIDATES", 300)
+@pytest.mark.parametrize("below, most", [(1024, 1024), (60, 8)])
+def test_top_k(spark, monkeypatch, below, most):
+    monkeypatch.setattr(exact_top_k, "CANDIDATES", 300 if below > 60 else 40)
+    monkeypatch.setattr(exact_top_k, "QUERIES", 8192 if below > 60 else 20)
+    monkeypatch.setattr(exact_top_k, "BELOW", below)
+    monkeypatch.setattr(exact_top_k, "PIVOTS", most)
     r = np.random.default_rng(1)
     x = r.integers(-3, 4, (900, 6)) / 8.0  # many ties and equal vectors
+    x[300:400] = x[7]
     df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
     got = {(a["query_id"], a["rank"]): (a["vec_id"], a["score"]) for a in exact_top_k.top_k(df, df.where("vec_id % 20 = 0"), 20).collect()}
     z = np.floor(64 * x).astype(int)
@@ -141,6 +146,25 @@ def test_top_k(spark, monkeypatch):
         assert [got[q, k + 1] for k in range(20)] == [(i, -s) for s, i in best]
 
 
+def test_top_k_avoids_products_on_clusters(spark, monkeypatch):
+    """On clustered vectors a query goes on to few pivots, and few products are made below these."""
+    monkeypatch.setattr(exact_top_k, "BELOW", 100)
+    r = np.random.default_rng(3)
+    centers = r.standard_normal((40, 16)) * 4
+    x = np.floor(64 * (centers[np.arange(4000) % 40] + 0.05 * r.standard_normal((4000, 16))))
+    df = spark.createDataFrame([(i, (v / 64).tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    sent, real = [], exact_top_k.onward
+    monkeypatch.setattr(exact_top_k, "onward", lambda *a: sent.append(real(*a)) or sent[-1])
+    got = {(a["query_id"], a["rank"]): a["score"] for a in exact_top_k.top_k(df, df.where("vec_id % 20 = 0"), 5).collect()}
+    for q in range(0, 4000, 20):
+        assert [got[q, k + 1] for k in range(5)] == sorted((np.delete(x, q, 0) @ x[q]).astype(int).tolist(), reverse=True)[:5]
+    assert sent[0].count() <= 3 * 200  # of 40 pivots, a query is sent on to three at most on average
+    root, work = exact_top_k.build(x, np.arange(len(x)), x.mean(axis=0), np.random.default_rng(7)), [0]
+    for q in range(0, 4000, 20):
+        exact_top_k.search(root, x.mean(axis=0), x[q], [[i] for i in range(len(x))], q, 5, work=work)
+    assert work[0] < 0.2 * 200 * len(x)
+
+
 def test_simhash(spark, docs):
     got = {r["doc_id"]: r for r in simhash_near_dedup.near_duplicates(docs).collect()}
 
@@ -344,7 +368,10 @@ def test_tokens_of_odd_texts():
     assert [np.frombuffer(g, "<u4").tolist() for g in got] == [whole.encode(t, add_special_tokens=False).ids for t in odd]
 
 
-def test_embedding_links(spark):
+@pytest.mark.parametrize("members", [2048, 12])
+def test_embedding_links(spark, monkeypatch, members):
+    monkeypatch.setattr(embedding_near_dedup, "MEMBERS", members)
+    monkeypatch.setattr(embedding_near_dedup, "ROWS", 16_384 if members > 12 else 100)
     r = np.random.default_rng(2)
     x = r.standard_normal((400, 16))
     x[200:300] = x[0] + 0.05 * r.standard_normal((100, 16))  # a dense group
@@ -361,6 +388,36 @@ def test_embedding_links(spark):
     assert np.mean([got[i]["component_id"] == c for i, c in enumerate(roots(400, zip(*np.nonzero(np.triu(link)))))]) > 0.95
 
 
+def test_embedding_counts_in_balls(spark, monkeypatch):
+    """Links counted by balls are those of all pairs, whatever is settled by centres and radii."""
+    monkeypatch.setattr(embedding_near_dedup, "MEMBERS", 16)
+    r = np.random.default_rng(4)
+    x = np.concatenate([c + s * r.standard_normal((120, 8)) for c, s in zip(r.standard_normal((4, 8)) * 3, (0.01, 0.3, 0.8, 1.5))])
+    copies = r.integers(1, 4, len(x))
+    members = spark.createDataFrame([(i // 240, i, int(c), v.tolist()) for i, (v, c) in enumerate(zip(x, copies))], "component long, rep long, copies long, embedding array<double>")
+    got = {a["rep"]: a["others"] for a in embedding_near_dedup.counts(members, 0.93).collect()}
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    link = (u @ u.T >= 0.93) & (np.arange(len(x))[:, None] // 240 == np.arange(len(x))[None, :] // 240)
+    np.fill_diagonal(link, False)
+    assert [got.get(i, 0) for i in range(len(x))] == (link @ copies).tolist()
+
+
+def test_embedding_recall(spark):
+    """Planted pairs that nothing else leads to, near the threshold."""
+    r = np.random.default_rng(6)
+    x = r.standard_normal((20_000, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    y = r.standard_normal((500, 64))
+    y -= (y * x[:500]).sum(axis=1, keepdims=True) * x[:500]
+    cos = r.uniform(0.931, 0.95, 500)[:, None]
+    x[500:1000] = cos * x[:500] + np.sqrt(1 - cos * cos) * y / np.linalg.norm(y, axis=1, keepdims=True)
+    df = spark.createDataFrame([(i, v.tolist(), 1) for i, v in enumerate(x)], "vec_id long, embedding array<double>, label int")
+    links = {(a["a"], a["b"]) for a in embedding_near_dedup.candidates(df.withColumnRenamed("vec_id", "rep").withColumn("label", df["label"].cast("long")), embedding_near_dedup.PASSES, 0.93).collect()}
+    found = {(min(p), max(p)) for p in links}
+    assert len(found & {(i, 500 + i) for i in range(500)}) >= 485 and all(x[i] @ x[j] >= 0.93 for i, j in found)
+    assert embedding_near_dedup.passes_for(20_000) == 16 and embedding_near_dedup.passes_for(10**6) == 30
+
+
 def labelled(n, mark):
     r = random.Random(9)
     words = ["".join(r.choice("aeioulmnrst") for _ in range(r.randrange(3, 8))) for _ in range(300)]
@@ -395,6 +452,55 @@ def test_toxic_clauses():
     assert kind("i will kill you") == ["aimed threat"] and kind("the frost may kill roses") == ["threat"] and kind("a fine day") == []
 
 
+def test_transducers_compose():
+    """The composed machine against each mark's rule read off the whole clause."""
+    r, machine = random.Random(12), toxicity.Machine()
+    classes = ["insult", "threat", "target", "negation", "report", "word", "word", "word"]
+    kind_of = {"insult": ("plain", "aimed"), "threat": ("threat", "aimed threat")}
+    seen = set()
+    for _ in range(6000):
+        own = [r.choice(classes) for _ in range(r.randrange(1, 14))]
+        back = lambda i, what, reach: any(own[j] == what for j in range(max(0, i - reach), i))  # noqa: E731, B023
+        want = []  # (place, kind)
+        for i, c in enumerate(own):
+            if c in kind_of:
+                if "report" in own[:i]:
+                    want.append((i, "reported"))
+                elif back(i, "negation", toxicity.SCOPE):
+                    want.append((i, "denied"))
+                else:
+                    want.append((i, kind_of[c][back(i, "target", toxicity.REACH)]))
+            elif c == "target" and want and want[-1][1] in ("plain", "threat") and i - want[-1][0] <= toxicity.REACH:
+                want[-1] = (want[-1][0], {"plain": "aimed", "threat": "aimed threat"}[want[-1][1]])
+        got = machine.clause([(c, float(i)) for i, c in enumerate(own)])
+        assert got == [(k, float(i)) for i, k in want], own
+        seen |= {k for _, k in want}
+    assert seen == set(toxicity.KINDS) - {"mild"}
+
+
+def test_clauses_decide(spark):
+    """Every text holds an insult or a threat; only what the clause makes of it tells toxic texts from clean ones."""
+    r = random.Random(13)
+    toxic = ["you are a {i}", "they are a {i}", "he will {t} you", "you {i}", "he will {t} them"]  # no word that the clean ones lack
+    clean = ["you are not a {i}", "she said they are a {i}", "a {i} will win", "he will not {t} you", "they said you are a {i}", "never {t} them", "they said he will {t} them"]
+    words = ["".join(r.choice("aeioulmnrst") for _ in range(r.randrange(3, 8))) for _ in range(300)]
+    rows = []
+    for i in range(700):
+        y = i % 2
+        own = r.choice(toxic if y else clean).format(i=r.choice(["idiot", "moron", "fool"]), t=r.choice(["kill", "hurt", "punch"]))
+        filler = [" ".join(r.choice(words) for _ in range(8)) for _ in range(3)]
+        rows.append((i, f"{filler[0]}. {own}. {filler[1]}\n{filler[2]}.", y))
+    d = spark.createDataFrame([x[:2] for x in rows], "doc_id long, text string")
+    got = {a["doc_id"]: a for a in toxicity.score(d, spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int"), threshold=0.5).collect()}
+    held = [(got[i]["predicted"], got[i]["score"], y) for i, _, y in rows if got[i]["held_out"]]
+    lexicon = toxicity.Lexicon({})
+    alone = [any((lexicon.symbol(w) or ("", 0))[0] in ("insult", "threat") for w in toxicity.words_of(t)) for _, t, _ in rows]
+    assert len(held) > 120 and all(alone)  # so a lexicon alone can tell nothing
+    assert np.mean([p == y for p, _, y in held]) >= 0.9
+    pairs = [(a > b) + 0.5 * (a == b) for _, a, y in held if y for _, b, z in held if not z]
+    assert np.mean(pairs) >= 0.95
+
+
 def test_quality_learns(spark):
     rows = labelled(600, lambda r, w: " | ".join(x.upper() for x in w))
     d = spark.createDataFrame([x[:2] for x in rows], "doc_id long, text string")
