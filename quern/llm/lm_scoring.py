@@ -47,7 +47,7 @@ class Block:
         sizes, hashes = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
         for chunk in texts.chunks:
             for first, last, low, off in cut_up(chunk):
-                begin, h = words(low, off)
+                begin, _, h = words(low, off)
                 sizes.append(np.bincount(np.searchsorted(off, begin, "right") - 1, minlength=last - first) + 1)
                 hashes.append(h)
         self.sizes = np.concatenate(sizes)

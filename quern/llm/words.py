@@ -70,14 +70,14 @@ class Piece:
         lines = [data[a:b] for a, b in zip(self.begin.tolist(), self.end.tolist())]
         return np.array([digest(x) or 1 if x and not x.isspace() else 0 for x in lines], U8)
 
-    def words(self) -> tuple[np.ndarray, np.ndarray]:
+    def words(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         return words(self.low, self.off)
 
 
-def words(low: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(begin, hash) of each word of texts that begin and end at off."""
+def words(low: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(begin, end, hash) of each word of texts that begin and end at off."""
     if not len(low):
-        return np.zeros(0, np.int64), np.zeros(0, U8)
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, U8)
     space = SPACE[low]
     after, before = np.empty(len(low), bool), np.empty(len(low), bool)
     after[1:], before[:-1] = space[:-1], space[1:]
@@ -93,16 +93,17 @@ def words(low: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         np.cumsum(BYTE[low[begin[k] : end[to - 1]]] * power[: len(sums) - 1], out=sums[1:])
         out.append(mixed((sums[b] - sums[a]) * inverse[a] + (b - a).astype(U8)))
         k = to
-    return begin, np.concatenate(out)
+    return begin, end, np.concatenate(out)
 
 
-def cut_up(text: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """(first, last + 1, bytes, offsets) of texts by about PIECE bytes, A-Z in lower case."""
+def cut_up(text: pa.Array, lower: bool = True) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(first, last + 1, bytes, offsets) of texts by about PIECE bytes, A-Z in lower case if wanted."""
     if len(text):
         wide = pa.types.is_large_string(text.type)
         _, offsets, data = text.buffers()
         off = np.frombuffer(offsets, np.int64 if wide else np.int32)[text.offset : text.offset + len(text) + 1].astype(np.int64)
-        low = LOWER[np.frombuffer(data, np.uint8)[off[0] : off[-1]]] if data is not None else np.zeros(0, np.uint8)
+        low = np.frombuffer(data, np.uint8)[off[0] : off[-1]] if data is not None else np.zeros(0, np.uint8)
+        low = LOWER[low] if lower else low
         off = off - off[0]
         cuts = np.flatnonzero(np.diff(off[:-1] // PIECE, prepend=0)).tolist()
         for a, b in zip([0, *cuts], [*cuts, len(text)]):
@@ -126,3 +127,39 @@ def planes(x: np.ndarray) -> bytes:
 def whole(data: bytes, kind: str) -> np.ndarray:
     size = np.dtype(kind).itemsize
     return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(size, -1).T).view(kind).ravel()
+
+
+def packed(x: dict[str, np.ndarray], fields: dict[str, str], keep) -> bytes:
+    """Some rows of columns as one blob; fields: the columns' types."""
+    return b"".join(planes(x[f][keep].astype(kind)) for f, kind in fields.items())
+
+
+def unpacked(blobs: list[bytes], fields: dict[str, str]) -> dict[str, np.ndarray]:
+    """The rows of several blobs."""
+    found: dict[str, list] = {f: [np.zeros(0, kind)] for f, kind in fields.items()}
+    row = sum(np.dtype(kind).itemsize for kind in fields.values())
+    for blob in blobs:
+        at, n = 0, len(blob) // row
+        for f, kind in fields.items():
+            size = n * np.dtype(kind).itemsize
+            found[f].append(whole(blob[at : at + size], kind))
+            at += size
+    return {f: np.concatenate(x) for f, x in found.items()}
+
+
+def by_place(doc: np.ndarray, nth: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The order of places: by doc_id, nth and what is counted in a text."""
+    at = at.astype(np.int64)
+    if len(doc) and not nth.any():
+        bits, low = int(at.max()).bit_length(), int(doc.min())
+        if (int(doc.max()) - low).bit_length() + bits < 64:
+            return np.argsort((doc - low).view(U8) << U8(bits) | at.view(U8))
+    return np.lexsort((at, nth, doc))
+
+
+def blobs_by_part(x: dict[str, np.ndarray], fields: dict[str, str], order: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
+    """(part, rows, blob) of rows in an order that begins with their part."""
+    x = {f: y[order] for f, y in x.items()}
+    heads = np.flatnonzero(np.diff(x["part"], prepend=-1))
+    bounds = np.append(heads, len(order))
+    return x["part"][heads].astype(np.int32), np.diff(bounds), [packed(x, fields, slice(a, b)) for a, b in zip(bounds, bounds[1:])]
