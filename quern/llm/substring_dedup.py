@@ -3,21 +3,23 @@
 Every run of several consecutive sentences is hashed: from each sentence the shortest run that is long enough, and to each
 sentence the shortest one before it, so that a repeated passage is covered up to both of its ends. Runs are joined over
 the whole corpus by hash, and the sentences that any run covers other than the run's first occurrence go.
+
+A task sends only the first place of each hash it met, as packed columns by ranges of the hash; places behind that are
+repeats whatever the others hold. So a passage that is everywhere meets once for each task.
 """
 
 from __future__ import annotations
 
-import re
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-import xxhash
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import apart, cut, replaced, table
+from .words import LOWER, U8, blobs_by_part, by_place, cut_up, mixed, packed, powers, unpacked, words
 
 #: A run has this many sentences and words at least, or, whatever its sentences, so many words.
 SENTENCES, WORDS, LONG = 2, 24, 40
@@ -26,121 +28,155 @@ SENTENCES, WORDS, LONG = 2, 24, 40
 #: piece has more words than that. A repeat of 48 words or more, wherever it begins, loses 12 at most at each end and holds a shared run.
 MOST_WORDS, WINDOW = 12, 10
 
-_gaps = re.compile(r"(?<=[.!?])\s+|\s*\n\s*").finditer
-_words = re.compile(r"(\S+)(\s*)").finditer
-
-
-def cuts(hashes: list[int]) -> list[int]:
-    """The places of the least of every WINDOW hashes in a row, the last one of equal ones."""
-    out, at = [], -1
-    for end in range(WINDOW - 1, len(hashes)):
-        begin = end - WINDOW + 1
-        if at < begin:
-            at = min(range(end, begin - 1, -1), key=hashes.__getitem__)
-            out.append(at)
-        elif hashes[end] <= hashes[at]:
-            at = end
-            out.append(at)
-    return out
-
-
-def sentences(text: str) -> list[tuple[int, int, int]]:
-    """(begin, end, next begin) of each sentence: it ends behind . ! or ? before white space, or at a line's end; very long ones are cut."""
-    out: list[tuple[int, int, int]] = []
-
-    def add(begin: int, end: int, after: int) -> None:
-        words = list(_words(text[begin:end])) if end - begin > 2 * MOST_WORDS else []
-        if len(words) > MOST_WORDS:
-            first = begin
-            for k in cuts([zlib.crc32(w[1].lower().encode("utf-8", "surrogatepass")) for w in words]):
-                if k + 1 < len(words):
-                    out.append((begin, first + words[k].end(1), first + words[k].end()))
-                    begin = first + words[k].end()
-        out.append((begin, end, after))
-
-    at = 0
-    for gap in _gaps(text):
-        if gap.start() > at:
-            add(at, gap.start(), gap.end())
-        at = gap.end()
-    if at < len(text):
-        add(at, len(text), len(text))
-    return out
-
-
-def runs(text: str) -> list[tuple[int, int, int]]:
-    """(hash, first sentence, last sentence) of a text's runs. Letters' case and the width of white space don't count."""
-    own = [text[a:b].lower().split() for a, b, _ in sentences(text)]
-    hashes = np.array([xxhash.xxh64_intdigest(" ".join(w)) for w in own], "<u8").tobytes()
-    upto = [0]
-    for w in own:
-        upto.append(upto[-1] + len(w))
-    n, found, last = len(own), set(), 0
-
-    def enough(i: int, j: int) -> bool:  # sentences i..j-1
-        words = upto[j] - upto[i]
-        return words >= LONG or words >= WORDS and j - i >= SENTENCES
-
-    j = 0
-    for i in range(n):  # the shortest from i; its end only moves on
-        j = max(j, i + 1)
-        while j < n and not enough(i, j):
-            j += 1
-        if enough(i, j):
-            found.add((i, j))
-    for j in range(1, n + 1):  # the shortest to j
-        if enough(last, j):
-            while enough(last + 1, j):
-                last += 1
-            found.add((last, j))
-    return [(xxhash.xxh64_intdigest(hashes[8 * i : 8 * j]), i, j - 1) for i, j in sorted(found)]
-
-
-def spans(texts: DataFrame) -> DataFrame:
-    """(hash, doc_id, nth, first, last) of all runs of texts (doc_id, nth, text)."""
-
-    def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for x in batches:
-            out = [(h, d, k, i, j) for d, k, t in zip(x["doc_id"], x["nth"], x["text"]) if t for h, i, j in runs(t)]
-            yield pd.DataFrame({
-                "hash": np.array([r[0] for r in out], np.uint64).view(np.int64), "doc_id": np.array([r[1] for r in out], np.int64), "nth": np.array([r[2] for r in out], np.int64),
-                "first": np.array([r[3] for r in out], np.int32), "last": np.array([r[4] for r in out], np.int32),
-            })
-
-    return texts.mapInPandas(each, "hash long, doc_id long, nth long, first int, last int")
+RUNS = 1_000_000  # of a part of the hash range, about, and joined within a task at once
+RUN_BYTES = 20  # of text for each run, about
+
+ENDS = np.zeros(256, bool)
+ENDS[list(b".!?")] = True
+
+
+class Sentences:
+    """The sentences of some whole texts: first word, first byte and text of each. A sentence ends behind . ! or ? before white space, or at a line's end; very long ones are cut."""
+
+    def __init__(self, low: np.ndarray, off: np.ndarray):
+        begin, end, self.hashes = words(low, off)
+        n = len(begin)
+        text = np.searchsorted(off, begin, "right") - 1
+        feeds = np.flatnonzero(low == 10)
+        last = np.ones(n, bool)
+        last[:-1] = ENDS[low[end[:-1] - 1]] | (np.searchsorted(feeds, end[:-1]) < np.searchsorted(feeds, begin[1:])) | (text[1:] != text[:-1])
+        if n >= WINDOW:
+            which = np.cumsum(last) - last
+            long = np.bincount(which)[which] > MOST_WORDS
+            ends = np.flatnonzero(long[WINDOW - 1 :] & (which[WINDOW - 1 :] == which[: n - WINDOW + 1])) + WINDOW - 1
+            back = np.stack([self.hashes[ends - k] for k in range(WINDOW)]).argmin(axis=0) if len(ends) else ends  # the last of equal ones
+            last[ends - back] = True
+        self.first = np.r_[0, np.flatnonzero(last) + 1][: int(last.sum())]
+        self.bound = np.r_[self.first, n]
+        self.text, self.begin = text[self.first], begin[self.first]
+        self.from_, self.to = (np.searchsorted(self.text, self.text, side) for side in ("left", "right"))
+
+    def runs(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(hash, first sentence, last one) of the runs of all texts; sentences count on from text to text."""
+        at, n = self.bound, len(self.first)
+        i = np.arange(n)
+        j = np.minimum(np.searchsorted(at, at[:n] + LONG), np.maximum(np.searchsorted(at, at[:n] + WORDS), i + SENTENCES))  # the shortest from i ends before j
+        one = j <= self.to
+        k = np.maximum(np.searchsorted(at, at[1:] - LONG, "right"), np.minimum(np.searchsorted(at, at[1:] - WORDS, "right"), i + 2 - SENTENCES)) - 1  # the shortest to i begins at k
+        two = k >= self.from_
+        pairs = np.unique(np.r_[i[one] * (n + 1) + j[one], k[two] * (n + 1) + i[two] + 1])
+        i, j = pairs // (n + 1), pairs % (n + 1)
+        power, inverse = powers(len(self.hashes) + 1)
+        sums = np.r_[np.zeros(1, U8), np.cumsum(self.hashes * power[: len(self.hashes)])]
+        size = at[j] - at[i]
+        return mixed((sums[at[j]] - sums[at[i]]) * inverse[at[i]] + size.astype(U8)), i, j - 1
+
+
+#: A run: its hash, the place of its text, its first and last sentence there.
+FIELDS = {"hash": "<u8", "doc": "<i8", "nth": "<i8", "first": "<i4", "last": "<i4"}
+
+
+def behind_first(x: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Rows that are each hash's first place, and rows of other places; rows that repeat a place are left out."""
+    order = np.argsort(x["hash"])
+    h = x["hash"][order]
+    other = np.ones(len(h) + 1, bool)
+    other[1:-1] = h[1:] != h[:-1]
+    alone = other[:-1] & other[1:]
+    several = order[~alone]
+    several = several[by_place(x["doc"][several], x["nth"][several], x["first"][several])]
+    several = several[np.argsort(x["hash"][several], kind="stable")]
+    h, doc, nth, first = (x[c][several] for c in ("hash", "doc", "nth", "first"))
+    head, place = np.ones(len(h), bool), np.ones(len(h), bool)
+    head[1:] = h[1:] != h[:-1]
+    place[1:] = head[1:] | (doc[1:] != doc[:-1]) | (nth[1:] != nth[:-1]) | (first[1:] != first[:-1])
+    return np.r_[order[alone], several[head]], several[place & ~head]
+
+
+def spans(texts: DataFrame, bits: int) -> DataFrame:
+    """(part, n, blob): the runs of texts (doc_id, nth, text): of those that a task met the first place of each hash, by 2^bits parts of the hash range; the
+    other places as part -1."""
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
+        for batch in batches:
+            doc, nth = (batch.column(k).to_numpy() for k in (0, 1))
+            for a, _, low, off in cut_up(batch.column(2)):
+                s = Sentences(low, off)
+                h, i, j = s.runs()
+                of = s.text[i]
+                held.append({"hash": h, "doc": doc[a + of], "nth": nth[a + of], "first": i - s.from_[i], "last": j - s.from_[i]})
+                n += len(h)
+                if n > RUNS:
+                    yield sent(held)
+                    held, n = [], 0
+        if n:
+            yield sent(held)
+
+    def sent(held: list[dict[str, np.ndarray]]) -> pa.RecordBatch:
+        x = {f: np.concatenate([y[f] for y in held]) for f in FIELDS}
+        first, again = behind_first(x)
+        part = np.full(len(x["hash"]), -1, np.int32)
+        part[first] = (x["hash"][first] >> U8(64 - bits)).astype(np.int32)
+        x["part"] = part
+        order = first[np.argsort(x["hash"][first])]
+        part, n, blobs = blobs_by_part(x, FIELDS, order)
+        if len(again):
+            part, n, blobs = np.append(part, np.int32(-1)), np.append(n, len(again)), [*blobs, packed(x, FIELDS, again)]
+        return pa.RecordBatch.from_pydict({"part": pa.array(part, pa.int32()), "n": pa.array(n, pa.int64()), "blob": pa.array(blobs, pa.binary())})
+
+    return texts.mapInArrow(each, "part int, n long, blob binary")
+
+
+PLACES = "doc_id long, nth long, first int, last int"
+
+
+def places(x: dict[str, np.ndarray], keep) -> pd.DataFrame:
+    return pd.DataFrame({"doc_id": x["doc"][keep], "nth": x["nth"][keep], "first": x["first"][keep], "last": x["last"][keep]})
 
 
 def repeated(texts: DataFrame) -> DataFrame:
     """(doc_id, nth, first, last): the runs whose text came before, in an earlier text (smaller doc_id, then nth) or earlier in their own."""
-    own = cut(spans(texts))
-    at = F.struct("doc_id", "nth", "first")
-    firsts = own.groupBy("hash").agg(F.min(at).alias("at"), F.max(at).alias("end"))
-    again = cut(firsts.where("at <> end").select("hash", F.col("at.doc_id").alias("doc0"), F.col("at.nth").alias("nth0"), F.col("at.first").alias("first0")))
-    return own.join(again, "hash").where("doc_id <> doc0 OR nth <> nth0 OR first <> first0").select("doc_id", "nth", "first", "last")
-
-
-def without(text: str, covered: list[tuple[int, int]]) -> str:
-    """The text without the sentences that are covered; what follows a sentence up to the next one goes with it."""
-    own = sentences(text)
-    gone = np.zeros(len(own) + 1, np.int64)
-    for i, j in covered:
-        gone[i] += 1
-        gone[j + 1] -= 1
-    gone = np.cumsum(gone)
-    kept, at = [], 0
-    for (a, _, end), g in zip(own, gone):
-        kept.append(text[at:a] if g else text[at:end])
-        at = end
-    return "".join(kept) + text[at:]
+
+    def told(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for blob in batch["blob"]:
+                yield places(unpacked([blob], FIELDS), slice(None))
+
+    def join(x: pd.DataFrame) -> pd.DataFrame:
+        x = unpacked(x["blob"].tolist(), FIELDS)
+        return places(x, behind_first(x)[1])
+
+    size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    sent = cut(spans(texts, max(3, (size // RUN_BYTES // RUNS).bit_length())))
+    return sent.where("part < 0").mapInPandas(told, PLACES).unionByName(sent.where("part >= 0").groupBy("part").applyInPandas(join, PLACES))
+
+
+def without(texts: list[str], covered: list[list[tuple[int, int]]]) -> list[str]:
+    """Each text without the sentences that are covered; what follows a sentence up to the next one goes with it."""
+    out: list[str] = []
+    for a, b, own, off in cut_up(pa.array(texts, pa.large_string()), lower=False):
+        s, keep = Sentences(LOWER[own], off), np.ones(len(own), bool)
+        starts, counts = np.searchsorted(s.text, np.arange(b - a)), np.bincount(s.text, minlength=b - a)
+        for k in range(b - a):
+            gone = np.zeros(counts[k] + 1, np.int64)
+            for i, j in covered[a + k]:
+                gone[i] += 1
+                gone[j + 1] -= 1
+            bounds = np.r_[s.begin[starts[k] : starts[k] + counts[k]], off[k + 1]]
+            for m in np.flatnonzero(np.cumsum(gone)[:-1]):
+                keep[bounds[m] : bounds[m + 1]] = False
+            out.append(own[off[k] : off[k + 1]][keep[off[k] : off[k + 1]]].tobytes().decode("utf-8", "replace"))
+    return out
 
 
 def dedup(docs: DataFrame) -> DataFrame:
     """docs with its columns, whatever their names, repeated passages gone from text; every row stays, with what is left of its text (perhaps
     none). n_chars, if there, is the new length.
 
-    Null and empty texts and rows without a doc_id stay as they are. Rows that repeat a doc_id and its text are one document:
-    they are occurrences at the same place, and lose the same sentences. Rows that repeat a doc_id with other texts are
-    documents of their own. Very long texts are cut into sentences as any other. An empty table stays empty.
+    A-Z count as in lower case, and any ASCII white space alike. Null and empty texts and rows without a doc_id stay as they are. Rows that repeat a
+    doc_id and its text are one document: they are occurrences at the same place, and lose the same sentences. Rows that repeat
+    a doc_id with other texts are documents of their own. Very long texts are cut into sentences as any other. An empty table stays empty.
     """
     own = apart(docs)
     covered = cut(
@@ -151,7 +187,11 @@ def dedup(docs: DataFrame) -> DataFrame:
 
     @F.pandas_udf("string")
     def rest(texts: pd.Series, firsts: pd.Series, lasts: pd.Series) -> pd.Series:
-        return pd.Series([None if f is None else without(t, list(zip(f, l))) for t, f, l in zip(texts, firsts, lasts)], dtype=object)
+        some = [k for k, f in enumerate(firsts) if f is not None]
+        out = pd.Series([None] * len(texts), dtype=object)
+        for k, text in zip(some, without([texts.iloc[k] for k in some], [list(zip(firsts.iloc[k], lasts.iloc[k])) for k in some])):
+            out.iloc[k] = text
+        return out
 
     changed = F.col("covered").isNotNull()
     joined = own.join(covered, (F.col("doc_id") == F.col("covered_id")) & (F.col("nth") == F.col("covered_nth")), "left")

@@ -2,6 +2,7 @@
 
 import math
 import random
+import re
 import zlib
 from collections import Counter
 
@@ -268,7 +269,8 @@ def test_line_tokens():
         try:
             found, at = [], {}
             for p in words.pieces([batch.slice(0, 5), batch.slice(5)]):
-                begin, h = p.words()
+                begin, end, h = p.words()
+                assert [bytes(p.low[x:y]) for x, y in zip(begin, end)] == [w for x, y in zip(p.begin, p.end) for w in bytes(p.low[x:y]).split()]
                 lines = np.searchsorted(p.begin, begin, "right") - 1
                 for k in range(len(p.begin)):
                     own = bytes(p.low[p.begin[k] : p.end[k]])
@@ -288,25 +290,91 @@ def test_place_hashes(spark):
     assert words.hash_of(*(np.array(x) for x in zip(*rows))).view(np.int64).tolist() == want
 
 
-def test_substring_dedup(spark):
+def plain_sentences(text):
+    """(first byte, words) of a text's sentences, word by word."""
+    t = text.encode()
+    found = [(m.start(), m[0].lower()) for m in re.finditer(rb"[^\x20\x09-\x0D]+", t)]
+    out, own = [], []
+    for k, (at, w) in enumerate(found):
+        own.append((at, w))
+        end = at + len(w)
+        if k + 1 == len(found) or w[-1:] in (b".", b"!", b"?") or b"\n" in t[end : found[k + 1][0]]:
+            parts = [own]
+            if len(own) > substring_dedup.MOST_WORDS:
+                h = [int(words.words(np.frombuffer(w, np.uint8), np.array([0, len(w)]))[2][0]) for _, w in own]
+                n = substring_dedup.WINDOW
+                least = {max(range(i, i + n), key=lambda k: (-h[k], k)) for i in range(len(own) - n + 1)} | {len(own) - 1}  # noqa: B023
+                bounds = [0, *(k + 1 for k in sorted(least))]
+                parts = [own[x:y] for x, y in zip(bounds, bounds[1:])]
+            out += [(p[0][0], [w for _, w in p]) for p in parts]
+            own = []
+    return out
+
+
+def plain_runs(sentences):
+    """{(first, last): words} by trying all."""
+    n, size, found = len(sentences), [len(w) for _, w in sentences], set()
+    enough = lambda i, j: sum(size[i:j]) >= substring_dedup.LONG or sum(size[i:j]) >= substring_dedup.WORDS and j - i >= substring_dedup.SENTENCES
+    for i in range(n):
+        found |= {(i, j) for j in [next((j for j in range(i + 1, n + 1) if enough(i, j)), None)] if j}
+        found |= {(k, i + 1) for k in [next((k for k in range(i, -1, -1) if enough(k, i + 1)), None)] if k is not None}
+    return {(i, j - 1): tuple(w for _, own in sentences[i:j] for w in own) for i, j in found}
+
+
+def plain_dedup(rows):
+    own = sorted(set(apart(rows)))
+    first, out = {}, {}
+    for doc, nth, t in own:
+        s = plain_sentences(t)
+        gone = set()
+        for (i, j), key in sorted(plain_runs(s).items()):
+            if first.setdefault(key, (doc, nth, i)) != (doc, nth, i):
+                gone |= set(range(i, j + 1))
+        data, bounds = t.encode(), [*(at for at, _ in s), len(t.encode())]
+        kept = data[: bounds[0]] + b"".join(data[bounds[k] : bounds[k + 1]] for k in range(len(s)) if k not in gone)
+        out[doc, nth] = kept.decode()
+    return sorted((i, out[i, h]) for i, h, _ in apart(rows))
+
+
+def test_runs_are_those_of_plain_python():
+    r = random.Random(21)
+    odd = ["", " ", "\n", "a", ".", " lead. " + "w " * 60, "one two. " * 30, "É ü. " * 40, "A b!\n\n c? d\x0be \r\n" * 12]
+    odd += ["".join(r.choice(["the ", "of ", "a", "bc ", "d. ", "e\n", "é! ", "f  ", "g\t"]) for _ in range(r.randrange(400))) for _ in range(60)]
+    raw = [t.encode() for t in odd]
+    off = np.cumsum([0, *map(len, raw)])
+    s = substring_dedup.Sentences(words.LOWER[np.frombuffer(b"".join(raw), np.uint8)], off)
+    hashes, i, j = s.runs()
+    got, at = {}, 0
+    for k, t in enumerate(odd):
+        want = plain_sentences(t)
+        assert [b - off[k] for b, x in zip(s.begin, s.text) if x == k] == [b for b, _ in want]
+        mine = {(int(x) - at, int(y) - at): int(h) for h, x, y in zip(hashes, i, j) if s.text[x] == k}
+        plain = plain_runs(want)
+        assert mine.keys() == plain.keys()
+        for pair, key in plain.items():
+            assert got.setdefault(key, mine[pair]) == mine[pair]
+        at += len(want)
+    assert len(set(got.values())) == len(got)
+
+
+@pytest.mark.parametrize("runs", [1_000_000, 40])
+def test_substring_dedup(spark, monkeypatch, runs):
+    monkeypatch.setattr(substring_dedup, "RUNS", runs)
     r = random.Random(6)
     word = lambda: "".join(r.choice("abcdefgh") for _ in range(5))
     sentence = lambda n: " ".join(word() for _ in range(n)) + "."
     passage = " ".join(sentence(n) for n in (9, 14, 6, 12, 11))
     unbroken = " ".join(word() for _ in range(60))
     rows = [(i, f"{sentence(12)} {sentence(9)}\n{p}\n{sentence(8)}") for i, p in enumerate([passage, unbroken, passage, unbroken, passage.upper()])] + [(9, sentence(30) + " The. Of. A."), (10, "The. Of. A.")]
-    assert sorted(tuple(x) for x in substring_dedup.dedup(spark.createDataFrame([(7, passage), (7, "short. Of. A."), (8, f"{unbroken}\n{passage}")], "doc_id long, text string")).collect()) == [(7, passage), (7, "short. Of. A."), (8, f"{unbroken}\n")]
-    got = {a["doc_id"]: a["text"] for a in substring_dedup.dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    own = {i: t.split("\n") for i, t in rows}
-    assert got[0] == rows[0][1] and got[1] == rows[1][1] and got[9] == rows[5][1] and got[10] == rows[6][1]
+    rows += [(20 + i, " ".join(r.choice([passage, sentence(5), sentence(30), unbroken, "x.\n"]) for _ in range(6))) for i in range(20)]
+    rows += [(50, passage), (50, "short. Of. A."), (51, f" {passage}\n{unbroken} é"), (52, sentence(50)), (52, rows[3][1]), (52, rows[3][1])]  # doc_ids with several texts, and one text twice
+    got = sorted(tuple(a) for a in substring_dedup.dedup(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)).collect())
+    assert got == plain_dedup(rows)
+    kept, own = dict(got), {i: t.split("\n") for i, t in rows}
+    assert kept[0] == rows[0][1] and kept[1] == rows[1][1] and kept[9] == rows[5][1] and kept[10] == rows[6][1]
     for i in (2, 4):
-        assert own[i][1] not in got[i] and not set(got[i].split()) & set(own[i][1].split()) and own[i][0] in got[i] and own[i][2] in got[i]
-    assert len(set(got[3].split()) & set(unbroken.split())) <= 20 and own[3][0] in got[3]
-    first = {}
-    for i, t in rows:
-        for h, a, b in substring_dedup.runs(t):
-            first.setdefault(h, (i, a))
-    assert got == {i: substring_dedup.without(t, [(a, b) for h, a, b in substring_dedup.runs(t) if first[h] != (i, a)]) for i, t in rows}
+        assert own[i][1] not in kept[i] and not set(kept[i].split()) & set(own[i][1].split()) and own[i][0] in kept[i] and own[i][2] in kept[i]
+    assert len(set(kept[3].split()) & set(unbroken.split())) <= 20 and own[3][0] in kept[3]
 
 
 def test_every_long_repeat_shares_a_run():
@@ -318,21 +386,11 @@ def test_every_long_repeat_shares_a_run():
         if trial % 3 == 2:  # sentences of any length
             passage = [w + "." * (r.random() < 0.1) for w in passage]
         gap = "\t" if trial % 3 == 1 else " "
-        one, two = (gap.join(some(r.randrange(60)) + passage + some(r.randrange(60))) for _ in range(2))
-        assert {h for h, _, _ in substring_dedup.runs(one)} & {h for h, _, _ in substring_dedup.runs(two)}, trial
-        assert max(len(one[a:b].split()) for a, b, _ in substring_dedup.sentences(one)) <= 12
-
-
-def test_runs_are_the_shortest():
-    t = " ".join(f"{'w' * (i % 3 + 1)}{i} " * (i % 9 + 1) + "end." for i in range(40))
-    own = [len(t[a:b].split()) for a, b, _ in substring_dedup.sentences(t)]
-    enough = lambda i, j: sum(own[i:j]) >= substring_dedup.LONG or sum(own[i:j]) >= substring_dedup.WORDS and j - i >= substring_dedup.SENTENCES
-    n, want = len(own), set()
-    for i in range(n):
-        want |= {(i, min(j for j in range(i + 1, n + 1) if enough(i, j)) - 1) for _ in [0] if any(enough(i, j) for j in range(i + 1, n + 1))}
-    for j in range(1, n + 1):
-        want |= {(max(i for i in range(j) if enough(i, j)), j - 1) for _ in [0] if any(enough(i, j) for i in range(j))}
-    assert {(a, b) for _, a, b in substring_dedup.runs(t)} == want
+        raw = [gap.join(some(r.randrange(60)) + passage + some(r.randrange(60))).encode() for _ in range(2)]
+        s = substring_dedup.Sentences(np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)]))
+        h, i, _ = s.runs()
+        assert set(h[s.text[i] == 0].tolist()) & set(h[s.text[i] == 1].tolist()), trial
+        assert np.diff(s.bound).max() <= 12
 
 
 def test_packing(spark, docs):
