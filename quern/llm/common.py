@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import atexit
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quern.sources.shared import shared_folder
+
 #: While a cut is written: its shuffle files go when it ends, as nothing reads them afterwards; and Python gets whole texts in smaller batches.
 WHILE_CUTTING = {
     "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true",
@@ -21,26 +22,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir, which driver and executors share.
-
-    Only where the setting is absent (tests in one process) a temporary folder is set.
-    """
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        path = spark.sparkContext.getCheckpointDir()
-    if not path:
-        path = tempfile.mkdtemp(prefix="quern-")
-        spark.sparkContext.setCheckpointDir(path)
-    return path.rstrip("/")
-
-
 def cut(df: DataFrame) -> DataFrame:
     """Write df to the shared folder as Parquet and read it back: its lineage ends there,
     so a lost executor costs no recomputation of what went before. The files go when the
     driver's Python ends; one query may still read them until then."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/quern-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/quern-{uuid.uuid4().hex}"
     was = {k: spark.conf.get(k, None) for k in WHILE_CUTTING}
     for k, v in WHILE_CUTTING.items():
         spark.conf.set(k, v)
@@ -66,16 +53,22 @@ atexit.register(_remove)
 
 
 def apart(docs: DataFrame) -> DataFrame:
-    """(row, doc_id, nth, text) of all rows of docs: row has all its columns, whatever their names. Rows of one doc_id with different texts differ in nth:
+    """(row, doc_id, nth) of all rows of docs: row has all its columns, whatever their names. Rows of one doc_id with different texts differ in nth:
     0 where a doc_id has one text only, however often, else a hash of the text. (doc_id, nth) so stands for one text."""
-    own = docs.select(F.struct(*[docs[f"`{c}`"].alias(c) for c in docs.columns]).alias("row"), docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text"))
-    hashed = F.xxhash64("text")
-    texts = own.where("doc_id IS NOT NULL AND text IS NOT NULL").groupBy("doc_id").agg(F.min(hashed).alias("low"), F.max(hashed).alias("high"))
+    own = docs.select(F.struct(*[docs[f"`{c}`"].alias(c) for c in docs.columns]).alias("row"), docs["doc_id"].cast("long").alias("doc_id"))
+    hashed, zero = F.xxhash64(F.col("row.text").cast("string")), F.lit(0).cast("long")
+    often = cut(own.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select(F.col("doc_id").alias("doubled")))
+    if not often.head(1):
+        return own.select("row", "doc_id", zero.alias("nth"))
+    texts = own.join(often, own["doc_id"] == often["doubled"], "left_semi").where("row.text IS NOT NULL").groupBy("doc_id").agg(F.min(hashed).alias("low"), F.max(hashed).alias("high"))
     doubled = cut(texts.where("low <> high").select(F.col("doc_id").alias("doubled")))
-    if not doubled.head(1):
-        return own.select("row", "doc_id", F.lit(0).cast("long").alias("nth"), "text")
-    nth = F.when(F.col("doubled").isNotNull(), hashed).otherwise(F.lit(0).cast("long"))
-    return own.join(doubled, own["doc_id"] == doubled["doubled"], "left").select("row", "doc_id", nth.alias("nth"), "text")
+    nth = F.when(F.col("doubled").isNotNull(), hashed).otherwise(zero)
+    return own.join(doubled, own["doc_id"] == doubled["doubled"], "left").select("row", "doc_id", nth.alias("nth"))
+
+
+def texts_of(own: DataFrame) -> DataFrame:
+    """(doc_id, nth, text) of the rows told apart that have a doc_id and a text."""
+    return own.where("doc_id IS NOT NULL AND row.text IS NOT NULL").select("doc_id", "nth", F.col("row.text").cast("string").alias("text"))
 
 
 def replaced(joined: DataFrame, docs: DataFrame, changed: Column, text: Column) -> DataFrame:
@@ -90,14 +83,29 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+#: A node of more edges is a hub. Hubs are broadcast with their least neighbours: HUBS at most, whatever the number of edges, as the bound rises with it.
+HUB, HUBS = 256, 100_000
+
+
+def with_least(edges: DataFrame, n: int) -> DataFrame:
+    """edges (u, v), about n of them, with m, the least v of each u. The edges of a hub stay where they are, so they don't meet in one task."""
+    bound = max(HUB, n // HUBS)
+    least = cut(edges.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")))
+    hubs = least.where(F.col("n") > bound).select("u", "m")
+    if not hubs.head(1):
+        return edges.join(least.select("u", "m"), "u")
+    few = edges.join(F.broadcast(hubs), "u", "left_anti").join(least.where(F.col("n") <= bound).select("u", "m"), "u")
+    return edges.join(F.broadcast(hubs), "u").unionByName(few)
+
+
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """Connected components of undirected edges by alternating large-star and small-star
     steps. Returns (node, component) for every node that has an edge to another one;
     component is the smallest node reachable.
 
-    Each step is a grouped minimum (combined before the shuffle, so a hub costs no more than
-    another node) and a join that adaptive execution can split. Rounds end when the edges no
-    longer change; their number grows with the logarithm of a component's length.
+    Each step is a grouped minimum, combined before the shuffle, and a join in which hubs
+    are apart. Rounds end when the edges no longer change; their number grows with the
+    logarithm of a component's length.
     """
     e = cut(
         edges.where(F.col(a) != F.col(b))
@@ -111,14 +119,9 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     before = digest(e)
     while before[0]:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = (
-            both.join(least, "u").where(F.col("v") > F.col("u"))
-            .select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        )
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        large = cut(with_least(both, 2 * before[0]).where("v > u").select(F.col("v").alias("u"), F.least("m", "u").alias("v")).distinct())
         small = (
-            large.join(low, "u")
+            with_least(large, before[0])
             .select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("x"))
             .select("x.u", "x.v").where("u > v").distinct()
         )

@@ -160,7 +160,8 @@ def classify(docs: DataFrame, labels: DataFrame, most: int = MOST, threshold: fl
     """One row for each row of docs (doc_id, text): doc_id, held_out, score (0 to 1, higher: better) and predicted.
 
     Only text is an input of a score. Null texts are empty; empty texts are scored by their features
-    (all zero). Repeated rows are scored each; other columns don't matter. Without labels every score is 0.5.
+    (all zero). Very long texts are scored whole. Repeated rows are scored each, equal texts alike; other columns
+    don't matter. Without labels every score is 0.5. An empty table gives an empty result.
     """
     model = learn(docs, labels, most)
 

@@ -29,6 +29,7 @@ MARK = "▁"
 #: Words whose ids a worker keeps; beyond it starts anew.
 KEPT_WORDS = 900_000
 KEPT_PAIRS = 1_000_000
+TAIL = 4
 
 
 def default_model() -> str:
@@ -49,7 +50,11 @@ class Codec:
         self.scores = {p: sp.get_score(i) for p, i in self.ids.items()}
         self.bytes = {int(p[3:5], 16): i for i, p in enumerate(self.pieces) if sp.is_byte(i)}
         self.unknown = sp.unk_id()
-        self.longest = max(map(len, self.ids))
+        #: The length of the longest piece with these last TAIL characters; without any, no piece is as long as they are.
+        self.reach: dict[str, int] = {}
+        for p in self.ids:
+            if len(p) >= TAIL:
+                self.reach[p[-TAIL:]] = max(len(p), self.reach.get(p[-TAIL:], 0))
         #: The scores of a BPE vocabulary are its merges' ranks, negated; those of a unigram vocabulary are logarithms.
         self.merges = all(float(s).is_integer() for s in self.scores.values())
         #: Marks that aren't in front of a piece would join words; then a text is one word.
@@ -83,7 +88,7 @@ class Codec:
     def encode_words(self, words: list[str]) -> Iterator[tuple[str, list[str]]]:
         """The pieces of each word of a sorted list. last[i] is the last piece of the first i characters, best[i] their score."""
         last, best, before = [""], [0.0], ""
-        pieces, longest, merges = self.scores, self.longest, self.merges
+        pieces, reach, merges = self.scores, self.reach, self.merges
         for word in words:
             shared, most = 0, min(len(word), len(before))
             while shared < most and word[shared] == before[shared]:
@@ -91,7 +96,7 @@ class Codec:
             del last[shared + 1 :], best[shared + 1 :]
             for end in range(shared + 1, len(word) + 1):
                 found, score = word[end - 1], None  # an unknown character stands alone
-                for begin in range(max(0, end - longest), end):
+                for begin in range(max(0, end - reach.get(word[max(0, end - TAIL) : end], TAIL - 1)), end):
                     piece = word[begin:end]
                     s = pieces.get(piece)
                     if s is None:
@@ -192,8 +197,11 @@ def decode(encoded: DataFrame, model: str | None = None) -> DataFrame:
 
 
 def encode_decode(docs: DataFrame, model: str | None = None) -> DataFrame:
-    """One row for each row of docs: doc_id, n_pieces, ids_crc32 (unsigned, of little-endian unsigned 32-bit ids), decoded_crc32 (of the decoded
-    text's UTF-8) and round_trip, whether the decoded text is the text (null: empty). Both ways in one pass, so that the ids needn't travel."""
+    """The state of a prefix is the last piece that the merges leave at each character; with a unigram vocabulary it is Viterbi's best score and last piece.
+
+    One row for each row of docs: doc_id, n_pieces, ids_crc32 (unsigned, of little-endian unsigned 32-bit ids), decoded_crc32 (of the decoded
+    text's UTF-8) and round_trip, whether the decoded text is the text (null: empty). Both ways in one pass, so that the ids needn't travel. Empty texts have no
+    pieces; repeated rows have a row each; very long texts are encoded whole; other columns don't matter; an empty table gives an empty result."""
     path = model or default_model()
 
     @F.pandas_udf("n_pieces long, ids_crc32 long, decoded_crc32 long, round_trip boolean")

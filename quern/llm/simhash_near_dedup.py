@@ -162,8 +162,8 @@ def near_duplicates(docs: DataFrame, words: int = WORDS) -> DataFrame:
 
     Null, empty and blank texts have fingerprint 0, linked like any other. A row without a doc_id links nothing and
     has the component of its fingerprint, null if that is of such rows alone. Equal fingerprints
-    (a repeated row, copies) are one node, so a group of copies never meets in a task. Other
-    columns don't matter. An empty table gives an empty result.
+    (a repeated row, copies) are one node, so a group of copies never meets in a task. Very long texts are hashed
+    whole. Other columns don't matter. An empty table gives an empty result.
     """
     own = cut(fingerprints(docs, words))
     reps = cut(own.where("doc_id IS NOT NULL").groupBy("fp").agg(F.min("doc_id").alias("rep")))

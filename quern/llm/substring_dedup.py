@@ -18,8 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import apart, cut, replaced, table
-from .words import LOWER, U8, blobs_by_part, by_place, cut_up, mixed, packed, powers, unpacked, words
+from .common import apart, cut, replaced, table, texts_of
+from .words import LOWER, U8, blobs_by_part, by_place, cut_up, mixed, packed, powers, trim, unpacked, words
 
 #: A run has this many sentences and words at least, or, whatever its sentences, so many words.
 SENTENCES, WORDS, LONG = 2, 24, 40
@@ -28,7 +28,7 @@ SENTENCES, WORDS, LONG = 2, 24, 40
 #: piece has more words than that. A repeat of 48 words or more, wherever it begins, loses 12 at most at each end and holds a shared run.
 MOST_WORDS, WINDOW = 12, 10
 
-RUNS = 1_000_000  # of a part of the hash range, about, and joined within a task at once
+RUNS = 250_000  # of a part of the hash range, about, and joined within a task at once
 RUN_BYTES = 20  # of text for each run, about
 
 ENDS = np.zeros(256, bool)
@@ -110,8 +110,11 @@ def spans(texts: DataFrame, bits: int) -> DataFrame:
                 if n > RUNS:
                     yield sent(held)
                     held, n = [], 0
+                    trim()
         if n:
             yield sent(held)
+        held = None
+        trim()
 
     def sent(held: list[dict[str, np.ndarray]]) -> pa.RecordBatch:
         x = {f: np.concatenate([y[f] for y in held]) for f in FIELDS}
@@ -145,7 +148,10 @@ def repeated(texts: DataFrame) -> DataFrame:
 
     def join(x: pd.DataFrame) -> pd.DataFrame:
         x = unpacked(x["blob"].tolist(), FIELDS)
-        return places(x, behind_first(x)[1])
+        out = places(x, behind_first(x)[1])
+        del x
+        trim()
+        return out
 
     size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     sent = cut(spans(texts, max(3, (size // RUN_BYTES // RUNS).bit_length())))
@@ -180,7 +186,7 @@ def dedup(docs: DataFrame) -> DataFrame:
     """
     own = apart(docs)
     covered = cut(
-        repeated(own.where("doc_id IS NOT NULL AND text IS NOT NULL").select("doc_id", "nth", "text"))
+        repeated(texts_of(own))
         .groupBy("doc_id", "nth").agg(F.collect_list(F.struct("first", "last")).alias("covered"))  # bounded by the document
         .select(F.col("doc_id").alias("covered_id"), F.col("nth").alias("covered_nth"), "covered")
     )
@@ -195,7 +201,7 @@ def dedup(docs: DataFrame) -> DataFrame:
 
     changed = F.col("covered").isNotNull()
     joined = own.join(covered, (F.col("doc_id") == F.col("covered_id")) & (F.col("nth") == F.col("covered_nth")), "left")
-    return replaced(joined, docs, changed, rest(F.when(changed, F.col("text")), F.col("covered.first"), F.col("covered.last")))
+    return replaced(joined, docs, changed, rest(F.when(changed, F.col("row.text").cast("string")), F.col("covered.first"), F.col("covered.last")))
 
 
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -11,6 +12,19 @@ import xxhash
 PIECE = 1 << 20  # bytes of whole documents whose words are found at once
 STEP = 1 << 18  # and whose words are hashed at once
 
+try:
+    _trim = ctypes.CDLL(None).malloc_trim  # where the C library has it
+except (OSError, AttributeError):
+    _trim = None
+
+
+def trim() -> None:
+    """Gives memory that is free back to the system: a worker that waits for its next task holds what its largest one took."""
+    pa.default_memory_pool().release_unused()
+    if _trim:
+        _trim(0)
+
+
 U8 = np.uint64
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
@@ -117,6 +131,7 @@ def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[Piece]:
         doc, nth = (batch.column(k).to_numpy() for k in (0, 1))
         for a, b, low, off in cut_up(batch.column(2)):
             yield Piece(low, off, doc[a:b], nth[a:b])
+    trim()
 
 
 def planes(x: np.ndarray) -> bytes:

@@ -72,6 +72,30 @@ def test_codec_is_the_librarys():
     assert [own.decode(i) for i in ids] == [library.decode(i.tolist()) for i in ids]
 
 
+def test_unigram_ids_are_the_librarys(tmp_path):
+    """A unigram vocabulary written by hand: forward scores by Viterbi, ids as the library's."""
+    import sentencepiece
+    from sentencepiece import sentencepiece_model_pb2
+
+    r, m = random.Random(17), sentencepiece_model_pb2.ModelProto()
+    kind = sentencepiece_model_pb2.ModelProto.SentencePiece
+    for piece, t in (("<unk>", kind.UNKNOWN), ("<s>", kind.CONTROL), ("</s>", kind.CONTROL)):
+        m.pieces.add(piece=piece, score=0.0, type=t)
+    own = dict.fromkeys(["▁", *"abcdé"])
+    while len(own) < 200:
+        own["".join(r.choice("▁" if k == 0 and r.random() < 0.3 else "abcdé") for k in range(r.randrange(2, 8)))] = None
+    for piece in own:
+        m.pieces.add(piece=piece, score=-r.uniform(1, 3) - 1.3 * len(piece), type=kind.NORMAL)
+    m.trainer_spec.model_type, m.trainer_spec.unk_id, m.trainer_spec.bos_id, m.trainer_spec.eos_id, m.trainer_spec.pad_id = 1, 0, 1, 2, -1
+    m.normalizer_spec.name, m.normalizer_spec.add_dummy_prefix, m.normalizer_spec.remove_extra_whitespaces, m.normalizer_spec.escape_whitespaces = "identity", True, False, True
+    (tmp_path / "unigram.model").write_bytes(m.SerializeToString())
+    codec, library = sentencepiece_codec.Codec(f"{tmp_path}/unigram.model"), sentencepiece.SentencePieceProcessor(model_file=f"{tmp_path}/unigram.model")
+    assert not codec.merges
+    odd = ["".join(r.choice("aabbcdé ") for _ in range(r.randrange(40))) for _ in range(1500)]
+    ids = codec.encode(odd)
+    assert [i.tolist() for i in ids] == library.encode(odd) and [codec.decode(i) for i in ids] == [library.decode(i.tolist()) for i in ids]
+
+
 def test_codec_takes_unigram_scores():
     own = sentencepiece_codec.Codec(sentencepiece_codec.default_model())
     own.merges, own.scores = False, {"a": -1.0, "b": -1.0, "ab": -1.5, "abb": -2.6, "bb": -1.2}

@@ -93,7 +93,12 @@ def test_toxicity(spark, docs, labels):
 
 
 def test_quality(spark, docs, labels):
-    assert quality_classifier.classify(docs, labels).count() == len(TEXTS)
+    rows = by_id(quality_classifier.classify(docs, labels), "score", "predicted", "held_out")
+    assert len(rows) == len(TEXTS) and all(0 <= r[1] <= 1 and r[2] == (r[1] >= 0.7) for r in rows)
+    of = {i: [r[1:] for r in rows if r[0] == i] for i, _ in TEXTS}
+    assert of[3][0][0] == of[4][0][0] and len(set(of[1])) == 1 and of[1][0][0] == of[2][0][0] and [r[2] for r in of[None]] == [False]
+    learner = quality_classifier.classify(docs, labels.where("doc_id <> 7"))
+    assert len({r["score"] for r in learner.where("doc_id IN (1, 2)").collect()}) == 1 and learner.where("doc_id = 7 AND score BETWEEN 0 AND 1").count() == 1
     assert {r["score"] for r in quality_classifier.classify(docs, spark.createDataFrame([], LABELS)).collect()} == {0.5}
     assert quality_classifier.classify(spark.createDataFrame([], DOCS), labels).count() == 0
 
@@ -125,11 +130,14 @@ def test_text_dedup(spark, docs, operator):
     assert operator.dedup(spark.createDataFrame([], DOCS)).count() == 0
 
 
-def test_components(spark):
+@pytest.mark.parametrize("hub", [256, 3])
+def test_components(spark, monkeypatch, hub):
+    from quern.llm import common
     from quern.llm.common import components
 
-    n = 300
-    chain = [(i, i + 1) for i in range(n)] + [(1000, 1000 + i) for i in range(1, 200)] + [(5, 5), (7000, 7001), (7001, 7000)]
+    monkeypatch.setattr(common, "HUB", hub)
+    n = 300 if hub > 3 else 40
+    chain = [(i, i + 1) for i in range(n)] + [(1000, 1000 + i) for i in range(1, 200)] + [(5, 5), (7000, 7001), (7001, 7000)] + [(3000 + i, 9000) for i in range(50)]
     found = {r["node"]: r["component"] for r in components(spark.createDataFrame(chain, "a long, b long")).collect()}
-    assert {found[i] for i in range(n + 1)} == {0} and {found[1000 + i] for i in range(200)} == {1000} and found[7001] == 7000 and len(found) == n + 203
+    assert {found[i] for i in range(n + 1)} == {0} and {found[1000 + i] for i in range(200)} == {1000} and found[7001] == 7000 and found[9000] == found[3049] == 3000 and len(found) == n + 203 + 51
     assert components(spark.createDataFrame([], "a long, b long")).agg(F.count("*")).first()[0] == 0
