@@ -195,6 +195,7 @@ def clean_query(text: Column | str) -> Column:
 
 # ---- normalisation, first version ----------------------------------------------------------------------------------
 
+# The patterns of this part and of the second version, and the words that they hold.
 CONTROLS = "[\\x00-\\x08\\x0B\\x0C\\x0E-\\x1F]"
 
 
@@ -319,6 +320,7 @@ def normalize_legacy(text: Column | str) -> Column:
 
 def sections(text: Column | str) -> dict[str, Column]:
     """title, abstract, claims, description and ipc of a whole text: of each the first shortest match, else ""."""
+    # The patterns.
     t = sub(filled(text), r"(?U)-\s*\d+\s*-", "")
     take = lambda p, g: strip(F.regexp_extract(t, p, g))
     return {
@@ -357,6 +359,7 @@ def claims_or_fallback(claims: Column | str, fallback: Column | str, least: int
     return F.when((F.length(c) < least) & (f != ""), f).otherwise(c)
 
 
+# The patterns of tables and equations.
 def tables(text: Column | str) -> Column:
     return F.transform(F.regexp_extract_all(filled(text), F.lit(r"(?U)(표\s*\d+[\s\S]+?(?=\n\n|표\s*\d+|\z))"), F.lit(1)), strip)
 
@@ -419,6 +422,7 @@ def caption(text: Column | str) -> Column:
 
 def prompt_input(text: Column | str, described: Column | str, prefix: str = "이미지 d에 대한 설명:") -> Column:
     """The user's text, and below it what is seen in images, if anything is."""
+    # The labels.
     raw, seen = strip(filled(text)), strip(filled(described))
     head = F.concat(F.lit("[사용자 텍스트 입력]\n"), raw)
     return F.when(seen == "", head).otherwise(F.concat(head, F.lit(f"\n\n[이미지 기반 도면 설명]\n{prefix} "), seen))

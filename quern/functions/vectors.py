@@ -89,3 +89,29 @@ def windows(tokens: Column | str, length: int, step: int, most: int | None = Non
 def bound_rows(v: Column | str, length: float = 1e-6) -> Column:
     """Whether a difference vector is short enough to be a duplicate's."""
     return norm(v) < length
+
+
+def _sum(vectors: Column) -> Column:
+    return F.aggregate(F.slice(vectors, 2, F.greatest(F.size(vectors), F.lit(1))), vectors[0], lambda a, b: F.zip_with(a, b, lambda x, y: x + y))
+
+
+def token_mean(states: Column | str, mask: Column | str) -> Column:
+    """The mean of the token states (array of vectors) whose mask is 1; zeros if none is."""
+    on = F.transform(mask, lambda m: m.cast("double"))
+    total = F.greatest(F.aggregate(on, F.lit(0.0), lambda a, m: a + m), F.lit(1.0))
+    return _over(_sum(F.zip_with(states, on, lambda v, m: scale(v, m))), total)
+
+
+def last_layers(layers: Column | str, k: int = 4) -> Column:
+    """Token states as the mean of the last k layers (array of layers of token states)."""
+    own = F.slice(layers, F.greatest(F.size(layers) - k + 1, F.lit(1)), k)
+    summed = F.aggregate(F.slice(own, 2, F.greatest(F.size(own), F.lit(1))), F.transform(own[0], doubles), lambda a, b: F.zip_with(a, b, lambda p, q: F.zip_with(p, q, lambda x, y: x + y)))
+    return F.transform(summed, lambda v: _over(v, F.size(own)))
+
+
+def norm_softmax_pool(states: Column | str) -> Column:
+    """The sum of token states, each weighted by the softmax of the lengths."""
+    sizes = F.transform(states, norm)
+    raised = F.transform(sizes, lambda x: F.exp(x - F.array_max(sizes)))
+    total = F.aggregate(raised, F.lit(0.0), lambda a, x: a + x)
+    return _sum(F.zip_with(states, raised, lambda v, w: scale(v, w / total)))

@@ -12,6 +12,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -48,10 +49,14 @@ def mean_pool(df: DataFrame, keys: list[str], vector: str, dim: int, into: str =
     return vector_mean(df, keys, vector, dim, into).withColumn(into, V.l2_added(into))
 
 
+LANES = 64  # of partitions' sums that are added up apart first
+
+
 def moments(df: DataFrame, keys: list[str], vector: str) -> DataFrame:
     """(keys, n, s, g, q2, q4): count, sum of vectors, sum of outer products (flat), sums of squared and fourth-power lengths. Each
-    partition sums its own groups first, so a group never meets in one task."""
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in df.select(*keys).schema) + ", n long, s array<double>, g array<double>, q2 double, q4 double"
+    partition sums its own groups first; then the rows of the outer products are added up apart from each other, and by LANES of partitions
+    before all, so no task gathers a matrix from every partition."""
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in df.select(*keys).schema) + ", lane int, i int, n long, s double, g array<double>, q2 double, q4 double"
 
     def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         sums: dict = {}
@@ -61,16 +66,19 @@ def moments(df: DataFrame, keys: list[str], vector: str) -> DataFrame:
                 q = (x * x).sum(axis=1)
                 new = (len(x), x.sum(axis=0), x.T @ x, q.sum(), (q * q).sum())
                 sums[key] = tuple(a + b for a, b in zip(sums[key], new)) if key in sums else new
-        if sums:
-            yield pd.DataFrame([(*k, n, s, g.ravel(), q2, q4) for k, (n, s, g, q2, q4) in sums.items()], columns=[*keys, "n", "s", "g", "q2", "q4"])
+        lane = TaskContext.get().partitionId() % LANES
+        for k, (n, s, g, q2, q4) in sums.items():
+            yield pd.DataFrame([(*k, lane, i, n, s[i], g[i], q2, q4) for i in range(len(s))], columns=[*keys, "lane", "i", "n", "s", "g", "q2", "q4"])
 
-    parts = df.select(*keys, vector).mapInPandas(add, schema)
-    dim = F.size("s")
-    added = parts.groupBy(*keys).agg(
-        F.sum("n").alias("n"), F.collect_list(F.struct("s", "g")).alias("parts"), F.sum("q2").alias("q2"), F.sum("q4").alias("q4")
-    )  # as many entries as partitions, each of fixed size
-    total = lambda name: F.aggregate(F.expr(f"slice(parts, 2, size(parts))"), F.col("parts")[0][name], lambda acc, p: F.zip_with(acc, p[name], lambda x, y: x + y))  # noqa: E731, F541
-    return added.select(*keys, "n", total("s").alias("s"), total("g").alias("g"), "q2", "q4").where(dim > 0)
+    def added(parts: DataFrame, by: list[str]) -> DataFrame:
+        sums = parts.groupBy(*by).agg(*[F.sum(c).alias(c) for c in ("n", "s", "q2", "q4")], F.collect_list("g").alias("g"))
+        total = F.aggregate(F.slice("g", 2, F.size("g")), F.col("g")[0], lambda a, b: F.zip_with(a, b, lambda x, y: x + y))
+        return sums.withColumn("g", total)
+
+    parts = added(added(df.select(*keys, vector).mapInPandas(add, schema), [*keys, "lane", "i"]).drop("lane"), [*keys, "i"])
+    whole = parts.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("i", "n", "s", "g", "q2", "q4"))).alias("r"))  # one entry for each dimension
+    first = F.col("r")[0]
+    return whole.select(*keys, first["n"].alias("n"), F.col("r.s").alias("s"), F.flatten("r.g").alias("g"), first["q2"].alias("q2"), first["q4"].alias("q4"))
 
 
 def _finish(df: DataFrame, keys: list[str]) -> DataFrame:
@@ -140,17 +148,20 @@ def weights_from_scores(scores: DataFrame, scope: list[str] = (), **parameters)
 
 
 def prototype_weights(df: DataFrame, field: str, section: str, vector: str, dim: int, floor: float = 1e-6) -> DataFrame:
-    """For each field and section: cosines of all the section's vectors with the field's mean, inside the field and outside it; the ratio
-    of their difference to their spread, and its softmax over a field's sections."""
-    means = vector_mean(df, [field, section], vector, dim, "proto").withColumnRenamed(field, "target")
-    scored = df.join(means, section)
+    """For each field and section: cosines of all the section's vectors with the field's mean, inside the field and outside it, by moments, so no vector
+    meets a mean; the ratio of their difference to their spread, and its softmax over a field's sections."""
+    protos = vector_mean(df, [field, section], vector, dim, "mean").select(F.col(field).alias("target"), section, V.l2_or_zero("mean").alias("p"))
+    sums = moments(df.select(field, section, V.l2_or_zero(vector).alias("unit")), [field, section], "unit").select(field, section, "n", "s", "g")
     inside = F.col(field) == F.col("target")
-    cos = V.cosine_or_zero(vector, "proto")
-    part = lambda f, c: F.coalesce(f(F.when(c, F.col("cos"))), F.lit(0.0))
-    out = scored.select("target", section, inside.alias("inside"), cos.alias("cos")).groupBy("target", section).agg(
-        part(F.avg, F.col("inside")).alias("mu_in"), part(F.avg, ~F.col("inside")).alias("mu_out"),
-        part(F.stddev_pop, F.col("inside")).alias("sigma_in"), part(F.stddev_pop, ~F.col("inside")).alias("sigma_out"),
-    )
+    square = V.dot("g", F.flatten(F.transform("p", lambda x: F.transform("p", lambda y: x * y))))  # sum of squared cosines
+    pairs = protos.join(sums, section).select("target", section, inside.alias("inside"), "n", V.dot("s", "p").alias("a"), square.alias("b"))  # one row for each two fields
+    part = lambda c, where: F.coalesce(F.sum(F.when(where, F.col(c))), F.lit(0.0))
+    out = pairs.groupBy("target", section).agg(*[part(c, F.col("inside") == (side == "in")).alias(f"{c}_{side}") for side in ("in", "out") for c in "nab"])
+    for side in ("in", "out"):
+        n, mean = F.greatest(F.col(f"n_{side}"), F.lit(1)), F.col(f"mu_{side}")
+        out = out.withColumn(f"mu_{side}", F.col(f"a_{side}") / n)
+        out = out.withColumn(f"sigma_{side}", F.sqrt(F.greatest(F.col(f"b_{side}") / n - mean * mean, F.lit(0.0))))
+    out = out.select("target", section, "mu_in", "mu_out", "sigma_in", "sigma_out")
     spread = F.greatest(F.sqrt(F.col("sigma_in") ** 2 + F.col("sigma_out") ** 2), F.lit(floor))
     out = out.withColumn("snr", (F.col("mu_in") - F.col("mu_out")) / spread)
     return out.withColumn("weight", softmax(F.col("snr"), Window.partitionBy("target")))
@@ -174,15 +185,20 @@ def align(sections: dict[str, DataFrame], domains: list, unknown: int = 999) ->
     return out.withColumn("domain_rank", rank)
 
 
+def _one_of(df: DataFrame, keys: list[str], order: str, pick) -> DataFrame:
+    """One row of each key, combined before the shuffle, so that no task sorts a common key's rows."""
+    rest = [c for c in df.columns if c not in keys]
+    found = df.groupBy(*keys).agg(pick(F.struct(*rest), F.struct(order)).alias("one"))
+    return found.select(*[F.col(f"one.{c}") if c in rest else F.col(c) for c in df.columns])
+
+
 def last_wins(df: DataFrame, keys: list[str], order: str) -> DataFrame:
     """Of rows with equal keys the last in order."""
-    nth = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc(order)))
-    return df.withColumn("nth", nth).where("nth = 1").drop("nth")
+    return _one_of(df, keys, order, F.max_by)
 
 
 def first_wins(df: DataFrame, keys: list[str], order: str) -> DataFrame:
-    nth = F.row_number().over(Window.partitionBy(*keys).orderBy(order))
-    return df.withColumn("nth", nth).where("nth = 1").drop("nth")
+    return _one_of(df, keys, order, F.min_by)
 
 
 def remove_components(df: DataFrame, vector: str, k: int = 2, into: str = "vector_out") -> DataFrame:

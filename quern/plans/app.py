@@ -10,6 +10,7 @@ from quern.operators import app as A
 from quern.operators import vectors as O
 from quern.sources import corpus as C
 from quern.sources import sinks
+from quern.sources.shared import shared_folder
 from quern.streaming import signals as S
 
 
@@ -186,10 +187,9 @@ def status_stream(spark, d):
     e = t(spark, d, "events")
     stream = spark.readStream.schema(e.schema).parquet(_folder(spark, d))
     coded = stream.select("event_id", "ts", "user_id", F.concat(F.lit("1000"), ((F.col("event_id") % 4) + 1).cast("string")).alias("code"))
-    name = f"status_{uuid.uuid4().hex}"
-    q = S.start_status(coded, name, ["user_id"])
-    q.awaitTermination()
-    return spark.table(name)
+    folder = f"{shared_folder(spark)}/status_{uuid.uuid4().hex}"
+    S.start_status(coded, folder, ["user_id"]).awaitTermination()
+    return S.read_status(spark, folder, ["user_id"])
 
 
 def _folder(spark, d):
@@ -220,7 +220,6 @@ _rooms = "rooms AS (SELECT conv_id, max(turn) AS updated_at, conv_id % 10 AS own
 _last = "last AS (SELECT * FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1)"
 _messages = "CASE code " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in S.MESSAGES.items()) + f" ELSE '{S.OTHER}' END"
 _status = f"WITH s AS (SELECT *, '1000' || (event_id % 4 + 1) AS code FROM events), l AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1) SELECT user_id, code, ts, {_messages} AS message, true AS running FROM l"
-_words = "list_distinct(list_filter(string_split_regex(substr(text, 1, 200), '[ \\n]+'), lambda w: w <> ''))"
 ORACLES = {
     "recent_rooms": f"WITH {_rooms} SELECT owner, conv_id, updated_at, row_number() OVER (PARTITION BY owner ORDER BY updated_at DESC, conv_id) AS nth FROM rooms QUALIFY nth <= 5",
     "room_messages": "SELECT turn, role, length(text) AS n FROM conversations WHERE conv_id = 3",
@@ -238,15 +237,18 @@ ORACLES = {
     "signup_outcome": "SELECT * FROM (VALUES (1, 'ok'), (2, 'password'), (3, 'blank'), (4, 'different'), (5, 'unverified'), (6, 'terms'), (7, 'registered')) t(id, outcome)",
     "first_seen_dedup": "SELECT min(doc_id) AS doc_id FROM documents GROUP BY text",
     "last_duplicate_wins": "SELECT max(doc_id) AS doc_id FROM documents GROUP BY text",
-    "index_scan": "SELECT min(doc_id) AS id, 'f' || (doc_id % 100) AS filename, any_value(label) AS label FROM documents JOIN embeddings ON doc_id % 100 = vec_id AND vec_id < 100 GROUP BY doc_id % 100",
-    "text_lookup": "SELECT vec_id AS doc_id, coalesce(quality, -1) AS quality, coalesce(toxic, -1) AS toxic FROM embeddings LEFT JOIN labels ON doc_id = vec_id WHERE vec_id % 50 = 0",
+    "index_scan": "SELECT doc_id AS id, 'f' || doc_id AS filename, label FROM documents JOIN embeddings ON vec_id = doc_id QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY doc_id) = 1",
+    "text_lookup": "SELECT vec_id AS doc_id, coalesce(quality, -1) AS quality, coalesce(toxic, -1) AS toxic FROM embeddings LEFT JOIN labels ON doc_id = vec_id",
     "key_intersection": "SELECT doc_id FROM documents INTERSECT SELECT doc_id FROM labels",
-    "vertical_stack": "SELECT lang, count(*) AS n FROM documents WHERE lang IN ('en', 'fr') GROUP BY 1",
+    "vertical_stack": "SELECT lang, count(*) AS n FROM documents GROUP BY 1",
     "distinct_paths": "SELECT DISTINCT '/' || source || '/' || lang AS path FROM documents",
-    "element_sets": f"WITH w AS (SELECT doc_id, {_words} AS w FROM documents) SELECT a.doc_id, len(list_filter(a.w, lambda x: list_contains(b.w, x)))::INTEGER AS \"both\", len(list_filter(a.w, lambda x: NOT list_contains(b.w, x)))::INTEGER AS \"only\" FROM w a JOIN w b ON b.doc_id = a.doc_id + 1",
+    "element_sets": """WITH w AS (SELECT DISTINCT doc_id, unnest(string_split_regex(text, '[ \n]+')) AS x FROM documents), o AS (SELECT * FROM w WHERE x <> ''),
+        n AS (SELECT a.doc_id, a.x, b.x IS NOT NULL AS too FROM o a LEFT JOIN o b ON b.doc_id = a.doc_id + 1 AND b.x = a.x)
+        SELECT d.doc_id, count(*) FILTER (too)::INTEGER AS "both", count(*) FILTER (NOT too)::INTEGER AS "only" FROM documents d JOIN documents e ON e.doc_id = d.doc_id + 1 LEFT JOIN n ON n.doc_id = d.doc_id GROUP BY 1""",
     "parse_cache_anti": "SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)",
-    "missing_sections": "WITH c AS (SELECT lang AS field, doc_id, CASE doc_id % 2 WHEN 0 THEN 'abstract' ELSE 'claims' END AS has FROM documents WHERE doc_id % 3 = 0) SELECT field, doc_id, section FROM c CROSS JOIN (VALUES ('abstract'), ('claims'), ('description')) s(section) WHERE section <> has",
+    "missing_sections": "WITH c AS (SELECT lang AS field, doc_id, CASE doc_id % 2 WHEN 0 THEN 'abstract' ELSE 'claims' END AS has FROM documents) SELECT field, doc_id, section FROM c CROSS JOIN (VALUES ('abstract'), ('claims'), ('description')) s(section) WHERE section <> has",
     "image_cap": "SELECT l_orderkey AS doc_id, l_linenumber AS page, l_quantity * 10 AS width FROM lineitem WHERE l_quantity * 10 >= 100 QUALIFY row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity) <= 2",
+    "sampled_listing": "SELECT doc_id FROM documents ORDER BY md5('42:' || doc_id), doc_id LIMIT 50",
     "surrogate_ids": "SELECT source || '/' || lpad(doc_id::VARCHAR, 8, '0') AS path, source AS type, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS id FROM documents",
     "document_join": "SELECT source, count(*) AS n, sum(toxic)::BIGINT AS toxic FROM labels JOIN documents USING (doc_id) GROUP BY 1",
     "status_latest": _status, "status_stream": _status,

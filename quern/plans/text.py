@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quern.functions import prompts as P
 from quern.functions import text as T
 from quern.functions import vectors as V
 from quern.operators import app as A
@@ -181,6 +182,33 @@ def few_shot_prompt(spark, d):
     return top.groupBy("lang").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", line.alias("line")))), lambda x: x["line"]), "\n").alias("prompt"))
 
 
+def prompt_flow(spark, d):
+    """The prompts of the drafting flow with short wording, one of each for a document."""
+    own = records(spark, d)
+    listed = F.filter(F.array(F.nullif("domain", F.lit("fr")), F.col("domain"), F.substring("abstract", 1, 20)), lambda x: x.isNotNull())
+    some = F.when(F.col("domain") == "de", F.array().cast("array<string>")).otherwise(listed)
+    examples = F.when(F.col("domain") == "es", F.array().cast("array<struct<abstract:string,claims:string>>")).otherwise(F.array(F.struct("abstract", "claims")))
+    made = {
+        "summary": P.summary("claims", "[in]", "(short)", "[do]"), "claim_parts": P.claim_parts("claims", "[claim]", "(none)", "[do]"),
+        "difference": P.difference("abstract", some, ("[idea]", "[prior]"), "(none)", "[do]"), "consensus": P.consensus(some, "[drafts]", "(none)", "[do]"),
+        "draft": P.draft(P.shown_examples(examples, "[examples]", ("[a]", "[c]"), "--", (50, 70)), F.nullif("domain", F.lit("en")), "abstract", some, ("[idea]", "[only]"), "[do]"),
+        "document": P.document("[pdf]", [("title", F.nullif("domain", F.lit("fr")))], [("[A]", F.col("abstract")), ("[C]", F.col("claims"))], some, "[image]", "N/A"),
+    }
+    return own.select("doc_id", *[md5(c).alias(n) for n, c in made.items()])
+
+
+def final_prompt(spark, d):
+    """The last prompt: the three longest documents of each language as examples, the smallest id's document as the one to write."""
+    from pyspark.sql import Window
+
+    own = records(spark, d).join(documents(spark, d).select("doc_id", (F.col("n_chars") / 1000).alias("score")), "doc_id")
+    rank = F.row_number().over(Window.partitionBy("domain").orderBy(F.desc("score"), "doc_id"))
+    top = own.withColumn("rank", rank).where("rank <= 3").groupBy("domain").agg(F.array_sort(F.collect_list(F.struct("rank", "doc_id", "score", "abstract", F.nullif(F.substring("claims", 1, 30), F.lit("")).alias("claims")))).alias("examples"))
+    new = own.groupBy("domain").agg(F.min_by("abstract", "doc_id").alias("abstract"))
+    made = P.final("examples", [("type", F.nullif("domain", F.lit("fr"))), ("summary", F.col("abstract"))], ("[examples]", "[write]"), "### example", ("id", "score", "summary", "claims"), "[rules]", "N/A", 60)
+    return top.join(new, "domain").select("domain", md5(made).alias("hash"), F.length(made).alias("n"))
+
+
 def defaults(spark, d):
     rows = spark.createDataFrame([(0, '{"type": "Ai", "abstract": {"raw": "a", "clean": "b"}, "claims": {"raw": "c"}, "description": {"raw": "d"}}'), (1, "broken"), (2, '{"type": "Ai"}')], "id int, answer string")
     q = C.parsed_query(F.col("answer"), F.lit("input"))
@@ -223,22 +251,27 @@ QUERIES |= {
     "text_basic": text_basic, "cleanup_artifacts": artifacts, "low_quality": quality, "remove_phrases": phrases, "section_unpivot": unpivoted, "mode_expand": expanded, "text_by_mode": mode_text,
     "text_min_length": long_text, "core_text": core, "snippet": snippets, "percent_clamp": percents, "code_format": codes, "json_extract": props, "html_escape": escaped, "answer_line_class": line_classes,
     "prompt_parts": prompts, "fewshot_prompt": few_shot_prompt, "default_record": defaults, "section_record": sectioned, "page_text": paged, "fewshot_examples": shaped_examples, "prior_art_text": prior_art_text,
+    "prompt_flow": prompt_flow, "final_prompt": final_prompt,
 }
-_ascii = "NOT regexp_matches(text, '[^\\x00-\\x7F]')"
+# The documents hold no character that NFKC changes and no Hangul, which the phrases of the modes are in; other rules have worked-out results above.
 _strip = lambda t: f"regexp_replace({t}, '^\\s+|\\s+$', '', 'g')"
+_lines = lambda t: f"array_to_string(list_filter(list_transform(string_split(replace({t}, chr(13), chr(10)), chr(10)), lambda x: {_strip('x')}), lambda x: x <> ''), chr(10))"
 _basic = lambda t: _strip(f"regexp_replace(regexp_replace(replace({t}, chr(13), chr(10)), '[ \\t]+', ' ', 'g'), '\\n{{3,}}', chr(10) || chr(10), 'g')")
 _squeeze = lambda t: _strip(f"regexp_replace({t}, '\\s+', ' ', 'g')")
 _clean = lambda t: _squeeze(f"regexp_replace(regexp_replace({_basic(t)}, '\\[[0-9]{{4}}\\]', ' ', 'g'), '-\\s*[0-9]+\\s*-', ' ', 'g')")
+_json = lambda l: f"CASE WHEN len({l}) > 0 THEN '[' || chr(10) || '  ' || array_to_string(list_transform({l}, lambda x: to_json(x)::VARCHAR), ',' || chr(10) || '  ') || chr(10) || ']' ELSE '[]' END"  # noqa: E731, E741
+_headed = lambda h, t: f"CASE WHEN {_strip(t)} <> '' THEN '{h}' || chr(10) || {_strip(t)} || chr(10) ELSE '' END"
 _phrases = "text"
 for _p in ("of the", "and", "the", "in"):
     _phrases = f"regexp_replace({_phrases}, '{_p.replace(' ', chr(92) + 's*')}', ' ', 'gi')"
 ORACLES |= {
-    "text_basic": f"SELECT doc_id, md5({_basic('text')}) AS hash, length({_basic('text')}) AS n FROM documents WHERE {_ascii}",
-    "cleanup_artifacts": f"SELECT doc_id, md5({_clean('text')}) AS hash FROM documents WHERE {_ascii}",
-    "low_quality": "SELECT doc_id, true AS low FROM documents",
-    "remove_phrases": f"SELECT doc_id, md5({_squeeze(_phrases)}) AS hash FROM documents WHERE {_ascii}",
+    "text_basic": f"SELECT doc_id, md5({_basic('text')}) AS hash, length({_basic('text')}) AS n FROM documents",
+    "cleanup_artifacts": f"SELECT doc_id, md5({_clean('text')}) AS hash FROM documents",
+    "low_quality": f"SELECT doc_id, length({_strip('text')}) < 300 OR length(regexp_replace(text, '[^가-힣]', '', 'g')) / greatest(length(text), 1) < 0.15 AS low FROM documents",
+    "remove_phrases": f"SELECT doc_id, md5({_squeeze(_phrases)}) AS hash FROM documents",
     "section_unpivot": f"WITH {_records} SELECT section, domain, doc_id, md5(text) AS hash FROM (UNPIVOT records ON abstract, claims, description INTO NAME section VALUE text)",
-    "mode_expand": f"WITH {_records}, own AS (SELECT * FROM records WHERE NOT regexp_matches(abstract || claims || description, '[^\\x00-\\x7F]')), s AS (SELECT 'abstract' AS section, domain, doc_id, abstract AS text FROM own UNION ALL SELECT 'claims', domain, doc_id, claims FROM own) SELECT section, mode, domain, doc_id, md5({_clean('text')}) AS hash FROM s CROSS JOIN (VALUES ('x'), ('conservative'), ('strong')) m(mode)",
+    "mode_expand": f"""WITH {_records}, s AS (SELECT 'abstract' AS section, domain, doc_id, abstract AS text FROM records UNION ALL SELECT 'claims', domain, doc_id, claims FROM records
+        UNION ALL SELECT 'description', domain, doc_id, {_lines('description')} FROM records) SELECT section, mode, domain, doc_id, md5({_clean('text')}) AS hash FROM s CROSS JOIN (VALUES ('x'), ('conservative'), ('strong')) m(mode)""",
     "text_by_mode": f"WITH {_records}, t AS (SELECT doc_id, concat_ws(chr(10), nullif(abstract, ''), nullif(claims, '')) AS text FROM records) SELECT doc_id, md5(text) AS hash FROM t WHERE length({_strip('text')}) >= 80",
     "text_min_length": f"WITH {_records}, t AS (SELECT doc_id, concat_ws(chr(10), nullif(abstract, ''), nullif(claims, '')) AS text FROM records) SELECT doc_id, length(text) AS n FROM t WHERE length({_strip('text')}) >= 200",
     "core_text": f"WITH {_records}, t AS (SELECT doc_id, concat_ws(chr(10) || chr(10), claims, substr(description, 2001, 6000)) AS t FROM records) SELECT doc_id, length(t) AS n, md5(t) AS hash FROM t",
@@ -254,5 +287,18 @@ ORACLES |= {
     "section_record": "SELECT 1 AS id, '가' AS title, '나.' AS abstract, '청구항 1' || chr(10) || '다.' AS claims, '기술분야' || chr(10) || '라. 표 1 x' AS description, 1 AS n_tables, 1 AS n_claims",
     "fewshot_examples": f"WITH {_records}, r AS (SELECT *, (row_number() OVER (ORDER BY doc_id DESC))::INTEGER AS rank FROM records WHERE domain = 'en') SELECT rank, md5(abstract) AS abstract, md5(claims) AS claims FROM r WHERE rank <= 3",
     "prior_art_text": f"WITH {_records}, r AS (SELECT *, row_number() OVER (ORDER BY doc_id DESC) AS rank FROM records WHERE domain = 'en') SELECT md5(string_agg('<' || rank || '. ' || doc_id || '> ' || abstract || ' | ' || substr(claims, 1, 300) || '...', chr(10) ORDER BY rank)) AS hash FROM r WHERE rank <= 5",
+    "prompt_flow": f"""WITH {_records}, x AS (SELECT *, CASE domain WHEN 'de' THEN [] WHEN 'fr' THEN [domain, abstract[:20]] ELSE [domain, domain, abstract[:20]] END AS l FROM records), j AS (SELECT *, {_json('l')} AS j, {_headed('[idea]', 'abstract')} AS idea FROM x)
+        SELECT doc_id, md5(CASE WHEN length({_strip('claims')}) >= 50 THEN '[in]' || chr(10) || {_strip('claims')} || chr(10) ELSE '[in]' || chr(10) || '(short)' || chr(10) END || chr(10) || '[do]') AS summary,
+        md5(CASE WHEN {_strip('claims')} <> '' THEN '[claim]' || chr(10) || {_strip('claims')} || chr(10) ELSE '[claim]' || chr(10) || '(none)' || chr(10) END || chr(10) || '[do]') AS claim_parts,
+        md5(concat_ws(chr(10), nullif(idea, ''), '[prior]' || chr(10) || CASE WHEN len(l) > 0 THEN j ELSE '(none)' END || chr(10), '[do]')) AS difference, md5('[drafts]' || chr(10) || CASE WHEN len(l) > 0 THEN j ELSE '(none)' END || chr(10) || chr(10) || '[do]') AS consensus,
+        md5(concat_ws(chr(10), CASE WHEN domain <> 'es' THEN '[examples]' || chr(10) || '[a]' || chr(10) || abstract[:50] || '...' || chr(10) || chr(10) || '[c]' || chr(10) || claims[:70] || '...' || chr(10) || chr(10) || '--' || chr(10) END, nullif(domain, 'en'),
+            '[idea]' || chr(10) || abstract || chr(10) || chr(10) || '[only]' || chr(10) || j || chr(10), '[do]')) AS draft,
+        md5('[pdf]' || chr(10) || 'title: ' || coalesce(nullif(domain, 'fr'), 'N/A') || chr(10) || chr(10) || '[A]' || chr(10) || coalesce(nullif(abstract, ''), 'N/A') || chr(10) || chr(10) || '[C]' || chr(10) || coalesce(nullif(claims, ''), 'N/A')
+            || CASE WHEN len(l) > 0 THEN chr(10) || chr(10) || array_to_string([z FOR z IN list_transform(l, lambda v, i: CASE WHEN {_strip('v')} <> '' THEN '[image] ' || i || chr(10) || {_strip('v')} END) IF z IS NOT NULL], chr(10) || chr(10)) ELSE '' END) AS document FROM j""",
+    "final_prompt": f"""WITH {_records}, o AS (SELECT r.*, n_chars / 1000 AS score FROM records r JOIN documents USING (doc_id)), t AS (SELECT *, row_number() OVER (PARTITION BY domain ORDER BY score DESC, doc_id) AS rank FROM o),
+        e AS (SELECT domain, string_agg('### example ' || rank || chr(10) || '- id: ' || doc_id || chr(10) || '- score: ' || format('{{:.4f}}', score) || chr(10) || '- summary: ' || CASE WHEN length(abstract) > 60 THEN abstract[:60] || '...' ELSE coalesce(nullif(abstract, ''), 'N/A') END
+            || chr(10) || '- claims: ' || coalesce(nullif(claims[:30], ''), 'N/A'), chr(10) ORDER BY rank) AS e FROM t WHERE rank <= 3 GROUP BY 1), n AS (SELECT domain, arg_min(abstract, doc_id) AS a FROM o GROUP BY 1),
+        m AS (SELECT domain, '[examples]' || chr(10) || e || chr(10) || chr(10) || '[write]' || chr(10) || '- type: ' || coalesce(nullif(domain, 'fr'), 'N/A') || chr(10) || '- summary: ' || coalesce(nullif(a, ''), 'N/A') || chr(10) || chr(10) || '[rules]' AS m FROM e JOIN n USING (domain))
+        SELECT domain, md5(m) AS hash, length(m) AS n FROM m""",
     "page_text": "SELECT * FROM (VALUES (1, 3), (2, 1)) t(doc_id, pages)",
 }

@@ -13,6 +13,8 @@ from quern.functions import vectors as V
 from quern.operators import search as S
 from quern.operators import vectors as O
 from quern.sources import corpus as C
+from quern.sources import sinks
+from quern.sources.shared import shared_folder
 
 DIM, SECTION_DIM = 64, 20
 SECTIONS = {"abstract": 1, "claims": 21, "description": 41}
@@ -328,6 +330,63 @@ def fused_domain(spark, d):
     return r6(aligned(spark, d).join(w, "label", "left").select("doc_id", v[0].alias("first"), v[19].alias("last")))
 
 
+def saved_weights(spark, d):
+    """Each domain's weights, saved and loaded again."""
+    import uuid
+
+    w = O.dynamic_weights(O.pair_stats(sections(spark, d), "label", "vector", ["section"], "domain"), ["label"]).select("label", "section", "W")
+    folder = f"{shared_folder(spark)}/weights_{uuid.uuid4().hex}"
+    sinks.write_weights(w, folder)
+    return C.saved_table(spark, folder, "label int, section string, W double", "json")
+
+
+def saved_stats(spark, d):
+    """Statistics of two fields as loaded from what was saved."""
+    import uuid
+
+    st = O.pair_stats(sections(spark, d), "label", "vector", ["section"], "domain")
+    folder = f"{shared_folder(spark)}/stats_{uuid.uuid4().hex}"
+    sinks.write_weights(st, folder)
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in st.schema)
+    return r6(C.for_fields(C.saved_table(spark, folder, schema, "csv"), [1, 3], "label"))
+
+
+def _by_saved(spark, d, normal):
+    v = normal(V.weighted_sum([f"v_{s}" for s in SECTIONS], [F.col(f"w_{s}") for s in SECTIONS]))
+    own = aligned(spark, d).join(_weight_columns(saved_weights(spark, d), ["label"]), "label")
+    return r6(own.select("doc_id", v[0].alias("first"), v[19].alias("last")))
+
+
+def fused_saved(spark, d):
+    return _by_saved(spark, d, V.l2_or_zero)
+
+
+def fused_at_embedding(spark, d):
+    return _by_saved(spark, d, V.l2_guarded)
+
+
+TOKENS = 8  # slices of a vector that stand for token states; two vectors' halves for layers
+
+
+def _tokens(spark, d):
+    states = F.transform(F.sequence(F.lit(0), F.lit(TOKENS - 1)), lambda i: F.slice(V.doubles("embedding"), i * TOKENS + 1, TOKENS))
+    mask = F.transform(F.sequence(F.lit(0), F.lit(TOKENS - 1)), lambda i: (i < F.col("vec_id") % (TOKENS + 1)).cast("int"))
+    return embeddings(spark, d).select("vec_id", states.alias("states"), mask.alias("mask"))
+
+
+def pooled_tokens(spark, d):
+    a, b = V.token_mean("states", "mask"), V.norm_softmax_pool("states")
+    return r6(_tokens(spark, d).select("vec_id", a[0].alias("mean_first"), a[7].alias("mean_last"), b[0].alias("soft_first"), b[7].alias("soft_last")))
+
+
+def pooled_layers(spark, d):
+    """Layers of two tokens each; the last four of these, masked mean and soft pooling."""
+    layers = F.transform(F.sequence(F.lit(0), F.lit(5)), lambda i: F.slice(F.col("states"), i + 1, 2))
+    own = _tokens(spark, d).select("vec_id", V.last_layers(layers).alias("s"))
+    a, b = V.token_mean("s", F.array(F.lit(1), F.lit(0))), V.norm_softmax_pool("s")
+    return r6(own.select("vec_id", a[0].alias("mean_first"), b[0].alias("soft_first"), b[7].alias("soft_last")))
+
+
 def _fused_sql(weights: str, join: str, w: str) -> str:
     sums = "list_transform(list_zip(a.vector, b.vector, c.vector), lambda z: " + " + ".join(f"{w.format(s)} * z[{i}]" for i, s in enumerate(SECTIONS, 1)) + ")"
     return f"""{weights}, f AS (SELECT a.doc_id, {sums} AS v FROM s a JOIN s b ON a.doc_id = b.doc_id AND b.section = 'claims' JOIN s c ON a.doc_id = c.doc_id AND c.section = 'description' {join} WHERE a.section = 'abstract')
@@ -413,17 +472,26 @@ QUERIES = {
     "dynamic_weights_global": weights_global, "dynamic_weights_domain": weights_domain, "snr_prototype_weights": prototypes,
     "align_sections": align_ranks, "fuse_equal": fused_equal, "fuse_global": fused_global, "fuse_domain": fused_domain,
     "centroid_alignment": alignment, "cosine_quantiles": cosine_quantiles,
+    "saved_stats": saved_stats, "fuse_saved_weights": fused_saved, "fuse_at_embedding": fused_at_embedding, "pool_tokens": pooled_tokens, "pool_layers": pooled_layers,
 }
 
 _tenth, _null = "list_transform(embedding::DOUBLE[], lambda x: x * 0.1)", "list_transform(embedding::DOUBLE[], lambda x: x * 0.0)"
 _pool = "chunk AS (SELECT vec_id // 4 AS doc_id, embedding::DOUBLE[] AS vector FROM embeddings)"
 _stats_cols = "mu_in mu_out sigma_in sigma_out"
 _cross_sql = "x AS (SELECT vec_id AS doc_id, list_dot_product(embedding::DOUBLE[], (SELECT embedding::DOUBLE[] FROM embeddings WHERE label = 0 ORDER BY vec_id LIMIT 1)) AS score FROM embeddings WHERE label = 1)"
-_five = _wide("domain").replace("FROM raw)", "FROM raw WHERE label <> 5)", 1)
+_states = f"""t AS (SELECT vec_id, unnest(range(0, {TOKENS})) AS i, embedding::DOUBLE[] AS e FROM embeddings), st AS (SELECT vec_id, i, e[i * {TOKENS} + 1 : i * {TOKENS} + {TOKENS}] AS s FROM t)"""
+_soft = lambda src: f"sz AS (SELECT *, {_norm('s')} AS z FROM {src}), ex AS (SELECT *, exp(z - max(z) OVER (PARTITION BY vec_id)) AS x FROM sz)"
 ORACLES = {
+    "saved_stats": f"WITH {_pairs} SELECT * FROM ({_round(_stats_sql('domain'), _stats_cols, 'section, label, count_in, count_out')}) WHERE label IN (1, 3)",
+    "fuse_saved_weights": _fused_sql(_wide("domain"), "JOIN wide ON wide.label = a.label", "w_{}"), "fuse_at_embedding": _fused_sql(_wide("domain"), "JOIN wide ON wide.label = a.label", "w_{}"),
+    "pool_tokens": f"""WITH {_states}, {_soft('st')} SELECT vec_id, round(coalesce(sum(s[1]) FILTER (i < vec_id % {TOKENS + 1}), 0) / greatest(count(*) FILTER (i < vec_id % {TOKENS + 1}), 1), 6) AS mean_first,
+        round(coalesce(sum(s[8]) FILTER (i < vec_id % {TOKENS + 1}), 0) / greatest(count(*) FILTER (i < vec_id % {TOKENS + 1}), 1), 6) AS mean_last, round(sum(s[1] * x) / sum(x), 6) AS soft_first, round(sum(s[8] * x) / sum(x), 6) AS soft_last FROM ex GROUP BY vec_id""",
+    "pool_layers": f"""WITH {_states},
+        tk AS (SELECT vec_id, j, p, avg(s[p]) AS v FROM st, (VALUES (0), (1)) v(j), (SELECT unnest(range(1, 9)) AS p) WHERE i - j BETWEEN 2 AND 5 GROUP BY 1, 2, 3), av AS (SELECT vec_id, j, list(v ORDER BY p) AS s FROM tk GROUP BY 1, 2), {_soft('av')}
+        SELECT vec_id, round(max(s[1]) FILTER (j = 0), 6) AS mean_first, round(sum(s[1] * x) / sum(x), 6) AS soft_first, round(sum(s[8] * x) / sum(x), 6) AS soft_last FROM ex GROUP BY vec_id""",
     "cross_field_top": f"WITH {_cross_sql} SELECT doc_id, round(score, 6) AS score FROM x ORDER BY x.score DESC, doc_id LIMIT 10",
     "cross_field_stats": f"WITH {_cross_sql} SELECT round(avg(score), 6) AS mean, round(max(score), 6) AS max, round(min(score), 6) AS min, round(stddev_pop(score), 6) AS std, count(*) AS n FROM x",
-    "query_fusion": f"""{_five}, every AS (SELECT section, doc_id, label, {_floor('v')} AS vector FROM raw WHERE doc_id < 20),
+    "query_fusion": f"""{_wide("domain")}, every AS (SELECT section, doc_id, label, {_floor('v')} AS vector FROM raw),
         f AS (SELECT a.doc_id, list_transform(list_zip(a.vector, b.vector, c.vector), lambda z: coalesce(w_abstract, 1.0 / 3) * z[1] + coalesce(w_claims, 1.0 / 3) * z[2] + coalesce(w_description, 1.0 / 3) * z[3]) AS v
         FROM every a JOIN every b ON a.doc_id = b.doc_id AND b.section = 'claims' JOIN every c ON a.doc_id = c.doc_id AND c.section = 'description' LEFT JOIN wide ON wide.label = a.label WHERE a.section = 'abstract')
         SELECT doc_id, round(v[1], 6) AS "first", round(v[20], 6) AS "last" FROM f""",
@@ -458,5 +526,7 @@ ORACLES = {
     "align_sections": "SELECT label, vec_id AS doc_id, CASE label WHEN 2 THEN 0 WHEN 0 THEN 1 WHEN 1 THEN 2 ELSE 999 END AS domain_rank FROM embeddings",
     "fuse_equal": _fused_sql(f"WITH {_s}", "", "(1.0 / 3)"), "fuse_global": _fused_sql(_wide("global"), ", wide", "w_{}"), "fuse_domain": _fused_sql(_wide("domain"), "JOIN wide ON wide.label = a.label", "w_{}"),
     "centroid_alignment": f"WITH {_c}, {_mean('m', 'c', 'label')}, x AS (SELECT label, list_dot_product(vector, {_added('mean')}) AS x FROM c JOIN m USING (label)) SELECT label, round(avg(x), 4) AS avg, round(stddev_pop(x), 4) AS std, round(min(x), 4) AS min, round(max(x), 4) AS max FROM x GROUP BY 1",
-    "cosine_quantiles": f"WITH o AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings ORDER BY vec_id LIMIT 400), v AS (SELECT vec_id, {_added('e', '1e-12')} AS v FROM o), x AS (SELECT list_dot_product(a.v, b.v) AS x FROM v a JOIN v b ON a.vec_id < b.vec_id) SELECT round(avg(x), 6) AS mean, round(stddev_pop(x), 6) AS std, round(min(x), 6) AS min, round(max(x), 6) AS max, " + ", ".join(f"round(quantile_cont(x, {p}), 6) AS {n}" for p, n in ((0.01, "q01"), (0.05, "q05"), (0.5, "q50"), (0.95, "q95"), (0.99, "q99"))) + " FROM x",
+    "cosine_quantiles": f"""WITH v AS (SELECT vec_id, {_added('embedding::DOUBLE[]', '1e-12')} AS v FROM embeddings), p AS (SELECT avg(x) AS mean, stddev_pop(x) AS std FROM (SELECT list_dot_product(a.v, b.v) AS x FROM v a JOIN v b ON a.vec_id < b.vec_id)),
+        o AS (SELECT * FROM v ORDER BY md5('42:' || vec_id), vec_id LIMIT 400), x AS (SELECT list_dot_product(a.v, b.v) AS x FROM o a JOIN o b ON a.vec_id < b.vec_id)
+        SELECT round(any_value(mean), 6) AS mean, round(any_value(std), 6) AS std, round(min(x), 6) AS min, round(max(x), 6) AS max, """ + ", ".join(f"round(quantile_cont(x, {p}), 6) AS {n}" for p, n in ((0.01, "q01"), (0.05, "q05"), (0.5, "q50"), (0.95, "q95"), (0.99, "q99"))) + " FROM x, p",
 }

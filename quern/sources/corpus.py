@@ -53,9 +53,16 @@ def by_section(records: DataFrame, sections=SECTIONS) -> DataFrame:
     return records.unpivot(["domain", "doc_id"], list(sections), "section", "text").select("section", "domain", "doc_id", "text")
 
 
-def by_mode(records: DataFrame, sections=SECTIONS, modes=T.MODES) -> DataFrame:
-    """(section, mode, domain, doc_id, text): every section in every mode."""
-    rows = [F.struct(F.lit(s).alias("section"), F.lit(m).alias("mode"), T.preprocess_section(s, s, m).alias("text")) for s in sections for m in modes]
+def by_mode(records: DataFrame, sections=SECTIONS, modes=T.MODES, extra: dict | None = None) -> DataFrame:
+    """(section, mode, domain, doc_id, text): every section in every mode. extra: for a domain its own phrases by level, removed with those that all domains share."""
+
+    def text(s: str, m: str) -> F.Column:
+        out = T.preprocess_section(s, s, m)
+        for domain, phrases in (extra or {}).items():
+            out = F.when(F.col("domain") == domain, T.preprocess_section(s, s, m, phrases)).otherwise(out)
+        return out
+
+    rows = [F.struct(F.lit(s).alias("section"), F.lit(m).alias("mode"), text(s, m).alias("text")) for s in sections for m in modes]
     return records.select("domain", "doc_id", F.explode(F.array(*rows)).alias("r")).select("r.section", "r.mode", "domain", "doc_id", "r.text")
 
 
@@ -74,7 +81,7 @@ def core_text(claims: str = "claims", description: str = "description") -> F.Col
 
 def sampled(df: DataFrame, ident: str, n: int, seed: int = 42) -> DataFrame:
     """n rows in an order that depends on the seed alone."""
-    return df.orderBy(F.xxhash64(F.col(ident), F.lit(seed)), ident).limit(n)
+    return df.orderBy(F.md5(F.concat(F.lit(f"{seed}:"), F.col(ident).cast("string")).cast("binary")), ident).limit(n)
 
 
 def npz_pack(spark: SparkSession, path: str, vectors: str = "vectors", labels: str = "labels", ids: str = "doc_ids") -> DataFrame:
@@ -115,6 +122,28 @@ def indexed_vectors(index: DataFrame, vectors: DataFrame) -> DataFrame:
     return first_wins(index.join(vectors, "filename"), ["filename"], "load_seq")
 
 
+def saved_table(spark: SparkSession, path: str, schema: str, kind: str = "parquet") -> DataFrame:
+    """Statistics or weights as they were saved (parquet, csv or json), with the types they had."""
+    reader = spark.read.schema(schema)
+    return reader.option("header", True).csv(f"{path}/csv") if kind == "csv" else reader.format(kind).load(f"{path}/{kind}")
+
+
+def for_fields(saved: DataFrame, fields: list, key: str = "field") -> DataFrame:
+    """The rows of these fields; a field without rows is an error."""
+    there = {r[0] for r in saved.where(F.col(key).isin(*fields)).select(key).distinct().collect()}  # at most as many as were asked for
+    if lost := [f for f in fields if f not in there]:
+        raise FileNotFoundError(f"nothing saved for {', '.join(map(str, lost))}")
+    return saved.where(F.col(key).isin(*fields))
+
+
+def whole_cache(cache: DataFrame, sections=SECTIONS) -> DataFrame:
+    """A cache (field, doc_id, section, vector) in order of ids; a document that lacks a section is an error."""
+    lost = missing_sections(cache, sections).orderBy("field", "doc_id", "section").head(1)
+    if lost:
+        raise FileNotFoundError(f"no vector of section {lost[0]['section']} of {lost[0]['doc_id']} in {lost[0]['field']}")
+    return cache.orderBy("field", "doc_id", "section")
+
+
 def missing_sections(cache: DataFrame, sections=SECTIONS) -> DataFrame:
     """(field, doc_id, section) that a cache of section vectors lacks."""
     ids = cache.select("field", "doc_id").distinct()

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # The codes of a running job and what they say.
@@ -32,12 +32,24 @@ def last_status(signals: DataFrame, keys: list[str] = (), ident: str = "event_id
     return last.select(*keys, F.col("last.code").alias("code"), F.col("last.ts").alias("ts"), message(F.col("last.code")).alias("message"), running(F.col("last.code")).alias("running"))
 
 
-def start_status(signals: DataFrame, name: str, keys: list[str] = (), interval: str | None = None):
-    """The running state as an in-memory table that is updated with each batch, every `interval` if given."""
-    writer = last_status(signals, keys).writeStream.outputMode("complete").format("memory").queryName(name)
+def start_status(signals: DataFrame, folder: str, keys: list[str] = (), interval: str | None = None):
+    """The running state: each batch's changed keys are written to a part of folder/changes, all that is there once with
+    interval None, else every `interval`. A batch that is tried again writes its part again; the stream goes on from folder/checkpoint."""
+
+    def write(changed: DataFrame, batch: int) -> None:
+        changed.write.mode("overwrite").parquet(f"{folder}/changes/batch={batch}")
+
+    writer = last_status(signals, keys).writeStream.outputMode("update").option("checkpointLocation", f"{folder}/checkpoint").foreachBatch(write)
     return (writer.trigger(processingTime=interval) if interval else writer.trigger(availableNow=True)).start()
 
 
+def read_status(spark: SparkSession, folder: str, keys: list[str] = ()) -> DataFrame:
+    """The state that start_status has written so far: each key's row of the last batch that changed it."""
+    found = spark.read.parquet(f"{folder}/changes")
+    own = [c for c in found.columns if c not in (*keys, "batch")]
+    return found.groupBy(*keys).agg(F.max_by(F.struct(*own), "batch").alias("last")).select(*keys, *[f"last.{c}" for c in own])
+
+
 def windowed_counts(events: DataFrame, late: str = "10 minutes", width: str = "1 hour") -> DataFrame:
     """An extension: events of each type in event-time windows, late ones within a watermark counted."""
     timed = events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late)

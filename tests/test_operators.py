@@ -151,9 +151,38 @@ def test_status_of_codes(spark):
 def test_streamed_status_is_the_batch_status(spark, tmp_path):
     df = spark.createDataFrame([(i, i % 7, f"1000{i % 4}", i % 3) for i in range(50)], "event_id long, ts long, code string, user_id long")
     df.repartition(3).write.parquet(f"{tmp_path}/in")
-    q = signals.start_status(spark.readStream.schema(df.schema).parquet(f"{tmp_path}/in"), "status_test", ["user_id"])
-    q.awaitTermination()
-    assert sorted(spark.table("status_test").collect()) == sorted(signals.last_status(df, ["user_id"]).collect())
+    for _ in range(2):  # the second goes on behind the first: a later signal of one user
+        signals.start_status(spark.readStream.schema(df.schema).parquet(f"{tmp_path}/in"), f"{tmp_path}/state", ["user_id"]).awaitTermination()
+        assert sorted(signals.read_status(spark, f"{tmp_path}/state", ["user_id"]).collect()) == sorted(signals.last_status(spark.read.parquet(f"{tmp_path}/in"), ["user_id"]).collect())
+        spark.createDataFrame([(99, 9, "DONE", 1)], df.schema).write.mode("append").parquet(f"{tmp_path}/in")
+
+
+def test_moments_in_levels(spark, monkeypatch):
+    monkeypatch.setattr(O, "LANES", 2)
+    x = np.random.default_rng(5).standard_normal((60, 3))
+    df = spark.createDataFrame([(i % 2, v.tolist()) for i, v in enumerate(x)], "k int, v array<double>").repartition(7)
+    for r in O.moments(df, ["k"], "v").collect():
+        own = x[r["k"] :: 2]
+        q = (own * own).sum(axis=1)
+        assert r["n"] == 30 and np.allclose(r["s"], own.sum(axis=0)) and np.allclose(np.array(r["g"]).reshape(3, 3), own.T @ own) and np.allclose((r["q2"], r["q4"]), (q.sum(), (q * q).sum()))
+
+
+def test_first_and_last_of_a_key(spark):
+    df = spark.createDataFrame([("a", 3, "x"), ("a", 1, "y"), ("a", None, "z"), (None, 5, "u"), (None, 4, "v")], "k string, at int, what string")
+    assert sorted((r["k"] or "", r["at"], r["what"]) for r in O.last_wins(df, ["k"], "at").collect()) == [("", 5, "u"), ("a", 3, "x")]
+    assert sorted((r["k"] or "", r["what"]) for r in O.first_wins(df, ["k"], "at").collect()) == [("", "v"), ("a", "z")]
+
+
+def test_shared_folder_is_never_one_machines(spark, monkeypatch):
+    from quern.sources import shared
+
+    class Far:
+        conf = type("C", (), {"get": staticmethod(lambda *_: None)})
+        sparkContext = type("S", (), {"master": "spark://host:7077", "getCheckpointDir": staticmethod(lambda: None)})
+
+    with pytest.raises(RuntimeError):
+        shared.shared_folder(Far)
+    assert shared.shared_folder(spark)
 
 
 def test_work_queue(spark, tmp_path):
@@ -180,4 +209,5 @@ def test_entry_points(spark):
     import __spark_entry__ as e
 
     assert set(e.oracle_sql()) <= set(e.queries())
-    assert e.entry(spark).count() >= 0
+    rows = e.entry(spark).collect()
+    assert 0 < len(rows) <= 15 and [r["rank"] for r in sorted(rows, key=lambda r: r["rank"])] == list(range(1, len(rows) + 1))
