@@ -62,7 +62,9 @@ class Codec:
         self.cut = (lambda text: [text] if text else []) if inside else re.compile(f"{MARK}*[^{MARK}]+|{MARK}+").findall
         self.least = min(self.scores.values()) - 10
         self.words: dict[str, bytes] = {}
-        self.apart: dict[tuple[str, str], bool] = {}
+        #: Numbers of the pieces, 0 for none; and which pairs of them the merges leave apart.
+        self.numbers: dict[str, int] = {"": 0, **{p: k for k, p in enumerate(self.ids, 1)}}
+        self.apart: dict[int, bool] = {}
 
     def merged(self, symbols: list[str]) -> list[str]:
         """The merges themselves, on a short list: the best-scored neighbours that are a piece together, the leftmost first."""
@@ -78,39 +80,49 @@ class Codec:
 
     def fits(self, before: str, piece: str) -> bool:
         """Whether the merges leave the two apart, and each whole."""
-        known = self.apart.get((before, piece))
-        if known is None:
-            if len(self.apart) >= KEPT_PAIRS:
-                self.apart.clear()
-            known = self.apart[before, piece] = self.merged(list(before + piece)) == [p for p in (before, piece) if p]
-        return known
+        return self.merged(list(before + piece)) == [p for p in (before, piece) if p]
+
+    def number(self, character: str) -> int:
+        """A number for a character that is no piece, behind those of the pieces."""
+        return self.numbers.setdefault(character, len(self.numbers))
 
     def encode_words(self, words: list[str]) -> Iterator[tuple[str, list[str]]]:
-        """The pieces of each word of a sorted list. last[i] is the last piece of the first i characters, best[i] their score."""
-        last, best, before = [""], [0.0], ""
-        pieces, reach, merges = self.scores, self.reach, self.merges
+        """The pieces of each word of a sorted list. last[i] is the last piece of the first i characters, which[i] its number, best[i] their score."""
+        last, which, best, before = [""], [0], [0.0], ""
+        pieces, numbers, reach, apart = self.scores, self.numbers, self.reach, self.apart
         for word in words:
             shared, most = 0, min(len(word), len(before))
             while shared < most and word[shared] == before[shared]:
                 shared += 1
-            del last[shared + 1 :], best[shared + 1 :]
+            del last[shared + 1 :], which[shared + 1 :], best[shared + 1 :]
             for end in range(shared + 1, len(word) + 1):
-                found, score = word[end - 1], None  # an unknown character stands alone
-                for begin in range(max(0, end - reach.get(word[max(0, end - TAIL) : end], TAIL - 1)), end):
-                    piece = word[begin:end]
-                    s = pieces.get(piece)
-                    if s is None:
-                        if end - begin > 1:
-                            continue
-                        s = self.least
-                    if merges:
-                        if self.fits(last[begin], piece):
-                            found, score = piece, s
-                            break
-                    elif score is None or best[begin] + s > score:
-                        found, score = piece, best[begin] + s
+                begin = max(0, end - reach.get(word[max(0, end - TAIL) : end], TAIL - 1))
+                if self.merges:
+                    while True:  # the last one, a character alone, fits if no longer one does
+                        found = word[begin:end]
+                        n = numbers.get(found)
+                        if n is None and begin == end - 1:
+                            n = self.number(found)
+                        if n is not None:
+                            pair = which[begin] << 32 | n
+                            known = apart.get(pair)
+                            if known is None:
+                                if len(apart) >= KEPT_PAIRS:
+                                    apart.clear()
+                                known = apart[pair] = self.fits(last[begin], found)
+                            if known or begin == end - 1:
+                                break
+                        begin += 1
+                    which.append(n)
+                else:
+                    found, score = word[end - 1], None
+                    for begin in range(begin, end):
+                        piece = word[begin:end]
+                        s = pieces.get(piece, self.least if begin == end - 1 else None)  # an unknown character stands alone
+                        if s is not None and (score is None or best[begin] + s > score):
+                            found, score = piece, best[begin] + s
+                    best.append(score)
                 last.append(found)
-                best.append(score or 0.0)
             out, end = [], len(word)
             while end:
                 out.append(last[end])
