@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import atexit
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,16 +19,17 @@ WHILE_CUTTING = {
     "spark.sql.execution.arrow.maxRecordsPerBatch": "2000", "spark.sql.execution.arrow.maxBytesPerBatch": str(16 << 20),
 }
 _made: list[tuple[SparkSession, str]] = []
+_held: ContextVar[tuple[list, ...]] = ContextVar("held", default=())  # of the scratches that are open, the innermost last
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def cut(df: DataFrame) -> DataFrame:
+def cut(df: DataFrame, keep: bool = False) -> DataFrame:
     """Write df to the shared folder as Parquet and read it back: its lineage ends there,
-    so a lost executor costs no recomputation of what went before. The files go when the
-    driver's Python ends; one query may still read them until then."""
+    so a lost executor costs no recomputation of what went before. The files go when the scratch they
+    were written in ends, with keep the one around that, else when the driver's Python ends."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/quern-{uuid.uuid4().hex}"
     was = {k: spark.conf.get(k, None) for k in WHILE_CUTTING}
@@ -36,12 +40,25 @@ def cut(df: DataFrame) -> DataFrame:
     finally:
         for k, v in was.items():
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
-    _made.append((spark, path))
+    held = _held.get()
+    (held[: len(held) - keep] or (_made,))[-1].append((spark, path))
     return spark.read.schema(df.schema).parquet(path)
 
 
-def _remove() -> None:
-    for spark, path in _made:
+@contextmanager
+def scratch() -> Iterator[None]:
+    """What is cut within, and not kept, is removed at the end: nothing that is read later may depend on it."""
+    own: list[tuple[SparkSession, str]] = []
+    token = _held.set((*_held.get(), own))
+    try:
+        yield
+    finally:
+        _held.reset(token)
+        _remove(own)
+
+
+def _remove(made: list[tuple[SparkSession, str]]) -> None:
+    for spark, path in made:
         try:
             p = spark._jvm.org.apache.hadoop.fs.Path(path)
             p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
@@ -49,7 +66,7 @@ def _remove() -> None:
             return
 
 
-atexit.register(_remove)
+atexit.register(_remove, _made)
 
 
 def apart(docs: DataFrame) -> DataFrame:
@@ -119,13 +136,14 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     before = digest(e)
     while before[0]:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = cut(with_least(both, 2 * before[0]).where("v > u").select(F.col("v").alias("u"), F.least("m", "u").alias("v")).distinct())
-        small = (
-            with_least(large, before[0])
-            .select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("x"))
-            .select("x.u", "x.v").where("u > v").distinct()
-        )
-        e = cut(small)
+        with scratch():
+            large = cut(with_least(both, 2 * before[0]).where("v > u").select(F.col("v").alias("u"), F.least("m", "u").alias("v")).distinct())
+            small = (
+                with_least(large, before[0])
+                .select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("x"))
+                .select("x.u", "x.v").where("u > v").distinct()
+            )
+            e = cut(small, keep=True)
         after = digest(e)
         if after == before:
             break

@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import components, cut, partitions, table
+from .common import components, cut, partitions, scratch, table
 
 SIMILARITY = 0.93
 PASSES, BITS, WINDOW = 16, 60, 48
@@ -264,13 +264,15 @@ def near_duplicates(vectors: DataFrame, similarity: float = SIMILARITY, passes:
     reps = cut(rows.where(fine).groupBy("label", "embedding").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies")))
     if passes is None:
         passes = passes_for(reps.groupBy("label").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0)
-    found = components(cut(candidates(reps, passes, similarity)))
-    members = cut(found.withColumnRenamed("node", "rep").join(reps, "rep").select("component", "rep", "copies", "embedding"))
-    known = (
-        reps.join(members.select("rep", "component"), "rep", "left").join(counts(members, similarity), "rep", "left")
-        .select("label", "embedding", (F.coalesce("others", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
-    )
-    linked = rows.where(fine).join(cut(known), ["label", "embedding"]).select("vec_id", "n_links", "component_id")
+    with scratch():
+        found = components(cut(candidates(reps, passes, similarity)))
+        members = cut(found.withColumnRenamed("node", "rep").join(reps, "rep").select("component", "rep", "copies", "embedding"))
+        known = (
+            reps.join(members.select("rep", "component"), "rep", "left").join(counts(members, similarity), "rep", "left")
+            .select("label", "embedding", (F.coalesce("others", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
+        )
+        known = cut(known, keep=True)
+    linked = rows.where(fine).join(known, ["label", "embedding"]).select("vec_id", "n_links", "component_id")
     alone = rows.where(~fine).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     return linked.unionByName(alone).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))
 

@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import components, cut, partitions, table
+from .common import components, cut, partitions, scratch, table
 
 WORDS, DISTANCE = 4, 4
 SEGMENTS, BITS = 8, 8
@@ -167,11 +167,10 @@ def near_duplicates(docs: DataFrame, words: int = WORDS) -> DataFrame:
     """
     own = cut(fingerprints(docs, words))
     reps = cut(own.where("doc_id IS NOT NULL").groupBy("fp").agg(F.min("doc_id").alias("rep")))
-    joined = components(links(reps))
-    known = cut(
-        reps.join(joined, reps["rep"] == joined["node"], "left")
-        .select("fp", F.coalesce("component", "rep").alias("component_id"))
-    )
+    with scratch():
+        joined = components(links(reps))
+        known = reps.join(joined, reps["rep"] == joined["node"], "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
+        known = cut(known, keep=True)
     return own.join(known, "fp", "left").select("doc_id", "fp", "component_id")
 
 

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import apart, cut, replaced, table, texts_of
+from .common import apart, cut, replaced, scratch, table, texts_of
 from .words import LOWER, U8, blobs_by_part, by_place, cut_up, mixed, packed, powers, trim, unpacked, words
 
 #: A run has this many sentences and words at least, or, whatever its sentences, so many words.
@@ -185,11 +185,9 @@ def dedup(docs: DataFrame) -> DataFrame:
     a doc_id with other texts are documents of their own. Very long texts are cut into sentences as any other. An empty table stays empty.
     """
     own = apart(docs)
-    covered = cut(
-        repeated(texts_of(own))
-        .groupBy("doc_id", "nth").agg(F.collect_list(F.struct("first", "last")).alias("covered"))  # bounded by the document
-        .select(F.col("doc_id").alias("covered_id"), F.col("nth").alias("covered_nth"), "covered")
-    )
+    with scratch():
+        covered = repeated(texts_of(own)).groupBy("doc_id", "nth").agg(F.collect_list(F.struct("first", "last")).alias("covered"))  # bounded by the document
+        covered = cut(covered.select(F.col("doc_id").alias("covered_id"), F.col("nth").alias("covered_nth"), "covered"), keep=True)
 
     @F.pandas_udf("string")
     def rest(texts: pd.Series, firsts: pd.Series, lasts: pd.Series) -> pd.Series:
