@@ -24,11 +24,12 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import cut, table
+from .words import trim
 
 CAPACITY = 4096
 EOS = 1
 #: Words whose ids a worker keeps; beyond it starts anew.
-KEPT_WORDS = 1_200_000
+KEPT_WORDS = 400_000
 
 
 def _as_char(byte: int) -> str:
@@ -109,7 +110,7 @@ def vocabulary(path: str) -> Vocabulary:
     return Vocabulary(path)
 
 
-def slices(batch: pa.RecordBatch, text: int, most: int = 24_000_000) -> Iterator[pa.RecordBatch]:
+def slices(batch: pa.RecordBatch, text: int, most: int = 4_000_000) -> Iterator[pa.RecordBatch]:
     """Parts of a batch with about `most` bytes of text each, or one row."""
     sizes = pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False)
     cuts = np.flatnonzero(np.diff(np.cumsum(sizes, dtype=np.int64) // most, prepend=0))
@@ -137,6 +138,8 @@ def tokenise(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, eos: int
                         out.append((doc_id, k, k * capacity, n, zlib.crc32(own), part, seen[n], *[own] * with_ids))
                         seen[n] += 1
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], names=[x.split()[0] for x in schema.split(", ")])
+                del out
+                trim()
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(pieces, schema)
 
