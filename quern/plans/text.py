@@ -117,6 +117,12 @@ def expanded(spark, d):
     return C.by_mode(records(spark, d)).select("section", "mode", "domain", "doc_id", md5(F.col("text")).alias("hash"))
 
 
+def domain_phrases(spark, d):
+    """Abstracts in every mode, with phrases of one domain's own."""
+    own = C.by_mode(records(spark, d), ["abstract"], extra={"en": {"conservative": ["of the"], "strong": ["the"]}})
+    return own.select("mode", "domain", "doc_id", md5(F.col("text")).alias("hash"))
+
+
 def mode_text(spark, d):
     return C.text_by_mode(records(spark, d), "abs_claims", 80).select("doc_id", md5(F.col("text")).alias("hash"))
 
@@ -248,7 +254,7 @@ for _name, (_rule, _cases) in WORKED.items():
 for _name, _p in {"chunk_windows_a": (254, 256, 8, 1), "chunk_windows_b": (512, 256, 30, 1), "chunk_windows_c": (512, 512, None, 10)}.items():
     QUERIES[_name], ORACLES[_name] = chunked(*_p)
 QUERIES |= {
-    "text_basic": text_basic, "cleanup_artifacts": artifacts, "low_quality": quality, "remove_phrases": phrases, "section_unpivot": unpivoted, "mode_expand": expanded, "text_by_mode": mode_text,
+    "text_basic": text_basic, "cleanup_artifacts": artifacts, "low_quality": quality, "remove_phrases": phrases, "section_unpivot": unpivoted, "mode_expand": expanded, "domain_phrases": domain_phrases, "text_by_mode": mode_text,
     "text_min_length": long_text, "core_text": core, "snippet": snippets, "percent_clamp": percents, "code_format": codes, "json_extract": props, "html_escape": escaped, "answer_line_class": line_classes,
     "prompt_parts": prompts, "fewshot_prompt": few_shot_prompt, "default_record": defaults, "section_record": sectioned, "page_text": paged, "fewshot_examples": shaped_examples, "prior_art_text": prior_art_text,
     "prompt_flow": prompt_flow, "final_prompt": final_prompt,
@@ -272,6 +278,9 @@ ORACLES |= {
     "section_unpivot": f"WITH {_records} SELECT section, domain, doc_id, md5(text) AS hash FROM (UNPIVOT records ON abstract, claims, description INTO NAME section VALUE text)",
     "mode_expand": f"""WITH {_records}, s AS (SELECT 'abstract' AS section, domain, doc_id, abstract AS text FROM records UNION ALL SELECT 'claims', domain, doc_id, claims FROM records
         UNION ALL SELECT 'description', domain, doc_id, {_lines('description')} FROM records) SELECT section, mode, domain, doc_id, md5({_clean('text')}) AS hash FROM s CROSS JOIN (VALUES ('x'), ('conservative'), ('strong')) m(mode)""",
+    "domain_phrases": f"""WITH {_records}, c AS (SELECT mode, domain, doc_id, {_clean('abstract')} AS t FROM records CROSS JOIN (VALUES ('x'), ('conservative'), ('strong')) m(mode)),
+        o AS (SELECT mode, domain, doc_id, CASE WHEN domain = 'en' AND mode <> 'x' THEN regexp_replace(t, 'of\\s*the', ' ', 'gi') ELSE t END AS t FROM c), p AS (SELECT mode, domain, doc_id, CASE WHEN domain = 'en' AND mode = 'strong' THEN regexp_replace(t, 'the', ' ', 'gi') ELSE t END AS t FROM o)
+        SELECT mode, domain, doc_id, md5({_squeeze('t')}) AS hash FROM p""",
     "text_by_mode": f"WITH {_records}, t AS (SELECT doc_id, concat_ws(chr(10), nullif(abstract, ''), nullif(claims, '')) AS text FROM records) SELECT doc_id, md5(text) AS hash FROM t WHERE length({_strip('text')}) >= 80",
     "text_min_length": f"WITH {_records}, t AS (SELECT doc_id, concat_ws(chr(10), nullif(abstract, ''), nullif(claims, '')) AS text FROM records) SELECT doc_id, length(text) AS n FROM t WHERE length({_strip('text')}) >= 200",
     "core_text": f"WITH {_records}, t AS (SELECT doc_id, concat_ws(chr(10) || chr(10), claims, substr(description, 2001, 6000)) AS t FROM records) SELECT doc_id, length(t) AS n, md5(t) AS hash FROM t",

@@ -365,6 +365,12 @@ def fused_at_embedding(spark, d):
     return _by_saved(spark, d, V.l2_guarded)
 
 
+def cached_sections(spark, d):
+    """Every section vector of a cache that lacks none."""
+    cache = C.whole_cache(sections(spark, d).withColumnRenamed("label", "field"))
+    return r6(cache.select("field", "doc_id", "section", F.col("vector")[0].alias("first")))
+
+
 TOKENS = 8  # slices of a vector that stand for token states; two vectors' halves for layers
 
 
@@ -472,7 +478,7 @@ QUERIES = {
     "dynamic_weights_global": weights_global, "dynamic_weights_domain": weights_domain, "snr_prototype_weights": prototypes,
     "align_sections": align_ranks, "fuse_equal": fused_equal, "fuse_global": fused_global, "fuse_domain": fused_domain,
     "centroid_alignment": alignment, "cosine_quantiles": cosine_quantiles,
-    "saved_stats": saved_stats, "fuse_saved_weights": fused_saved, "fuse_at_embedding": fused_at_embedding, "pool_tokens": pooled_tokens, "pool_layers": pooled_layers,
+    "saved_stats": saved_stats, "fuse_saved_weights": fused_saved, "fuse_at_embedding": fused_at_embedding, "cached_sections": cached_sections, "pool_tokens": pooled_tokens, "pool_layers": pooled_layers,
 }
 
 _tenth, _null = "list_transform(embedding::DOUBLE[], lambda x: x * 0.1)", "list_transform(embedding::DOUBLE[], lambda x: x * 0.0)"
@@ -484,6 +490,7 @@ _soft = lambda src: f"sz AS (SELECT *, {_norm('s')} AS z FROM {src}), ex AS (SEL
 ORACLES = {
     "saved_stats": f"WITH {_pairs} SELECT * FROM ({_round(_stats_sql('domain'), _stats_cols, 'section, label, count_in, count_out')}) WHERE label IN (1, 3)",
     "fuse_saved_weights": _fused_sql(_wide("domain"), "JOIN wide ON wide.label = a.label", "w_{}"), "fuse_at_embedding": _fused_sql(_wide("domain"), "JOIN wide ON wide.label = a.label", "w_{}"),
+    "cached_sections": f"WITH {_s} SELECT label AS field, doc_id, section, round(vector[1], 6) AS \"first\" FROM s",
     "pool_tokens": f"""WITH {_states}, {_soft('st')} SELECT vec_id, round(coalesce(sum(s[1]) FILTER (i < vec_id % {TOKENS + 1}), 0) / greatest(count(*) FILTER (i < vec_id % {TOKENS + 1}), 1), 6) AS mean_first,
         round(coalesce(sum(s[8]) FILTER (i < vec_id % {TOKENS + 1}), 0) / greatest(count(*) FILTER (i < vec_id % {TOKENS + 1}), 1), 6) AS mean_last, round(sum(s[1] * x) / sum(x), 6) AS soft_first, round(sum(s[8] * x) / sum(x), 6) AS soft_last FROM ex GROUP BY vec_id""",
     "pool_layers": f"""WITH {_states},

@@ -192,6 +192,29 @@ def test_work_queue(spark, tmp_path):
     assert seen == [1]
 
 
+def test_what_is_saved_must_be_whole(spark, tmp_path):
+    w = spark.createDataFrame([("a", 0.25), ("b", 0.75)], "field string, W double")
+    sinks.write_weights(w, f"{tmp_path}/w")
+    for kind in ("parquet", "csv", "json"):
+        assert sorted(map(tuple, C.for_fields(C.saved_table(spark, f"{tmp_path}/w", "field string, W double", kind), ["a", "b"]).collect())) == [("a", 0.25), ("b", 0.75)]
+    with pytest.raises(FileNotFoundError, match="nothing saved for c"):
+        C.for_fields(w, ["a", "c"])
+    rows = [("f", 2, s) for s in C.SECTIONS] + [("f", 1, s) for s in C.SECTIONS]
+    cache = spark.createDataFrame(rows, "field string, doc_id long, section string")
+    assert [r["doc_id"] for r in C.whole_cache(cache).collect()] == [1] * 3 + [2] * 3
+    with pytest.raises(FileNotFoundError, match="claims of 1"):
+        C.whole_cache(cache.where("NOT (doc_id = 1 AND section = 'claims')"))
+
+
+def test_pooling_of_states(spark):
+    x = np.random.default_rng(2).standard_normal((6, 5, 4))  # layers of tokens
+    r = spark.createDataFrame([(x.tolist(), [1, 1, 0, 1, 0], [0] * 5)], "l array<array<array<double>>>, m array<int>, none array<int>")
+    got = r.select(V.last_layers("l", 4).alias("s"), "m", "none").select("s", V.token_mean("s", "m").alias("mean"), V.token_mean("s", "none").alias("zero"), V.norm_softmax_pool("s").alias("soft")).first()
+    s = x[-4:].mean(axis=0)
+    w = np.exp(np.linalg.norm(s, axis=1))
+    assert np.allclose(got["s"], s) and np.allclose(got["mean"], s[[0, 1, 3]].mean(axis=0)) and got["zero"] == [0.0] * 4 and np.allclose(got["soft"], (s * w[:, None]).sum(axis=0) / w.sum())
+
+
 def test_filter_reaches_the_scan(spark, tmp_path):
     spark.createDataFrame([(1, 3, [1.0])], "doc_id long, label int, vector array<double>").write.parquet(f"{tmp_path}/v")
     q = spark.createDataFrame([([1.0],)], "q array<double>")
