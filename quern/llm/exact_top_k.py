@@ -27,9 +27,9 @@ from pyspark.sql import functions as F
 from .common import cut, table
 
 K, SCALE, QUERY_EVERY = 20, 64, 20
-PAGE = 128
+PAGE = 256
 CANDIDATES, QUERIES = 16_384, 8_192  # rows of a block
-PIVOTS, BELOW, DRAWN = 1024, 1024, 4  # pivots of the upper level at most, candidates below one that they are chosen for, rows drawn for each
+PIVOTS, BELOW, DRAWN = 1024, CANDIDATES, 4  # pivots of the upper level at most, candidates below one that they are chosen for, rows drawn for each
 
 
 class Page:
