@@ -8,9 +8,10 @@ from pyspark.sql import functions as F
 
 from quern.operators import app as A
 from quern.operators import vectors as O
+from quern.operators.numbering import numbered
 from quern.sources import corpus as C
 from quern.sources import sinks
-from quern.sources.shared import shared_folder
+from quern.sources.shared import own_folder
 from quern.streaming import signals as S
 
 
@@ -161,11 +162,9 @@ def sampled(spark, d):
 
 
 def surrogates(spark, d):
-    """Index rows with ids by path, and their documents' ids."""
-    from pyspark.sql import Window
-
+    """Index rows with ids by path within their type, and their documents' ids."""
     own = t(spark, d, "documents").select(F.concat("source", F.lit("/"), F.lpad(F.col("doc_id").cast("string"), 8, "0")).alias("path"), F.col("source").alias("type"))
-    return own.withColumn("id", F.row_number().over(Window.partitionBy("type").orderBy("path")))
+    return numbered(own, ["type"], ["path"])
 
 
 def document_of(spark, d):
@@ -182,12 +181,10 @@ def status_latest(spark, d):
 
 def status_stream(spark, d):
     """The same state kept by a stream; its last table. (Extension)"""
-    import uuid
-
     e = t(spark, d, "events")
     stream = spark.readStream.schema(e.schema).parquet(_folder(spark, d))
     coded = stream.select("event_id", "ts", "user_id", F.concat(F.lit("1000"), ((F.col("event_id") % 4) + 1).cast("string")).alias("code"))
-    folder = f"{shared_folder(spark)}/status_{uuid.uuid4().hex}"
+    folder = own_folder(spark, "status")
     S.start_status(coded, folder, ["user_id"]).awaitTermination()
     return S.read_status(spark, folder, ["user_id"])
 

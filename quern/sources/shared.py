@@ -1,10 +1,14 @@
-"""The folder that driver and executors share."""
+"""The folder that driver and executors share, and what is written there while a query is built."""
 
 from __future__ import annotations
 
+import atexit
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+
+_made: list[tuple[SparkSession, str]] = []
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -17,3 +21,29 @@ def shared_folder(spark: SparkSession) -> str:
         path = tempfile.mkdtemp(prefix="quern-")
         spark.sparkContext.setCheckpointDir(path)
     return path.rstrip("/")
+
+
+def own_folder(spark: SparkSession, name: str) -> str:
+    """A new folder's path in the shared one; what is written there goes when the driver's Python ends."""
+    path = f"{shared_folder(spark)}/{name}_{uuid.uuid4().hex}"
+    _made.append((spark, path))
+    return path
+
+
+def written(df: DataFrame, name: str = "step") -> DataFrame:
+    """df written once and read back: its lineage ends there, and what tasks numbered or drew stays as it was."""
+    path = own_folder(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def _remove() -> None:
+    for spark, path in _made:
+        try:
+            p = spark._jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+        except Exception:  # the JVM may be gone already
+            return
+
+
+atexit.register(_remove)
