@@ -4,10 +4,13 @@ from __future__ import annotations
 
 from . import (
     best_fit_packing,
+    chat_format,
     embedding_near_dedup,
+    embedding_whitening,
     exact_top_k,
     line_dedup,
     lm_scoring,
+    merkle_manifest,
     quality_classifier,
     sentencepiece_codec,
     simhash_near_dedup,
@@ -15,7 +18,7 @@ from . import (
     toxicity,
 )
 
-MODULES = (sentencepiece_codec, lm_scoring, exact_top_k, toxicity, best_fit_packing, line_dedup, simhash_near_dedup, substring_dedup, quality_classifier, embedding_near_dedup)
+MODULES = (sentencepiece_codec, lm_scoring, exact_top_k, toxicity, best_fit_packing, line_dedup, simhash_near_dedup, substring_dedup, quality_classifier, embedding_near_dedup, merkle_manifest, chat_format, embedding_whitening)
 
 
 def queries() -> dict:
