@@ -1,12 +1,11 @@
 """Text rules as Column expressions.
 
 Patterns are written for Java's engine with (?U) where classes must be Unicode's and (?d) where only a line feed ends a line. NFKC
-has no built-in: one Arrow function does it, handed only texts that hold anything besides ASCII.
+has no built-in: one Arrow function does it, handed only texts that hold a character which it may change.
 """
 
 from __future__ import annotations
 
-import re
 import unicodedata
 from functools import reduce
 
@@ -15,6 +14,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from quern.functions.phrases import remover
+
 
 def _c(x: Column | str) -> Column:
     return F.col(x) if isinstance(x, str) else x
@@ -25,9 +26,13 @@ def _nfkc(texts: pd.Series) -> pd.Series:
     return pd.Series([None if t is None else unicodedata.normalize("NFKC", t) for t in texts], dtype=object)
 
 
+#: Characters that NFKC leaves alone, next to each other too: ASCII, letters of Latin alphabets, CJK ideographs, Hangul syllables, some marks.
+STABLE = "\\x00-\\x7F\u00c0-\u0131\u2013\u2014\u2018\u2019\u201c\u201d\u3010\u3011\u4e00-\u9fff\uac00-\ud7a3"
+
+
 def nfkc(text: Column | str) -> Column:
     t = _c(text)
-    return F.coalesce(_nfkc(F.when(t.rlike("[^\\x00-\\x7F]"), t)), t)
+    return F.coalesce(_nfkc(F.when(t.rlike(f"[^{STABLE}]"), t)), t)
 
 
 def sub(text: Column | str, pattern: str, to: str = " ") -> Column:
@@ -60,42 +65,46 @@ def or_else(text: Column, other: Column) -> Column:
 
 def normalize_basic(text: Column | str) -> Column:
     """NFKC; NBSP and NUL to blanks; CR to LF; runs of blanks to one, of three or more LF to two; stripped. Null gives ""."""
-    t = F.translate(nfkc(filled(text)), "\u00a0\x00\r", "  \n")
-    return strip(chain(t, ("[ \\t]+", " "), ("\n{3,}", "\n\n")))
+    return _basic(nfkc(filled(text)))
 
 
-def phrase_pattern(phrase: str) -> str:
-    """A phrase's words, with any white space or none between them."""
-    return r"\s*".join(re.escape(w) for w in unicodedata.normalize("NFKC", phrase).split())
+def _basic(t: Column) -> Column:
+    return strip(chain(F.translate(t, "\u00a0\x00\r", "  \n"), ("[ \\t]+", " "), ("\n{3,}", "\n\n")))
 
 
 def remove_phrases(text: Column | str, phrases: list[str]) -> Column:
-    """Phrases to blanks one after another, the longest first, of equal ones by text."""
-    t = _c(text)
-    for phrase in sorted(set(phrases), key=lambda p: (-len(p), p)):
-        if pattern := phrase_pattern(phrase):
-            t = sub(t, "(?iuU)" + pattern, " ")
-    return t
+    """Phrases to blanks one after another, the longest first, of equal ones by text (see quern.functions.phrases)."""
+    return remover({"": phrases})(_c(text), F.lit(""))
+
+
+def _lines(t: Column) -> Column:
+    return F.array_join(F.filter(F.transform(F.split(F.translate(t, "\u00a0\x00\r", "  \n"), "\n"), strip), lambda x: x != ""), "\n")
 
 
 def normalize_lines(text: Column | str) -> Column:
     """NFKC; NBSP and NUL to blanks; CR to LF; lines stripped, empty ones gone."""
-    t = F.translate(nfkc(filled(text)), "\u00a0\x00\r", "  \n")
-    return F.array_join(F.filter(F.transform(F.split(t, "\n"), strip), lambda x: x != ""), "\n")
+    return _lines(nfkc(filled(text)))
 
 
-def block_from(text: Column, starts: list[str], ends: list[str] = (), least: int = 30) -> Column:
-    """From the first pattern in list order that is anywhere, up to the first end pattern in list order that follows; "" if shorter than least."""
-    lines = normalize_lines(text)
+def first_at(text: Column, patterns: list[str], flags: str) -> Column:
+    """Where the first pattern in list order that is anywhere begins, from 1, or null. Texts with none are seen by one pattern alone."""
+    found = reduce(lambda rest, p: F.coalesce(F.nullif(F.regexp_instr(text, F.lit(flags + p)), F.lit(0)), rest), reversed(patterns), F.lit(None).cast("int"))
+    return F.when(text.rlike(flags + "|".join(f"(?:{p})" for p in patterns)), found)
 
-    def first(t: Column, patterns, group: str) -> Column:
-        found = [F.nullif(F.regexp_extract(t, group.format(p), 1), F.lit("")) for p in patterns]
-        return F.coalesce(*found, F.lit(None).cast("string")) if found else F.lit(None).cast("string")
 
-    own = first(lines, starts, "(?isU)^.*?((?:{}).*)$")
-    if ends:
-        own = F.coalesce(first(own, ends, "(?isU)^(.+?)(?:{})"), own)
-    own = strip(F.coalesce(own, F.lit("")))
+def _span(text: Column, starts: list[str], ends: list[str], flags: str) -> Column:
+    """From the first start pattern in list order that is anywhere, up to the first end pattern in list order that is anywhere behind
+    its first character; null without a start."""
+    own = F.substring(text, first_at(text, starts, flags), F.lit(1 << 30))
+    if not ends:
+        return own
+    return F.coalesce(F.substring(own, F.lit(1), first_at(F.substring(own, 2, 1 << 30), ends, flags)), own)
+
+
+def block_from(lines: Column, starts: list[str], ends: list[str] = (), least: int = 30) -> Column:
+    """Of lines as normalize_lines gives them the part from the first pattern in list order that is anywhere, up to the first end pattern
+    in list order that follows; "" if shorter than least."""
+    own = strip(F.coalesce(_span(lines, starts, list(ends), "(?iuU)"), F.lit("")))
     return F.when(F.length(own) >= least, own).otherwise("")
 
 
@@ -113,16 +122,32 @@ DESCRIPTION_STARTS = [
 ]
 
 
+def _without_background(lines: Column) -> Column:
+    any_start = "(?iuU)" + "|".join(DESCRIPTION_STARTS)
+    return F.when(lines.rlike(any_start), or_else(block_from(lines, DESCRIPTION_STARTS), lines)).otherwise(lines)
+
+
 def without_background(text: Column | str) -> Column:
-    return or_else(block_from(_c(text), DESCRIPTION_STARTS), normalize_lines(text))
+    return _without_background(normalize_lines(text))
+
+
+# The patterns.
+ARTIFACTS = [(r"(?U)\[\d{4}\]", " "), (r"(?U)등록특허\s*10-\d+", " "), (r"(?U)-\s*\d+\s*-", " ")]
+CLAIM_ARTIFACTS = [(r"(?U)청구항\s*\d+", " "), (r"(?U)제\s*\d+\s*항에\s*있어서", " ")]
+
+
+def _cleaned(t: Column, section: str) -> Column:
+    return squeeze(chain(t, *ARTIFACTS, *(CLAIM_ARTIFACTS if section == "claims" else [])))
 
 
 def cleanup_artifacts(text: Column | str, section: str) -> Column:
     """Paragraph numbers, registration numbers and page marks go; in claims their headers and references too."""
-    steps = [(r"(?U)\[\d{4}\]", " "), (r"(?U)등록특허\s*10-\d+", " "), (r"(?U)-\s*\d+\s*-", " ")]
-    if section == "claims":
-        steps += [(r"(?U)청구항\s*\d+", " "), (r"(?U)제\s*\d+\s*항에\s*있어서", " ")]
-    return squeeze(chain(normalize_basic(text), *steps))
+    return _cleaned(normalize_basic(text), section)
+
+
+def normal_form(section: str, text: Column) -> Column:
+    """The x mode of a section's text that is in NFKC already, behind which the other modes only remove phrases."""
+    return _cleaned(_basic(_without_background(_lines(text)) if section == "description" else text), section)
 
 
 # Phrases that the modes remove from each section.
@@ -160,16 +185,19 @@ SECTION_PHRASES = {
 MODES = ("x", "conservative", "strong")
 
 
-def preprocess_section(text: Column | str, section: str, mode: str, extra: dict | None = None) -> Column:
-    """One section's text in a mode: x only cleans; conservative and strong remove phrases, extra ones of a domain too."""
+def phrases_of(section: str, mode: str, extra: dict | None = None) -> list[str]:
+    """What a mode removes from a section, with extra phrases by level; x removes nothing."""
     if mode not in MODES:
         raise ValueError(f"mode is one of {', '.join(MODES)}: {mode}")
+    levels = {"x": [], "conservative": ["conservative"], "strong": ["conservative", "strong"]}[mode]
+    return [p for level in levels for p in [*SECTION_PHRASES[section][level], *((extra or {}).get(level, []))]]
+
+
+def preprocess_section(text: Column | str, section: str, mode: str, extra: dict | None = None) -> Column:
+    """One section's text in a mode: x only cleans; conservative and strong remove phrases, extra ones of a domain too."""
+    phrases = phrases_of(section, mode, extra)
     t = cleanup_artifacts(without_background(text) if section == "description" else text, section)
-    if mode == "x":
-        return t
-    levels = ["conservative"] if mode == "conservative" else ["conservative", "strong"]
-    phrases = [p for level in levels for p in [*SECTION_PHRASES[section][level], *((extra or {}).get(level, []))]]
-    return squeeze(remove_phrases(t, phrases))
+    return squeeze(remove_phrases(t, phrases)) if phrases else t
 
 
 # Patterns that say nothing about a patent's field.
@@ -315,21 +343,7 @@ def normalize_legacy(text: Column | str) -> Column:
     ))
 
 
-# ---- sections and claims -------------------------------------------------------------------------------------------
-
-
-def sections(text: Column | str) -> dict[str, Column]:
-    """title, abstract, claims, description and ipc of a whole text: of each the first shortest match, else ""."""
-    # The patterns.
-    t = sub(filled(text), r"(?U)-\s*\d+\s*-", "")
-    take = lambda p, g: strip(F.regexp_extract(t, p, g))
-    return {
-        "title": take(r"(?sU)발명의?\s*명칭\s*(.+?)(?:\n{2,}|\(57\)|요\s*약|【요약】)", 1),
-        "abstract": take(r"(?sU)(요\s*약|【요약】)\s*(.+?)(?=청구범위|청구항|명\s*세\s*서|발명의?\s*설명)", 2),
-        "claims": take(r"(?U)(청구범위|청구항\s*1)[\s\S]+?(?=발명의?\s*설명|기\s*술\s*분\s*야|배\s*경\s*기\s*술)", 0),
-        "description": take(r"(?U)(기\s*술\s*분\s*야|배\s*경\s*기\s*술|발명의?\s*내용)[\s\S]+", 0),
-        "ipc": F.regexp_extract(t, r"(?U)[A-H][0-9]{2}[A-Z]\s*\d+/\d+", 0),
-    }
+# ---- claims -------------------------------------------------------------------------------------------
 
 
 def split_claims(text: Column | str) -> Column:
@@ -348,10 +362,7 @@ def fallback_claims(text: Column | str) -> Column:
     # The patterns.
     starts = [r"\b청\s*구\s*항\b", r"\b청구항\b", r"\bclaims\b", r"\bwhat\s+is\s+claimed\s+is\b"]
     ends = [r"\b발명의\s+상세한\s+설명\b", r"\b발명의\s+설명\b", r"\bdetailed\s+description\b", r"\bdescription\s+of\s+embodiments\b"]
-    t = filled(text)
-    own = F.coalesce(*[F.nullif(F.regexp_extract(t, f"(?isuU)^.*?({p}.*)$", 1), F.lit("")) for p in starts])
-    upto = F.coalesce(*[F.nullif(F.regexp_extract(own, f"(?isuU)^(.+?){p}", 1), F.lit("")) for p in ends], own)
-    return strip(F.coalesce(upto, F.lit("")))
+    return strip(F.coalesce(_span(filled(text), starts, ends, "(?iuU)"), F.lit("")))
 
 
 def claims_or_fallback(claims: Column | str, fallback: Column | str, least: int = 300) -> Column:

@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quern.functions import text as T
+from quern.functions.headings import with_sections
+from quern.functions.phrases import remover
 from quern.operators.vectors import first_wins
 
 SECTIONS = ("abstract", "claims", "description")
@@ -54,16 +56,18 @@ def by_section(records: DataFrame, sections=SECTIONS) -> DataFrame:
 
 
 def by_mode(records: DataFrame, sections=SECTIONS, modes=T.MODES, extra: dict | None = None) -> DataFrame:
-    """(section, mode, domain, doc_id, text): every section in every mode. extra: for a domain its own phrases by level, removed with those that all domains share."""
+    """(section, mode, domain, doc_id, text): every section in every mode. extra: for a domain its own phrases by level, removed with those that all domains share.
 
-    def text(s: str, m: str) -> F.Column:
-        out = T.preprocess_section(s, s, m)
-        for domain, phrases in (extra or {}).items():
-            out = F.when(F.col("domain") == domain, T.preprocess_section(s, s, m, phrases)).otherwise(out)
-        return out
-
-    rows = [F.struct(F.lit(s).alias("section"), F.lit(m).alias("mode"), text(s, m).alias("text")) for s in sections for m in modes]
-    return records.select("domain", "doc_id", F.explode(F.array(*rows)).alias("r")).select("r.section", "r.mode", "domain", "doc_id", "r.text")
+    A text is normalised once, and its x form made once; the other modes are that form without their phrases."""
+    own = by_section(records, sections).withColumn("text", T.nfkc(T.filled("text")))
+    x = F.lit(None).cast("string")
+    for s in sections:
+        x = F.when(F.col("section") == s, T.normal_form(s, F.col("text"))).otherwise(x)
+    each = own.select("section", "domain", "doc_id", x.alias("x"), F.explode(F.array(*map(F.lit, modes))).alias("mode"))
+    lists = {f"{s}/{m}/{d}": T.phrases_of(s, m, (extra or {}).get(d)) for s in sections for m in modes for d in ["", *(extra or {})]}
+    named = F.when(F.col("domain").isin(*(extra or {})), F.col("domain")).otherwise("") if extra else F.lit("")
+    removed = remover({k: v for k, v in lists.items() if v})(F.col("x"), F.concat_ws("/", "section", "mode", F.coalesce(named, F.lit(""))))
+    return each.select("section", "mode", "domain", "doc_id", F.when(F.col("mode") == "x", F.col("x")).otherwise(T.squeeze(removed)).alias("text"))
 
 
 def text_by_mode(records: DataFrame, mode: str, least: int = 80) -> DataFrame:
@@ -182,11 +186,11 @@ def usable_images(images: DataFrame, side: int = 100, most: int = 5) -> DataFram
 
 def section_records(texts: DataFrame) -> DataFrame:
     """(doc_id, text) as sectioned patent records; claims from the fallback where the section has too little."""
-    own = T.sections("text")
-    claims = T.claims_or_fallback(own["claims"], T.fallback_claims("text"))
-    return texts.select(
-        F.col("doc_id").alias("id"), own["title"].alias("title"), own["abstract"].alias("abstract"), claims.alias("claims"), own["description"].alias("description"), own["ipc"].alias("ipc"),
-        T.tables("text").alias("tables_raw"), T.equations("text").alias("equations_detected"), T.split_claims(claims).alias("claims_structured"),
+    own = with_sections(texts.select("doc_id", "text"))
+    own = own.withColumn("claims", T.claims_or_fallback("claims", T.fallback_claims("text")))
+    return own.select(
+        F.col("doc_id").alias("id"), "title", "abstract", "claims", "description", "ipc", T.tables("text").alias("tables_raw"), T.equations("text").alias("equations_detected"),
+        T.split_claims("claims").alias("claims_structured"),
     )
 
 
