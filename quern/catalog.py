@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quern.plans import app, text, vectors
+from quern.plans import app, text, vectors, wrapped
 
-MODULES = (vectors, text, app)
+MODULES = (vectors, text, wrapped, app)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

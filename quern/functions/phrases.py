@@ -79,18 +79,20 @@ def _phrases(own: tuple[str, ...]) -> Phrases:
     return Phrases(own)
 
 
-def guard(phrases) -> str:
-    """A pattern for the JVM that finds a text with any of the phrases: by first characters, so that others fail at once."""
+def holds(text: Column, phrases) -> Column:
+    """Whether a text has any of the phrases, in the JVM: a look for the range of their first characters, which most texts lack, then one pattern."""
     by: dict[str, list[str]] = {}
     for words in ordered(phrases):
-        whole = "(?U:\\s*)".join(re.escape(w) for w in words)
-        head = re.escape(words[0][0])
-        by.setdefault(head, []).append(whole[len(head) :])
-    return "(?iu)" + "|".join(f"{h}(?:{'|'.join(rest)})" for h, rest in by.items()) if by else "(?!)"
+        by.setdefault(words[0][0], []).append("(?U:\\s*)".join(re.escape(w) for w in words)[len(re.escape(words[0][0])) :])
+    if not by:
+        return F.lit(False)
+    first = f"[{re.escape(min(by))}-{re.escape(max(by))}]"  # a range is one comparison, a list one for each
+    whole = f"(?iu)(?={first})(?:" + "|".join(f"{re.escape(h)}(?:{'|'.join(rest)})" for h, rest in by.items()) + ")"
+    return text.rlike(("" if all(h.upper() == h.lower() for h in by) else "(?iu)") + first) & text.rlike(whole)
 
 
 def remover(lists: dict[str, list[str]]):
-    """A Column function of a text and a key: the text without the phrases of lists[key]; other keys leave it."""
+    """A Column function of a text and a key: the text without the phrases of lists[key], null where it holds none."""
     own = {k: tuple(sorted(set(v))) for k, v in lists.items()}
 
     @F.pandas_udf("string")
@@ -98,9 +100,9 @@ def remover(lists: dict[str, list[str]]):
         return pd.Series([t if t is None or k not in own else _phrases(own[k]).remove(t) for t, k in zip(texts, keys)], dtype=object)
 
     def column(text: Column, key: Column) -> Column:
-        holds = F.lit(False)
+        found = F.lit(False)
         for k, phrases in own.items():
-            holds = F.when(key == k, text.rlike(guard(phrases))).otherwise(holds)
-        return F.coalesce(removed(F.when(holds, text), key), text)
+            found = F.when(key == k, holds(text, phrases)).otherwise(found)
+        return removed(F.when(found, text), key)
 
     return column

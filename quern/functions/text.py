@@ -43,14 +43,23 @@ def chain(text: Column, *steps: tuple[str, str]) -> Column:
     return reduce(lambda t, s: sub(t, *s), steps, text)
 
 
+#: White space as Unicode has it: what (?U)\s is.
+WHITE = "\t\n\x0b\x0c\r \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
+
+
 def strip(text: Column | str) -> Column:
-    return sub(text, r"(?U)^\s+|\s+$", "")
+    return F.btrim(_c(text), F.lit(WHITE))
 
 
 def squeeze(text: Column | str) -> Column:
     return strip(sub(text, r"(?U)\s+", " "))
 
 
+def let(value: Column, then) -> Column:
+    """then of a value that is worked out once, however often then names it."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
 def filled(text: Column | str) -> Column:
     return F.coalesce(_c(text), F.lit(""))
 
@@ -69,12 +78,12 @@ def normalize_basic(text: Column | str) -> Column:
 
 
 def _basic(t: Column) -> Column:
-    return strip(chain(F.translate(t, "\u00a0\x00\r", "  \n"), ("[ \\t]+", " "), ("\n{3,}", "\n\n")))
+    return strip(chain(F.translate(t, "\u00a0\x00\r", "  \n"), ("\t[ \t]*| [ \t]+", " "), ("\n{3,}", "\n\n")))
 
 
 def remove_phrases(text: Column | str, phrases: list[str]) -> Column:
     """Phrases to blanks one after another, the longest first, of equal ones by text (see quern.functions.phrases)."""
-    return remover({"": phrases})(_c(text), F.lit(""))
+    return F.coalesce(remover({"": phrases})(_c(text), F.lit("")), _c(text))
 
 
 def _lines(t: Column) -> Column:
@@ -98,14 +107,14 @@ def _span(text: Column, starts: list[str], ends: list[str], flags: str) -> Colum
     own = F.substring(text, first_at(text, starts, flags), F.lit(1 << 30))
     if not ends:
         return own
-    return F.coalesce(F.substring(own, F.lit(1), first_at(F.substring(own, 2, 1 << 30), ends, flags)), own)
+    return let(own, lambda t: F.coalesce(F.substring(t, F.lit(1), first_at(F.substring(t, 2, 1 << 30), ends, flags)), t))
 
 
 def block_from(lines: Column, starts: list[str], ends: list[str] = (), least: int = 30) -> Column:
     """Of lines as normalize_lines gives them the part from the first pattern in list order that is anywhere, up to the first end pattern
     in list order that follows; "" if shorter than least."""
     own = strip(F.coalesce(_span(lines, starts, list(ends), "(?iuU)"), F.lit("")))
-    return F.when(F.length(own) >= least, own).otherwise("")
+    return let(own, lambda t: F.when(F.length(t) >= least, t).otherwise(""))
 
 
 # Headings at which a description without its background may begin.
@@ -123,8 +132,9 @@ DESCRIPTION_STARTS = [
 
 
 def _without_background(lines: Column) -> Column:
-    any_start = "(?iuU)" + "|".join(DESCRIPTION_STARTS)
-    return F.when(lines.rlike(any_start), or_else(block_from(lines, DESCRIPTION_STARTS), lines)).otherwise(lines)
+    begins = f"[{min(p[0] for p in DESCRIPTION_STARTS)}-{max(p[0] for p in DESCRIPTION_STARTS)}]"  # one range of first characters spares most texts the rest
+    whole = "(?iuU)" + "|".join(DESCRIPTION_STARTS)
+    return let(lines, lambda t: F.when(t.rlike(begins) & t.rlike(whole), let(block_from(t, DESCRIPTION_STARTS), lambda b: or_else(b, t))).otherwise(t))
 
 
 def without_background(text: Column | str) -> Column:
@@ -349,12 +359,14 @@ def normalize_legacy(text: Column | str) -> Column:
 def split_claims(text: Column | str) -> Column:
     """A map from each claim header to what follows it up to the next header; of equal headers the last one's."""
     t, header = filled(text), r"(?U)청구항\s*\d+"
-    heads = F.regexp_extract_all(t, F.lit(f"({header})"), F.lit(1))
-    n = F.size(heads)
-    bodies = F.slice(F.split(t, header, -1), 2, F.greatest(n, F.lit(1)))
-    at = F.transform(heads, lambda h, i: F.struct(strip(h).alias("k"), strip(F.element_at(bodies, i + 1)).alias("v"), i.alias("i")))
-    last = F.filter(at, lambda p: ~F.exists(at, lambda q: (q["k"] == p["k"]) & (q["i"] > p["i"])))
-    return F.when(n > 0, F.map_from_arrays(F.transform(last, lambda p: p["k"]), F.transform(last, lambda p: p["v"])))
+    heads = F.transform(F.regexp_extract_all(t, F.lit(f"({header})"), F.lit(1)), strip)
+    bodies = F.transform(F.split(t, header, -1), strip)
+
+    def mapped(h: Column, b: Column) -> Column:
+        last = F.filter(F.sequence(F.lit(1), F.size(h)), lambda i: F.array_position(F.reverse(h), F.element_at(h, i)) == F.size(h) - i + 1)
+        return F.map_from_arrays(F.transform(last, lambda i: F.element_at(h, i)), F.transform(last, lambda i: F.element_at(b, i + 1)))
+
+    return let(heads, lambda h: F.when(F.size(h) > 0, let(bodies, lambda b: mapped(h, b))))
 
 
 def fallback_claims(text: Column | str) -> Column:

@@ -94,13 +94,6 @@ def cascade(spark, d):
     return left["messages"].groupBy("room_id").agg(F.count("*").alias("n"))
 
 
-def signup(spark, d):
-    rows = [(1, "a@b", "n", "abcd123!", "abcd123!", True, True, False), (2, "a@b", "n", "abcd1234", "abcd1234", True, True, False), (3, " ", "n", "abcd123!", "abcd123!", True, True, False),
-            (4, "a@b", "n", "abcd123!", "x", True, True, False), (5, "a@b", "n", "abcd123!", "abcd123!", False, True, False), (6, "a@b", "n", "abcd123!", "abcd123!", True, False, False), (7, "a@b", "n", "abcd123!", "abcd123!", True, True, True)]
-    df = spark.createDataFrame(rows, "id int, email string, name string, password string, again string, verified boolean, terms boolean, taken boolean")
-    return df.select("id", A.signup_outcome(*[F.col(c) for c in df.columns[1:]]).alias("outcome"))
-
-
 def first_seen(spark, d):
     return O.first_wins(t(spark, d, "documents"), ["text"], "doc_id").select("doc_id")
 
@@ -207,7 +200,7 @@ def fused_meta(spark, d):
 QUERIES = {
     "recent_rooms": recent_rooms, "room_messages": room_messages, "owned_rooms": owned_rooms, "message_rooms": message_rooms, "latest_verification": latest_verification,
     "verification_outcome": outcomes, "live_codes": live_codes, "pending_queue": pending, "queue_status": updated_queue, "registered_semi": known_users, "unregistered_anti": unknown_users,
-    "role_semi": role_semi, "cascade_anti": cascade, "signup_outcome": signup, "first_seen_dedup": first_seen, "last_duplicate_wins": last_duplicate, "index_scan": index_scan,
+    "role_semi": role_semi, "cascade_anti": cascade, "first_seen_dedup": first_seen, "last_duplicate_wins": last_duplicate, "index_scan": index_scan,
     "text_lookup": text_lookup, "key_intersection": shared_keys, "vertical_stack": stacked, "distinct_paths": paths, "element_sets": elements, "parse_cache_anti": to_parse,
     "missing_sections": missing, "image_cap": images, "sampled_listing": sampled, "surrogate_ids": surrogates, "document_join": document_of, "status_latest": status_latest,
     "status_stream": status_stream, "window_counts": window_counts, "fused_meta": fused_meta,
@@ -231,7 +224,6 @@ ORACLES = {
     "unregistered_anti": "SELECT c_custkey::VARCHAR AS email FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)",
     "role_semi": "SELECT DISTINCT conv_id FROM conversations WHERE role = 'system'",
     "cascade_anti": "SELECT conv_id AS room_id, count(*) AS n FROM conversations WHERE conv_id % 10 <> 7 GROUP BY 1",
-    "signup_outcome": "SELECT * FROM (VALUES (1, 'ok'), (2, 'password'), (3, 'blank'), (4, 'different'), (5, 'unverified'), (6, 'terms'), (7, 'registered')) t(id, outcome)",
     "first_seen_dedup": "SELECT min(doc_id) AS doc_id FROM documents GROUP BY text",
     "last_duplicate_wins": "SELECT max(doc_id) AS doc_id FROM documents GROUP BY text",
     "index_scan": "SELECT doc_id AS id, 'f' || doc_id AS filename, label FROM documents JOIN embeddings ON vec_id = doc_id QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY doc_id) = 1",

@@ -1,4 +1,4 @@
-"""Text rules: over documents and pages where plain texts tell them apart, and over short Korean sentences with worked-out results."""
+"""Text rules over documents and pages where plain texts tell them apart; quern.plans.wrapped has those that need Korean around them."""
 
 from __future__ import annotations
 
@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from quern.functions import prompts as P
 from quern.functions import text as T
 from quern.functions import vectors as V
-from quern.operators import app as A
 from quern.sources import corpus as C
 
 
@@ -31,64 +30,6 @@ def md5(c: F.Column) -> F.Column:
     return F.md5(c.cast("binary"))
 
 
-def worked(rule, pairs: list[tuple[str, str | None]]):
-    """A query that applies a rule to inputs, and SQL that states the results."""
-
-    def q(spark: SparkSession, d: str) -> DataFrame:
-        rows = spark.createDataFrame([(i, x) for i, (x, _) in enumerate(pairs)], "id int, x string")
-        return rows.select("id", rule(F.col("x")).alias("result"))
-
-    quoted = lambda s: "NULL" if s is None else "'" + s.replace("'", "''") + "'"
-    values = ", ".join(f"({i}, {quoted(w)})" for i, (_, w) in enumerate(pairs))
-    return q, f"SELECT id, result FROM (VALUES {values}) t(id, result)"
-
-
-def _pairs(m: F.Column) -> F.Column:
-    """A map as text, keys in order."""
-    return F.array_join(F.transform(F.array_sort(F.map_keys(m)), lambda k: F.concat(k, F.lit("="), F.element_at(m, k))), "|")
-
-
-WORKED = {
-    "phrases_conservative": (lambda x: T.preprocess_section(x, "abstract", "conservative"), [("본발명은 장치", "장치"), ("본 발명은  장치를 포함하는 것", "장치 것"), ("", "")]),
-    "phrases_strong": (lambda x: T.preprocess_section(x, "claims", "strong"), [("상기 장치의 단계", "장치의"), ("제1항에 있어서 가", "가")]),
-    "cleanup_claims": (lambda x: T.cleanup_artifacts(x, "claims"), [("[0001] 청구항 1 제 1 항에 있어서, - 3 - 장치", ", 장치"), ("등록특허 10-123  가", "가")]),
-    "nfkc_basic": (T.normalize_basic, [("ＡＢ Ｃ\r\n\n\n\nｘ", "AB C\n\nx"), ("  가  ", "가"), (None, "")]),
-    "query_clean": (T.clean_query, [("상기 AI 장치; 본 발명은 (가)!", "ai 장치; 가"), ("A-B_C/D", "a-b_c/d")]),
-    "embedding_clean": (T.clean_for_embedding, [("본 발명 Neural 장치 10 학습 a 가", "neural 학습"), ("제 1 항 도 2 회로", "회로")]),
-    "v1_common": (T.v1_common, [("가(100a) 나 (1)\r다​", "가 나 (1)\n다"), ("", "")]),
-    "v1_abstract": (T.v1_abstract, [("본 발명은 가를 제공하는 데 그 목적이 있다.", "가를 제공한다."), ("가를 제공하는 것을 목적으로 한다", "가를 제공한다.")]),
-    "v1_claims": (T.v1_claims, [("청구항 1. 가를 포함하는 것을 특징으로 하는 장치\n청구항 2 삭제\n제 3 항. 청구항 1에 있어서, 나", "가를 포함하는; 장치\n나")]),
-    "v1_description": (T.v1_description, [("[0001] 도 1에 도시된 바와 같이, 본 발명의 일 실시예에 따른 가", "가"), ("【0012】 나  다", "나 다")]),
-    "v2_abstract": (T.v2_abstract, [("요약: 가나다라마바사. 나. GPU. 둘째 문장입니다.", "가나다라마바사. GPU. 둘째 문장입니다."), ("가", "가")]),
-    "v2_claims": (T.v2_claims, [("청구항 1: 상기 가나다라마바사아 회로; 짧다; GPU", "가나다라마바사아 회로; GPU"), ("짧다", "짧다")]),
-    "v2_description": (T.v2_description, [("[0001] 도면의 간단한 설명\n도 1은 구성도이다.\n100: 회로\n본문 (100) 끝", "본문 끝")]),
-    "legacy_normalize": (T.normalize_legacy, [("장치\n를 - 3 - 본다\n① 가", "장치를  본다\n가")]),
-    "section_abstract": (lambda x: T.sections(x)["abstract"], [("(57) 요 약\n본 장치.\n청구범위\n청구항 1\n가.\n발명의 설명\n기술분야\n나.", "본 장치."), ("없음", "")]),
-    "section_claims": (lambda x: T.sections(x)["claims"], [("(57) 요 약\n본 장치.\n청구범위\n청구항 1\n가.\n발명의 설명\n기술분야\n나.", "청구범위\n청구항 1\n가."), ("없음", "")]),
-    "section_description": (lambda x: T.sections(x)["description"], [("(57) 요 약\n본 장치.\n청구범위\n청구항 1\n가.\n발명의 설명\n기술분야\n나.", "기술분야\n나.")]),
-    "section_title_ipc": (lambda x: F.concat_ws("|", T.sections(x)["title"], T.sections(x)["ipc"]), [("발명의 명칭 가나 장치\n\n(57) 요약\nG06F 17/30", "가나 장치|G06F 17/30"), ("없음", "|")]),
-    "claims_split": (lambda x: _pairs(T.split_claims(x)), [("청구항 1 가를 포함한다. 청구항 2 청구항 1에 있어서, 나.", "청구항 1=에 있어서, 나.|청구항 2="), ("청구항 1 가", "청구항 1=가"), ("없음", None)]),
-    "claims_fallback": (T.fallback_claims, [("앞 청 구 항 가나 발명의 설명 끝", "청 구 항 가나"), ("x What is claimed is a. Detailed description b", "What is claimed is a."), ("none", "")]),
-    "claims_or_fallback": (lambda x: T.claims_or_fallback(x, F.lit("대신")), [("짧다", "대신"), ("가" * 300, "가" * 300)]),
-    "detect_tables": (lambda x: F.array_join(T.tables(x), "|"), [("표 1 가\n나\n\n본문 표 2 다", "표 1 가\n나|표 2 다"), ("없음", "")]),
-    "detect_equations": (lambda x: F.array_join(T.equations(x), "|"), [("수학식 1 a=b\n\n본문 수학식 2 c", "수학식 1 a=b|수학식 2 c")]),
-    "description_block": (T.without_background, [("기술분야 가\n발명의 내용 " + "나" * 30 + "\n끝", "발명의 내용 " + "나" * 30 + "\n끝"), ("실시예 짧다\n 둘 ", "실시예 짧다\n둘"), ("실시예 " + "가" * 30 + "\n해결하려는 과제 " + "나" * 30, "해결하려는 과제 " + "나" * 30)]),
-    "low_quality_hangul": (lambda x: T.low_quality(x).cast("string"), [("가" * 299, "true"), ("가" * 300, "false"), ("a" * 300, "true"), ("", "true"), (None, "true")]),
-    "json_slice": (T.json_object, [('noise {"a":1} tail', '{"a":1}'), ("none", "")]),
-    "title_maker": (T.title, [("가" * 20, "가" * 20), ("가" * 21, "가" * 20 + "…"), ("  ", "새 채팅"), (None, "새 채팅")]),
-    "dependent_claim": (lambda x: T.renumber_dependent(x, F.lit(2)), [("제 3 항에 있어서, 가", "제2항. 제1항에 있어서, 가"), ("나", "제2항. 제1항에 있어서, 나")]),
-    "caption_cleanup": (T.caption, [("USER: x ASSISTANT: a  b<end_of_utterance>", "a b"), (" c ", "c")]),
-    "prompt_input": (lambda x: T.prompt_input(F.lit("가"), x), [("", "[사용자 텍스트 입력]\n가"), ("나", "[사용자 텍스트 입력]\n가\n\n[이미지 기반 도면 설명]\n이미지 d에 대한 설명: 나")]),
-    "answer_format": (T.format_answer, [("장치 가\n다. 끝,\n나 [발명의 명칭] 장치", "장치 가다. 끝, 나 \n\n[발명의 명칭]\n 장치"), ("방법. 청구항 2 가나", "방법.\n\n청구항 2\n 가나"), ("가 - 나 - 다", "가\n- 나\n- 다")]),
-    "answer_line_korean": (T.line_class, [("[발명의 명칭]", "ai-section-title"), ("청구항 1", "ai-claim-title"), ("청구항 1에 있어서, 가", "ai-paragraph"), ("1. 기술분야", "ai-sub-title"), ("가. 과제", "ai-sub-title"), ("- 항목", "ai-list-item"), ("문장", "ai-paragraph"), (" ", "break")]),
-    "date_text": (T.date_text, [("2024-01-05T10:00:00", "2024. 1. 5."), ("soon", "soon"), (None, "-"), ("", "-")]),
-    "password_policy": (lambda x: A.password_ok(x).cast("string"), [("abcd123!", "true"), ("abcd1234", "false"), ("ab1!", "false"), ("12345678!", "false")]),
-    "code_shape": (lambda x: A.code_ok(x).cast("string"), [("012345", "true"), ("12345", "false"), ("12345a", "false")]),
-    "not_blank": (lambda x: A.not_blank(x).cast("string"), [("a", "true"), (" 　", "false"), (None, "false")]),
-    "input_type": (lambda x: T.input_type(x, F.lit(True)), [("a.PDF ", "pdf"), ("a text", "text")]),
-}
-
-
 # ---- over the tables
 
 
@@ -215,25 +156,6 @@ def final_prompt(spark, d):
     return top.join(new, "domain").select("domain", md5(made).alias("hash"), F.length(made).alias("n"))
 
 
-def defaults(spark, d):
-    rows = spark.createDataFrame([(0, '{"type": "Ai", "abstract": {"raw": "a", "clean": "b"}, "claims": {"raw": "c"}, "description": {"raw": "d"}}'), (1, "broken"), (2, '{"type": "Ai"}')], "id int, answer string")
-    q = C.parsed_query(F.col("answer"), F.lit("input"))
-    return rows.select("id", q["type"].alias("type"), q["abstract"]["raw"].alias("abstract"), q["claims"]["raw"].alias("claims"))
-
-
-def sectioned(spark, d):
-    rows = spark.createDataFrame([(1, "발명의 명칭 가\n\n(57) 요약\n나.\n청구범위\n청구항 1\n다.\n발명의 설명\n기술분야\n라. 표 1 x")], "doc_id int, text string")
-    return C.section_records(rows).select("id", "title", "abstract", "claims", "description", F.size("tables_raw").alias("n_tables"), F.size("claims_structured").alias("n_claims"))
-
-
-def paged(spark, d):
-    from quern.sources.hooks import text_hook
-
-    good = "가" * 300
-    rows = spark.createDataFrame([(1, 1, good, "a"), (1, 2, "나", "b"), (1, 3, "다", "c"), (2, 1, good, "d")], "doc_id int, page int, text string, image string")
-    return C.page_texts(rows, text_hook()).select("doc_id", F.size(F.split("text", "\n\n")).alias("pages"))
-
-
 def ranked_records(spark, d):
     from pyspark.sql import Window
 
@@ -249,17 +171,15 @@ def prior_art_text(spark, d):
 
 
 QUERIES, ORACLES = {}, {}
-for _name, (_rule, _cases) in WORKED.items():
-    QUERIES[_name], ORACLES[_name] = worked(_rule, _cases)
 for _name, _p in {"chunk_windows_a": (254, 256, 8, 1), "chunk_windows_b": (512, 256, 30, 1), "chunk_windows_c": (512, 512, None, 10)}.items():
     QUERIES[_name], ORACLES[_name] = chunked(*_p)
 QUERIES |= {
     "text_basic": text_basic, "cleanup_artifacts": artifacts, "low_quality": quality, "remove_phrases": phrases, "section_unpivot": unpivoted, "mode_expand": expanded, "domain_phrases": domain_phrases, "text_by_mode": mode_text,
     "text_min_length": long_text, "core_text": core, "snippet": snippets, "percent_clamp": percents, "code_format": codes, "json_extract": props, "html_escape": escaped, "answer_line_class": line_classes,
-    "prompt_parts": prompts, "fewshot_prompt": few_shot_prompt, "default_record": defaults, "section_record": sectioned, "page_text": paged, "fewshot_examples": shaped_examples, "prior_art_text": prior_art_text,
+    "prompt_parts": prompts, "fewshot_prompt": few_shot_prompt, "fewshot_examples": shaped_examples, "prior_art_text": prior_art_text,
     "prompt_flow": prompt_flow, "final_prompt": final_prompt,
 }
-# The documents hold no character that NFKC changes and no Hangul, which the phrases of the modes are in; other rules have worked-out results above.
+# The documents hold no character that NFKC changes and no Hangul, which the phrases of the modes are in; other rules are in quern.plans.wrapped.
 _strip = lambda t: f"regexp_replace({t}, '^\\s+|\\s+$', '', 'g')"
 _lines = lambda t: f"array_to_string(list_filter(list_transform(string_split(replace({t}, chr(13), chr(10)), chr(10)), lambda x: {_strip('x')}), lambda x: x <> ''), chr(10))"
 _basic = lambda t: _strip(f"regexp_replace(regexp_replace(replace({t}, chr(13), chr(10)), '[ \\t]+', ' ', 'g'), '\\n{{3,}}', chr(10) || chr(10), 'g')")
@@ -292,8 +212,6 @@ ORACLES |= {
     "answer_line_class": "WITH l AS (SELECT trim(unnest(string_split(text, chr(10))), ' ' || chr(9) || chr(13)) AS t FROM documents) SELECT CASE WHEN t = '' THEN 'break' WHEN t[1] = '[' AND t[-1] = ']' THEN 'ai-section-title' WHEN regexp_matches(t, '^[0-9]+\\.') THEN 'ai-sub-title' WHEN t[1] = '-' THEN 'ai-list-item' ELSE 'ai-paragraph' END AS class, count(*) AS n FROM l GROUP BY 1",
     "prompt_parts": "SELECT doc_id, md5('[A]' || chr(10) || substr(text, 1, 20) || chr(10) || chr(10) || '[B]' || chr(10) || source) AS hash FROM documents",
     "fewshot_prompt": "WITH t AS (SELECT lang, doc_id, n_chars / 1000 AS score, row_number() OVER (PARTITION BY lang ORDER BY n_chars DESC, doc_id) AS rank FROM documents) SELECT lang, string_agg(format('{}. {} {:.4f}', rank, doc_id, score), chr(10) ORDER BY rank) AS prompt FROM t WHERE rank <= 3 GROUP BY lang",
-    "default_record": "SELECT * FROM (VALUES (0, 'Ai', 'a', 'c'), (1, 'Ai', 'input', 'input'), (2, 'Ai', 'input', 'input')) t(id, type, abstract, claims)",
-    "section_record": "SELECT 1 AS id, '가' AS title, '나.' AS abstract, '청구항 1' || chr(10) || '다.' AS claims, '기술분야' || chr(10) || '라. 표 1 x' AS description, 1 AS n_tables, 1 AS n_claims",
     "fewshot_examples": f"WITH {_records}, r AS (SELECT *, (row_number() OVER (ORDER BY doc_id DESC))::INTEGER AS rank FROM records WHERE domain = 'en') SELECT rank, md5(abstract) AS abstract, md5(claims) AS claims FROM r WHERE rank <= 3",
     "prior_art_text": f"WITH {_records}, r AS (SELECT *, row_number() OVER (ORDER BY doc_id DESC) AS rank FROM records WHERE domain = 'en') SELECT md5(string_agg('<' || rank || '. ' || doc_id || '> ' || abstract || ' | ' || substr(claims, 1, 300) || '...', chr(10) ORDER BY rank)) AS hash FROM r WHERE rank <= 5",
     "prompt_flow": f"""WITH {_records}, x AS (SELECT *, CASE domain WHEN 'de' THEN [] WHEN 'fr' THEN [domain, abstract[:20]] ELSE [domain, domain, abstract[:20]] END AS l FROM records), j AS (SELECT *, {_json('l')} AS j, {_headed('[idea]', 'abstract')} AS idea FROM x)
@@ -309,5 +227,4 @@ ORACLES |= {
             || chr(10) || '- claims: ' || coalesce(nullif(claims[:30], ''), 'N/A'), chr(10) ORDER BY rank) AS e FROM t WHERE rank <= 3 GROUP BY 1), n AS (SELECT domain, arg_min(abstract, doc_id) AS a FROM o GROUP BY 1),
         m AS (SELECT domain, '[examples]' || chr(10) || e || chr(10) || chr(10) || '[write]' || chr(10) || '- type: ' || coalesce(nullif(domain, 'fr'), 'N/A') || chr(10) || '- summary: ' || coalesce(nullif(a, ''), 'N/A') || chr(10) || chr(10) || '[rules]' AS m FROM e JOIN n USING (domain))
         SELECT domain, md5(m) AS hash, length(m) AS n FROM m""",
-    "page_text": "SELECT * FROM (VALUES (1, 3), (2, 1)) t(doc_id, pages)",
 }

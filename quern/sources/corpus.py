@@ -63,11 +63,12 @@ def by_mode(records: DataFrame, sections=SECTIONS, modes=T.MODES, extra: dict |
     x = F.lit(None).cast("string")
     for s in sections:
         x = F.when(F.col("section") == s, T.normal_form(s, F.col("text"))).otherwise(x)
-    each = own.select("section", "domain", "doc_id", x.alias("x"), F.explode(F.array(*map(F.lit, modes))).alias("mode"))
+    made = own.select("section", "domain", "doc_id", x.alias("x"))  # below the explode, which would repeat it
+    each = made.select("*", F.explode(F.array(*map(F.lit, modes))).alias("mode"))
     lists = {f"{s}/{m}/{d}": T.phrases_of(s, m, (extra or {}).get(d)) for s in sections for m in modes for d in ["", *(extra or {})]}
     named = F.when(F.col("domain").isin(*(extra or {})), F.col("domain")).otherwise("") if extra else F.lit("")
     removed = remover({k: v for k, v in lists.items() if v})(F.col("x"), F.concat_ws("/", "section", "mode", F.coalesce(named, F.lit(""))))
-    return each.select("section", "mode", "domain", "doc_id", F.when(F.col("mode") == "x", F.col("x")).otherwise(T.squeeze(removed)).alias("text"))
+    return each.select("section", "mode", "domain", "doc_id", F.coalesce(T.squeeze(removed), F.col("x")).alias("text"))
 
 
 def text_by_mode(records: DataFrame, mode: str, least: int = 80) -> DataFrame:
