@@ -10,11 +10,12 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quern.functions import vectors as V
+from quern.operators import pairs as P
 from quern.operators import search as S
 from quern.operators import vectors as O
 from quern.sources import corpus as C
 from quern.sources import sinks
-from quern.sources.shared import shared_folder
+from quern.sources.shared import own_folder
 
 DIM, SECTION_DIM = 64, 20
 SECTIONS = {"abstract": 1, "claims": 21, "description": 41}
@@ -332,20 +333,16 @@ def fused_domain(spark, d):
 
 def saved_weights(spark, d):
     """Each domain's weights, saved and loaded again."""
-    import uuid
-
     w = O.dynamic_weights(O.pair_stats(sections(spark, d), "label", "vector", ["section"], "domain"), ["label"]).select("label", "section", "W")
-    folder = f"{shared_folder(spark)}/weights_{uuid.uuid4().hex}"
+    folder = own_folder(spark, "weights")
     sinks.write_weights(w, folder)
     return C.saved_table(spark, folder, "label int, section string, W double", "json")
 
 
 def saved_stats(spark, d):
     """Statistics of two fields as loaded from what was saved."""
-    import uuid
-
     st = O.pair_stats(sections(spark, d), "label", "vector", ["section"], "domain")
-    folder = f"{shared_folder(spark)}/stats_{uuid.uuid4().hex}"
+    folder = own_folder(spark, "stats")
     sinks.write_weights(st, folder)
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in st.schema)
     return r6(C.for_fields(C.saved_table(spark, folder, schema, "csv"), [1, 3], "label"))
@@ -426,17 +423,31 @@ def alignment(spark, d):
     return x.groupBy("label").agg(*[F.round(f("x"), 4).alias(n) for n, f in (("avg", F.avg), ("std", F.stddev_pop), ("min", F.min), ("max", F.max))])
 
 
+def _variants(spark, d, *names):
+    return P.variants(embeddings(spark, d).select("vec_id", V.doubles("embedding").alias("v")), "v", DIM, names=names)
+
+
+def _distribution(own, name):
+    return r6(P.summary(P.sampled_products(own, "vec_id", "v"))).select(F.lit(name).alias("variant"), "*")
+
+
 def cosine_quantiles(spark, d):
-    """The distribution of cosines: mean and deviation over all pairs, from moments; quantiles and ends over the pairs of a sample of 400 vectors by
-    seeded hash, as many as the diagnostic draws."""
-    every = embeddings(spark, d).select("vec_id", V.l2_added("embedding", 1e-12).alias("v"))
-    stats = O.pair_stats(every.withColumn("all", F.lit(0)), "all", "v").select(F.col("mu_in").alias("mean"), F.col("sigma_in").alias("std"))
-    own = C.sampled(every, "vec_id", 400)
-    a, b = own.alias("a"), own.alias("b")
-    x = a.join(b, F.col("a.vec_id") < F.col("b.vec_id")).select(V.dot("a.v", "b.v").alias("x"))
-    q = F.percentile("x", F.array(*[F.lit(p) for p in (0.01, 0.05, 0.5, 0.95, 0.99)]))
-    out = stats.crossJoin(x.agg(F.min("x").alias("min"), F.max("x").alias("max"), q.alias("q")))
-    return r6(out.select("mean", "std", "min", "max", *[F.col("q")[i].alias(n) for i, n in enumerate(("q01", "q05", "q50", "q95", "q99"))]))
+    """The distribution of cosines over drawn pairs of all vectors, as they are and less their mean."""
+    own = _variants(spark, d, "raw", "centred")
+    return _distribution(own["raw"], "raw").unionByName(_distribution(own["centred"], "centred"))
+
+
+def cosine_removed(spark, d):
+    """The same without the two leading directions, which SQL can't find."""
+    return _distribution(_variants(spark, d, "removed")["removed"], "removed")
+
+
+def cosine_exact(spark, d):
+    """The same over all pairs, counted in blocks."""
+    own = embeddings(spark, d).select("vec_id", V.l2_added("embedding", 1e-12).alias("v"))
+    found = P.exact_summary(own, "vec_id", "v")
+    schema = "n long, mean double, std double, min double, max double, " + ", ".join(f"{q} double" for q in P.QUANTILES)
+    return r6(spark.createDataFrame([tuple(found[x.split()[0]] for x in schema.split(", "))] if found else [], schema))
 
 
 def _cross(spark, d):
@@ -477,10 +488,12 @@ QUERIES = {
     "pair_stats_global": stats_global, "pair_stats_domain": stats_domain, "domain_mean_matrix": matrix, "separation": separation, "mode_separation": mode_separation, "best_mode": chosen_mode,
     "dynamic_weights_global": weights_global, "dynamic_weights_domain": weights_domain, "snr_prototype_weights": prototypes,
     "align_sections": align_ranks, "fuse_equal": fused_equal, "fuse_global": fused_global, "fuse_domain": fused_domain,
-    "centroid_alignment": alignment, "cosine_quantiles": cosine_quantiles,
+    "centroid_alignment": alignment, "cosine_quantiles": cosine_quantiles, "cosine_removed": cosine_removed, "cosine_exact": cosine_exact,
     "saved_stats": saved_stats, "fuse_saved_weights": fused_saved, "fuse_at_embedding": fused_at_embedding, "cached_sections": cached_sections, "pool_tokens": pooled_tokens, "pool_layers": pooled_layers,
 }
 
+_raw = f"v AS (SELECT vec_id, {_added('embedding::DOUBLE[]', '1e-12')} AS v FROM embeddings)"
+_quantiles = "count(*) AS n, round(avg(x), 6) AS mean, round(stddev_pop(x), 6) AS std, round(min(x), 6) AS min, round(max(x), 6) AS max, " + ", ".join(f"round(quantile_cont(x, {p}), 6) AS {n}" for n, p in P.QUANTILES.items())
 _tenth, _null = "list_transform(embedding::DOUBLE[], lambda x: x * 0.1)", "list_transform(embedding::DOUBLE[], lambda x: x * 0.0)"
 _pool = "chunk AS (SELECT vec_id // 4 AS doc_id, embedding::DOUBLE[] AS vector FROM embeddings)"
 _stats_cols = "mu_in mu_out sigma_in sigma_out"
@@ -533,7 +546,10 @@ ORACLES = {
     "align_sections": "SELECT label, vec_id AS doc_id, CASE label WHEN 2 THEN 0 WHEN 0 THEN 1 WHEN 1 THEN 2 ELSE 999 END AS domain_rank FROM embeddings",
     "fuse_equal": _fused_sql(f"WITH {_s}", "", "(1.0 / 3)"), "fuse_global": _fused_sql(_wide("global"), ", wide", "w_{}"), "fuse_domain": _fused_sql(_wide("domain"), "JOIN wide ON wide.label = a.label", "w_{}"),
     "centroid_alignment": f"WITH {_c}, {_mean('m', 'c', 'label')}, x AS (SELECT label, list_dot_product(vector, {_added('mean')}) AS x FROM c JOIN m USING (label)) SELECT label, round(avg(x), 4) AS avg, round(stddev_pop(x), 4) AS std, round(min(x), 4) AS min, round(max(x), 4) AS max FROM x GROUP BY 1",
-    "cosine_quantiles": f"""WITH v AS (SELECT vec_id, {_added('embedding::DOUBLE[]', '1e-12')} AS v FROM embeddings), p AS (SELECT avg(x) AS mean, stddev_pop(x) AS std FROM (SELECT list_dot_product(a.v, b.v) AS x FROM v a JOIN v b ON a.vec_id < b.vec_id)),
-        o AS (SELECT * FROM v ORDER BY md5('42:' || vec_id), vec_id LIMIT 400), x AS (SELECT list_dot_product(a.v, b.v) AS x FROM o a JOIN o b ON a.vec_id < b.vec_id)
-        SELECT round(any_value(mean), 6) AS mean, round(any_value(std), 6) AS std, round(min(x), 6) AS min, round(max(x), 6) AS max, """ + ", ".join(f"round(quantile_cont(x, {p}), 6) AS {n}" for p, n in ((0.01, "q01"), (0.05, "q05"), (0.5, "q50"), (0.95, "q95"), (0.99, "q99"))) + " FROM x, p",
+    "cosine_quantiles": f"""WITH {_raw}, c AS (SELECT vec_id, {_added("list_transform(v, lambda x, i: x - m[i])", "1e-12")} AS v FROM v, (SELECT list(a ORDER BY i) AS m FROM (SELECT i, avg(x) AS a FROM (SELECT unnest(v) AS x, generate_subscripts(v, 1) AS i FROM v) GROUP BY 1))),
+        a AS (SELECT 'raw' AS variant, * FROM v UNION ALL SELECT 'centred', * FROM c), o AS (SELECT variant, v, row_number() OVER (PARTITION BY variant ORDER BY vec_id) - 1 AS at FROM a), t AS (SELECT count(*) * (count(*) - 1) // 2 AS t FROM v),
+        k AS (SELECT unnest(range(0, least(t, {P.DRAWN}))) AS k, t FROM t), r AS (SELECT CASE WHEN t <= {P.DRAWN} THEN k ELSE ('0x' || substr(md5('42:' || k), 1, 15))::BIGINT % t END AS r FROM k),
+        u AS (SELECT r, floor((1 + sqrt(1 + 8.0::DOUBLE * r)) / 2)::BIGINT AS j FROM r), z AS (SELECT r, CASE WHEN j * (j - 1) // 2 > r THEN j - 1 WHEN (j + 1) * j // 2 <= r THEN j + 1 ELSE j END AS j FROM u),
+        x AS (SELECT one.variant, list_dot_product(one.v, two.v) AS x FROM z JOIN o one ON one.at = r - j * (j - 1) // 2 JOIN o two ON two.at = j AND two.variant = one.variant) SELECT variant, {_quantiles} FROM x GROUP BY 1""",
+    "cosine_exact": f"WITH {_raw}, x AS (SELECT list_dot_product(a.v, b.v) AS x FROM v a JOIN v b ON a.vec_id < b.vec_id) SELECT {_quantiles} FROM x",
 }
