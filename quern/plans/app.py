@@ -12,6 +12,8 @@ from quern.operators.numbering import numbered
 from quern.sources import corpus as C
 from quern.sources import sinks
 from quern.sources.shared import own_folder
+from quern.streaming import expiry as E
+from quern.streaming import queue as Q
 from quern.streaming import signals as S
 
 
@@ -182,6 +184,38 @@ def status_stream(spark, d):
     return S.read_status(spark, folder, ["user_id"])
 
 
+def expired_stream(spark, d):
+    """Codes and tokens that a stream of grants lets expire."""
+    e = t(spark, d, "events")
+    stream = spark.readStream.schema(e.schema).parquet(_folder(spark, d)).select("event_id", F.col("ts").cast("timestamp").alias("ts"), "user_id")
+    folder = own_folder(spark, "expiries")
+    E.start_expiries(spark, stream, folder).awaitTermination()
+    return E.read_expiries(spark, folder)
+
+
+def drained_queue(spark, d):
+    """The queue's end state behind a stream whose handler breaks down in the first attempt, halfway through a batch, and is started again; the
+    handler can't do rows of some users."""
+    from pyspark.errors import StreamingQueryException
+
+    e = t(spark, d, "events")
+    stream = spark.readStream.schema(e.schema).parquet(_folder(spark, d))
+    asked = lambda x: x.select(F.col("event_id").alias("id"), F.when(F.col("event_type") == "click", "pending").otherwise("completed").alias("status"), "user_id")
+    folder, calls = own_folder(spark, "queue"), []
+
+    def handle(rows: DataFrame, attempt: int) -> DataFrame:
+        calls.append(attempt)
+        if len(calls) == Q.SLICES // 2:
+            raise RuntimeError("broke down")
+        return rows.select("id", F.when(F.col("user_id") % 50 == 0, "failed").otherwise("completed").alias("status"))
+
+    try:
+        Q.drain(asked(stream), handle, folder).awaitTermination()
+    except StreamingQueryException:
+        Q.drain(asked(stream), handle, folder).awaitTermination()
+    return Q.states(asked(e), Q.results(spark, folder)).select("id", "status")
+
+
 def _folder(spark, d):
     """A stream reads a folder: the table's, or the tables' with the one table's name as its filter."""
     return f"{d}/events.parque[t]"
@@ -203,7 +237,7 @@ QUERIES = {
     "role_semi": role_semi, "cascade_anti": cascade, "first_seen_dedup": first_seen, "last_duplicate_wins": last_duplicate, "index_scan": index_scan,
     "text_lookup": text_lookup, "key_intersection": shared_keys, "vertical_stack": stacked, "distinct_paths": paths, "element_sets": elements, "parse_cache_anti": to_parse,
     "missing_sections": missing, "image_cap": images, "sampled_listing": sampled, "surrogate_ids": surrogates, "document_join": document_of, "status_latest": status_latest,
-    "status_stream": status_stream, "window_counts": window_counts, "fused_meta": fused_meta,
+    "status_stream": status_stream, "expired_stream": expired_stream, "queue_drained": drained_queue, "window_counts": window_counts, "fused_meta": fused_meta,
 }
 
 _rooms = "rooms AS (SELECT conv_id, max(turn) AS updated_at, conv_id % 10 AS owner FROM conversations GROUP BY 1)"
@@ -241,6 +275,8 @@ ORACLES = {
     "surrogate_ids": "SELECT source || '/' || lpad(doc_id::VARCHAR, 8, '0') AS path, source AS type, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS id FROM documents",
     "document_join": "SELECT source, count(*) AS n, sum(toxic)::BIGINT AS toxic FROM labels JOIN documents USING (doc_id) GROUP BY 1",
     "status_latest": _status, "status_stream": _status,
+    "expired_stream": "WITH k AS (SELECT * FROM (VALUES ('code', 5), ('token', 60)) k(kind, m)), n AS (SELECT *, lead(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS next, max(ts) OVER () AS upto FROM events) SELECT kind, user_id, event_id, ts + m * INTERVAL 1 MINUTE AS expires_at FROM n, k WHERE coalesce(next, upto) > ts + m * INTERVAL 1 MINUTE",
+    "queue_drained": "SELECT event_id AS id, CASE WHEN event_type = 'click' AND user_id % 50 = 0 THEN 'failed' ELSE 'completed' END AS status FROM events",
     "window_counts": "SELECT strftime(time_bucket(INTERVAL 1 HOUR, ts), '%Y-%m-%d %H:%M') AS start, event_type, count(*) AS n, round(sum(value), 2) AS total FROM events GROUP BY 1, 2",
     "fused_meta": "SELECT lang AS field, doc_id, format('{:.8f}', n_chars / 7) AS w_a FROM documents",
 }

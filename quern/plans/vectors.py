@@ -478,7 +478,32 @@ def fused_queries(queries, weights):
     return r6(own.select("doc_id", v[0].alias("first"), v[19].alias("last")))
 
 
+def searched_each(first: int, gap: float):
+    """Every vector whose id 100 divides as a query, against all of another id, with texts."""
+
+    def q(spark, d):
+        every = embeddings(spark, d).select(F.col("vec_id").alias("doc_id"), "label", V.doubles("embedding").alias("vector"))
+        asked = every.where("doc_id % 100 = 0").select(F.col("doc_id").alias("query_id"), F.col("vector").alias("q"))
+        hits = S.whitened_search_each(every, asked, DIM, first, gap)
+        texts = spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "lang", F.length("text").alias("length"))
+        return r6(hits.join(texts, "doc_id", "left").select("query_id", "field", "rank", "doc_id", "score", "lang", "length"))
+
+    return q
+
+
+def _each_sql(first: int, gap: float) -> str:
+    unit = lambda v: _added(v, "1e-8")
+    less = "list_transform({0}, lambda x, i: x - mean[i])"
+    return f"""WITH e AS (SELECT vec_id AS doc_id, label, embedding::DOUBLE[] AS vector FROM embeddings), {_mean('m', 'e', 'label')}, q AS (SELECT doc_id AS query_id, vector AS q FROM e WHERE doc_id % 100 = 0),
+        f AS (SELECT query_id, q, label AS field, mean FROM q, m QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY list_dot_product(q, {unit('mean')}) DESC, label) = 1), a AS (SELECT query_id, field, {less.format('q')} AS q FROM f),
+        w AS (SELECT doc_id, {less.format('vector')} AS v FROM e JOIN m USING (label)), x AS (SELECT query_id, field, doc_id, list_dot_product({unit('v')}, {unit('q')}) AS score FROM a, w),
+        r AS (SELECT *, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id))::INTEGER AS rank FROM x QUALIFY rank <= 16), g AS (SELECT *, score - lead(score) OVER (PARTITION BY query_id ORDER BY rank) AS gap FROM r),
+        c AS (SELECT query_id, least(coalesce(min(rank) FILTER (rank - 1 >= {first} AND gap > {gap}), 10), 15) AS upto FROM g GROUP BY 1)
+        SELECT query_id, field, rank, doc_id, round(score, 6) AS score, lang, length(text)::INTEGER AS length FROM r JOIN c USING (query_id) LEFT JOIN documents USING (doc_id) WHERE rank <= upto"""
+
+
 QUERIES = {
+    "search_each_gap_a": searched_each(3, 0.05), "search_each_gap_b": searched_each(2, 0.03),
     "cross_field_top": cross_field_top, "cross_field_stats": cross_field_stats, "query_fusion": query_fusion,
     "search_whitened_gap_a": whitened(3, 0.05), "search_whitened_gap_b": whitened(2, 0.03), "search_domain_topk": domain_topk, "search_one_domain": one_domain,
     "fewshot_threshold": fewshots, "hit_report": hit_report, "detect_field_rank": fields, "detect_field_best": best_field,
@@ -515,6 +540,7 @@ ORACLES = {
         f AS (SELECT a.doc_id, list_transform(list_zip(a.vector, b.vector, c.vector), lambda z: coalesce(w_abstract, 1.0 / 3) * z[1] + coalesce(w_claims, 1.0 / 3) * z[2] + coalesce(w_description, 1.0 / 3) * z[3]) AS v
         FROM every a JOIN every b ON a.doc_id = b.doc_id AND b.section = 'claims' JOIN every c ON a.doc_id = c.doc_id AND c.section = 'description' LEFT JOIN wide ON wide.label = a.label WHERE a.section = 'abstract')
         SELECT doc_id, round(v[1], 6) AS "first", round(v[20], 6) AS "last" FROM f""",
+    "search_each_gap_a": _each_sql(3, 0.05), "search_each_gap_b": _each_sql(2, 0.03),
     "search_whitened_gap_a": _whitened_sql(3, 0.05), "search_whitened_gap_b": _whitened_sql(2, 0.03),
     "search_domain_topk": f"WITH {_q}, {_c}, {_own_sql} SELECT doc_id, lang, n_chars, label, round(score, 6) AS score FROM own LEFT JOIN documents USING (doc_id)",
     "search_one_domain": f"WITH {_q}, {_c} SELECT doc_id, label, round(list_dot_product(vector, q), 6) AS score FROM c, q WHERE label = 3 ORDER BY list_dot_product(vector, q) DESC, doc_id LIMIT 10",
