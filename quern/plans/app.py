@@ -13,6 +13,7 @@ from quern.sources import corpus as C
 from quern.sources import sinks
 from quern.sources.shared import own_folder
 from quern.streaming import expiry as E
+from quern.streaming import phases as Ph
 from quern.streaming import queue as Q
 from quern.streaming import signals as S
 
@@ -193,6 +194,18 @@ def expired_stream(spark, d):
     return E.read_expiries(spark, folder)
 
 
+def phase_signals(spark, d):
+    """The signals of a job over a stream of events, read back in their order."""
+    e = t(spark, d, "events")
+    folder = own_folder(spark, "phases")
+    stream = spark.readStream.schema(e.schema).parquet(_folder(spark, d))
+    count = lambda rows: rows.groupBy("event_type").agg(F.count("*").alias("n"))
+    Ph.run_noted(stream, count, lambda found, batch: found.write.mode("overwrite").parquet(f"{folder}/out/batch={batch}"), folder, folder.rsplit("/", 1)[-1])
+    own = Ph.notes(spark, folder)
+    made = spark.read.parquet(f"{folder}/out").agg(F.sum("n").alias("n_made"))
+    return numbered(own, [], ["at"], "nth").crossJoin(F.broadcast(made)).select("nth", "code", "message", "running", "batch", "n_rows", "n_made")
+
+
 def drained_queue(spark, d):
     """The queue's end state behind a stream whose handler breaks down in the first attempt, halfway through a batch, and is started again; the
     handler can't do rows of some users."""
@@ -237,13 +250,14 @@ QUERIES = {
     "role_semi": role_semi, "cascade_anti": cascade, "first_seen_dedup": first_seen, "last_duplicate_wins": last_duplicate, "index_scan": index_scan,
     "text_lookup": text_lookup, "key_intersection": shared_keys, "vertical_stack": stacked, "distinct_paths": paths, "element_sets": elements, "parse_cache_anti": to_parse,
     "missing_sections": missing, "image_cap": images, "sampled_listing": sampled, "surrogate_ids": surrogates, "document_join": document_of, "status_latest": status_latest,
-    "status_stream": status_stream, "expired_stream": expired_stream, "queue_drained": drained_queue, "window_counts": window_counts, "fused_meta": fused_meta,
+    "status_stream": status_stream, "expired_stream": expired_stream, "queue_drained": drained_queue, "phase_signals": phase_signals, "window_counts": window_counts, "fused_meta": fused_meta,
 }
 
 _rooms = "rooms AS (SELECT conv_id, max(turn) AS updated_at, conv_id % 10 AS owner FROM conversations GROUP BY 1)"
 _last = "last AS (SELECT * FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1)"
 _messages = "CASE code " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in S.MESSAGES.items()) + f" ELSE '{S.OTHER}' END"
 _status = f"WITH s AS (SELECT *, '1000' || (event_id % 4 + 1) AS code FROM events), l AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1) SELECT user_id, code, ts, {_messages} AS message, true AS running FROM l"
+_sent = "sent AS (SELECT * FROM (VALUES (1, '10001', NULL), (2, '10002', 0), (3, '10003', 0), (4, 'BATCH', 0), (5, 'DONE', NULL)) s(nth, code, batch))"
 ORACLES = {
     "recent_rooms": f"WITH {_rooms} SELECT owner, conv_id, updated_at, row_number() OVER (PARTITION BY owner ORDER BY updated_at DESC, conv_id) AS nth FROM rooms QUALIFY nth <= 5",
     "room_messages": "SELECT turn, role, length(text) AS n FROM conversations WHERE conv_id = 3",
@@ -276,6 +290,7 @@ ORACLES = {
     "document_join": "SELECT source, count(*) AS n, sum(toxic)::BIGINT AS toxic FROM labels JOIN documents USING (doc_id) GROUP BY 1",
     "status_latest": _status, "status_stream": _status,
     "expired_stream": "WITH k AS (SELECT * FROM (VALUES ('code', 5), ('token', 60)) k(kind, m)), n AS (SELECT *, lead(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS next, max(ts) OVER () AS upto FROM events) SELECT kind, user_id, event_id, ts + m * INTERVAL 1 MINUTE AS expires_at FROM n, k WHERE coalesce(next, upto) > ts + m * INTERVAL 1 MINUTE",
+    "phase_signals": "WITH " + _sent + f" SELECT nth, code, {_messages} AS message, code <> 'DONE' AS running, batch, CASE WHEN code = 'BATCH' THEN n END AS n_rows, n AS n_made FROM sent, (SELECT count(*) AS n FROM events)",
     "queue_drained": "SELECT event_id AS id, CASE WHEN event_type = 'click' AND user_id % 50 = 0 THEN 'failed' ELSE 'completed' END AS status FROM events",
     "window_counts": "SELECT strftime(time_bucket(INTERVAL 1 HOUR, ts), '%Y-%m-%d %H:%M') AS start, event_type, count(*) AS n, round(sum(value), 2) AS total FROM events GROUP BY 1, 2",
     "fused_meta": "SELECT lang AS field, doc_id, format('{:.8f}', n_chars / 7) AS w_a FROM documents",

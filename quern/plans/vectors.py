@@ -14,7 +14,7 @@ from quern.operators import pairs as P
 from quern.operators import search as S
 from quern.operators import vectors as O
 from quern.sources import corpus as C
-from quern.sources import sinks
+from quern.sources import packs, sinks
 from quern.sources.shared import own_folder
 
 DIM, SECTION_DIM = 64, 20
@@ -478,6 +478,23 @@ def fused_queries(queries, weights):
     return r6(own.select("doc_id", v[0].alias("first"), v[19].alias("last")))
 
 
+def _packed(spark, d) -> str:
+    folder = own_folder(spark, "packs")
+    packs.write_packs(embeddings(spark, d).select("label", F.col("vec_id").alias("doc_id"), F.col("embedding").alias("vector")), folder)
+    return folder
+
+
+def pack_scan(spark, d):
+    """Every vector written to packs and read back by ranges of rows."""
+    own = packs.read_packs(spark, _packed(spark, d), rows="300")
+    return r6(own.select("label", "doc_id", F.size("vector").alias("dim"), F.aggregate("vector", F.lit(0.0), lambda a, x: a + x.cast("double")).alias("total")))
+
+
+def pack_label(spark, d):
+    """One label of the packs, by a filter that the source takes over."""
+    return r6(packs.read_packs(spark, _packed(spark, d)).where("label = '3'").select("doc_id", F.element_at("vector", 1).cast("double").alias("first")))
+
+
 def searched_each(first: int, gap: float):
     """Every vector whose id 100 divides as a query, against all of another id, with texts."""
 
@@ -503,6 +520,7 @@ def _each_sql(first: int, gap: float) -> str:
 
 
 QUERIES = {
+    "pack_scan": pack_scan, "pack_label": pack_label,
     "search_each_gap_a": searched_each(3, 0.05), "search_each_gap_b": searched_each(2, 0.03),
     "cross_field_top": cross_field_top, "cross_field_stats": cross_field_stats, "query_fusion": query_fusion,
     "search_whitened_gap_a": whitened(3, 0.05), "search_whitened_gap_b": whitened(2, 0.03), "search_domain_topk": domain_topk, "search_one_domain": one_domain,
@@ -540,6 +558,8 @@ ORACLES = {
         f AS (SELECT a.doc_id, list_transform(list_zip(a.vector, b.vector, c.vector), lambda z: coalesce(w_abstract, 1.0 / 3) * z[1] + coalesce(w_claims, 1.0 / 3) * z[2] + coalesce(w_description, 1.0 / 3) * z[3]) AS v
         FROM every a JOIN every b ON a.doc_id = b.doc_id AND b.section = 'claims' JOIN every c ON a.doc_id = c.doc_id AND c.section = 'description' LEFT JOIN wide ON wide.label = a.label WHERE a.section = 'abstract')
         SELECT doc_id, round(v[1], 6) AS "first", round(v[20], 6) AS "last" FROM f""",
+    "pack_scan": "SELECT label::VARCHAR AS label, vec_id::VARCHAR AS doc_id, len(embedding)::INTEGER AS dim, round(list_sum(embedding::DOUBLE[]), 6) AS total FROM embeddings",
+    "pack_label": "SELECT vec_id::VARCHAR AS doc_id, round(embedding[1]::DOUBLE, 6) AS first FROM embeddings WHERE label = 3",
     "search_each_gap_a": _each_sql(3, 0.05), "search_each_gap_b": _each_sql(2, 0.03),
     "search_whitened_gap_a": _whitened_sql(3, 0.05), "search_whitened_gap_b": _whitened_sql(2, 0.03),
     "search_domain_topk": f"WITH {_q}, {_c}, {_own_sql} SELECT doc_id, lang, n_chars, label, round(score, 6) AS score FROM own LEFT JOIN documents USING (doc_id)",

@@ -8,7 +8,7 @@ from pyspark.errors import StreamingQueryException
 from pyspark.sql import functions as F
 
 from quern.operators import search
-from quern.streaming import expiry, queue
+from quern.streaming import expiry, phases, queue
 
 EVENTS = "event_id long, ts timestamp, user_id long"
 
@@ -116,3 +116,25 @@ def test_gap_by_query(spark):
     hits = spark.createDataFrame([(q, i, s, i + 1) for q, v in own.items() for i, s in enumerate(v)], "query_id long, doc_id long, score double, rank int")
     count = lambda *p: {r["query_id"]: r["count"] for r in search.gap_cutoff_each(hits, *p).groupBy("query_id").count().collect()}
     assert count(3, 0.05) == {1: 4, 2: 10, 3: 1} and count(2, 0.03) == {1: 4, 2: 3, 3: 1}
+
+
+def test_phases_of_a_run_and_of_a_failed_one(spark, tmp_path):
+    spark.range(5).write.parquet(f"{tmp_path}/in")
+    stream = lambda: spark.readStream.schema("id long").parquet(f"{tmp_path}/in")
+    seen = phases.run_noted(stream(), lambda rows: rows, lambda found, batch: found.write.parquet(f"{tmp_path}/out"), f"{tmp_path}/good", "good")
+    assert seen[-1][0] == "DONE" and not seen[-1][2] and spark.read.parquet(f"{tmp_path}/out").count() == 5
+    log = [(r["code"], r["n_rows"]) for r in phases.notes(spark, f"{tmp_path}/good").orderBy("at").collect()]
+    assert log == [("10001", None), ("10002", None), ("10003", None), ("BATCH", 5), ("DONE", None)]
+
+    def broken(found, batch):
+        raise RuntimeError("no draft")
+
+    seen = phases.run_noted(stream(), lambda rows: rows, broken, f"{tmp_path}/bad", "bad")
+    assert seen[-1][0] == "ERROR" and not seen[-1][2] and phases.notes(spark, f"{tmp_path}/bad").where("error LIKE '%no draft%'").count() == 1
+
+
+def test_a_poller_gives_up(spark, tmp_path):
+    phases.note(spark, str(tmp_path), phases.SEARCHING)
+    with pytest.raises(TimeoutError):
+        list(phases.poll(spark, str(tmp_path), 0.05, 0.5))
+    assert phases.status(spark, f"{tmp_path}/none") is None
