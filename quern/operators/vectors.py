@@ -12,21 +12,84 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from pyspark.sql.pandas.types import to_arrow_schema
+
 from quern.functions import vectors as V
 
 
+#: From so many dimensions on means are summed by Arrow batch: one aggregate for each dimension is a plan that grows with them.
+WIDE = 256
+#: Dimensions that travel as one row.
+SLICE = 64
+
+
+def wide_stats(df: DataFrame, keys: list[str], vector: str) -> DataFrame:
+    """(keys, mean, std, most, n): mean, population deviation and maximum of each dimension in each group. Each task adds up its own rows, about the means
+    that it has so far; what leaves it is a row for each group and SLICE dimensions, and those are added up by lanes of tasks before all. Null entries
+    don't count; a dimension without any has a null mean. The vectors of a group are of one length; a null vector counts in n alone."""
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in df.select(*keys).schema) + ", lane int, at int, rows long, n array<double>, s array<double>, q array<double>, h array<double>"
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict = {}
+        for b in batches:
+            column = b.column(len(keys))
+            names = pd.DataFrame({k: b.column(i).to_pandas() for i, k in enumerate(keys)})
+            for key, at in names.groupby(keys, dropna=False, sort=False).indices.items():
+                own = column.take(pa.array(at))
+                there = own.drop_null()
+                key = tuple(None if pd.isna(k) else k for k in (key if isinstance(key, tuple) else (key,)))
+                rows, n, mean, m2, most = sums.get(key, (0, None, None, None, None))
+                if len(there):
+                    flat = there.flatten()
+                    null = flat.is_null().to_numpy(zero_copy_only=False).reshape(len(there), -1)
+                    x = np.where(null, 0.0, flat.fill_null(0).to_numpy(zero_copy_only=False).astype(float).reshape(len(there), -1))
+                    k = (~null).sum(0).astype(float)
+                    m = x.sum(0) / np.maximum(k, 1)
+                    d, high = (np.where(null, 0.0, x - m) ** 2).sum(0), np.where(null, -np.inf, x).max(0)
+                    if n is None:
+                        n, mean, m2, most = k, m, d, high
+                    else:
+                        total = np.maximum(n + k, 1)
+                        m2 = m2 + d + (m - mean) ** 2 * n * k / total
+                        mean, n, most = (mean * n + m * k) / total, n + k, np.maximum(most, high)
+                sums[key] = rows + len(at), n, mean, m2, most
+        lane = TaskContext.get().partitionId() % LANES
+        out = [(*key, lane, at, rows, n[at : at + SLICE], (mean * n)[at : at + SLICE], (m2 + mean * mean * n)[at : at + SLICE], most[at : at + SLICE]) for key, (rows, n, mean, m2, most) in sums.items() if n is not None for at in range(0, len(n), SLICE)]
+        yield from pa.Table.from_pandas(pd.DataFrame(out, columns=[*keys, "lane", "at", "rows", "n", "s", "q", "h"]), schema=arrow, preserve_index=False).to_batches() if out else ()
+
+    arrow = to_arrow_schema(df.sparkSession.createDataFrame([], schema).schema)
+    total = lambda c: F.aggregate(F.slice(c, 2, F.size(c)), F.col(c)[0], lambda x, y: F.zip_with(x, y, lambda a, b: F.greatest(a, b) if c == "h" else a + b)).alias(c)
+
+    def added(parts: DataFrame, by: list[str]) -> DataFrame:
+        got = parts.groupBy(*by).agg(F.sum("rows").alias("rows"), *[F.collect_list(c).alias(c) for c in "nsqh"])
+        return got.select(*by, "rows", *[total(c) for c in "nsqh"])
+
+    parts = added(added(df.select(*keys, vector).mapInArrow(add, schema), [*keys, "lane", "at"]).drop("lane"), [*keys, "at"])
+    mean = F.zip_with("s", "n", lambda s, n: F.when(n > 0, s / n))
+    spread = F.zip_with(F.zip_with("q", "n", lambda q, n: F.when(n > 0, q / n)), "mean", lambda q, m: F.sqrt(F.greatest(q - m * m, F.lit(0.0))))
+    high = F.zip_with("h", "n", lambda h, n: F.when(n > 0, h))
+    each = parts.withColumn("mean", mean).withColumn("std", spread).withColumn("most", high)
+    whole = each.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("at", "mean", "std", "most", "rows"))).alias("r"))  # one entry for each slice
+    return whole.select(*keys, F.flatten("r.mean").alias("mean"), F.flatten("r.std").alias("std"), F.flatten("r.most").alias("most"), F.col("r")[0]["rows"].alias("n"))
+
+
 def vector_mean(df: DataFrame, keys: list[str], vector: str, dim: int, into: str = "mean") -> DataFrame:
-    """The mean vector of each group, one aggregate for each dimension: no exploded rows to shuffle."""
+    """The mean vector of each group, one aggregate for each dimension: no exploded rows to shuffle; of WIDE dimensions or more by batches."""
+    if dim >= WIDE:
+        return wide_stats(df, keys, vector).select(*keys, F.col("mean").alias(into))
     parts = [F.avg(F.col(vector)[i].cast("double")) for i in range(dim)]
     return df.groupBy(*keys).agg(F.array(*parts).alias(into))
 
 
 def vector_stats(df: DataFrame, keys: list[str], vector: str, dim: int) -> DataFrame:
-    """Mean and population deviation of each dimension in each group."""
+    """Mean and population deviation of each dimension in each group; of WIDE dimensions or more by batches."""
+    if dim >= WIDE:
+        return wide_stats(df, keys, vector).drop("most")
     at = [F.col(vector)[i].cast("double") for i in range(dim)]
     return df.groupBy(*keys).agg(F.array(*[F.avg(x) for x in at]).alias("mean"), F.array(*[F.stddev_pop(x) for x in at]).alias("std"), F.count("*").alias("n"))
 
@@ -40,6 +103,9 @@ def zscore_l2(df: DataFrame, keys: list[str], vector: str, dim: int, into: str =
 
 def mean_max_pool(df: DataFrame, keys: list[str], vector: str, dim: int, into: str = "pooled") -> DataFrame:
     """Half the sum of mean and maximum of each dimension, over its length plus 1e-8."""
+    if dim >= WIDE:
+        half = F.zip_with("mean", "most", lambda m, h: (m + h) / 2)
+        return wide_stats(df, keys, vector).select(*keys, V.l2_added(half).alias(into))
     at = [F.col(vector)[i].cast("double") for i in range(dim)]
     pooled = df.groupBy(*keys).agg(F.array(*[(F.avg(x) + F.max(x)) / 2 for x in at]).alias(into))
     return pooled.withColumn(into, V.l2_added(into))

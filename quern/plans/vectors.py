@@ -478,6 +478,28 @@ def fused_queries(queries, weights):
     return r6(own.select("doc_id", v[0].alias("first"), v[19].alias("last")))
 
 
+#: Long vectors: so many multiples of an embedding one behind the other.
+TIMES = 12
+
+
+def wide(spark, d):
+    times = lambda k: F.transform("embedding", lambda x: x.cast("double") * k)
+    parts = [times(k + 1) for k in range(TIMES)]
+    return embeddings(spark, d).select("label", "vec_id", F.concat(*parts).alias("vector"))
+
+
+def wide_stats(spark, d):
+    """Means and deviations of vectors of 768 dimensions."""
+    st = O.vector_stats(wide(spark, d), ["label"], "vector", DIM * TIMES)
+    return r6(st.select("label", "n", F.posexplode(F.arrays_zip("mean", "std"))).select("label", "n", "pos", F.col("col.mean").alias("mean"), F.col("col.std").alias("std")))
+
+
+def wide_pooled(spark, d):
+    """Mean and maximum of vectors of 768 dimensions, four to a document."""
+    own = O.mean_max_pool(wide(spark, d).withColumn("doc_id", F.expr("vec_id div 4")), ["doc_id"], "vector", DIM * TIMES)
+    return r6(own.select("doc_id", F.col("pooled")[0].alias("first"), F.element_at("pooled", -1).alias("last")))
+
+
 def _packed(spark, d) -> str:
     folder = own_folder(spark, "packs")
     packs.write_packs(embeddings(spark, d).select("label", F.col("vec_id").alias("doc_id"), F.col("embedding").alias("vector")), folder)
@@ -520,7 +542,7 @@ def _each_sql(first: int, gap: float) -> str:
 
 
 QUERIES = {
-    "pack_scan": pack_scan, "pack_label": pack_label,
+    "pack_scan": pack_scan, "pack_label": pack_label, "wide_stats": wide_stats, "wide_pooled": wide_pooled,
     "search_each_gap_a": searched_each(3, 0.05), "search_each_gap_b": searched_each(2, 0.03),
     "cross_field_top": cross_field_top, "cross_field_stats": cross_field_stats, "query_fusion": query_fusion,
     "search_whitened_gap_a": whitened(3, 0.05), "search_whitened_gap_b": whitened(2, 0.03), "search_domain_topk": domain_topk, "search_one_domain": one_domain,
@@ -558,6 +580,9 @@ ORACLES = {
         f AS (SELECT a.doc_id, list_transform(list_zip(a.vector, b.vector, c.vector), lambda z: coalesce(w_abstract, 1.0 / 3) * z[1] + coalesce(w_claims, 1.0 / 3) * z[2] + coalesce(w_description, 1.0 / 3) * z[3]) AS v
         FROM every a JOIN every b ON a.doc_id = b.doc_id AND b.section = 'claims' JOIN every c ON a.doc_id = c.doc_id AND c.section = 'description' LEFT JOIN wide ON wide.label = a.label WHERE a.section = 'abstract')
         SELECT doc_id, round(v[1], 6) AS "first", round(v[20], 6) AS "last" FROM f""",
+    "wide_stats": f"WITH e AS (SELECT label, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) - 1 AS i FROM embeddings), s AS (SELECT label, i, count(*) AS n, avg(x) AS m, stddev_pop(x) AS d FROM e GROUP BY 1, 2) SELECT label, n, (k * {DIM} + i)::INTEGER AS pos, round(m * (k + 1), 6) AS mean, round(d * (k + 1), 6) AS std FROM s, range({TIMES}) t(k)",
+    "wide_pooled": f"""WITH e AS (SELECT vec_id // 4 AS doc_id, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) - 1 AS i FROM embeddings), s AS (SELECT doc_id, i, (avg(x) + max(x)) / 2 AS p FROM e GROUP BY 1, 2),
+        w AS (SELECT doc_id, i, k, p * (k + 1) AS p FROM s, range({TIMES}) t(k)), z AS (SELECT doc_id, sqrt(sum(p * p)) + 1e-8 AS z FROM w GROUP BY 1) SELECT doc_id, round(max(p / z) FILTER (k = 0 AND i = 0), 6) AS first, round(max(p / z) FILTER (k = {TIMES - 1} AND i = {DIM - 1}), 6) AS last FROM w JOIN z USING (doc_id) GROUP BY 1""",
     "pack_scan": "SELECT label::VARCHAR AS label, vec_id::VARCHAR AS doc_id, len(embedding)::INTEGER AS dim, round(list_sum(embedding::DOUBLE[]), 6) AS total FROM embeddings",
     "pack_label": "SELECT vec_id::VARCHAR AS doc_id, round(embedding[1]::DOUBLE, 6) AS first FROM embeddings WHERE label = 3",
     "search_each_gap_a": _each_sql(3, 0.05), "search_each_gap_b": _each_sql(2, 0.03),
