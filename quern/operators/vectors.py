@@ -118,10 +118,16 @@ def mean_pool(df: DataFrame, keys: list[str], vector: str, dim: int, into: str =
 LANES = 64  # of partitions' sums that are added up apart first
 
 
-def moments(df: DataFrame, keys: list[str], vector: str) -> DataFrame:
-    """(keys, n, s, g, q2, q4): count, sum of vectors, sum of outer products (flat), sums of squared and fourth-power lengths. Each
-    partition sums its own groups first; then the rows of the outer products are added up apart from each other, and by LANES of partitions
-    before all, so no task gathers a matrix from every partition."""
+def _added(parts: DataFrame, by: list[str]) -> DataFrame:
+    sums = parts.groupBy(*by).agg(*[F.sum(c).alias(c) for c in ("n", "s", "q2", "q4")], F.collect_list("g").alias("g"))
+    total = F.aggregate(F.slice("g", 2, F.size("g")), F.col("g")[0], lambda a, b: F.zip_with(a, b, lambda x, y: x + y))
+    return sums.withColumn("g", total)
+
+
+def moment_rows(df: DataFrame, keys: list[str], vector: str) -> DataFrame:
+    """(keys, i, n, s, g, q2, q4), one row for each group and dimension i: count, entry i of the sum of vectors, row i of the sum of outer products,
+    sums of squared and fourth-power lengths. Each partition sums its own groups first; then the rows are added up apart from each
+    other, and by LANES of partitions before all, so no task gathers a matrix from every partition."""
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in df.select(*keys).schema) + ", lane int, i int, n long, s double, g array<double>, q2 double, q4 double"
 
     def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -134,19 +140,31 @@ def moments(df: DataFrame, keys: list[str], vector: str) -> DataFrame:
                 sums[key] = tuple(a + b for a, b in zip(sums[key], new)) if key in sums else new
         lane = TaskContext.get().partitionId() % LANES
         for k, (n, s, g, q2, q4) in sums.items():
-            yield pd.DataFrame([(*k, lane, i, n, s[i], g[i], q2, q4) for i in range(len(s))], columns=[*keys, "lane", "i", "n", "s", "g", "q2", "q4"])
+            own = {c: pd.Series([None if pd.isna(v) else v] * len(s), dtype=object) for c, v in zip(keys, k)}
+            yield pd.DataFrame(own | {"lane": lane, "i": range(len(s)), "n": n, "s": s, "g": list(g), "q2": q2, "q4": q4})
+
+    return _added(_added(df.select(*keys, vector).mapInPandas(add, schema), [*keys, "lane", "i"]).drop("lane"), [*keys, "i"])
 
-    def added(parts: DataFrame, by: list[str]) -> DataFrame:
-        sums = parts.groupBy(*by).agg(*[F.sum(c).alias(c) for c in ("n", "s", "q2", "q4")], F.collect_list("g").alias("g"))
-        total = F.aggregate(F.slice("g", 2, F.size("g")), F.col("g")[0], lambda a, b: F.zip_with(a, b, lambda x, y: x + y))
-        return sums.withColumn("g", total)
 
-    parts = added(added(df.select(*keys, vector).mapInPandas(add, schema), [*keys, "lane", "i"]).drop("lane"), [*keys, "i"])
+def moments(df: DataFrame, keys: list[str], vector: str) -> DataFrame:
+    """(keys, n, s, g, q2, q4): the rows of each group together, g flat."""
+    parts = moment_rows(df, keys, vector)
     whole = parts.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("i", "n", "s", "g", "q2", "q4"))).alias("r"))  # one entry for each dimension
     first = F.col("r")[0]
     return whole.select(*keys, first["n"].alias("n"), F.col("r.s").alias("s"), F.flatten("r.g").alias("g"), first["q2"].alias("q2"), first["q4"].alias("q4"))
 
 
+def with_totals(rows: DataFrame, label: str, by: list[str]) -> DataFrame:
+    """Moment rows of [*by, label] with n_all, s_all and g_all, the sums over all labels but null of their group of `by`; rows without a label get none.
+    Labels are added up by LANES first, dimension by dimension. What is across labels is the total less a label's own, so no two labels are joined."""
+    lanes = _added(rows.where(F.col(label).isNotNull()).withColumn("lane", F.pmod(F.xxhash64(label), F.lit(LANES))), [*by, "lane", "i"])
+    total = _added(lanes, [*by, "i"]).select(*[F.col(k).alias(f"{k}_all") for k in [*by, "i", "n", "s", "g"]])
+    cond = F.col(label).isNotNull()
+    for k in [*by, "i"]:
+        cond = cond & F.col(k).eqNullSafe(F.col(f"{k}_all"))
+    return rows.join(total, cond, "left").drop(*[f"{k}_all" for k in [*by, "i"]])
+
+
 def _finish(df: DataFrame, keys: list[str]) -> DataFrame:
     """Means and deviations from sums of pairs: none gives zeros."""
     for side in ("in", "out"):
@@ -161,24 +179,16 @@ def pair_stats(df: DataFrame, label: str, vector: str, by: list[str] = (), scope
     group of `by`. scope "global": all labels together (pairs within count in both orders, pairs across once). scope
     "domain": for each label its own pairs and those with any other label."""
     by = list(by)
-    m = moments(df, [*by, label], vector)
-    n = F.col("n").cast("double")
-    within = m.select(*by, F.col(label).alias("label"), (n * (n - 1)).alias("n_in"), (V.dot("s", "s") - F.col("q2")).alias("a_in"), (V.dot("g", "g") - F.col("q4")).alias("b_in"))
-    one, two = m.alias("one"), m.alias("two")
-    same = [F.col(f"one.{k}").eqNullSafe(F.col(f"two.{k}")) for k in by]
-    other = F.col(f"one.{label}") < F.col(f"two.{label}") if scope == "global" else F.col(f"one.{label}") != F.col(f"two.{label}")
-    cond = other
-    for c in same:
-        cond = cond & c
-    across = one.join(two, cond).select(  # one row for each two labels: groups, not vectors
-        *[F.col(f"one.{k}") for k in by], F.col(f"one.{label}").alias("label"),
-        (F.col("one.n") * F.col("two.n")).cast("double").alias("n_out"), V.dot("one.s", "two.s").alias("a_out"), V.dot("one.g", "two.g").alias("b_out"),
-    )
+    rows = with_totals(moment_rows(df, [*by, label], vector), label, by)
+    n, once = F.col("n").cast("double"), lambda x: F.when(F.col("i") == 0, x)  # n, q2 and q4 stand in the row of each dimension
+    half = 0.5 if scope == "global" else 1.0  # the labels' sums count each pair across from both sides
+    sums = {
+        "n_in": once(n * (n - 1)), "a_in": F.col("s") ** 2 - F.coalesce(once(F.col("q2")), F.lit(0.0)), "b_in": V.dot("g", "g") - F.coalesce(once(F.col("q4")), F.lit(0.0)),
+        "n_out": half * once(n * (F.col("n_all") - n)), "a_out": half * F.col("s") * (F.col("s_all") - F.col("s")), "b_out": half * V.dot("g", V.minus("g_all", "g")),
+    }
     keys = by if scope == "global" else [*by, "label"]
-    sums = lambda d, side: d.groupBy(*keys).agg(*[F.sum(f"{c}_{side}").alias(f"{c}_{side}") for c in "nab"])
-    left, right = sums(within, "in"), sums(across, "out")
-    joined = (left.join(right, keys, "full") if keys else left.crossJoin(right)).fillna(0.0)
-    return _finish(joined, keys)
+    found = rows.withColumnRenamed(label, "label").groupBy(*keys).agg(*[F.sum(x).alias(c) for c, x in sums.items()])
+    return _finish(found.fillna(0.0, list(sums)), keys)
 
 
 def mean_matrix(df: DataFrame, label: str, vector: str) -> DataFrame:
@@ -214,15 +224,18 @@ def weights_from_scores(scores: DataFrame, scope: list[str] = (), **parameters)
 
 
 def prototype_weights(df: DataFrame, field: str, section: str, vector: str, dim: int, floor: float = 1e-6) -> DataFrame:
-    """For each field and section: cosines of all the section's vectors with the field's mean, inside the field and outside it, by moments, so no vector
-    meets a mean; the ratio of their difference to their spread, and its softmax over a field's sections."""
+    """For each field and section that aren't null: cosines of all the section's vectors with the field's mean, inside the field and outside it, by the field's
+    moments and by the totals less these, so no vector meets a mean and no field another one; the ratio of their difference to their spread, and its softmax over a field's sections."""
     protos = vector_mean(df, [field, section], vector, dim, "mean").select(F.col(field).alias("target"), section, V.l2_or_zero("mean").alias("p"))
-    sums = moments(df.select(field, section, V.l2_or_zero(vector).alias("unit")), [field, section], "unit").select(field, section, "n", "s", "g")
-    inside = F.col(field) == F.col("target")
-    square = V.dot("g", F.flatten(F.transform("p", lambda x: F.transform("p", lambda y: x * y))))  # sum of squared cosines
-    pairs = protos.join(sums, section).select("target", section, inside.alias("inside"), "n", V.dot("s", "p").alias("a"), square.alias("b"))  # one row for each two fields
-    part = lambda c, where: F.coalesce(F.sum(F.when(where, F.col(c))), F.lit(0.0))
-    out = pairs.groupBy("target", section).agg(*[part(c, F.col("inside") == (side == "in")).alias(f"{c}_{side}") for side in ("in", "out") for c in "nab"])
+    rows = moment_rows(df.select(field, section, V.l2_or_zero(vector).alias("unit")), [field, section], "unit")
+    own = (F.col(field) == F.col("target")) & (F.col("own_section") == F.col(section))
+    rows = protos.withColumnRenamed(section, "own_section").join(with_totals(rows, field, [section]), own).drop(field, section).withColumnRenamed("own_section", section)
+    n, at, once = F.col("n"), F.col("p")[F.col("i")], lambda x: F.when(F.col("i") == 0, x)
+    sums = {  # of squared cosines: p G p, row by row of G
+        "n_in": once(n), "a_in": at * F.col("s"), "b_in": at * V.dot("g", "p"),
+        "n_out": once(F.col("n_all") - n), "a_out": at * (F.col("s_all") - F.col("s")), "b_out": at * V.dot(V.minus("g_all", "g"), "p"),
+    }
+    out = rows.groupBy("target", section).agg(*[F.sum(x).alias(c) for c, x in sums.items()])
     for side in ("in", "out"):
         n, mean = F.greatest(F.col(f"n_{side}"), F.lit(1)), F.col(f"mu_{side}")
         out = out.withColumn(f"mu_{side}", F.col(f"a_{side}") / n)

@@ -65,6 +65,42 @@ def test_pair_statistics_without_pairs(spark, scope):
             assert abs(row[f"mu_{side}"] - pairs.mean()) < 1e-9 and abs(row[f"sigma_{side}"] - pairs.std()) < 1e-7
 
 
+def test_pair_statistics_of_null_labels_and_groups(spark, monkeypatch):
+    monkeypatch.setattr(O, "LANES", 2)
+    x = np.random.default_rng(6).standard_normal((40, 5))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    label = np.array([0] * 15 + [1] * 12 + [2] * 8 + [-1] * 5)  # -1: none
+    rows = [(g, int(lab) if lab >= 0 else None, v.tolist()) for g in ("a", None) for lab, v in zip(label, x)]
+    df = spark.createDataFrame(rows, "part string, label int, vector array<double>").repartition(3)
+    g = x @ x.T
+    same, other = (label[:, None] == label[None, :]) & ~np.eye(40, dtype=bool), (label[:, None] < label[None, :]) & (label[:, None] >= 0)
+    found = O.pair_stats(df, "label", "vector", ["part"])
+    assert "CartesianProduct" not in (plan := found._jdf.queryExecution().executedPlan().toString()) and "NestedLoop" not in plan
+    found = found.collect()
+    assert sorted(r["part"] or "" for r in found) == ["", "a"]
+    for r in found:
+        assert (r["count_in"], r["count_out"]) == (same.sum(), other.sum())
+        assert np.allclose((r["mu_in"], r["mu_out"], r["sigma_in"], r["sigma_out"]), (g[same].mean(), g[other].mean(), g[same].std(), g[other].std()), atol=1e-9)
+    own = {r["label"]: r for r in O.pair_stats(df.where("part = 'a'"), "label", "vector", scope="domain").collect()}
+    assert own.keys() == {0, 1, 2, None} and (own[None]["count_in"], own[None]["count_out"], own[None]["mu_out"]) == (20, 0, 0.0) and own[2]["count_out"] == 8 * 27
+    nothing = df.where("part = 'b'")
+    assert O.pair_stats(nothing, "label", "vector", ["part"]).count() == 0 and [tuple(r) for r in O.pair_stats(nothing, "label", "vector").collect()] == [(0.0, 0.0, 0.0, 0.0, 0, 0)]
+
+
+def test_prototypes_against_plain_products(spark):
+    x = np.random.default_rng(7).standard_normal((30, 4))
+    field = np.array(["p", "q", "r"])[np.arange(30) % 3]
+    df = spark.createDataFrame([(f, s, v.tolist()) for s in ("one", "two") for f, v in zip(field, x * (1 if s == "one" else np.arange(1, 5)))], "field string, section string, v array<double>")
+    found = {(r["target"], r["section"]): r for r in O.prototype_weights(df, "field", "section", "v", 4).collect()}
+    assert len(found) == 6
+    for (target, s), r in found.items():
+        own = x * (1 if s == "one" else np.arange(1, 5))
+        p, units = own[field == target].mean(axis=0), own / np.linalg.norm(own, axis=1, keepdims=True)
+        c = units @ (p / np.linalg.norm(p))
+        for side, at in (("in", field == target), ("out", field != target)):
+            assert np.allclose((r[f"mu_{side}"], r[f"sigma_{side}"]), (c[at].mean(), c[at].std()))
+
+
 def test_lengths_near_zero(spark):
     df = spark.createDataFrame([([3.0, 4.0],), ([0.0, 0.0],), ([3e-10, 4e-10],)], "v array<double>")
     out = df.select(V.l2_floor("v")[0].alias("floor"), V.l2_added("v")[0].alias("added"), V.l2_or_zero("v")[0].alias("zero"), V.l2_guarded("v")[0].alias("guarded"), V.cosine_or_zero("v", "v").alias("cos")).collect()
