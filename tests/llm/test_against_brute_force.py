@@ -314,47 +314,50 @@ def test_place_hashes(spark):
     assert words.hash_of(*(np.array(x) for x in zip(*rows))).view(np.int64).tolist() == want
 
 
-def plain_sentences(text):
-    """(first byte, words) of a text's sentences, word by word."""
+def plain_sentences(text, most=substring_dedup.MOST_WORDS):
+    """(first byte, words, number of the sentence) of the pieces of a text's sentences, word by word."""
     t = text.encode()
     found = [(m.start(), m[0].lower()) for m in re.finditer(rb"[^\x20\x09-\x0D]+", t)]
-    out, own = [], []
+    out, own, nth = [], [], 0
     for k, (at, w) in enumerate(found):
         own.append((at, w))
         end = at + len(w)
         if k + 1 == len(found) or w[-1:] in (b".", b"!", b"?") or b"\n" in t[end : found[k + 1][0]]:
             parts = [own]
-            if len(own) > substring_dedup.MOST_WORDS:
+            if most is not None and len(own) > most:
                 h = [int(words.words(np.frombuffer(w, np.uint8), np.array([0, len(w)]))[2][0]) for _, w in own]
                 n = substring_dedup.WINDOW
                 least = {max(range(i, i + n), key=lambda k: (-h[k], k)) for i in range(len(own) - n + 1)} | {len(own) - 1}  # noqa: B023
                 bounds = [0, *(k + 1 for k in sorted(least))]
                 parts = [own[x:y] for x, y in zip(bounds, bounds[1:])]
-            out += [(p[0][0], [w for _, w in p]) for p in parts]
-            own = []
+            out += [(p[0][0], [w for _, w in p], nth) for p in parts]
+            own, nth = [], nth + 1
     return out
 
 
-def plain_runs(sentences):
+def plain_runs(pieces, least=substring_dedup.LEAST):
     """{(first, last): words} by trying all."""
-    n, size, found = len(sentences), [len(w) for _, w in sentences], set()
+    n, size, found = len(pieces), [len(w) for _, w, _ in pieces], set()
     enough = lambda i, j: sum(size[i:j]) >= substring_dedup.LONG or sum(size[i:j]) >= substring_dedup.WORDS and j - i >= substring_dedup.SENTENCES
     for i in range(n):
         found |= {(i, j) for j in [next((j for j in range(i + 1, n + 1) if enough(i, j)), None)] if j}
         found |= {(k, i + 1) for k in [next((k for k in range(i, -1, -1) if enough(k, i + 1)), None)] if k is not None}
-    return {(i, j - 1): tuple(w for _, own in sentences[i:j] for w in own) for i, j in found}
+    of = lambda q: [k for k in range(n) if pieces[k][2] in (q, q + 1)]
+    pairs = [of(q) for q in range(pieces[-1][2])] if n else []
+    found |= {(own[0], own[-1] + 1) for own in pairs if sum(size[k] for k in own) >= least}
+    return {(i, j - 1): tuple(w for _, own, _ in pieces[i:j] for w in own) for i, j in found}
 
 
-def plain_dedup(rows):
+def plain_dedup(rows, least=substring_dedup.LEAST, most=substring_dedup.MOST_WORDS):
     own = sorted(set(apart(rows)))
     first, out = {}, {}
     for doc, nth, t in own:
-        s = plain_sentences(t)
+        s = plain_sentences(t, most)
         gone = set()
-        for (i, j), key in sorted(plain_runs(s).items()):
+        for (i, j), key in sorted(plain_runs(s, least).items()):
             if first.setdefault(key, (doc, nth, i)) != (doc, nth, i):
                 gone |= set(range(i, j + 1))
-        data, bounds = t.encode(), [*(at for at, _ in s), len(t.encode())]
+        data, bounds = t.encode(), [*(at for at, *_ in s), len(t.encode())]
         kept = data[: bounds[0]] + b"".join(data[bounds[k] : bounds[k + 1]] for k in range(len(s)) if k not in gone)
         out[doc, nth] = kept.decode()
     return sorted((i, out[i, h]) for i, h, _ in apart(rows))
@@ -371,7 +374,7 @@ def test_runs_are_those_of_plain_python():
     got, at = {}, 0
     for k, t in enumerate(odd):
         want = plain_sentences(t)
-        assert [b - off[k] for b, x in zip(s.begin, s.text) if x == k] == [b for b, _ in want]
+        assert [b - off[k] for b, x in zip(s.begin, s.text) if x == k] == [b for b, *_ in want]
         mine = {(int(x) - at, int(y) - at): int(h) for h, x, y in zip(hashes, i, j) if s.text[x] == k}
         plain = plain_runs(want)
         assert mine.keys() == plain.keys()
@@ -401,6 +404,20 @@ def test_substring_dedup(spark, monkeypatch, runs):
     assert len(set(kept[3].split()) & set(unbroken.split())) <= 20 and own[3][0] in kept[3]
 
 
+@pytest.mark.parametrize(("least", "most"), [(1, 12), (8, None), (20, 12)])
+def test_runs_of_whole_sentences(spark, least, most):
+    r = random.Random(8)
+    sentence = lambda n: " ".join("".join(r.choice("abcdefgh") for _ in range(5)) for _ in range(n)) + "."
+    short, two = [sentence(4) for _ in range(4)], [sentence(25), sentence(2)]
+    rows = [(i, " ".join([sentence(7), *short, sentence(9), *two, sentence(6)])) for i in range(3)] + [(3, " ".join([sentence(3), short[1], short[3]])), (4, "Of. Of. Of."), (5, ""), (6, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    kept = dict(substring_dedup.dedup(df, least, most).collect())
+    assert sorted((i, t) for i, t in kept.items() if t is not None) == plain_dedup(rows[:-1], least, most) and kept[6] is None
+    assert kept[0] == rows[0][1] and kept[3] == rows[3][1] and kept[4] == ("Of. " if least == 1 else rows[4][1])
+    for i in (1, 2):
+        assert all((s in kept[i]) == (least > 8) for s in short) and not any(s in kept[i] for s in two)
+
+
 def test_every_long_repeat_shares_a_run():
     r = random.Random(7)
     vocabulary = ["".join(r.choice("abcdefgh") for _ in range(5)) for _ in range(5000)]
