@@ -9,7 +9,8 @@ Cauchy-Schwarz and triangle inequalities give
 
     q.x <= q.p + |q| r <= q.o + |q| (d(p, o) + r)      for every x below p,
 
-so the second bound, which needs no product with p, already drops most entries of a page that can't reach the k-th score. Integer
+so the second bound, which needs no product with p, already drops most entries of a page that can't reach the k-th score. Queries
+go through a tree in groups: bounds and floors are each query's own, what is left of a page is one matrix product. Integer
 products below 2^53 are exact in doubles.
 """
 
@@ -29,6 +30,7 @@ from .common import cut, table
 K, SCALE, QUERY_EVERY = 20, 64, 20
 PAGE = 256
 CANDIDATES, QUERIES = 16_384, 8_192  # rows of a block
+TOGETHER = 1024  # queries that go through a tree as one group
 PIVOTS, BELOW, DRAWN = 1024, CANDIDATES, 4  # pivots of the upper level at most, candidates below one that they are chosen for, rows drawn for each
 
 
@@ -65,49 +67,93 @@ def build(x: np.ndarray, rows: np.ndarray, pivot: np.ndarray, rng: np.random.Gen
     return Page(pivots, np.sqrt(((pivots - pivot) ** 2).sum(axis=1)), np.array(radii), below)
 
 
-def search(root: Page, pivot: np.ndarray, q: np.ndarray, ids: list[np.ndarray], own: int, k: int, floor: float = -np.inf, work: list | None = None) -> list[tuple[int, int]]:
-    """The k best (score, id) below root of those that reach floor, ties to the smaller id; ids: those of each row, ascending. own is left out.
+def search_group(root: Page, pivot: np.ndarray, q: np.ndarray, ids: list[list[int]], own: np.ndarray, k: int, floors: np.ndarray, work: list | None = None) -> list[list[tuple[int, int]]]:
+    """For each row of q the k best (score, id) below root of those that reach its floor, ties to the smaller id; ids: those of each row, ascending. The query's own id is left out.
+
+    A query without a floor goes down to the leaf of its greatest bounds first. Then pages are taken best first, by the greatest bound of a
+    query in the group; a page's entries are pruned for each query by themselves, and products with what is left are one matrix product.
     work, if given, takes the number of products at its first place."""
-    norm = float(np.sqrt(q @ q)) * (1 + 1e-9)
-    best: list[tuple[float, int]] = []  # a heap of (score, -id)
-    wait = [(-np.inf, 0, root, float(q @ pivot))]
-    nth = 0
-    while wait:
-        bound, _, page, parent = heapq.heappop(wait)
-        least = max(floor, best[0][0]) if len(best) == k else floor
-        if -bound < least:
-            break
-        reach = page.to_parent if page.radii is None else page.to_parent + page.radii
-        at = np.flatnonzero(parent + norm * reach + 1e-6 >= least)
-        if not len(at):
-            continue
-        products = page.vectors[at] @ q
+    norm = np.sqrt((q * q).sum(axis=1)) * (1 + 1e-9)
+    least = floors.astype(float)
+    best: list[list[tuple[float, int]]] = [[] for _ in own]  # heaps of (score, -id)
+    only = np.array([i[0] if len(i) == 1 else 0 for i in ids], np.int64)
+    single = np.array([len(i) == 1 for i in ids], bool)
+    begun: dict[int, np.ndarray] = {}  # leaves that queries went down to first
+
+    def product(at: np.ndarray, vectors: np.ndarray, may: np.ndarray) -> np.ndarray:
+        """Products of queries with entries, at least of the pairs that may matter; -inf where none is made."""
+        i, j = np.nonzero(may) if 16 * np.count_nonzero(may) < may.size else (None, None)
         if work is not None:
-            work[0] += len(at)
-        if page.radii is not None:
-            bounds = products + norm * page.radii[at] + 1e-6
-            for i in np.flatnonzero(bounds >= least):
-                nth += 1
-                heapq.heappush(wait, (-float(bounds[i]), nth, page.below[at[i]], float(products[i])))
-            continue
-        order = np.flatnonzero(products >= least)
-        if len(order) > k + 1:  # one more, as the query's own row may be there; ties stay
-            order = order[products[order] >= np.partition(products[order], -k - 1)[-k - 1]]
-        for i in order:
-            score, found = float(products[i]), 0
-            for x in ids[page.rows[at[i]]]:
-                if x == own:
+            work[0] += may.size if i is None else len(i)
+        if i is None:
+            return q[at] @ vectors.T
+        out = np.full(may.shape, -np.inf)
+        out[i, j] = np.einsum("ij,ij->i", q[at[i]], vectors[j])
+        return out
+
+    def take(at: np.ndarray, page: Page, cols: np.ndarray, may: np.ndarray) -> None:
+        products, rows = product(at, page.vectors[cols], may), page.rows[cols]
+        products[single[rows][None, :] & (only[rows][None, :] == own[at][:, None])] = -np.inf
+        good = (products >= least[at][:, None]) & (products > -np.inf)
+        many = np.flatnonzero(np.count_nonzero(good, axis=1) > k)
+        if len(many):  # ties with the k-th stay
+            good[many] &= products[many] >= np.partition(products[many], -k, axis=1)[:, -k][:, None]
+        for i, j in zip(*(y.tolist() for y in np.nonzero(good))):
+            score, found, heap = float(products[i, j]), 0, best[at[i]]
+            for x in ids[rows[j]]:
+                if x == own[at[i]]:
                     continue
-                if len(best) < k:
-                    heapq.heappush(best, (score, -x))
-                elif (score, -x) > best[0]:
-                    heapq.heapreplace(best, (score, -x))
+                if len(heap) < k:
+                    heapq.heappush(heap, (score, -x))
+                elif (score, -x) > heap[0]:
+                    heapq.heapreplace(heap, (score, -x))
                 else:
                     break
                 found += 1
                 if found == k:
                     break
-    return [(int(s), -i) for s, i in best]
+            if len(heap) == k:
+                least[at[i]] = max(floors[at[i]], heap[0][0])
+
+    def go_down(page: Page, at: np.ndarray) -> None:
+        every = np.ones((len(at), len(page.vectors)), bool)
+        if page.radii is None:
+            begun[id(page)] = at
+            take(at, page, np.arange(len(page.vectors)), every)
+            return
+        to = (product(at, page.vectors, every) + norm[at][:, None] * page.radii[None, :]).argmax(axis=1)
+        for c in np.unique(to):
+            go_down(page.below[c], at[to == c])
+
+    new = np.flatnonzero(np.isneginf(least))
+    if len(new):
+        go_down(root, new)
+    every = np.arange(len(q))
+    wait = [(-np.inf, 0, root, every, np.full(len(q), np.inf), q @ pivot)]
+    nth = 0
+    while wait:
+        _, _, page, at, bounds, parent = heapq.heappop(wait)
+        keep = bounds >= least[at]
+        if id(page) in begun:
+            keep &= ~np.isin(at, begun[id(page)])
+        at, parent = at[keep], parent[keep]
+        reach = page.to_parent if page.radii is None else page.to_parent + page.radii
+        may = parent[:, None] + norm[at][:, None] * reach[None, :] + 1e-6 >= least[at][:, None]
+        rows, cols = np.flatnonzero(may.any(axis=1)), np.flatnonzero(may.any(axis=0))
+        if not len(cols):
+            continue
+        at, may = at[rows], may[np.ix_(rows, cols)]
+        if page.radii is None:
+            take(at, page, cols, may)
+            continue
+        products = product(at, page.vectors[cols], may)
+        bounds = products + norm[at][:, None] * page.radii[cols][None, :] + 1e-6
+        may = bounds >= least[at][:, None]
+        for j in np.flatnonzero(may.any(axis=0)):
+            on = np.flatnonzero(may[:, j])
+            nth += 1
+            heapq.heappush(wait, (-float(bounds[on, j].max()), nth, page.below[cols[j]], at[on], bounds[on, j], products[on, j]))
+    return [[(int(s), -i) for s, i in heap] for heap in best]
 
 
 def brute(x: np.ndarray, ids: list[np.ndarray], q: np.ndarray, own: int, k: int) -> list[tuple[int, int]]:
@@ -121,9 +167,14 @@ def block(queries: pd.DataFrame, rows: pd.DataFrame, k: int) -> Iterator[tuple[i
     q, x, ids = np.array(queries["v"].tolist(), float), np.array(rows["v"].tolist(), float), [np.asarray(i).tolist() for i in rows["ids"]]
     pivot = x.mean(axis=0)
     root = None if exceeds(max(np.abs(x).max(), np.abs(q).max()), x.shape[1]) else build(x, np.arange(len(x)), pivot, np.random.default_rng(7))
-    for own, v, floor in zip(queries["vec_id"].tolist(), q, queries["floor"].tolist()):
-        found = brute(x, ids, v, own, k) if root is None else search(root, pivot, v, ids, own, k, floor)
-        yield from ((own, i, s) for s, i in found)
+    own, floors = queries["vec_id"].to_numpy(np.int64), queries["floor"].to_numpy(float)
+    for at in range(0, len(q), TOGETHER):
+        some = slice(at, at + TOGETHER)
+        if root is None:
+            found = [brute(x, ids, v, o, k) for o, v in zip(own[some].tolist(), q[some])]
+        else:
+            found = search_group(root, pivot, q[some], ids, own[some], k, floors[some])
+        yield from ((o, i, s) for o, each in zip(own[some].tolist(), found) for s, i in each)
 
 
 def exceeds(most: float, dim: int) -> bool:

@@ -185,9 +185,29 @@ def test_top_k_avoids_products_on_clusters(spark, monkeypatch):
         assert [got[q, k + 1] for k in range(5)] == sorted((np.delete(x, q, 0) @ x[q]).astype(int).tolist(), reverse=True)[:5]
     assert sent[0].count() <= 3 * 200  # of 40 pivots, a query is sent on to three at most on average
     root, work = exact_top_k.build(x, np.arange(len(x)), x.mean(axis=0), np.random.default_rng(7)), [0]
-    for q in range(0, 4000, 20):
-        exact_top_k.search(root, x.mean(axis=0), x[q], [[i] for i in range(len(x))], q, 5, work=work)
+    own = np.arange(0, 4000, 20)
+    found = exact_top_k.search_group(root, x.mean(axis=0), x[own], [[i] for i in range(len(x))], own, 5, np.full(200, -np.inf), work)
     assert work[0] < 0.2 * 200 * len(x)
+    for q, best in zip(own, found):
+        assert sorted(s for s, _ in best) == sorted((np.delete(x, q, 0) @ x[q]).astype(int))[-5:]
+
+
+def test_top_k_of_groups(monkeypatch):
+    """Groups of queries against all rows: ties, ids of several vectors, vectors of several ids, floors, fewer rows than k."""
+    monkeypatch.setattr(exact_top_k, "TOGETHER", 7)
+    r = np.random.default_rng(9)
+    for n, page, k in ((1, 4, 3), (5, 4, 9), (300, 4, 6), (300, 64, 6), (200, 8, 20)):
+        x = r.integers(-3, 4, (n, 3)).astype(float)
+        x = np.unique(x, axis=0)
+        ids = [sorted(r.choice(60, r.integers(1, 4), replace=False).tolist()) for _ in x]
+        root = exact_top_k.build(x, np.arange(len(x)), x.mean(axis=0), np.random.default_rng(7), page)
+        q, own = r.integers(-3, 4, (40, 3)).astype(float), r.integers(0, 60, 40)
+        all_of = [sorted(((int(v @ w), -i) for w, each in zip(x, ids) for i in each if i != o), reverse=True) for v, o in zip(q, own)]
+        floors = np.array([-np.inf if j % 2 else (all_of[j][min(k, len(all_of[j])) - 1][0] if all_of[j] else 0) for j in range(40)], float)
+        for f in (np.full(40, -np.inf), floors):
+            got = exact_top_k.search_group(root, x.mean(axis=0), q, ids, own, k, f)
+            for best, every, least in zip(got, all_of, f):
+                assert sorted(best, key=lambda y: (-y[0], y[1])) == [(s, -i) for s, i in every if s >= least][:k]
 
 
 def test_simhash(spark, docs):
