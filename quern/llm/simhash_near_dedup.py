@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import components, cut, partitions, scratch, table
+from .words import trim
 
 WORDS, DISTANCE = 4, 4
 SEGMENTS, BITS = 8, 8
@@ -50,7 +51,9 @@ def fingerprints(docs: DataFrame, words: int = WORDS) -> DataFrame:
 
     @F.pandas_udf("long")
     def each(texts: pd.Series) -> pd.Series:
-        return pd.Series(np.array([fingerprint(t, words) for t in texts], np.uint64).view(np.int64))
+        out = pd.Series(np.array([fingerprint(t, words) for t in texts], np.uint64).view(np.int64))
+        trim()
+        return out
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), each(F.col("text").cast("string")).alias("fp"))
 

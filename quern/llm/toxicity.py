@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 
 from .common import table
 from .labelled import held_out, sample
+from .words import trim
 
 #: Labelled documents learned from at most; entries that the learned lexicon holds at most, and that come to the driver to be chosen from.
 MOST, ENTRIES, TRIED = 20_000, 5_000, 20_000
@@ -303,7 +304,9 @@ def rate(docs: DataFrame, labels: DataFrame, most: int = MOST, into: str = "scor
     def scored(texts: pd.Series) -> pd.Series:
         if not made:
             made.append(Grammar(grammar.learned, grammar.bias, grammar.weights))
-        return pd.Series(made[0].score(texts))
+        out = pd.Series(made[0].score(texts))
+        trim()
+        return out
 
     return docs.withColumn(into, scored(F.col("text").cast("string")))
 
