@@ -635,3 +635,10 @@ def test_quality_needs_pairs():
     y = ((x[:, 0] > 0.5) ^ (x[:, 1] > 0.5)).astype(int)
     model = quality_classifier.fit(x, y)
     assert ((model.score(x) >= 0.5) == y).mean() > 0.95 and (0, 1) in {tuple(sorted(p[:2])) for p in model.pairs}
+
+
+def test_lines_of_near_lengths_are_of_neighbouring_classes():
+    n = np.arange(1, 200_000)
+    longest = n * line_dedup.DEN // line_dedup.NUM  # of the lines that may match one of n words
+    low, high = (line_dedup.of_length(x).astype(int) for x in (n, longest))
+    assert low.min() == 1 and ((high - low >= 0) & (high - low <= 1)).all() and (np.diff(low) >= 0).all()
