@@ -413,8 +413,22 @@ def snippet_always(text: Column | str, most: int) -> Column:
     return F.concat(F.substring(_c(text), 1, most), F.lit("..."))
 
 
+@F.pandas_udf(StringType())
+def _rounded(x: pd.Series, digits: pd.Series) -> pd.Series:
+    return pd.Series([None if pd.isna(v) else f"{v:.{d}f}" for v, d in zip(x, digits)], dtype=object)
+
+
+def fixed(x: Column | str, digits: int) -> Column:
+    """A double to so many digits by its exact binary value, halves to even. Java rounds the shortest decimal that names it instead, which tells only
+    next to a half: those alone are handed to Python."""
+    x = _c(x).cast("double")
+    scaled = F.abs(x) * 10.0**digits
+    near = (F.abs(scaled - F.floor(scaled) - 0.5) < 1e-3) | (scaled > 1e11)
+    return F.when(F.isnan(x), "nan").when(x.isNotNull(), F.coalesce(_rounded(F.when(near, x), F.lit(digits)), F.format_string(f"%.{digits}f", x)))
+
+
 def percent(score: Column | str) -> Column:
-    return F.format_string("%.2f", F.greatest(F.lit(0.0), F.least(F.lit(100.0), _c(score) * 100)))
+    return fixed(F.greatest(F.lit(0.0), F.least(F.lit(100.0), _c(score) * 100)), 2)
 
 
 def renumber_dependent(claim: Column | str, number: Column) -> Column:

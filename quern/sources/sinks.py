@@ -30,7 +30,7 @@ def write_weights(df: DataFrame, path: str) -> None:
 
 def fused_meta(df: DataFrame, weights: list[str]) -> DataFrame:
     """The columns that describe fused vectors, weights to eight decimals."""
-    return df.select("field", "doc_id", *[F.format_string("%.8f", F.col(w)).alias(w) for w in weights])
+    return df.select("field", "doc_id", *[T.fixed(w, 8).alias(w) for w in weights])
 
 
 def write_fused(df: DataFrame, path: str, weights: list[str]) -> None:
