@@ -50,9 +50,10 @@ def latest_verification(spark, d):
 
 
 def outcomes(spark, d):
-    """Codes that users send, held against their latest ones."""
-    last = A.latest(t(spark, d, "events"), ["user_id"], "ts", "event_id").select("user_id", F.lpad((F.col("event_id") % 1000000).cast("string"), 6, "0").alias("stored"), F.expr("ts + INTERVAL 5 MINUTES").alias("expires_at"))
-    sent = t(spark, d, "events").select("event_id", "user_id", F.lpad((F.col("event_id") % 1000000).cast("string"), 6, "0").alias("code"), F.col("ts").alias("now"))
+    """Codes that users send, held against their latest ones: an event's own id in six digits or more, so that no two events share one."""
+    code = F.format_string("%06d", "event_id")
+    last = A.latest(t(spark, d, "events"), ["user_id"], "ts", "event_id").select("user_id", F.when(F.col("event_id").isNotNull(), code).alias("stored"), F.expr("ts + INTERVAL 5 MINUTES").alias("expires_at"))
+    sent = t(spark, d, "events").select("event_id", "user_id", F.when(F.col("event_id").isNotNull(), code).alias("code"), F.col("ts").alias("now"))
     return sent.join(last, "user_id", "left").groupBy(A.verification_outcome(F.col("code"), F.col("stored"), F.col("expires_at"), F.col("now")).alias("outcome")).agg(F.count("*").alias("n"))
 
 

@@ -1,8 +1,7 @@
 """What only larger tables bring: ids of many digits, values next to a half, rows enough for more than one group of a task."""
 
-from pyspark.sql import functions as F
-
 from quern.functions import text as T
+from quern.plans import app as app_plans
 from quern.plans import text as text_plans
 
 
@@ -17,3 +16,11 @@ def test_percent_of_prices_next_to_a_half(spark, tmp_path):
     spark.createDataFrame(list(enumerate(prices)), "o_orderkey long, o_totalprice double").write.parquet(f"{tmp_path}/orders.parquet")
     got = {r[0]: r[1] for r in text_plans.QUERIES["percent_clamp"](spark, str(tmp_path)).collect()}
     assert got == {k: f"{max(0.0, min(100.0, (p / 200000 - 0.25) * 100)):.2f}" for k, p in enumerate(prices)}
+
+
+def test_codes_of_ids_beyond_six_digits(spark, tmp_path):
+    """Two ids of one user that end in the same six digits are two codes."""
+    rows = [(5, 1, 0), (1000005, 1, 1), (7, 2, 0), (1234567, 3, 0)]
+    spark.createDataFrame(rows, "event_id long, user_id long, minute int").selectExpr("event_id", "user_id", "timestamp_ntz'2024-01-01 00:00:00' + make_interval(0, 0, 0, 0, 0, minute) AS ts").write.parquet(f"{tmp_path}/events.parquet")
+    got = {r["outcome"]: r["n"] for r in app_plans.QUERIES["verification_outcome"](spark, str(tmp_path)).collect()}
+    assert got == {"wrong code": 1, "ok": 3}
