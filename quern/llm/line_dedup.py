@@ -142,8 +142,9 @@ def seen(texts: DataFrame) -> DataFrame:
 
 
 def posted_lines(firsts: DataFrame) -> tuple[Table, Table]:
-    """Tables of repeated lines' hashes and of their first places: a line whose hash is in the one and whose place isn't in the other has come
-    before. Beyond FULL repeated lines these are the ones repeated most; the others, each there a bounded number of times, then match as any two lines."""
+    """Tables of repeated lines' hashes and of the first places of all lines whose hash may be in the former, repeated or not: a line whose hash may be
+    in the one and whose place isn't in the other has come before for certain. Beyond FULL repeated lines these are the ones repeated most; the
+    others, each there a bounded number of times, then match as any two lines."""
     by = firsts.where("n > 1").groupBy(F.floor(F.log2("n")).cast("int").alias("log")).agg(F.count("*").alias("lines")).orderBy(F.desc("log")).collect()
     least, lines = 2, 0
     for r in by:
@@ -151,8 +152,14 @@ def posted_lines(firsts: DataFrame) -> tuple[Table, Table]:
             least = 2 << r["log"]
             break
         lines += r["lines"]
-    often = firsts.where(F.col("n") >= least)
-    return bit_table(often, "sig", lines), bit_table(often.select(F.xxhash64("at.doc_id", "at.nth", F.col("at.line").cast("long")).alias("place")), "place", lines)
+    repeated = bit_table(firsts.where(F.col("n") >= least), "sig", lines)
+
+    @F.pandas_udf("boolean")
+    def may_be(sig: pd.Series) -> pd.Series:
+        return pd.Series(known(repeated, sig.to_numpy(np.int64).view(U8)))
+
+    marked = firsts.where(may_be("sig")).select(F.xxhash64("at.doc_id", "at.nth", F.col("at.line").cast("long")).alias("place"))
+    return repeated, bit_table(marked, "place", lines + firsts.count() * lines // (8 * len(repeated.values)))
 
 
 def postings(texts: DataFrame, classes: Table, repeated: Table, firsts: Table, bits: int) -> DataFrame:
