@@ -3,7 +3,7 @@
 A line is the set of its words. Words are ordered by rarity: by the corpus count of their cell, one of 2^24 that words
 are hashed into, and then by hash; so rare words come first whatever the vocabulary, and frequent ones last. Two sets of
 Jaccard 0.8 or more share one of the first n - ceil(0.8 n) + 1 words of each, so lines meet under these words only; lengths,
-the positions of the shared word and 64-bit parity sketches rule out most lines that meet, and the words of the rest
+the positions of the shared word and parity sketches of 64 bits, of 128 for long lines, rule out most lines that meet, and the words of the rest
 are compared. A line goes if any line before it matches.
 
 Equal lines are one from the start: only the first of them is posted. Postings travel as packed columns, one blob for each
@@ -102,8 +102,10 @@ def rarity(counts: DataFrame) -> Table:
     return Table(out)
 
 
-#: A posting: 32 bits of the word's hash behind those of its part, the line's place, its words, the place of this one among them, a sketch.
-FIELDS = {"token": "<u4", "doc": "<i8", "nth": "<i8", "line": "<i4", "n": "<i4", "pos": "<i4", "sketch": "<u8"}
+#: A posting: 32 bits of the word's hash behind those of its part, the line's place, its words, the place of this one among them, a sketch, and
+#: for a line of more than LONG words, whose 64 parities tell little, those of one half of its words; sketch ^ wide are then those of the others.
+FIELDS = {"token": "<u4", "doc": "<i8", "nth": "<i8", "line": "<i4", "n": "<i4", "pos": "<i4", "sketch": "<u8", "wide": "<u8"}
+LONG = 64
 SIZE = sum(np.dtype(k).itemsize for k in FIELDS.values())
 
 
@@ -197,6 +199,8 @@ def postings(texts: DataFrame, classes: Table, repeated: Table, firsts: Table, b
         size = np.diff(heads, append=len(line))
         pos = np.arange(len(line)) - np.repeat(heads, size)
         sketch = np.bitwise_xor.reduceat(U8(1) << (h & U8(63)), heads) if len(heads) else np.zeros(0, U8)
+        wide = np.bitwise_xor.reduceat((h >> U8(6) & U8(1)) << (h & U8(63)), heads) if len(heads) else np.zeros(0, U8)
+        wide[size <= LONG] = 0
         n = np.repeat(size, size)
         keep = np.flatnonzero((pos < n - (NUM * n + DEN - 1) // DEN + 1) & (tier > 1))
         at = line[keep]
@@ -204,6 +208,7 @@ def postings(texts: DataFrame, classes: Table, repeated: Table, firsts: Table, b
         return {
             "part": (h >> U8(64 - bits)).astype(np.int32) if bits else np.zeros(len(h), np.int32), "token": (h >> U8(32 - bits)).astype(np.uint32),
             "doc": p.doc[at], "nth": p.nth[at], "line": p.line[at].astype(np.int32), "n": n[keep].astype(np.int32), "pos": pos[keep].astype(np.int32), "sketch": np.repeat(sketch, size)[keep],
+            "wide": np.repeat(wide, size)[keep],
         }
 
     def by_part(held: list[dict[str, np.ndarray]]) -> pa.RecordBatch:
@@ -282,7 +287,7 @@ def candidates(groups: DataFrame, most: int, probes: Table | None) -> DataFrame:
         alone[1:-1] = token[1:] != token[:-1]
         order = order[~(alone[1:] & alone[:-1])]
         x, block = {f: y[order] for f, y in x.items()}, block[order]
-        token, sketch = x["token"], x["sketch"]
+        token, sketch, wide = x["token"], x["sketch"], x["wide"]
         n, pos = x["n"], x["pos"]
         least = least_shared(np.arange(2 * int(n.max(initial=0)) + 1, dtype=np.int32) if n.max(initial=0) < 1 << 17 else np.zeros(0, np.int32))
         shared = lambda n1n2: least[n1n2] if len(least) else least_shared(n1n2)
@@ -291,6 +296,11 @@ def candidates(groups: DataFrame, most: int, probes: Table | None) -> DataFrame:
         sizes = np.diff(begins, append=len(token))
         which = np.repeat(np.arange(len(begins)), sizes)
 
+        def far(i: np.ndarray, j: np.ndarray) -> np.ndarray:
+            """How many parities differ: of all words, or of both halves of two long lines."""
+            one, other = sketch[i] ^ sketch[j], wide[i] ^ wide[j]
+            return np.where(np.minimum(n[i], n[j]) > LONG, np.bitwise_count(one ^ other) + np.bitwise_count(other), np.bitwise_count(one))
+
         def try_(i: np.ndarray, j: np.ndarray) -> np.ndarray:
             """Which of the pairs pass the sketches, the lengths and the positions of the shared word."""
             both = n[i] + n[j]
@@ -298,7 +308,8 @@ def candidates(groups: DataFrame, most: int, probes: Table | None) -> DataFrame:
             at = np.nonzero(ok)
             i, j = (np.broadcast_to(y, ok.shape)[at] for y in (i, j))
             n1, n2 = n[i].astype(np.int64), n[j].astype(np.int64)
-            fits = (DEN * np.minimum(n1, n2) >= NUM * np.maximum(n1, n2)) & (np.minimum(n1 - pos[i], n2 - pos[j]) >= shared(n1 + n2))
+            close = far(i, j) <= n1 + n2 - 2 * shared(n1 + n2)
+            fits = close & (DEN * np.minimum(n1, n2) >= NUM * np.maximum(n1, n2)) & (np.minimum(n1 - pos[i], n2 - pos[j]) >= shared(n1 + n2))
             ok[at] = fits & (block[i] != block[j]) if across else fits
             return ok
 
@@ -346,7 +357,7 @@ def candidates(groups: DataFrame, most: int, probes: Table | None) -> DataFrame:
         i, j, more = np.concatenate(a), np.concatenate(b), np.concatenate(more)
         trim()
         out = {"a_doc": x["doc"][i], "a_nth": x["nth"][i], "a_line": x["line"][i], "b_doc": x["doc"][j], "b_nth": x["nth"][j], "b_line": x["line"][j]}
-        out = pd.DataFrame(out | {"far": np.bitwise_count(sketch[i] ^ sketch[j]).astype(np.int32), "more": more})
+        out = pd.DataFrame(out | {"far": far(i, j).astype(np.int32), "more": more})
         out = out[(out["a_doc"] != out["b_doc"]) | (out["a_nth"] != out["b_nth"]) | (out["a_line"] != out["b_line"])]
         if probes is not None:
             return out.drop_duplicates()
