@@ -106,6 +106,7 @@ def rarity(counts: DataFrame) -> Table:
 #: for a line of more than LONG words, whose 64 parities tell little, those of one half of its words; sketch ^ wide are then those of the others.
 FIELDS = {"token": "<u4", "doc": "<i8", "nth": "<i8", "line": "<i4", "n": "<i4", "pos": "<i4", "sketch": "<u8", "wide": "<u8"}
 LONG = 64
+PLACED = ("token", "doc", "nth", "line", "n")
 SIZE = sum(np.dtype(k).itemsize for k in FIELDS.values())
 
 
@@ -382,7 +383,7 @@ def words_of(posted: DataFrame, probes: Table) -> DataFrame:
         for batch in batches:
             met = [np.zeros(0, U8)]
             for part, blob in zip(batch["part"], batch["blob"]):
-                x = unpacked([blob], FIELDS)
+                x = unpacked([blob], FIELDS, PLACED)
                 at = np.flatnonzero(known(probes, place(x)))
                 met.append(of_word(part, x["token"][at], of_length(x["n"][at])))
             yield pd.DataFrame({"word": long(np.unique(np.concatenate(met)))})
@@ -416,11 +417,12 @@ def meeting(posted: DataFrame, words: Table) -> DataFrame:
     return posted.mapInPandas(each, "part int, n long, blob binary")
 
 
-def line_texts(texts: DataFrame, wanted: Table) -> DataFrame:
-    """(doc_id, nth, line, bytes) of the lines whose place may be wanted, A-Z in lower case."""
+def line_texts(texts: DataFrame, wanted: Table, docs: Table) -> DataFrame:
+    """(doc_id, nth, line, bytes) of the lines whose place may be wanted, A-Z in lower case; texts that may hold none, by their ids, aren't cut into lines."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for p in pieces(batches):
+        some = (b.filter(pa.array(known(docs, hash_of(b.column(0).to_numpy(), b.column(1).to_numpy())))) for b in batches)
+        for p in pieces(some):
             some = np.flatnonzero(known(wanted, hash_of(p.doc, p.nth, p.line)))
             own = pa.array([p.low[a:b].tobytes() for a, b in zip(p.begin[some], p.end[some])], pa.binary())
             yield rows(doc_id=p.doc[some], nth=p.nth[some], line=p.line[some].astype(np.int32), bytes=own)
@@ -431,8 +433,10 @@ def line_texts(texts: DataFrame, wanted: Table) -> DataFrame:
 def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """The lines a of the pairs (a, b) with a Jaccard similarity of at least the threshold, on the words themselves."""
     of = lambda xs: F.xxhash64(*xs[:2], F.col(xs[2]).cast("long"))
-    wanted = bit_table(pairs.select(F.explode(F.array(of(A), of(B))).alias("place")), "place", 2 * pairs.count())
-    lines = cut(line_texts(texts, wanted))
+    n = pairs.count()
+    wanted = bit_table(pairs.select(F.explode(F.array(of(A), of(B))).alias("place")), "place", 2 * n)
+    docs = bit_table(pairs.select(F.explode(F.array(F.xxhash64(*A[:2]), F.xxhash64(*B[:2]))).alias("doc")), "doc", 2 * n)
+    lines = cut(line_texts(texts, wanted, docs))
 
     @F.pandas_udf("boolean")
     def alike(x: pd.Series, y: pd.Series) -> pd.Series:

@@ -149,15 +149,16 @@ def packed(x: dict[str, np.ndarray], fields: dict[str, str], keep) -> bytes:
     return b"".join(planes(x[f][keep].astype(kind)) for f, kind in fields.items())
 
 
-def unpacked(blobs: list[bytes], fields: dict[str, str]) -> dict[str, np.ndarray]:
-    """The rows of several blobs."""
-    found: dict[str, list] = {f: [np.zeros(0, kind)] for f, kind in fields.items()}
+def unpacked(blobs: list[bytes], fields: dict[str, str], only=()) -> dict[str, np.ndarray]:
+    """The rows of several blobs, all columns or only some."""
+    found: dict[str, list] = {f: [np.zeros(0, kind)] for f, kind in fields.items() if not only or f in only}
     row = sum(np.dtype(kind).itemsize for kind in fields.values())
     for blob in blobs:
         at, n = 0, len(blob) // row
         for f, kind in fields.items():
             size = n * np.dtype(kind).itemsize
-            found[f].append(whole(blob[at : at + size], kind))
+            if f in found:
+                found[f].append(whole(blob[at : at + size], kind))
             at += size
     return {f: np.concatenate(x) for f, x in found.items()}
 
