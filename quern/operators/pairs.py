@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -72,40 +74,65 @@ def variants(df: DataFrame, vector: str, dim: int, k: int = 2, names: tuple[str,
 
 #: Vectors in a block, bins of a round, and values that a round may send to the driver.
 BLOCK, BINS, FEW = 2048, 4096, 20_000
+#: Groups of blocks that vectors are dealt into, and vectors of a group at most: a vector travels once for each group, and two groups meet in a task.
+GROUPS, LARGEST = 16, 65_536
 
 
 def exact_summary(df: DataFrame, ident: str, vector: str, block: int = BLOCK, bins: int = BINS, few: int = FEW) -> dict[str, float]:
-    """What summary says, over all pairs. Blocks of vectors meet each other once; no pair leaves a task, only counts do: each round
+    """What summary says, over all pairs. Groups of vectors meet each other once, block by block; no pair leaves a task, only counts do: each round
     splits the bins that hold a wanted rank into finer ones, until so few values are left in them that they can be sorted (or they are all equal).
     The work is that of all products, a few times; use it where the vectors are few enough for that. None for fewer than two vectors."""
     own = written(numbered(df.select(F.col(ident).alias("_id"), V.doubles(vector).alias("_v")), [], ["_id"], "_pos", 0), "blocks")
     n = own.count()
     if n < 2:
         return None
-    count = -(-n // block)
-    packed = own.groupBy(F.expr(f"_pos div {block}").alias("b")).agg(F.collect_list("_v").alias("v"))  # `block` vectors at most
+    size = max(block, min(-(-n // GROUPS), LARGEST))
+    count = -(-n // size)
+    packed = own.groupBy(F.expr(f"_pos div {size}").alias("b")).agg(F.collect_list("_v").alias("v"))  # `size` vectors at most
     met = packed.select("b", "v", F.explode(F.sequence(F.lit(0), F.lit(count - 1))).alias("c")).select(F.greatest("b", "c").alias("hi"), F.least("b", "c").alias("lo"), "b", "v")
-    pairs = written(met.repartition(max(count * count // 8, 1), "hi", "lo"), "block_pairs")
-
-    def products(pdf: pd.DataFrame) -> np.ndarray:
-        by = {b: np.array(v.tolist()) for b, v in zip(pdf["b"], pdf["v"])}
-        if len(by) == 1:
-            (x,) = by.values()
-            return (x @ x.T)[np.triu_indices(len(x), 1)]
-        low, high = (by[k] for k in sorted(by))
-        return (low @ high.T).ravel()
+    pairs = written(met.repartition(max(count * (count + 1) // 2, 1), "hi", "lo"), "block_pairs")
+
+    def products(pdf: pd.DataFrame) -> Iterator[np.ndarray]:
+        by = {b: np.stack(v) for b, v in zip(pdf["b"], pdf["v"])}
+        low, high = by[min(by)], by[max(by)]
+        for i in range(0, len(low), block):
+            for j in range(i if len(by) == 1 else 0, len(high), block):
+                x = low[i : i + block] @ high[j : j + block].T
+                yield x[np.triu_indices(len(x), 1)] if len(by) == 1 and i == j else x.ravel()
+
+    def bin_of(x: np.ndarray, edges: np.ndarray) -> np.ndarray:
+        """The bin of each value, as a search among the edges has it: by division, put right by the edges themselves."""
+        low, high = edges[0], edges[-1]
+        if high - low < 1e-9 * max(abs(low), abs(high)):
+            return np.searchsorted(edges, x, "right") - 1
+        i = np.clip(((x - low) * (bins / (high - low))).astype(np.int64), 0, bins - 1)
+        return i + (x >= edges[i + 1]) - (x < edges[i])
 
     def rounds(spans: list[tuple[float, float]], values: bool):
+        edges = [np.linspace(a, b, bins + 1) for a, b in spans]  # the driver's too, so that a bin and the span that it becomes hold the same values
+
         def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-            x = products(pdf)
+            n, a, q, low, high = 0, 0.0, 0.0, np.inf, -np.inf
+            counts, met = np.zeros((len(spans), bins), np.int64), [[] for _ in spans]
+            for x in products(pdf):
+                for s, (begin, end) in enumerate(spans):
+                    inside = x[(x >= begin) & (x < end)]
+                    if values:
+                        met[s].append(np.unique(inside, return_counts=True))
+                    else:
+                        counts[s] += np.bincount(bin_of(inside, edges[s]), minlength=bins)[:bins]
+                if len(x):
+                    n, a, q, low, high = n + len(x), a + float(x.sum()), q + float(x @ x), min(low, float(x.min())), max(high, float(x.max()))
             out = []
-            for s, (a, b) in enumerate(spans):
-                inside = x[(x >= a) & (x < b)]
-                # the same edges as the driver's, so that a bin and the span that it becomes hold the same values
-                at, c = np.unique(inside if values else np.searchsorted(np.linspace(a, b, bins + 1), inside, "right") - 1, return_counts=True)
+            for s in range(len(spans)):
+                if values:
+                    at, of = np.unique(np.concatenate([v for v, _ in met[s]]), return_inverse=True)
+                    c = np.bincount(of, np.concatenate([k for _, k in met[s]]), len(at))
+                else:
+                    at, c = np.flatnonzero(counts[s]), counts[s][counts[s] > 0]
                 out += [(s, float(i), int(k), 0.0, 0.0, 0.0, 0.0) for i, k in zip(at, c)]
-            if len(x) and not values:
-                out.append((-1, 0.0, len(x), float(x.sum()), float((x * x).sum()), float(x.min()), float(x.max())))
+            if n and not values:
+                out.append((-1, 0.0, n, a, q, low, high))
             return pd.DataFrame(out, columns=["s", "at", "n", "a", "q", "low", "high"])
 
         made = pairs.groupBy("hi", "lo").applyInPandas(run, "s int, at double, n long, a double, q double, low double, high double")
