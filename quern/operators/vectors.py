@@ -26,16 +26,19 @@ from quern.functions import vectors as V
 WIDE = 256
 #: Dimensions that travel as one row.
 SLICE = 64
+#: Doubles of sums that a task holds at most; then they leave it, and are added up with what it sends later.
+HELD = 1 << 20
 
 
 def wide_stats(df: DataFrame, keys: list[str], vector: str) -> DataFrame:
     """(keys, mean, std, most, n): mean, population deviation and maximum of each dimension in each group. Each task adds up its own rows, about the means
-    that it has so far; what leaves it is a row for each group and SLICE dimensions, and those are added up by lanes of tasks before all. Null entries
+    that it has so far, for as many groups as HELD allows; what leaves it is a row for each group and SLICE dimensions, and those are added up by lanes of tasks before all. Null entries
     don't count; a dimension without any has a null mean. The vectors of a group are of one length; a null vector counts in n alone."""
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in df.select(*keys).schema) + ", lane int, at int, rows long, n array<double>, s array<double>, q array<double>, h array<double>"
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict = {}
+        held = 0
         for b in batches:
             column = b.column(len(keys))
             names = pd.DataFrame({k: b.column(i).to_pandas() for i, k in enumerate(keys)})
@@ -53,11 +56,18 @@ def wide_stats(df: DataFrame, keys: list[str], vector: str) -> DataFrame:
                     d, high = (np.where(null, 0.0, x - m) ** 2).sum(0), np.where(null, -np.inf, x).max(0)
                     if n is None:
                         n, mean, m2, most = k, m, d, high
+                        held += 4 * len(n)
                     else:
                         total = np.maximum(n + k, 1)
                         m2 = m2 + d + (m - mean) ** 2 * n * k / total
                         mean, n, most = (mean * n + m * k) / total, n + k, np.maximum(most, high)
                 sums[key] = rows + len(at), n, mean, m2, most
+                if held > HELD:
+                    yield from sent(sums)
+                    sums, held = {k: v for k, v in sums.items() if v[1] is None}, 0  # rows without a vector wait for one
+        yield from sent(sums)
+
+    def sent(sums: dict) -> Iterator[pa.RecordBatch]:
         lane = TaskContext.get().partitionId() % LANES
         out = [(*key, lane, at, rows, n[at : at + SLICE], (mean * n)[at : at + SLICE], (m2 + mean * mean * n)[at : at + SLICE], most[at : at + SLICE]) for key, (rows, n, mean, m2, most) in sums.items() if n is not None for at in range(0, len(n), SLICE)]
         yield from pa.Table.from_pandas(pd.DataFrame(out, columns=[*keys, "lane", "at", "rows", "n", "s", "q", "h"]), schema=arrow, preserve_index=False).to_batches() if out else ()
