@@ -8,6 +8,8 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from quern.functions.text import let
+
 
 def doubles(v: Column | str) -> Column:
     return F.transform(v, lambda x: x.cast("double"))
@@ -30,27 +32,32 @@ def zeros_like(v: Column | str) -> Column:
 
 
 def _over(v, size: Column) -> Column:
-    return F.transform(v, lambda x: x.cast("double") / size)
+    """The size is worked out once, not for each entry."""
+    return let(size, lambda s: F.transform(v, lambda x: x.cast("double") / s))
+
+
+def _once(v: Column | str, then) -> Column:
+    return let(F.col(v) if isinstance(v, str) else v, then)
 
 
 def l2_floor(v: Column | str, eps: float = 1e-8) -> Column:
     """v over its length, or over eps if that is larger."""
-    return _over(v, F.greatest(norm(v), F.lit(eps)))
+    return _once(v, lambda w: _over(w, F.greatest(norm(w), F.lit(eps))))
 
 
 def l2_added(v: Column | str, eps: float = 1e-8) -> Column:
     """v over its length plus eps."""
-    return _over(v, norm(v) + eps)
+    return _once(v, lambda w: _over(w, norm(w) + eps))
 
 
 def l2_or_zero(v: Column | str, eps: float = 1e-8) -> Column:
     """v over its length; zeros if that is below eps."""
-    return F.when(norm(v) < eps, zeros_like(v)).otherwise(_over(v, norm(v)))
+    return _once(v, lambda w: let(norm(w), lambda n: F.when(n < eps, zeros_like(w)).otherwise(_over(w, n))))
 
 
 def l2_guarded(v: Column | str) -> Column:
     """v over its length; as it is where the length is zero."""
-    return F.when(norm(v) == 0, doubles(v)).otherwise(_over(v, norm(v)))
+    return _once(v, lambda w: let(norm(w), lambda n: F.when(n == 0, doubles(w)).otherwise(_over(w, n))))
 
 
 def cosine_or_zero(a: Column | str, b: Column | str, eps: float = 1e-8) -> Column:
@@ -92,7 +99,7 @@ def bound_rows(v: Column | str, length: float = 1e-6) -> Column:
 
 
 def _sum(vectors: Column) -> Column:
-    return F.aggregate(F.slice(vectors, 2, F.greatest(F.size(vectors), F.lit(1))), vectors[0], lambda a, b: F.zip_with(a, b, lambda x, y: x + y))
+    return let(vectors, lambda v: F.aggregate(F.slice(v, 2, F.greatest(F.size(v), F.lit(1))), v[0], lambda a, b: F.zip_with(a, b, lambda x, y: x + y)))
 
 
 def token_mean(states: Column | str, mask: Column | str) -> Column:
@@ -111,7 +118,10 @@ def last_layers(layers: Column | str, k: int = 4) -> Column:
 
 def norm_softmax_pool(states: Column | str) -> Column:
     """The sum of token states, each weighted by the softmax of the lengths."""
-    sizes = F.transform(states, norm)
-    raised = F.transform(sizes, lambda x: F.exp(x - F.array_max(sizes)))
-    total = F.aggregate(raised, F.lit(0.0), lambda a, x: a + x)
-    return _sum(F.zip_with(states, raised, lambda v, w: scale(v, w / total)))
+    def pooled(raised: Column) -> Column:
+        total = F.aggregate(raised, F.lit(0.0), lambda a, x: a + x)
+        return let(total, lambda t: _sum(F.zip_with(states, raised, lambda v, w: scale(v, w / t))))
+
+    # each step is worked out once, not for each state
+    raised = lambda sizes: let(F.array_max(sizes), lambda most: F.transform(sizes, lambda x: F.exp(x - most)))
+    return let(F.transform(states, norm), lambda sizes: let(raised(sizes), pooled))
