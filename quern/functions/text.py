@@ -28,11 +28,13 @@ def _nfkc(texts: pd.Series) -> pd.Series:
 
 #: Characters that NFKC leaves alone, next to each other too: ASCII, letters of Latin alphabets, CJK ideographs, Hangul syllables, some marks.
 STABLE = "\\x00-\\x7F\u00c0-\u0131\u2013\u2014\u2018\u2019\u201c\u201d\u3010\u3011\u4e00-\u9fff\uac00-\ud7a3"
+#: One that isn't. Java tries a class's ranges one by one through nested calls, so ASCII and Hangul are put aside by one comparison each.
+UNSTABLE = f"[^\\x00-\\x7F](?<![\uac00-\ud7a3])(?<![{STABLE}])"
 
 
 def nfkc(text: Column | str) -> Column:
     t = _c(text)
-    return F.coalesce(_nfkc(F.when(t.rlike(f"[^{STABLE}]"), t)), t)
+    return F.coalesce(_nfkc(F.when(t.rlike(UNSTABLE), t)), t)
 
 
 def sub(text: Column | str, pattern: str, to: str = " ") -> Column:
