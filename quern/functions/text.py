@@ -62,6 +62,19 @@ def let(value: Column, then) -> Column:
     return F.get(F.transform(F.array(value), then), F.lit(0))
 
 
+def chain_held(text: Column, *steps: tuple) -> Column:
+    """chain of (pattern, to, words): a step passes over texts that hold none of its words, without one of which nothing that it changes is there."""
+
+    def step(t: Column, pattern: str, to: str, *words: str) -> Column:
+        return let(t, lambda v: F.when(reduce(lambda a, b: a | b, [F.contains(v, F.lit(w)) for w in words]), sub(v, pattern, to)).otherwise(v))
+
+    return reduce(lambda t, s: step(t, *s), steps, text)
+
+
+#: What a text holds in which a run of the blanks of ASCII isn't one blank.
+RUNS = ("  ", "\t", "\r", "\f", "\x0b")
+
+
 def filled(text: Column | str) -> Column:
     return F.coalesce(_c(text), F.lit(""))
 
@@ -240,9 +253,9 @@ CONTROLS = "[\\x00-\\x08\\x0B\\x0C\\x0E-\\x1F]"
 
 
 def v1_common(text: Column | str) -> Column:
-    return strip(chain(
-        nfkc(filled(text)), ("[\u200b\ufeff]", ""), (CONTROLS, ""), ("\r\n?", "\n"),
-        (r"(?U)\(\s*\d{2,6}\s*[a-zA-Z]?\s*\)", ""), ("[ \\t\\f\\x0B]+", " "), ("\n{3,}", "\n\n"),
+    return strip(chain_held(
+        sub(nfkc(filled(text)), f"[\u200b\ufeff{CONTROLS[1:]}", ""), ("\r\n?", "\n", "\r"),
+        (r"(?U)\(\s*\d{2,6}\s*[a-zA-Z]?\s*\)", "", "("), ("[ \\t\\f\\x0B]+", " ", *RUNS), ("\n{3,}", "\n\n", "\n\n\n"),
     ))
 
 
@@ -393,9 +406,14 @@ def equations(text: Column | str) -> Column:
     return F.regexp_extract_all(filled(text), F.lit(r"(?U)(수학식\s*\d+[\s\S]+?(?=\n\n|수학식\s*\d+|\z))"), F.lit(1))
 
 
+def _count(t: Column, chars: str) -> Column:
+    """How many of a class's characters a text has; a count of a pattern's matches would make a string of each."""
+    return F.length(sub(t, f"[^{chars}]+", ""))
+
+
 def low_quality(text: Column | str, least: int = 300, share: float = 0.15) -> Column:
     t = filled(text)
-    return (F.length(strip(t)) < least) | (F.regexp_count(t, F.lit("[가-힣]")) / F.greatest(F.length(t), F.lit(1)) < share)
+    return (F.length(strip(t)) < least) | (_count(t, "가-힣") / F.greatest(F.length(t), F.lit(1)) < share)
 
 
 # ---- scalars -------------------------------------------------------------------------------------------------------

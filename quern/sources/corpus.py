@@ -168,11 +168,13 @@ def distinct_paths(*lists: DataFrame) -> DataFrame:
 def page_texts(pages: DataFrame, ocr, version: str = "ver2", once: bool = True, least: int = 0, tag: str | None = None) -> DataFrame:
     """(doc_id, text) of pages (doc_id, page, text, image). Pages of low quality get the text that `ocr`, a Column function of the image,
     reads: the first such page of a document alone (once), or all. Then each is normalised; short ones are left out; they are joined in order."""
-    low = T.low_quality("text")
-    nth = F.sum(low.cast("int")).over(Window.partitionBy("doc_id").orderBy("page"))
-    turn = low & ((nth == 1) if once else F.lit(True))
-    read = pages.withColumn("text", F.when(turn, ocr(F.col("image"))).otherwise(F.col("text")))
-    own = read.where("text <> ''").withColumn("text", T.normalize("text", version)).where(F.length(F.trim("text")) >= least)
+    pages = pages.withColumn("low", T.low_quality("text"))  # below the window, so that it is worked out once
+    nth = F.sum(F.col("low").cast("int")).over(Window.partitionBy("doc_id").orderBy("page"))
+    turn = F.col("low") & ((nth == 1) if once else F.lit(True))
+    own = pages.withColumn("text", F.when(turn, ocr(F.col("image"))).otherwise(F.col("text"))).where("text <> ''")
+    # A filter would be pushed below the rule and take it a second time; an array of one text or none isn't.
+    made = F.array(T.normalize("text", version))
+    own = own.select("doc_id", "page", F.explode(F.filter(made, lambda t: F.length(F.trim(t)) >= least) if least > 0 else made).alias("text"))
     if tag:
         own = own.withColumn("text", F.concat(F.format_string(tag, F.col("page")), F.col("text")))
     pages_of = F.transform(F.array_sort(F.collect_list(F.struct("page", "text"))), lambda p: p["text"])

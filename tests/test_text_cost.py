@@ -6,6 +6,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from quern.functions import text as T
+from quern.functions.phrases import Phrases, _blanks
+from quern.sources import corpus as C
 
 
 @pytest.fixture(scope="module")
@@ -40,3 +42,15 @@ def test_unstable_is_what_stable_lacks(spark):
     alone = own.where(F.col("c").rlike(f"[^{T.STABLE}]") != F.col("c").rlike(T.UNSTABLE))
     among = own.where(F.col("c").rlike(f"[^{T.STABLE}]") != F.concat(F.lit("가é a"), "c", F.lit("a가é")).rlike(T.UNSTABLE))
     assert alone.isEmpty() and among.isEmpty()
+
+
+def plan(df) -> str:
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_page_texts_takes_its_rule_once_and_makes_no_string_of_a_letter(spark):
+    pages = spark.createDataFrame([(1, 1, "가" * 400 + " x", "a"), (1, 2, "short", "b"), (1, 3, "", "c"), (1, 4, "  last\r\none ", "d"), (2, 1, None, "e")], "doc_id long, page int, text string, image string")
+    for least, expected in ((0, "가" * 400 + " x\n\nocr b\n\nlast\none"), (6, "가" * 400 + " x\n\nlast\none")):
+        own = C.page_texts(pages, lambda i: F.concat(F.lit("ocr "), i), "ver1", least=least)
+        assert plan(own).count(T.UNSTABLE) == 1 and "regexp_extract_all" not in plan(own)
+        assert {r["doc_id"]: r["text"] for r in own.collect()} == {1: expected} | ({2: "ocr e"} if least == 0 else {})
