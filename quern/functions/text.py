@@ -302,26 +302,31 @@ def v2_common(text: Column | str) -> Column:
     number = (
         r"(?U)[\(\[\{]\s*(?=[^)\]\}]*?(?:\d{2,}|[a-zA-Z]))\d{1,6}[a-zA-Z]?(?:\s*(?:,|~|-)\s*\d{1,6}[a-zA-Z]?)*\s*[\)\]\}]"
     )
-    return strip(chain(
-        nfkc(filled(text)), ("[\u200b-\u200d\ufeff]", ""), (CONTROLS, ""), ("\r\n?", "\n"), (number, ""), (BLANKS, " "), ("\n{3,}", "\n\n"),
+    return strip(chain_held(
+        sub(nfkc(filled(text)), f"[\u200b-\u200d\ufeff{CONTROLS[1:]}", ""), ("\r\n?", "\n", "\r"), (number, "", *"([{"),
+        (BLANKS, " ", *RUNS), ("\n{3,}", "\n\n", "\n\n\n"),
     ))
 
 
+CONTENT = "가-힣A-Za-z_/-"
+
+
 def content_score(text: Column | str) -> Column:
     """Letters, and the marks that technical words hold."""
-    t = _c(text)
-    return F.coalesce(F.regexp_count(t, F.lit("[가-힣A-Za-z]")) + F.regexp_count(t, F.lit("[-_/]")), F.lit(0))
+    return F.coalesce(_count(_c(text), CONTENT), F.lit(0))
 
 
 def _worth(least: int):
-    return lambda p: (content_score(p) >= least) | p.rlike(TECHNICAL)
+    """Whether the content score reaches least, for which a look at its first characters will do, or a technical word is there."""
+    scored = f"[{CONTENT}](?:[^{CONTENT}]*+[{CONTENT}]){{{least - 1}}}"
+    return lambda p: p.rlike(scored) | p.rlike(TECHNICAL)
 
 
 def v2_abstract(text: Column | str) -> Column:
     """Sentences of some content, or all if none is. Sentences end behind . ? or ! (a longer ending holds the same mark)."""
-    t = chain(v2_common(text), (r"(?iuU)^\s*(요약|ABSTRACT)\s*[:：]?\s*", ""), (PARAGRAPH, ""))
-    kept = F.filter(F.transform(F.split(t, r"(?U)(?<=[.?!])\s+|\n+"), strip), lambda p: (p != "") & _worth(5)(p))
-    return strip(sub(F.when(F.size(kept) > 0, F.array_join(kept, " ")).otherwise(t), BLANKS, " "))
+    own = chain_held(sub(v2_common(text), r"(?iuU)\A\s*(요약|ABSTRACT)\s*[:：]?\s*", ""), (PARAGRAPH, "", *"[【("))
+    kept = lambda t: F.filter(F.transform(F.split(t, r"(?U)\s(?<=[.?!]\s|\n)\s*"), strip), lambda p: (p != "") & _worth(5)(p))
+    return strip(chain_held(let(own, lambda t: let(kept(t), lambda k: F.when(F.size(k) > 0, F.array_join(k, " ")).otherwise(t))), (BLANKS, " ", *RUNS)))
 
 
 def v2_claims(text: Column | str) -> Column:

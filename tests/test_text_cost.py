@@ -54,3 +54,11 @@ def test_page_texts_takes_its_rule_once_and_makes_no_string_of_a_letter(spark):
         own = C.page_texts(pages, lambda i: F.concat(F.lit("ocr "), i), "ver1", least=least)
         assert plan(own).count(T.UNSTABLE) == 1 and "regexp_extract_all" not in plan(own)
         assert {r["doc_id"]: r["text"] for r in own.collect()} == {1: expected} | ({2: "ocr e"} if least == 0 else {})
+
+
+def test_v2_abstract_splits_once_and_makes_no_string_of_a_letter(spark, texts):
+    own = plan(texts.select(T.v2_abstract("t").alias("t")))
+    assert own.count("split(") == 1 and own.count(T.UNSTABLE) == 1 and "regexp_extract_all" not in own
+    odd = spark.createDataFrame([("요약: One. 2, 3! \n\n a b\tGPU? five5s.\r\nEnds here",), ("1 2. 3",), ("ab. a_b-c. GAN",)], "t string")
+    assert [r[0] for r in odd.select(T.v2_abstract("t")).collect()] == ["a b GPU? five5s. Ends here", "1 2. 3", "a_b-c. GAN"]
+    assert [r[0] for r in odd.select(T.content_score("t")).collect()] == [23, 0, 10]
