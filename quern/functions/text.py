@@ -330,19 +330,23 @@ def v2_abstract(text: Column | str) -> Column:
 
 
 def v2_claims(text: Column | str) -> Column:
-    t = chain(
-        v2_common(text), (DELETED_CLAIM, " "), (PARAGRAPH, " "), (r"(?U)(?=(?:청구항|제)\s*\d+\s*(?:항)?\s*[\.\:\)])", "\n"),
-        ("[；]", ";"), (r"(?U)\s*;\s*", "; "),
+    t = chain_held(
+        v2_common(text), (DELETED_CLAIM, " ", "삭제"), (PARAGRAPH, " ", *"[【("), (r"(?U)(?=(?:청구항|제)\s*\d+\s*(?:항)?\s*[\.\:\)])", "\n", "청구항", "제"),
+        ("[；]", ";", "；"), (r"(?U)\s*;\s*", "; ", ";"),
     )
     refers = (
         r"(?U)^\s*(?:청구항|제)\s*\d+\s*(?:항)?\s*(?:내지\s*\d+\s*(?:항)?)?\s*(?:중\s*어느\s*한\s*항)?\s*에\s*(?:있어서|따른|기재된|의한)\s*,?\s*"
     )
     weak = r"(?U)^\s*(상기|또는|및|그|해당|더욱)\s+"
 
+    def clauses(own: Column) -> Column:
+        each = F.filter(F.transform(F.split(own, ";"), strip), lambda c: c != "")
+        return F.filter(F.transform(each, lambda c: strip(chain_held(c, (weak, "", *"상또및그해더")))), _worth(8))
+
     def line(raw: Column) -> Column:
-        own = chain(strip(raw), (CLAIM_NUMBER, ""), (refers, ""))
-        kept = F.filter(F.transform(F.filter(F.transform(F.split(own, ";"), strip), lambda c: c != ""), lambda c: strip(sub(c, weak, ""))), _worth(8))
-        return strip(sub(F.when(F.size(kept) > 0, F.array_join(kept, "; ")).otherwise(strip(own)), BLANKS, " "))
+        named = chain_held(strip(raw), (CLAIM_NUMBER, "", "청구항", "제"), (refers, "", "청구항", "제"))
+        found = let(named, lambda own: let(clauses(own), lambda k: F.when(F.size(k) > 0, F.array_join(k, "; ")).otherwise(strip(own))))
+        return strip(chain_held(found, (BLANKS, " ", *RUNS)))
 
     return strip(F.array_join(F.filter(F.transform(F.split(t, "\n+"), line), lambda x: x != ""), "\n"))
 

@@ -62,3 +62,10 @@ def test_v2_abstract_splits_once_and_makes_no_string_of_a_letter(spark, texts):
     odd = spark.createDataFrame([("요약: One. 2, 3! \n\n a b\tGPU? five5s.\r\nEnds here",), ("1 2. 3",), ("ab. a_b-c. GAN",)], "t string")
     assert [r[0] for r in odd.select(T.v2_abstract("t")).collect()] == ["a b GPU? five5s. Ends here", "1 2. 3", "a_b-c. GAN"]
     assert [r[0] for r in odd.select(T.content_score("t")).collect()] == [23, 0, 10]
+
+
+def test_v2_claims_cuts_a_line_once(spark, texts):
+    own = plan(texts.select(T.v2_claims("t").alias("t")))
+    assert own.count("split(") == 2 and "regexp_extract_all" not in own
+    odd = spark.createDataFrame([("청구항 1. 상기 long enough; no; a GPU\n\n청구항 2 삭제 제 3 항: 청구항 1에 있어서, x y",)], "t string")
+    assert [r[0] for r in odd.select(T.v2_claims("t")).collect()] == ["long enough; a GPU\nx y"]
