@@ -75,6 +75,11 @@ def chain_held(text: Column, *steps: tuple) -> Column:
 RUNS = ("  ", "\t", "\r", "\f", "\x0b")
 
 
+def squeeze_line(text: Column) -> Column:
+    """squeeze of texts that mostly have single blanks already."""
+    return let(text, lambda t: F.when(t.rlike(r"(?U)\s(?<=\s\s|[^ ])"), squeeze(t)).otherwise(strip(t)))
+
+
 def filled(text: Column | str) -> Column:
     return F.coalesce(_c(text), F.lit(""))
 
@@ -273,11 +278,12 @@ CLAIM_NUMBER = r"(?U)^\s*(?:청구항|제)\s*\d+\s*(?:항)?\s*[\.\:\)]\s*"
 
 
 def v1_claims(text: Column | str) -> Column:
-    t = chain(v1_common(text), (DELETED_CLAIM, " "), (r"(?U)(?=(?:^|\n)\s*(?:청구항|제)\s*\d+\s*(?:항)?\s*[\.\:\)])", "\n"))
+    """Claims by line. A line break before one that a claim's header follows would only make an empty line, so none is set."""
+    t = chain_held(v1_common(text), (DELETED_CLAIM, " ", "삭제"))
     refers = r"(?U)^\s*(?:제\s*\d+\s*항|청구항\s*\d+)(?:\s*내지\s*\d+)?\s*(?:중\s*어느\s*한\s*항)?\s*에\s*(?:있어서|따른|기재된|의한)\s*,?\s*"
-    one = lambda b: squeeze(chain(
-        strip(b), (CLAIM_NUMBER, ""), (refers, ""), (r"(?U)\s*것을\s*특징으로\s*하(?:는|며|여|한)\s*", "; "),
-        (r"(?U)\s*;\s*", "; "), (r"(?U)(\d\)|[①②③④⑤⑥⑦⑧⑨⑩])\s*", " $1 "),
+    one = lambda b: squeeze_line(chain_held(
+        strip(b), (CLAIM_NUMBER, "", "청구항", "제"), (refers, "", "항"), (r"(?U)\s*것을\s*특징으로\s*하(?:는|며|여|한)\s*", "; ", "특징으로"),
+        (r"(?U)\s*;\s*", "; ", ";"), (r"(?U)(\d\)|[①②③④⑤⑥⑦⑧⑨⑩])\s*", " $1 ", ")", *"①②③④⑤⑥⑦⑧⑨⑩"),
     ))
     return F.array_join(F.filter(F.transform(F.split(t, "\n"), one), lambda b: b != ""), "\n")
 

@@ -69,3 +69,10 @@ def test_v2_claims_cuts_a_line_once(spark, texts):
     assert own.count("split(") == 2 and "regexp_extract_all" not in own
     odd = spark.createDataFrame([("청구항 1. 상기 long enough; no; a GPU\n\n청구항 2 삭제 제 3 항: 청구항 1에 있어서, x y",)], "t string")
     assert [r[0] for r in odd.select(T.v2_claims("t")).collect()] == ["long enough; a GPU\nx y"]
+
+
+def test_v1_claims_looks_only_where_a_rule_has_something_to_change(spark, texts):
+    own = plan(texts.select(T.v1_claims("t").alias("t")))
+    assert "(?=(?:^|" not in own and own.lower().count("contains(") > 20
+    odd = spark.createDataFrame([("청구항 1. a  b ;c\u3000d\n \n청구항 2 삭제\n제 3 항. 제1항에 있어서, e 것을 특징으로 하는 1)x ② y",), ("\n청구항 7: z",)], "t string")
+    assert [r[0] for r in odd.select(T.v1_claims("t")).collect()] == ["a b; c d\ne; 1) x 2 y", "z"]
