@@ -6,6 +6,7 @@ has no built-in: one Arrow function does it, handed only texts that hold a chara
 
 from __future__ import annotations
 
+import re
 import unicodedata
 from functools import reduce
 
@@ -240,8 +241,9 @@ COMMON_PATTERNS = [
 
 def clean_for_embedding(text: Column | str) -> Column:
     """Lower-case NFKC without the common patterns, only a-z, Hangul syllables and words of two or more characters."""
-    t = chain(F.lower(nfkc(filled(text))), *[("(?U)" + p, " ") for p in COMMON_PATTERNS], (r"(?U)[^a-z가-힣\s]", " "))
-    return F.array_join(F.filter(F.split(squeeze(t), " "), lambda w: F.length(w) > 1), " ")
+    held = lambda p: max(re.findall("[가-힣]+", p) or ["["], key=len)  # noqa: E731 (a part that every match of the pattern holds)
+    t = chain_held(F.lower(nfkc(filled(text))), *[("(?U)" + p, " ", held(p)) for p in COMMON_PATTERNS])
+    return F.array_join(F.filter(F.split(sub(t, "[^a-z가-힣]+", " "), " "), lambda w: F.length(w) > 1), " ")
 
 
 def clean_query(text: Column | str) -> Column:

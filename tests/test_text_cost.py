@@ -76,3 +76,10 @@ def test_v1_claims_looks_only_where_a_rule_has_something_to_change(spark, texts)
     assert "(?=(?:^|" not in own and own.lower().count("contains(") > 20
     odd = spark.createDataFrame([("청구항 1. a  b ;c\u3000d\n \n청구항 2 삭제\n제 3 항. 제1항에 있어서, e 것을 특징으로 하는 1)x ② y",), ("\n청구항 7: z",)], "t string")
     assert [r[0] for r in odd.select(T.v1_claims("t")).collect()] == ["a b; c d\ne; 1) x 2 y", "z"]
+
+
+def test_embedding_text_passes_over_patterns_that_it_does_not_hold(spark, texts):
+    own = plan(texts.select(T.clean_for_embedding("t").alias("t")))
+    assert own.lower().count("contains(") == len(T.COMMON_PATTERNS)
+    odd = spark.createDataFrame([("본  발명 제 1 항 İst Ｋa 도 2 장치 회로 가 [0001] a-bc 대 표\n도 x",)], "t string")
+    assert [r[0] for r in odd.select(T.clean_for_embedding("t")).collect()] == ["st ka 회로 bc"]
