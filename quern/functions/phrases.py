@@ -36,7 +36,11 @@ class Phrases:
         import ahocorasick
 
         words = ordered(phrases)
+        plain = {c for w in words for x in w for c in x}
+        cased = any(not c == c.upper() == c.lower() == c.casefold() for c in plain)
         self.patterns = [re.compile(f"{BLANK}*".join(map(re.escape, w)), re.I) for w in words]
+        # Only runs of the phrases' characters can hold one; of a text in another script that is little.
+        self.runs = None if cased or not plain else re.compile(f"[{''.join(map(re.escape, sorted(plain)))}][{''.join(map(re.escape, sorted(plain)))}{BLANK[1:-1]}]*")
         self.width = max((sum(map(len, w)) for w in words), default=0)
         self.machine, ranks = ahocorasick.Automaton(), {}
         for r, w in enumerate(words):
@@ -48,7 +52,11 @@ class Phrases:
 
     def held(self, text: str) -> set[int]:
         """The turns of the phrases that a text may hold."""
-        return {r for _, own in self.machine.iter(_blanks.sub("", text).casefold()) for r in own} if self.patterns else set()
+        if not self.patterns:
+            return set()
+        if self.runs:
+            text = "\0".join(self.runs.findall(text))
+        return {r for _, own in self.machine.iter(_blanks.sub("", text).casefold()) for r in own}
 
     def _side(self, text: str, at: int, step: int) -> str:
         """The characters next to a place, as many as the longest phrase has besides blanks, or all."""
