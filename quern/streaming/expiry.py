@@ -16,37 +16,58 @@ PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProv
 
 
 class Expiring(StatefulProcessor):
-    """The one valid grant of each (kind, user): a new one replaces it; one that nothing replaces in time is emitted as expired, and its state goes.
-    A grant is good up to its last microsecond, as a code is that is sent at the very time of its expiry."""
+    """The one valid grant of each kind that a user has: a new one replaces it; one that nothing replaces in time is emitted as expired, and leaves the state.
+    A grant is good up to its last microsecond, as a code is that is sent at the very time of its expiry. All kinds are one state, as each call for
+    a key and each frame that it gives costs far more than a row."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.current = handle.getValueState("current", "event_id long, expires long")
+        self.current = handle.getValueState("current", ", ".join(f"{k}_event long, {k}_expires long" for k in LIFETIMES))
+
+    def _read(self) -> dict[str, tuple[int, int]]:
+        found = self.current.get()
+        return {k: (found[2 * i], found[2 * i + 1]) for i, k in enumerate(LIFETIMES) if found[2 * i + 1] is not None} if found else {}
+
+    def _write(self, own: dict[str, tuple[int, int]]) -> None:
+        self.current.update(tuple(v for k in LIFETIMES for v in own.get(k, (None, None))))
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        kind, user = key
-        life = LIFETIMES[kind] * 60_000_000
-        now = tuple(self.current.get()) if self.current.exists() else None
-        if now:
-            self.handle.deleteTimer(self._due(now[1]))
-        out = []
-        for event, issued in sorted(((int(e), int(t)) for b in rows for e, t in zip(b["event_id"], b["issued"])), key=lambda x: (x[1], x[0])):
-            if now and issued + life < now[1]:
-                continue  # older than the one that is valid: late, though within the watermark
-            if now and issued > now[1]:
-                out.append((kind, int(user), *now))
-            now = (event, issued + life)
-        self.current.update(now)
-        self.handle.registerTimer(self._due(now[1]))
+        own, out = self._read(), []
+        before = {self._due(e) for _, e in own.values()}
+        grants = sorted(((int(t), int(e)) for b in rows for e, t in zip(b["event_id"], b["issued"])))
+        for kind, minutes in LIFETIMES.items():
+            life, now = minutes * 60_000_000, own.get(kind)
+            for issued, event in grants:
+                if now and issued + life < now[1]:
+                    continue  # older than the one that is valid: late, though within the watermark
+                if now and issued > now[1]:
+                    out.append((kind, *now))
+                now = (event, issued + life)
+            own[kind] = now
+        self._write(own)
+        after = {self._due(e) for _, e in own.values()}
+        for due in before - after:
+            self.handle.deleteTimer(due)
+        for due in after - before:
+            self.handle.registerTimer(due)
         if out:
-            yield pd.DataFrame(out, columns=["kind", "user_id", "event_id", "expires"])
+            yield self._frame(key, out)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        if self.current.exists():
-            now = tuple(self.current.get())
-            if self._due(now[1]) <= expiredTimerInfo.getExpiryTimeInMs():
+        own, upto = self._read(), max(expiredTimerInfo.getExpiryTimeInMs(), timerValues.getCurrentWatermarkInMs())  # all that is over by now in one frame
+        over = [k for k, (_, expires) in own.items() if self._due(expires) <= upto]
+        if over:
+            out = [(k, *own.pop(k)) for k in over]
+            if own:
+                self._write(own)
+            else:
                 self.current.clear()
-                yield pd.DataFrame([(key[0], int(key[1]), *now)], columns=["kind", "user_id", "event_id", "expires"])
+            yield self._frame(key, out)
+
+    @staticmethod
+    def _frame(key, out: list) -> pd.DataFrame:
+        kinds, events, expires = zip(*out)
+        return pd.DataFrame({"kind": kinds, "user_id": int(key[0]), "event_id": events, "expires": expires})
 
     @staticmethod
     def _due(expires: int) -> int:
@@ -59,8 +80,8 @@ class Expiring(StatefulProcessor):
 def expiries(grants: DataFrame, late: str = "0 seconds") -> DataFrame:
     """(kind, user_id, event_id, expires in microseconds) of a stream of grants (event_id, ts timestamp, user_id): each event grants a code and a token.
     Rows without a user or a time grant nothing."""
-    own = grants.where("user_id IS NOT NULL AND ts IS NOT NULL").select("ts", "user_id", "event_id", F.unix_micros("ts").alias("issued"), F.explode(F.array(*map(F.lit, LIFETIMES))).alias("kind"))
-    keyed = own.withWatermark("ts", late).groupBy("kind", "user_id")
+    own = grants.where("user_id IS NOT NULL AND ts IS NOT NULL").select("ts", "user_id", "event_id", F.unix_micros("ts").alias("issued"))
+    keyed = own.withWatermark("ts", late).groupBy("user_id")
     return keyed.transformWithStateInPandas(Expiring(), EXPIRED, "Append", "EventTime")
 
 

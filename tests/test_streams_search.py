@@ -28,6 +28,38 @@ def plain_expiries(events, upto):
     return out
 
 
+def test_expiries_keep_one_state_a_user(spark, tmp_path):
+    """Kinds aren't dealt out as keys of their own, and a timer gives all that is over by then; grants of one time and timers of one millisecond lose nothing."""
+    plan = expiry.expiries(spark.readStream.schema("event_id long, ts timestamp, user_id long").parquet(str(tmp_path)))._jdf.queryExecution().logical().toString()
+    assert "explode" not in plan.lower()
+
+    class State:
+        def __init__(self):
+            self.value, self.timers = None, set()
+
+        getValueState = lambda self, *_: self
+        get = lambda self: self.value
+        exists = lambda self: self.value is not None
+        update = lambda self, v: setattr(self, "value", v)
+        clear = lambda self: setattr(self, "value", None)
+        registerTimer = lambda self, due: self.timers.add(due)
+        deleteTimer = lambda self, due: self.timers.remove(due)
+
+    class At:
+        def __init__(self, ms):
+            self.getExpiryTimeInMs = self.getCurrentWatermarkInMs = lambda: ms
+
+    import pandas as pd
+
+    s, e, minute = State(), expiry.Expiring(), 60_000_000
+    e.init(s)
+    got = [tuple(r) for f in e.handleInputRows((7,), iter([pd.DataFrame({"event_id": [3, 1, 2], "issued": [6 * minute, 0, 0]})]), At(0)) for r in f.itertuples(index=False)]
+    assert got == [("code", 7, 2, 5 * minute)] and s.timers == {11 * 60_000 + 1, 66 * 60_000 + 1}
+    got = [tuple(r) for f in e.handleExpiredTimer((7,), At(66 * 60_000 + 1), At(11 * 60_000 + 1)) for r in f.itertuples(index=False)]
+    assert got == [("code", 7, 3, 11 * minute), ("token", 7, 3, 66 * minute)] and s.value is None
+    assert not list(e.handleExpiredTimer((7,), At(66 * 60_000 + 1), At(66 * 60_000 + 1)))
+
+
 def test_expiries_over_a_restart(spark, tmp_path):
     r = random.Random(1)
     first = [(i, 1_700_000_000 + r.randrange(4000), r.randrange(6)) for i in range(120)] + [(500, 1_700_000_000, 3), (501, 1_700_000_000, 3), (502, None, 1), (503, 1_700_000_100, None)]
