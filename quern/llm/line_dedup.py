@@ -4,7 +4,7 @@ A line is the set of its words. Words are ordered by rarity: by the corpus count
 are hashed into, and then by hash; so rare words come first whatever the vocabulary, and frequent ones last. Two sets of
 Jaccard 0.8 or more share one of the first n - ceil(0.8 n) + 1 words of each, so lines meet under these words only; lengths,
 the positions of the shared word and parity sketches of 64 bits, of 128 for long lines, rule out most lines that meet, and the words of the rest
-are compared. A line goes if any line before it matches.
+are compared. Only lines of near lengths are tried. A line goes if any line before it matches.
 
 Equal lines are one from the start: only the first of them is posted. Postings travel as packed columns, one blob for each
 task and range of word hashes. One earlier match settles a line, so the first round compares only its nearest candidates;
@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import apart, cut, replaced, scratch, table, texts_of
-from .words import U8, Piece, blobs_by_part, by_place, hash_of, mixed, packed, pieces, planes, trim, unpacked, whole
+from .words import U8, Piece, blobs_by_part, by_place, hash_of, mixed, packed, pieces, planes, rows_in, trim, unpacked, whole
 
 #: Jaccard similarity of 4 / 5 or more, in whole numbers throughout.
 NUM, DEN = 4, 5
@@ -36,8 +36,8 @@ POSTINGS = 200_000  # of a part of the word hashes, about
 CROWDED = 4 * POSTINGS  # a part with more is dealt by word
 NEAREST = 3  # candidates of a line that the first round compares
 GROWTH, PAIRS = 16, 8  # of the candidates of a line from round to round at least, and pairs of a later round for each distinct line
-#: Up to so many lines under a word all pairs are tried at once; more than TOGETHER are split and tried part by part.
-FEW, TOGETHER = 32, 20_000
+#: Up to FEW lines under a word all pairs of near lengths are tried at once, those of many words together, about TRIED; more than TOGETHER are split and tried part by part.
+FEW, TRIED, TOGETHER = 512, 1 << 18, 20_000
 
 def rows(**columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_pydict({k: v if isinstance(v, pa.Array) else pa.array(v) for k, v in columns.items()})
@@ -107,7 +107,6 @@ def rarity(counts: DataFrame) -> Table:
 FIELDS = {"token": "<u4", "doc": "<i8", "nth": "<i8", "line": "<i4", "n": "<i4", "pos": "<i4", "sketch": "<u8", "wide": "<u8"}
 LONG = 64
 PLACED = ("token", "doc", "nth", "line", "n")
-SIZE = sum(np.dtype(k).itemsize for k in FIELDS.values())
 
 
 def place(x: dict[str, np.ndarray]) -> np.ndarray:
@@ -183,7 +182,7 @@ def postings(texts: DataFrame, classes: Table, repeated: Table, firsts: Table, b
         sig = p.sigs()
         new = (sig != 0) & (~known(repeated, sig) | known(firsts, hash_of(p.doc, p.nth, p.line)))
         begin, _, h = p.words()
-        line = np.searchsorted(p.begin, begin, "right") - 1
+        line = np.repeat(np.arange(len(p.begin)), np.diff(np.searchsorted(begin, p.begin), append=len(begin)))
         mine = new[line]
         line, h = line[mine], h[mine]
         tier = classes.values[(h >> U8(64 - CELL_BITS)).view(np.int64)]
@@ -279,7 +278,7 @@ def candidates(groups: DataFrame, most: int, probes: Table | None) -> DataFrame:
     def compare(group: pd.DataFrame) -> pd.DataFrame:
         blobs = group["blob"].tolist()
         x = unpacked(blobs, FIELDS)
-        block = np.repeat(group["block"].to_numpy(), [len(b) // SIZE for b in blobs])
+        block = np.repeat(group["block"].to_numpy(), [rows_in(b) for b in blobs])
         across = group["one"].iloc[0] != group["two"].iloc[0]
         order = by_place(x["doc"], x["nth"], x["line"])
         order = order[np.argsort(x["token"][order].astype(U8) << U8(32) | np.arange(len(order), dtype=U8))]
@@ -315,46 +314,57 @@ def candidates(groups: DataFrame, most: int, probes: Table | None) -> DataFrame:
             return ok
 
         a, b, more = [np.zeros(0, int)], [np.zeros(0, int)], [np.zeros(0, bool)]
-        few = np.flatnonzero(sizes[which] <= FEW) if len(which) else np.zeros(0, int)
-        later, earlier = [np.zeros(0, int)], [np.zeros(0, int)]
-        for shift in range(1, FEW):
-            few = few[few >= shift]
-            few = few[which[few] == which[few - shift]]
-            if not len(few):
-                break
-            i = few[probe[few]]
-            i = i[try_(i, i - shift)]
-            later.append(i)
-            earlier.append(i - shift)
-        i, j = np.concatenate(later), np.concatenate(earlier)
-        by_line = np.lexsort((j, i))
-        i, j = i[by_line], j[by_line]
-        heads = np.flatnonzero(np.diff(i, prepend=-1))
-        each = np.diff(heads, append=len(i))
-        first = np.arange(len(i)) - np.repeat(heads, each) < most
-        a.append(i[first])
-        b.append(j[first])
-        more.append(np.repeat(each > most, each)[first])
+        few = np.flatnonzero(sizes[which] <= FEW)
+        few = few[np.argsort(which[few].astype(U8) << U8(32) | n[few].astype(U8), kind="stable")]
+        word, of = which[few].astype(np.int64) << 32, n[few].astype(np.int64)
+        from_ = np.searchsorted(word | of, word | -(-NUM * of // DEN))  # the shortest line of each one's word that may match it; pairs are (it or one behind it, this one)
+        upto = np.cumsum(np.arange(len(few)) - from_)
+        ends = np.flatnonzero(np.diff(word, append=-1)) + 1
+        begin = 0
+        while begin < len(few):
+            done = upto[begin - 1] if begin else 0
+            end = ends[min(np.searchsorted(upto[ends - 1], done + TRIED), len(ends) - 1)]
+            each = np.arange(begin, end) - from_[begin:end]
+            one = few[begin:end].repeat(each)
+            other = few[np.arange(len(one)) + (from_[begin:end] - (np.cumsum(each) - each)).repeat(each)]
+            i, j = np.maximum(one, other), np.minimum(one, other)
+            if probes is not None:
+                i, j = i[probe[i]], j[probe[i]]
+            ok = try_(i, j)
+            i, j = i[ok], j[ok]
+            by_line = np.lexsort((j, i))
+            i, j = i[by_line], j[by_line]
+            heads = np.flatnonzero(np.diff(i, prepend=-1))
+            each = np.diff(heads, append=len(i))
+            first = np.arange(len(i)) - np.repeat(heads, each) < most
+            a.append(i[first])
+            b.append(j[first])
+            more.append(np.repeat(each > most, each)[first])
+            begin = end
         for g in np.flatnonzero(sizes > FEW):
-            begin, end = begins[g], begins[g] + sizes[g]
-            for i0 in range(begin, end, 512):
-                i = np.arange(i0, min(i0 + 512, end))
-                i = i[probe[i]]
-                got, pairs = np.zeros(end - begin, np.int64), []
-                for j0 in range(begin, min(i0 + 512, end), 1024):
-                    j = np.arange(j0, min(j0 + 1024, i0 + 512, end))
-                    if not len(i):
-                        break
-                    ok = try_(i[:, None], j[None, :]) & (j[None, :] < i[:, None])
-                    nth = got[i - begin][:, None] + ok.cumsum(axis=1)
-                    p, q = np.nonzero(ok & (nth <= most))
-                    pairs.append((i[p], j[q]))
-                    got[i - begin] = nth[:, -1]
-                    i = i[got[i - begin] <= most]
-                for p, q in pairs:
-                    a.append(p)
-                    b.append(q)
-                    more.append(got[p - begin] > most)
+            begin = begins[g]
+            lines = np.arange(begin, begin + sizes[g])
+            length = of_length(n[lines]).astype(int)
+            for own in np.unique(length):
+                near, lines_own = lines[np.abs(length - own) <= 1], lines[length == own]
+                for i0 in range(0, len(lines_own), 512):
+                    i = lines_own[i0 : i0 + 512]
+                    i = i[probe[i]]
+                    got, pairs = np.zeros(sizes[g], np.int64), []
+                    for j0 in range(0, len(near), 1024):
+                        j = near[j0 : j0 + 1024]
+                        if not len(i) or j[0] >= i[-1]:
+                            break
+                        ok = try_(i[:, None], j[None, :]) & (j[None, :] < i[:, None])
+                        nth = got[i - begin][:, None] + ok.cumsum(axis=1)
+                        p, q = np.nonzero(ok & (nth <= most))
+                        pairs.append((i[p], j[q]))
+                        got[i - begin] = nth[:, -1]
+                        i = i[got[i - begin] <= most]
+                    for p, q in pairs:
+                        a.append(p)
+                        b.append(q)
+                        more.append(got[p - begin] > most)
         i, j, more = np.concatenate(a), np.concatenate(b), np.concatenate(more)
         trim()
         out = {"a_doc": x["doc"][i], "a_nth": x["nth"][i], "a_line": x["line"][i], "b_doc": x["doc"][j], "b_nth": x["nth"][j], "b_line": x["line"][j]}
@@ -385,7 +395,7 @@ def words_of(posted: DataFrame, probes: Table) -> DataFrame:
             for part, blob in zip(batch["part"], batch["blob"]):
                 x = unpacked([blob], FIELDS, PLACED)
                 at = np.flatnonzero(known(probes, place(x)))
-                met.append(of_word(part, x["token"][at], of_length(x["n"][at])))
+                met.extend(of_word(part, x["token"][at], of_length(x["n"][at])))
             yield pd.DataFrame({"word": long(np.unique(np.concatenate(met)))})
 
     return posted.mapInPandas(each, "word long")
@@ -396,8 +406,10 @@ def of_length(n: np.ndarray) -> np.ndarray:
     return 1 + np.floor(np.log(np.maximum(n, 1)) / np.log(1.26)).astype(U8)
 
 
-def of_word(part: int, token: np.ndarray, length: np.ndarray) -> np.ndarray:
-    return mixed(mixed((token.astype(U8) << U8(31) | U8(part)) + U8(1)) + length)
+def of_word(part: int, token: np.ndarray, *lengths: np.ndarray) -> Iterator[np.ndarray]:
+    """A hash of the words with each of the lengths."""
+    word = mixed((token.astype(U8) << U8(31) | U8(part)) + U8(1))
+    return (mixed(word + length) for length in lengths)
 
 
 def meeting(posted: DataFrame, words: Table) -> DataFrame:
@@ -409,7 +421,7 @@ def meeting(posted: DataFrame, words: Table) -> DataFrame:
             for part, blob in zip(batch["part"], batch["blob"]):
                 x = unpacked([blob], FIELDS)
                 length = of_length(x["n"])
-                keep = np.flatnonzero(np.any([known(words, of_word(part, x["token"], length + U8(k) - U8(1))) for k in range(3)], axis=0))
+                keep = np.flatnonzero(np.any([known(words, w) for w in of_word(part, x["token"], length - U8(1), length, length + U8(1))], axis=0))
                 if len(keep):
                     out.append((part, len(keep), packed(x, FIELDS, keep)))
             yield pd.DataFrame(out, columns=["part", "n", "blob"])

@@ -28,8 +28,6 @@ def trim() -> None:
 U8 = np.uint64
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
-SPACE = np.zeros(256, bool)
-SPACE[[9, 10, 11, 12, 13, 32]] = True
 BYTE = np.random.default_rng(42).integers(0, 1 << 64, 256, U8)  # what a byte counts in a word's hash
 BASE = 0x9E3779B97F4A7C15
 _powers = [np.ones(1, U8), np.ones(1, U8)]
@@ -92,7 +90,7 @@ def words(low: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.
     """(begin, end, hash) of each word of texts that begin and end at off."""
     if not len(low):
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, U8)
-    space = SPACE[low]
+    space = (low == 32) | (low - np.uint8(9) < 5)
     after, before = np.empty(len(low), bool), np.empty(len(low), bool)
     after[1:], before[:-1] = space[:-1], space[1:]
     after[off[:-1][off[:-1] < len(low)]] = True
@@ -117,7 +115,7 @@ def cut_up(text: pa.Array, lower: bool = True) -> Iterator[tuple[int, int, np.nd
         _, offsets, data = text.buffers()
         off = np.frombuffer(offsets, np.int64 if wide else np.int32)[text.offset : text.offset + len(text) + 1].astype(np.int64)
         low = np.frombuffer(data, np.uint8)[off[0] : off[-1]] if data is not None else np.zeros(0, np.uint8)
-        low = LOWER[low] if lower else low
+        low = low + ((low - np.uint8(65) < 26).view(np.uint8) << np.uint8(5)) if lower else low
         off = off - off[0]
         cuts = np.flatnonzero(np.diff(off[:-1] // PIECE, prepend=0)).tolist()
         for a, b in zip([0, *cuts], [*cuts, len(text)]):
@@ -145,22 +143,31 @@ def whole(data: bytes, kind: str) -> np.ndarray:
 
 
 def packed(x: dict[str, np.ndarray], fields: dict[str, str], keep) -> bytes:
-    """Some rows of columns as one blob; fields: the columns' types."""
-    return b"".join(planes(x[f][keep].astype(kind)) for f, kind in fields.items())
+    """Some rows of columns as one blob; fields: the columns' types. Before the planes come the number of rows, and for each column that of its planes:
+    those above the highest byte that isn't 0 in all rows are left out."""
+    columns = [x[f][keep].astype(kind) for f, kind in fields.items()]
+    used = [(int(np.bitwise_or.reduce(c)) & (1 << 8 * c.itemsize) - 1).bit_length() + 7 >> 3 for c in columns]
+    low = [c.view(np.uint8).reshape(-1, c.itemsize)[:, :k].T.tobytes() for c, k in zip(columns, used)]
+    return b"".join([len(columns[0]).to_bytes(4, "little"), bytes(used), *low])
+
+
+def rows_in(blob: bytes) -> int:
+    return int.from_bytes(blob[:4], "little")
 
 
 def unpacked(blobs: list[bytes], fields: dict[str, str], only=()) -> dict[str, np.ndarray]:
     """The rows of several blobs, all columns or only some."""
-    found: dict[str, list] = {f: [np.zeros(0, kind)] for f, kind in fields.items() if not only or f in only}
-    row = sum(np.dtype(kind).itemsize for kind in fields.values())
-    for blob in blobs:
-        at, n = 0, len(blob) // row
-        for f, kind in fields.items():
-            size = n * np.dtype(kind).itemsize
-            if f in found:
-                found[f].append(whole(blob[at : at + size], kind))
-            at += size
-    return {f: np.concatenate(x) for f, x in found.items()}
+    rows = [rows_in(blob) for blob in blobs]
+    found = {f: np.zeros((sum(rows), np.dtype(kind).itemsize), np.uint8) for f, kind in fields.items() if not only or f in only}
+    to = 0
+    for blob, n in zip(blobs, rows):
+        at = 4 + len(fields)
+        for f, k in zip(fields, blob[4:at]):
+            if k and f in found:
+                found[f][to : to + n, :k] = np.frombuffer(blob, np.uint8, n * k, at).reshape(k, n).T
+            at += n * k
+        to += n
+    return {f: x.view(fields[f]).ravel() for f, x in found.items()}
 
 
 def by_place(doc: np.ndarray, nth: np.ndarray, at: np.ndarray) -> np.ndarray:
