@@ -57,3 +57,68 @@ def test_variants(spark):
 def test_fewer_than_two(spark):
     _, df = vectors(spark, 1)
     assert pairs.exact_summary(df, "vec_id", "v") is None and pairs.sampled_products(df, "vec_id", "v").count() == 0
+
+
+def steps(monkeypatch):
+    """What exact_summary writes, by name."""
+    seen = []
+    own = pairs.written
+    monkeypatch.setattr(pairs, "written", lambda df, name="step": seen.append((name, own(df, name))) or seen[-1][1])
+    return seen
+
+
+def compared(spark, x, **kw):
+    """exact_summary of x's rows against NumPy's."""
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, v array<double>").repartition(3)
+    found, all_ = pairs.exact_summary(df, "vec_id", "v", **kw), (x @ x.T)[np.triu_indices(len(x), 1)]
+    want = {"n": len(all_), "mean": all_.mean(), "std": all_.std(), "min": all_.min(), "max": all_.max()} | {k: np.quantile(all_, p) for k, p in pairs.QUANTILES.items()}
+    scale = (x * x).sum(1).max()
+    assert found.keys() == want.keys() and all(abs(found[k] - want[k]) < (1e-7 if k == "std" else 1e-14) * scale for k in want), (found, want)
+
+
+def test_exact_meets_all_pairs_once(spark, monkeypatch):
+    """Vectors are written once and all pairs are met once, whatever the quantiles."""
+    seen = steps(monkeypatch)
+    compared(spark, vectors(spark, 700, 4)[0], block=16, bins=64, few=50)
+    assert [name for name, _ in seen].count("values") == 1 and dict(seen)["block_pairs"].selectExpr("sum(size(v))").first()[0] == 700
+
+
+def test_exact_counts_equal_vectors(spark, monkeypatch):
+    """60 different vectors, up to 40 times each: one of each is met, their pairs all count, those with themselves too."""
+    seen = steps(monkeypatch)
+    x = vectors(spark, 60, 5)[0]
+    times = np.random.default_rng(6).integers(1, 40, 60)
+    compared(spark, np.repeat(x, times, 0), block=8, bins=64, few=50)
+    assert dict(seen)["block_pairs"].selectExpr("sum(size(v))").first()[0] == 60
+
+
+def test_exact_holds_where_spans_miss(spark, monkeypatch):
+    """Spans without any margin: those that miss their ranks are widened until they hold them."""
+    seen = steps(monkeypatch)
+    monkeypatch.setattr(pairs, "SURE", 0.0)
+    monkeypatch.setattr(pairs, "LOOKED", 100)
+    compared(spark, vectors(spark, 500, 7)[0], block=8, bins=4096, few=1)
+    assert [name for name, _ in seen].count("values") > 1
+
+
+@pytest.mark.parametrize("kind", ["close", "one place", "long", "some equal"])
+def test_exact_beyond_single_precision(spark, monkeypatch, kind):
+    """Products that single precision can't tell apart or that are all 0, lengths from 0 to 1,000, and few values held at a time."""
+    monkeypatch.setattr(pairs, "HELD", 40)
+    x, rng = vectors(spark, 400, 8)[0], np.random.default_rng(9)
+    if kind == "close":
+        x = x[:1] + rng.normal(size=x.shape) * 1e-8
+    elif kind == "one place":
+        x = np.eye(400)
+    elif kind == "long":
+        x = x * np.linspace(0, 1000, 400)[:, None]
+    else:
+        x = np.concatenate([x[:200], x[:150], x[:150], np.zeros((5, 6))])
+    compared(spark, x, block=16, bins=64, few=30)
+
+
+@pytest.mark.parametrize("bad", [None, [1.0, 2.0], [1.0, float("nan"), 0.0]])
+def test_exact_takes_whole_vectors_only(spark, bad):
+    df = spark.createDataFrame([(0, [1.0, 0.0, 0.0]), (1, [0.0, 1.0, 0.0]), (2, bad)], "vec_id long, v array<double>")
+    with pytest.raises(Exception):
+        pairs.exact_summary(df, "vec_id", "v")
