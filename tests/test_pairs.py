@@ -77,7 +77,7 @@ def compared(spark, x, **kw):
 
 
 def test_exact_meets_all_pairs_once(spark, monkeypatch):
-    """Vectors are written once and all pairs are met once, whatever the quantiles."""
+    """Vectors are dealt into groups once and all groups meet once, whatever the quantiles."""
     seen = steps(monkeypatch)
     compared(spark, vectors(spark, 700, 4)[0], block=16, bins=64, few=50)
     assert [name for name, _ in seen].count("values") == 1 and dict(seen)["block_pairs"].selectExpr("sum(size(v))").first()[0] == 700
